@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from storyspark.functions.text import clean_prompt
 from storyspark.operators.ordered import Blocks, label_runs
 
 K, O = "script_id", "idx"
@@ -359,7 +360,7 @@ def slide_retention(df: DataFrame, key: str = K, order: str = O, block_rows: int
         F.when(low, F.lit("flagged nearby visual repetition")),
         F.when((F.col("_n") > 1) & (i == F.col("_n") - 1) & (beat != "cta"), F.lit("final slide should resolve or invite response")),
     ))
-    overlay = F.rtrim(F.lit(" ,.;"), F.left(F.regexp_replace(F.trim(F.coalesce("summary", F.lit(""))), r"\s+", " "), F.lit(56)))
+    overlay = clean_prompt(F.col("summary"), 56)
     return b.df.withColumns({
         "retention_score": F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 2), "retention_actions": actions,
         "text_overlay": F.when((i == 0) & no_overlay, overlay).otherwise(F.col("text_overlay")),

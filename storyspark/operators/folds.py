@@ -100,7 +100,8 @@ def _agreed_entries(rows, fold, cols, key, order, size, warmup) -> DataFrame:
 
 
 def _pack(fold: Fold, state: list) -> tuple[str, int]:
-    return (json.dumps(state[:-1]), state[-1]) if fold.counted else (json.dumps(state), 0)
+    return (json.dumps(state[:-1], sort_keys=True), state[-1]) if fold.counted else (
+        json.dumps(state, sort_keys=True), 0)
 
 
 def _unpack(fold: Fold, text: str | None, count) -> list:

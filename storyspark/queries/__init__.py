@@ -1 +1,4 @@
-"""queries of storyspark."""
+"""Registered queries and their SQL twins."""
+
+from storyspark.queries import beats  # noqa: F401
+from storyspark.queries.registry import QUERIES, SQL  # noqa: F401
