@@ -22,6 +22,11 @@ def _s(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value evaluated once: a lambda variable, not a copied expression."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def norm_key(c: Column) -> Column:
     """Lower case letters and digits only."""
     return F.regexp_replace(F.lower(_s(c)), "[^a-z0-9]+", "")
@@ -88,48 +93,41 @@ def strip_credit_lines(c: Column, patterns: Sequence[str] = CREDIT_PATTERNS) ->
     return squeeze(F.array_join(F.filter(parts, lambda x: (x != "") & ~x.rlike(bad)), " "))
 
 
-def text_quality(c: Column, confidence: Column | None = None, patterns: Sequence[str] = CREDIT_PATTERNS, unicode: bool = True) -> dict[str, Column]:
-    """Expressions for score, level, usable and the ratios behind them, over the cleaned text column ``_q``.
-
-    Use through ``with_text_quality``, which evaluates the cleaned text once.
-    """
-    t = c
-    n = F.length(t)
-    letters = r"\P{L}" if unicode else "[^A-Za-z]"
-    alpha = F.length(F.regexp_replace(t, letters, ""))
-    keep = r"[\p{L}\p{N}\s.,!?;:'\"\-()\[\]{}&/% ]" if unicode else r"[A-Za-z0-9\s.,!?;:'\"\-()\[\]{}&/% ]"
-    garbage = F.length(F.regexp_replace(t, keep, ""))
-    found = F.regexp_extract_all(t, F.lit(r"([A-Za-z][A-Za-z'\-]+)"), 1)
-    many = F.size(found)
-    toks = F.filter(F.transform(found, lambda w: F.regexp_replace(F.lower(w), "^'+|'+$", "")), lambda w: w != "")
-    # longest run of equal neighbours in the sorted tokens: n log n, not n * distinct
-    run = F.aggregate(
+def _longest_repeat(toks: Column) -> Column:
+    """Most frequent token's count: longest run of equal neighbours in the sorted tokens."""
+    return F.aggregate(
         F.array_sort(toks), F.struct(F.lit("").alias("w"), F.lit(0).alias("n"), F.lit(0).alias("top")),
-        lambda acc, w: F.struct(w.alias("w"), F.when(acc["w"] == w, acc["n"] + 1).otherwise(1).alias("n"),
-                                F.greatest(acc["top"], F.when(acc["w"] == w, acc["n"] + 1).otherwise(1)).alias("top")),
+        lambda acc, w: let(F.when(acc["w"] == w, acc["n"] + 1).otherwise(1), lambda n: F.struct(
+            w.alias("w"), n.alias("n"), F.greatest(acc["top"], n).alias("top"))),
         lambda acc: acc["top"])
-    repeated = F.when(F.size(toks) > 0, run / F.size(toks)).otherwise(0.0)
-    chars = F.aggregate(found, F.lit(0), lambda a, w: a + F.length(w))
-    conf = F.lit(0.5) if confidence is None else F.coalesce(
-        F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence / 100.0)), F.lit(0.5))
-    a, g = alpha / F.greatest(F.lit(1), n), garbage / F.greatest(F.lit(1), n)
-    score = (F.least(a / F.lit(0.72), F.lit(1.0)) * 0.25 + F.greatest(F.lit(0.0), F.lit(1.0) - g / F.lit(0.18)) * 0.20
-             + F.least(many / F.lit(45.0), F.lit(1.0)) * 0.20 + F.greatest(F.lit(0.0), F.lit(1.0) - repeated / F.lit(0.35)) * 0.15
-             + F.greatest(F.lit(0.0), F.least(chars / F.greatest(F.lit(1), many) / F.lit(4.0), F.lit(1.0))) * 0.08 + conf * 0.12)
-    return {"raw_score": score, "word_count": many, "char_count": n, "alpha_ratio": a, "garbage_ratio": g, "repeated_ratio": repeated}
 
 
 def with_text_quality(df: DataFrame, text: str = "text", confidence: str | None = None,
                       patterns: Sequence[str] = CREDIT_PATTERNS, unicode: bool = True) -> DataFrame:
     """Adds clean_text, quality_score, quality_level, usable, counts and ratios."""
-    parts = text_quality(F.col("clean_text"), F.col(confidence) if confidence else None, patterns, unicode)
-    out = df.withColumn("clean_text", strip_credit_lines(F.col(text), patterns)).withColumns(parts)
+    letters = r"\P{L}" if unicode else "[^A-Za-z]"
+    keep = r"[\p{L}\p{N}\s.,!?;:'\"\-()\[\]{}&/% ]" if unicode else r"[A-Za-z0-9\s.,!?;:'\"\-()\[\]{}&/% ]"
+    t, n = F.col("clean_text"), F.greatest(F.lit(1), F.col("char_count"))
+    # one projection per step: each is read by several later expressions and stays evaluated once
+    out = df.withColumn("clean_text", strip_credit_lines(F.col(text), patterns))
+    out = out.withColumns({"_found": F.regexp_extract_all(t, F.lit(r"([A-Za-z][A-Za-z'\-]+)"), 1), "char_count": F.length(t)})
+    out = out.withColumns({
+        "_toks": F.filter(F.transform("_found", lambda w: F.regexp_replace(F.lower(w), "^'+|'+$", "")), lambda w: w != ""),
+        "word_count": F.size("_found"), "_letters": F.length(F.array_join("_found", "")),
+        "alpha_ratio": F.length(F.regexp_replace(t, letters, "")) / n, "garbage_ratio": F.length(F.regexp_replace(t, keep, "")) / n})
+    out = out.withColumn("repeated_ratio", F.when(F.size("_toks") > 0, _longest_repeat(F.col("_toks")) / F.size("_toks")).otherwise(0.0))
+    conf = F.lit(0.5) if confidence is None else F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(confidence) / 100.0)), F.lit(0.5))
+    a, g, many = F.col("alpha_ratio"), F.col("garbage_ratio"), F.col("word_count")
+    out = out.withColumn("raw_score", (
+        F.least(a / F.lit(0.72), F.lit(1.0)) * 0.25 + F.greatest(F.lit(0.0), F.lit(1.0) - g / F.lit(0.18)) * 0.20
+        + F.least(many / F.lit(45.0), F.lit(1.0)) * 0.20 + F.greatest(F.lit(0.0), F.lit(1.0) - F.col("repeated_ratio") / F.lit(0.35)) * 0.15
+        + F.greatest(F.lit(0.0), F.least(F.col("_letters") / F.greatest(F.lit(1), many) / F.lit(4.0), F.lit(1.0))) * 0.08 + conf * 0.12))
     s = F.col("raw_score")
     usable = (s >= MIN_USABLE) & (F.col("word_count") >= 8) & (F.col("garbage_ratio") < 0.22)
     return out.withColumns({
         "quality_score": F.round(s, 3), "usable": usable,
         "quality_level": F.when(usable & (s >= 0.72), "good").when(usable, "fair").otherwise("poor"),
-        **{c: F.round(c, 3) for c in ("alpha_ratio", "garbage_ratio", "repeated_ratio")}}).drop("raw_score")
+        **{c: F.round(c, 3) for c in ("alpha_ratio", "garbage_ratio", "repeated_ratio")}}).drop("raw_score", "_found", "_toks", "_letters")
 
 
 def quality_rollup(pages: DataFrame, doc: str = "doc_id", page: str = "page", clean: str = "clean_text") -> DataFrame:
@@ -236,10 +234,8 @@ def digits_to_words(c: Column) -> Column:
     """Numbers inside a text written as words: the text is cut at numbers and joined again."""
     pat = r"\b\d{1,5}(?:,\d{3})*\b"
     t = _s(c)
-    nums = F.regexp_extract_all(t, F.lit(f"({pat})"), 1)
-    rest = F.split(t, pat)
-    said = F.transform(nums, lambda x: int_to_words(F.regexp_replace(x, ",", "").cast("long")))
-    return F.array_join(F.transform(rest, lambda r, i: F.concat(r, F.coalesce(F.get(said, i), F.lit("")))), "")
+    said = F.transform(F.regexp_extract_all(t, F.lit(f"({pat})"), 1), lambda x: int_to_words(F.regexp_replace(x, ",", "").cast("long")))
+    return let(said, lambda words: F.array_join(F.transform(F.split(t, pat), lambda r, i: F.concat(r, F.coalesce(F.get(words, i), F.lit("")))), ""))
 
 
 # ---- F11 - F15: script features -----------------------------------------------------------------------
@@ -251,12 +247,13 @@ def normalize_paragraphs(c: Column) -> Column:
     paras = F.filter(F.transform(F.split(F.trim(F.regexp_replace(t, r"^\s+|\s+$", "")), r"\n\s*\n+"),
                                  lambda p: F.regexp_replace(F.trim(F.regexp_replace(F.regexp_replace(p, r"[ \t]+", " "), r"^\s+|\s+$", "")), r"\s*\n\s*", " ")),
                      lambda p: p != "")
-    only = F.get(paras, 0)
-    sents = F.filter(F.transform(F.split(F.coalesce(only, F.lit("")), SENTENCE_END), lambda x: F.trim(x)), lambda x: x != "")
-    pairs = F.transform(F.sequence(F.lit(0), F.floor((F.size(sents) - 1) / 2).cast("int")),
-                        lambda i: F.array_join(F.slice(sents, i * 2 + 1, F.lit(2)), " "))
-    split = (F.size(paras) == 1) & (word_count(only) > 140) & (F.size(sents) > 3)
-    return F.array_join(F.when(split, pairs).otherwise(paras), "\n\n")
+    split = lambda p: F.filter(F.transform(F.split(F.coalesce(p, F.lit("")), SENTENCE_END), lambda x: F.trim(x)), lambda x: x != "")
+
+    def pairs(ps):
+        return let(split(F.get(ps, 0)), lambda sents: F.when(F.size(sents) > 3, F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(sents) - 1) / 2).cast("int")), lambda i: F.array_join(F.slice(sents, i * 2 + 1, F.lit(2)), " "))).otherwise(ps))
+
+    return let(paras, lambda ps: F.array_join(F.when((F.size(ps) == 1) & (word_count(F.get(ps, 0)) > 140), pairs(ps)).otherwise(ps), "\n\n"))
 
 
 def word_count(c: Column, unicode: bool = True) -> Column:
@@ -319,7 +316,7 @@ def is_question_hook(c: Column) -> Column:
 def has_declarative_payoff(c: Column, cta: Sequence[str] = CTA_PHRASES, unicode: bool = True) -> Column:
     """One of the last four sentences without a call to action is a statement of eight words or more."""
     meaningful = F.filter(sentences(c), lambda s: ~contains_any(F.lower(s), cta))
-    last = F.slice(meaningful, F.greatest(F.lit(1), F.size(meaningful) - 3), F.lit(4))
+    last = let(meaningful, lambda m: F.slice(m, F.greatest(F.lit(1), F.size(m) - 3), F.lit(4)))
     return F.exists(last, lambda s: ~s.endswith("?") & (word_count(s, unicode) >= 8))
 
 
@@ -389,17 +386,10 @@ def validate_script(df: DataFrame, anchors: Sequence[str], entities: Sequence[st
 
 # ---- F1, F17, F27, F28: chunking ---------------------------------------------------------------------------
 
-def _spans(parts: Column, sizes: Column, start: Column, step, finish) -> Column:
-    """Fold over part sizes that collects (from, to) spans of part numbers."""
-    return F.aggregate(F.sequence(F.lit(0), F.size(parts) - 1), start, lambda acc, i: step(acc, i, F.get(sizes, i)), finish)
-
-
 def segment_script(c: Column, min_words: int = 7, max_words: int = 16) -> Column:
     """Sentences packed into units of about ``min_words`` to ``max_words``; a short tail joins the last one."""
     min_words = max(1, min_words)
     max_words = max(min_words, max_words)
-    parts = sentences(c)
-    sizes = F.transform(parts, lambda s: F.size(tokens(s)))
     start = F.struct(F.array().cast("array<int>").alias("ends"), F.lit(0).alias("n"))
 
     def step(acc, i, w):
@@ -409,15 +399,19 @@ def segment_script(c: Column, min_words: int = 7, max_words: int = 16) -> Column
         full = n >= max_words
         return F.struct(F.when(full, F.array_append(ends, i + 1)).otherwise(ends).alias("ends"), F.when(full, F.lit(0)).otherwise(n).alias("n"))
 
-    def finish(acc):
-        ends, total = acc["ends"], F.size(parts)
+    def finish(acc, total):
+        ends = acc["ends"]
         tail = F.coalesce(F.element_at(ends, F.when(F.size(ends) > 0, -1)), F.lit(0)) < total
         join_last = tail & (F.size(ends) > 0) & (acc["n"] < min_words)
         return F.when(join_last, F.array_append(F.slice(ends, F.lit(1), F.size(ends) - 1), total)).when(
             tail, F.array_append(ends, total)).otherwise(ends)
 
-    ends = _spans(parts, sizes, start, step, finish)
-    return F.when(F.size(parts) > 0, _cut(parts, ends)).otherwise(F.array().cast(EMPTY))
+    def packed(parts):
+        sizes = F.transform(parts, lambda s, i: F.struct(i.alias("i"), F.size(tokens(s)).alias("w")))
+        ends = F.aggregate(sizes, start, lambda acc, x: step(acc, x["i"], x["w"]), lambda acc: finish(acc, F.size(parts)))
+        return let(ends, lambda e: _cut(parts, e))
+
+    return let(sentences(c), lambda parts: F.when(F.size(parts) > 0, packed(parts)).otherwise(F.array().cast(EMPTY)))
 
 
 def _cut(parts: Column, ends: Column, sep: str = " ") -> Column:
@@ -434,9 +428,9 @@ def chunk_sentences(c: Column, chunk_size: int = 500, overlap_sentences: int = 5
     def step(acc, s):
         flush = (acc["n"] + F.length(s) > chunk_size) & (F.size(acc["cur"]) > 0)
         held = F.array_join(F.slice(acc["cur"], F.greatest(F.lit(1), F.size(acc["cur"]) - overlap_sentences + 1), F.lit(max(1, overlap_sentences))), " ")
-        return F.when(flush, F.struct(
-            F.array_append(acc["done"], F.array_join(acc["cur"], " ")).alias("done"), F.array(held, s).alias("cur"),
-            (F.length(held) + F.length(s)).alias("n"))).otherwise(F.struct(
+        return F.when(flush, let(held, lambda h: F.struct(
+            F.array_append(acc["done"], F.array_join(acc["cur"], " ")).alias("done"), F.array(h, s).alias("cur"),
+            (F.length(h) + F.length(s)).alias("n")))).otherwise(F.struct(
                 acc["done"].alias("done"), F.array_append(acc["cur"], s).alias("cur"), (acc["n"] + F.length(s)).alias("n")))
 
     return F.aggregate(parts, start, step, lambda a: F.when(F.size(a["cur"]) > 0, F.array_append(a["done"], F.array_join(a["cur"], " "))).otherwise(a["done"]))
@@ -465,7 +459,7 @@ def tts_chunks(c: Column, max_chars: int = 250) -> Column:
         runs = F.aggregate(
             sents, F.struct(F.array().cast(EMPTY).alias("done"), F.lit("").alias("cur")),
             lambda a, s: F.when(F.length(s) > max_chars, F.struct(
-                F.concat(a["done"], F.when(a["cur"] != "", F.array(a["cur"])).otherwise(F.array().cast(EMPTY)), _cut(tokens(s), _pack(tokens(s), max_chars))).alias("done"),
+                F.concat(a["done"], F.when(a["cur"] != "", F.array(a["cur"])).otherwise(F.array().cast(EMPTY)), let(tokens(s), lambda ws: let(_pack(ws, max_chars), lambda e: _cut(ws, e)))).alias("done"),
                 F.lit("").alias("cur"))).when((a["cur"] != "") & (F.length(a["cur"]) + 1 + F.length(s) > max_chars), F.struct(
                     F.array_append(a["done"], a["cur"]).alias("done"), s.alias("cur"))).otherwise(F.struct(
                         a["done"].alias("done"), F.trim(F.concat(a["cur"], F.lit(" "), s)).alias("cur"))),
@@ -477,20 +471,22 @@ def tts_chunks(c: Column, max_chars: int = 250) -> Column:
 
 def wrap_lines(c: Column, max_chars: int = 28, max_lines: int = 2, sep: str = "\\N") -> Column:
     """Greedy line wrap; lines beyond ``max_lines`` join the last one."""
-    t = tokens(c)
-    lines = _cut(t, _pack(t, max_chars))
-    head = F.slice(lines, 1, max_lines - 1) if max_lines > 1 else F.array().cast(EMPTY)
-    rest = F.array_join(F.slice(lines, F.lit(max_lines), F.greatest(F.lit(0), F.size(lines) - max_lines + 1)), " ")
-    return F.array_join(F.when(F.size(lines) > max_lines, F.array_append(head, rest)).otherwise(lines), sep)
+    def shaped(lines):
+        head = F.slice(lines, 1, max_lines - 1) if max_lines > 1 else F.array().cast(EMPTY)
+        rest = F.array_join(F.slice(lines, F.lit(max_lines), F.greatest(F.lit(0), F.size(lines) - max_lines + 1)), " ")
+        return F.array_join(F.when(F.size(lines) > max_lines, F.array_append(head, rest)).otherwise(lines), sep)
+
+    return let(tokens(c), lambda t: let(let(_pack(t, max_chars), lambda e: _cut(t, e)), shaped))
 
 
 # ---- F25, F29, W44: queries and keywords ----------------------------------------------------------------------
 
 def dedupe_words(c: Column) -> Column:
     """First spelling of each word, case-insensitive."""
-    t = tokens(c)
-    low = F.transform(t, F.lower)
-    return F.array_join(F.filter(t, lambda w, i: F.array_position(low, F.lower(w)) == i + 1), " ")
+    def firsts(t):
+        return let(F.transform(t, lambda w: F.lower(w)), lambda low: F.filter(t, lambda w, i: F.array_position(low, F.lower(w)) == i + 1))
+
+    return F.array_join(let(tokens(c), firsts), " ")
 
 
 GENERIC_PHRASES = r"\b(anime screenshot|manga panel|fan art|wallpaper|dramatic|cinematic|close up)\b"
@@ -531,10 +527,12 @@ BOOST = r"^(\d{4}|\d{3,}|\d{1,3}(?:,\d{3})+|chapter\s*\d+|arc|final|saga|reveale
 
 def is_keyword_boost(word: Column, terms: Sequence[str] = (), boost: str = BOOST) -> Column:
     """Numbers and marked words, upper-case words, or capitalised words holding a known term."""
-    w = F.trim(F.regexp_replace(_s(word), r"(?U)[^\w\s'-]", ""))
-    known = contains_any(F.lower(w), terms)
-    return (w != "") & (w.rlike("(?i)" + boost) | ((F.upper(w) == w) & (F.lower(w) != w) & (F.length(w) > 2))
-                        | (w.rlike(r"^\p{Lu}") & (F.length(w) > 3) & ~F.lower(w).isin("the", "and", "for", "with") & known))
+    def boosted(w):
+        known = contains_any(F.lower(w), terms)
+        return (w != "") & (w.rlike("(?i)" + boost) | ((F.upper(w) == w) & (F.lower(w) != w) & (F.length(w) > 2))
+                            | (w.rlike(r"^\p{Lu}") & (F.length(w) > 3) & ~F.lower(w).isin("the", "and", "for", "with") & known))
+
+    return let(F.trim(F.regexp_replace(_s(word), r"(?U)[^\w\s'-]", "")), boosted)
 
 
 KEYWORD_STOPWORDS = ["the", "and", "but", "for", "with", "that", "this", "into", "from", "because", "when", "then", "there", "their",
@@ -542,24 +540,30 @@ KEYWORD_STOPWORDS = ["the", "and", "but", "for", "with", "that", "this", "into",
 
 
 def keyword_score(word: Column, position: Column, total: Column, terms: Sequence[str] = ()) -> Column:
-    w = F.trim(F.regexp_replace(_s(word), r"(?U)[^\w'-]", ""))
-    low = F.lower(w)
-    points = (F.lit(1) + F.when(is_keyword_boost(w, terms), 5).otherwise(0) + F.when(contains_any(low, terms), 5).otherwise(0)
-              + F.when(w.rlike(r"^\p{Lu}") & (F.length(w) > 3), 3).otherwise(0) + F.when(F.length(w) >= 7, 2).otherwise(0)
-              + F.when((position == 0) | (position == total - 1), 1).otherwise(0))
-    return F.when((w == "") | low.isin(KEYWORD_STOPWORDS) | (F.length(low) <= 2), 0).otherwise(points)
+    def points(w):
+        low = F.lower(w)
+        sum_ = (F.lit(1) + F.when(is_keyword_boost(w, terms), 5).otherwise(0) + F.when(contains_any(low, terms), 5).otherwise(0)
+                + F.when(w.rlike(r"^\p{Lu}") & (F.length(w) > 3), 3).otherwise(0) + F.when(F.length(w) >= 7, 2).otherwise(0)
+                + F.when((position == 0) | (position == total - 1), 1).otherwise(0))
+        return F.when((w == "") | low.isin(KEYWORD_STOPWORDS) | (F.length(low) <= 2), 0).otherwise(sum_)
+
+    return let(F.trim(F.regexp_replace(_s(word), r"(?U)[^\w'-]", "")), points)
 
 
 def phrase_keywords(words_array: Column, phrase_index: Column, terms: Sequence[str] = ()) -> Column:
     """Up to two best words of a phrase in order; every third phrase without any shows its longest word."""
-    n = F.size(words_array)
-    scored = F.transform(words_array, lambda w, i: F.struct((-keyword_score(w, i, n, terms)).alias("s"), i.alias("i"), w.alias("w")))
-    best = F.slice(F.array_sort(F.filter(scored, lambda x: x["s"] < 0)), 1, 2)
-    in_order = F.transform(F.array_sort(F.transform(best, lambda x: F.struct(x["i"].alias("i"), x["w"].alias("w")))), lambda x: x["w"])
-    lengths = F.transform(words_array, lambda w, i: F.struct(F.length(F.regexp_replace(w, r"(?U)\W+", "")).alias("n"), (-i).alias("i"), w.alias("w")))
-    longest = F.array(F.array_max(lengths)["w"])
     empty = F.array().cast(EMPTY)
-    return F.when(n <= 0, empty).when(F.size(best) > 0, in_order).when(phrase_index % 3 == 0, longest).otherwise(empty)
+
+    def chosen(ws):
+        n = F.size(ws)
+        scored = F.transform(ws, lambda w, i: F.struct((-keyword_score(w, i, n, terms)).alias("s"), i.alias("i"), w.alias("w")))
+        best = F.slice(F.array_sort(F.filter(scored, lambda x: x["s"] < 0)), 1, 2)
+        lengths = F.transform(ws, lambda w, i: F.struct(F.length(F.regexp_replace(w, r"(?U)\W+", "")).alias("n"), (-i).alias("i"), w.alias("w")))
+        in_order = lambda b: F.transform(F.array_sort(F.transform(b, lambda x: F.struct(x["i"].alias("i"), x["w"].alias("w")))), lambda x: x["w"])
+        return let(best, lambda b: F.when(n <= 0, empty).when(F.size(b) > 0, in_order(b)).when(
+            phrase_index % 3 == 0, F.array(F.array_max(lengths)["w"])).otherwise(empty))
+
+    return let(words_array, chosen)
 
 
 # ---- F30: time codes ---------------------------------------------------------------------------------------------
@@ -578,7 +582,7 @@ def format_time(seconds: Column) -> Column:
     """H:MM:SS.cc"""
     whole = F.floor(seconds)
     return F.concat(F.floor(seconds / 3600).cast("string"), F.lit(":"), F.lpad((F.floor(whole / 60) % 60).cast("string"), 2, "0"), F.lit(":"),
-                    F.lpad(F.format_number(seconds - F.floor(seconds / 60) * 60, "00.00"), 5, "0"))
+                    F.format_string("%05.2f", seconds - F.floor(seconds / 60) * 60))
 
 
 def char_sum_pick(label: Column, index: Column, positions: Sequence[str]) -> Column:
@@ -595,3 +599,16 @@ def relation_rows(df: DataFrame, entities: str, text: Column, rules, unicode: bo
     return df.withColumns({"_e": four, "relationship": first_match(text, rules, "associated_with", unicode)}).filter(F.size("_e") >= 2).select(
         *df.columns, F.get("_e", 0).alias("source"), F.explode(F.slice("_e", 2, 2)).alias("target"), "relationship",
         clean_prompt(text, 110).alias("evidence"))
+
+
+def leading_text(df: DataFrame, limit: int = 3000, text: str = "text", key: str = "script_id", order: str = "idx", block_rows: int | None = None) -> DataFrame:
+    """First ``limit`` characters of all lines of a key joined in order.
+
+    A running length decides which lines can matter, so only those few are brought together.
+    """
+    from storyspark.operators.intervals import joined_text
+    from storyspark.operators.ordered import Blocks
+
+    b = Blocks.dense(df, key, order, block_rows).scan(running={"_at": ("sum", F.length(_s(F.col(text))) + 1, "before")})
+    near = b.df.filter(F.coalesce("_at", F.lit(0)) < limit)
+    return near.groupBy(key).agg(F.substring(joined_text(F.col(order), _s(F.col(text))), 1, limit).alias("context"))
