@@ -498,28 +498,38 @@ def sanitize_query(query: Column, summary: Column, entities: Column, brand: Sequ
 
     ``brand`` words are left out, ``keep`` phrases and stand-alone ``places`` pass unchanged.
     """
-    raw = F.trim(_s(query))
-    q = squeeze(F.regexp_replace(F.regexp_replace(raw, "(?i)" + generic, ""), r"[^A-Za-z0-9 .'-]", " "))
-    anchor = F.array_join(F.slice(entities, 1, 2), " ")
-    both = F.lower(F.concat(q, F.lit(" "), _s(summary)))
-    mentioned = F.slice(F.filter(entities, lambda e: F.regexp_count(both, F.concat(F.lit(r"\b\Q"), F.lower(e), F.lit(r"\E\b"))) > 0), 1, 2)
-    bare = F.array_join(F.filter(tokens(q), lambda w: ~F.lower(w).isin(*brand)), " ") if brand else q
-    head = F.array_join(mentioned, " ")
-    low = F.lower(bare)
-    missing = F.array_join(F.filter(mentioned, lambda e: ~F.contains(low, F.lower(e))), " ")
-    anchored = F.when(bare == "", head).when(
-        (low == F.lower(head)) | low.startswith(F.concat(F.lower(head), F.lit(" "))), dedupe_words(bare)).otherwise(
-            dedupe_words(F.trim(F.concat(missing, F.lit(" "), bare))))
     prefix = " ".join(w.title() for w in brand)
-    lone = F.when(F.size(tokens(bare)) >= 2, dedupe_words(bare)).otherwise(dedupe_words(F.trim(F.concat(F.lit(prefix + " "), bare))))
-    out = F
-    for term in keep:
-        out = out.when(F.lower(F.concat(raw, F.lit(" "), _s(summary))).contains(term),
-                       F.lit(fallback) if ("logo" in term or "outro" in term) else F.when(raw != "", raw).otherwise(fallback))
-    if places:
-        out = out.when(F.lower(raw).isin(*places), F.when(raw == F.lower(raw), F.initcap(raw)).otherwise(raw))
-    out = out.when((F.size(entities) > 0) & (anchor != "") & F.lower(q).startswith(F.lower(anchor)), dedupe_words(q))
-    return out.when(F.size(mentioned) > 0, anchored).when(bare != "", lone).otherwise(F.lit(fallback))
+    parts = F.struct(F.trim(_s(query)).alias("raw"), _s(summary).alias("said"), entities.alias("ents"))
+
+    def cleaned(p):
+        q = squeeze(F.regexp_replace(F.regexp_replace(p["raw"], "(?i)" + generic, ""), r"[^A-Za-z0-9 .'-]", " "))
+        return F.struct(p["raw"].alias("raw"), p["said"].alias("said"), p["ents"].alias("ents"), q.alias("q"))
+
+    def anchored(p):
+        both = F.lower(F.concat(p["q"], F.lit(" "), p["said"]))
+        named = let(both, lambda low: F.slice(F.filter(p["ents"], lambda e: F.regexp_count(
+            low, F.concat(F.lit(r"\b\Q"), F.lower(e), F.lit(r"\E\b"))) > 0), 1, 2))
+        bare = F.array_join(F.filter(tokens(p["q"]), lambda w: ~F.lower(w).isin(*brand)), " ") if brand else p["q"]
+        return F.struct(p["raw"].alias("raw"), p["said"].alias("said"), p["ents"].alias("ents"), p["q"].alias("q"), named.alias("named"), bare.alias("bare"))
+
+    def chosen(p):
+        raw, bare, named = p["raw"], p["bare"], p["named"]
+        low, head = F.lower(bare), F.array_join(named, " ")
+        missing = F.array_join(F.filter(named, lambda e: ~F.contains(low, F.lower(e))), " ")
+        full = F.when((low == F.lower(head)) | low.startswith(F.concat(F.lower(head), F.lit(" "))), bare).otherwise(F.trim(F.concat(missing, F.lit(" "), bare)))
+        lone = F.when(F.size(tokens(bare)) >= 2, bare).otherwise(F.trim(F.concat(F.lit(prefix + " "), bare)))
+        anchor = F.lower(F.array_join(F.slice(p["ents"], 1, 2), " "))
+        out = F
+        for term in keep:
+            out = out.when(F.lower(F.concat(raw, F.lit(" "), p["said"])).contains(term),
+                           F.lit(fallback) if ("logo" in term or "outro" in term) else F.when(raw != "", raw).otherwise(fallback))
+        if places:
+            out = out.when(F.lower(raw).isin(*places), F.when(raw == F.lower(raw), F.initcap(raw)).otherwise(raw))
+        words_ = F.when((anchor != "") & F.lower(p["q"]).startswith(anchor), p["q"]).when(F.size(named) > 0, full).otherwise(lone)
+        out = out.when(bare != "", dedupe_words(words_)).when(F.size(named) > 0, head)
+        return out.otherwise(F.lit(fallback))
+
+    return let(let(let(parts, cleaned), anchored), chosen)
 
 
 BOOST = r"^(\d{4}|\d{3,}|\d{1,3}(?:,\d{3})+|chapter\s*\d+|arc|final|saga|revealed?|truth)$"

@@ -105,13 +105,16 @@ def curve_summary(points: DataFrame, key: str = K, order: str = O) -> DataFrame:
     n = F.col("beat_count")
     third, two = F.floor(n / 3), F.floor(n * 2 / 3)
     part = lambda c: F.coalesce(F.sum(F.when(c, s)), F.lit(0.0))
-    whole = points.groupBy(key).agg(
-        F.max(n).alias("beat_count"), F.avg(s).alias("mean"), F.max(s).alias("hi"), F.min(s).alias("lo"),
-        F.max_by(F.struct(i.alias("i"), F.col("beat_type").alias("b")), F.struct(s, -i)).alias("peak"),
-        F.count_if("spike").alias("spike_count"), F.avg("valence").alias("val"),
-        part(i < third).alias("s1"), part((i >= third) & (i < two)).alias("s2"), part(i >= two).alias("s3"))
-    labels = points.groupBy(key, "label").agg(F.count(F.lit(1)).alias("c"), F.min(order).alias("f"))
-    top = labels.groupBy(key).agg(F.max_by("label", F.struct("c", -F.col("f"))).alias("dominant_emotion"))
+    # per (key, label) first, then per key: one pass gives the label counts and everything else
+    labels = points.groupBy(key, "label").agg(
+        F.count(F.lit(1)).alias("c"), F.min(order).alias("f"), F.max(n).alias("n"), F.sum(s).alias("sum"), F.max(s).alias("hi"), F.min(s).alias("lo"),
+        F.max(F.struct(s.alias("s"), (-i).alias("i"), F.col("beat_type").alias("b"))).alias("peak"), F.count_if("spike").alias("spikes"),
+        F.sum("valence").alias("val"), part(i < third).alias("s1"), part((i >= third) & (i < two)).alias("s2"), part(i >= two).alias("s3"))
+    whole = labels.groupBy(key).agg(
+        F.max("n").alias("beat_count"), (F.sum("sum") / F.sum("c")).alias("mean"), F.max("hi").alias("hi"), F.min("lo").alias("lo"), F.max("peak").alias("peak"),
+        F.sum("spikes").alias("spike_count"), (F.sum("val") / F.sum("c")).alias("val"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"), F.sum("s3").alias("s3"),
+        F.max_by("label", F.struct("c", -F.col("f"))).alias("dominant_emotion"))
+    whole = whole.withColumn("peak", F.struct((-F.col("peak.i")).alias("i"), F.col("peak.b").alias("b")))
     n = F.col("beat_count")
     third, two = F.floor(n / 3), F.floor(n * 2 / 3)
     a1 = F.col("s1") / F.greatest(F.lit(1), third)
@@ -122,7 +125,7 @@ def curve_summary(points: DataFrame, key: str = K, order: str = O) -> DataFrame:
              .when((a2 > a1) & (a2 > a3), "mountain").when((a1 > a2) & (a3 > a2), "valley")
              .when(F.col("hi") - F.col("lo") < 0.15, "flat").otherwise("wave"))
     trend = F.when(n < 2, "neutral").when(F.col("val") > 0.15, "positive").when(F.col("val") < -0.15, "negative").otherwise("mixed")
-    return whole.join(top, key).select(
+    return whole.select(
         key, "beat_count", F.round("mean", 3).alias("mean_intensity"), F.round("hi", 3).alias("peak_intensity"),
         F.col("peak.i").alias("peak_index"), F.col("peak.b").alias("peak_beat_type"), F.round("lo", 3).alias("trough_intensity"),
         F.round(F.col("hi") - F.col("lo"), 3).alias("intensity_range"), "spike_count", shape.alias("arc_shape"),

@@ -268,6 +268,14 @@ def number_rows(df: DataFrame, key="script_id", by=("ts",), out: str = "idx", bl
     return Blocks.adaptive(df, key, by, block_rows).numbered(out).df
 
 
+def from_one_row(df: DataFrame, order: str = "idx") -> DataFrame:
+    """Marks a position that came from exploding one row's array.
+
+    Such a sequence has been in one row of one task already, so it fits a block.
+    """
+    return df.withColumn(order, F.col(order).cast("long").alias(order, metadata={LONGEST: 1}))
+
+
 def label_runs(df: DataFrame, value: str, key: str = "script_id", order: str = "idx",
                block_rows: int | None = None) -> DataFrame:
     """Adds ``run_start`` and ``run_pos`` (0-based) for runs of equal non-empty ``value``."""

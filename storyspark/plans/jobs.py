@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from storyspark.functions import rules, text
 from storyspark.operators import audit, composition, curve, graph, intervals, planners, sequence, slides, vector
+from storyspark.operators.ordered import from_one_row, number_rows
+from storyspark.session import cut_lineage
 
 K, O = "script_id", "idx"
 
@@ -16,7 +18,7 @@ K, O = "script_id", "idx"
 def script_beats(scripts: DataFrame, key: str = K, body: str = "text", beat_rules=rules.BEAT_RULES, escalation=rules.ESCALATION_WORDS, unicode: bool = True) -> DataFrame:
     """Segments of each script with beat type and confidence."""
     s = scripts.select(key, text.segment_script(F.col(body)).alias("_s"))
-    s = s.select(key, F.size("_s").alias("total"), F.posexplode("_s").alias(O, "text")).withColumn(O, F.col(O).cast("long"))
+    s = from_one_row(s.select(key, F.size("_s").alias("total"), F.posexplode("_s").alias(O, "text")), O)
     return s.withColumns(rules.beat_columns(F.col("text"), F.col(O), F.col("total"), beat_rules, escalation, unicode))
 
 
@@ -76,8 +78,6 @@ def subtitles_to_slides(lines: DataFrame, candidates: DataFrame, total_s: DataFr
     long = (F.col("end_s") - F.col("start_s")) > planners.SLIDE_MAX_S
     pairs = intervals.overlap_pairs(clean.filter("text <> ''").select(key, O, "start_s", "end_s", "text"),
                                     candidates.filter(long).select(key, O, "start_s", "end_s"), bucket_s, key)
-    from storyspark.operators.ordered import number_rows
-
     inner = pairs.select(key, F.col("s_idx").alias("slide"), F.col("l_start_s").alias("start_s"), F.col("l_end_s").alias("end_s"), F.col("l_text").alias("text"),
                          F.col(f"l_{O}").alias("_l"))
     inner = number_rows(inner, [key, "slide"], ["start_s", "_l"], out=O)
@@ -88,7 +88,8 @@ def subtitles_to_slides(lines: DataFrame, candidates: DataFrame, total_s: DataFr
     split = candidates.join(parts, [key, O], "left").withColumns({
         "start_s": F.coalesce("_s", "start_s"), "end_s": F.coalesce("_e", "end_s"), "summary": F.coalesce(F.nullif(F.col("_sum"), F.lit("")), F.col("summary")),
         "_part": F.coalesce("chunk", F.lit(0))}).drop("_s", "_e", "_sum", "chunk")
-    split = number_rows(split.withColumnRenamed(O, "_slide"), key, ["start_s", "_part"], out=O).drop("_slide", "_part")
+    # everything after this point reads the split slides several times
+    split = cut_lineage(number_rows(split.withColumnRenamed(O, "_slide"), key, ["start_s", "_part"], out=O).drop("_slide", "_part"))
     refined = slides.refine_slides(split, clean, aliases, entities, hooks, profile=profile, bucket_s=bucket_s, unicode=unicode)
     snapped = intervals.snap_to_nearest(refined, clean).join(total_s, key)
     cut = intervals.repair_cuts(snapped).withColumns({"start_s": F.col("new_start"), "end_s": F.col("new_end")}).drop("new_start", "new_end", "snapped", "total_s")

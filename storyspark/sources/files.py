@@ -43,7 +43,8 @@ def load_subtitle_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 def unreadable_corpus_files(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema(CORPUS_FILE_SCHEMA).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-    return rows.select(F.input_file_name().alias("path"), "_corrupt_record").filter("_corrupt_record IS NOT NULL")
+    # Spark wants one more column next to the corrupt record; it is null for such files anyway
+    return rows.filter(F.col("_corrupt_record").isNotNull() & F.col("file_name").isNull()).select(F.input_file_name().alias("path"), "_corrupt_record")
 
 
 # ---- S3: subtitle events ---------------------------------------------------------------------------------
