@@ -25,7 +25,10 @@ def script_beats(scripts: DataFrame, key: str = K, body: str = "text", beat_rule
 def script_to_curve(scripts: DataFrame, key: str = K, emotion_rules=rules.EMOTION_RULES, unicode: bool = True, **kw) -> dict[str, DataFrame]:
     """E1: script text to beats, smoothed curve and summary."""
     beats = script_beats(scripts, key, unicode=unicode, **kw)
-    points = curve.smooth_curve(curve.emotion_points(beats, rules=emotion_rules, unicode=unicode, key=key), key=key)
+    # only what a curve point shows goes through the fold; texts and score maps stay with the beats
+    raw = curve.emotion_points(beats.select(key, O, "beat_type", "text", "confidence"), rules=emotion_rules, unicode=unicode, key=key)
+    shown = ["beat_type", "label", "valence", "energy", "spike", "curve_position", "beat_count"]
+    points = curve.smooth_curve(raw, keep=shown, key=key)
     return {"beats": beats, "curve": points, "summary": curve.curve_summary(points, key)}
 
 

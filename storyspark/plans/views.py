@@ -15,6 +15,15 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the files give fewer splits than that (one small file, say).
+
+    Inputs with enough splits, that is all large ones, are left alone: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 BEAT_TYPES = {"signup": "hook", "view": "evidence", "click": "escalation", "error": "warning", "purchase": "reveal"}
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from storyspark.functions import rules, text
 from storyspark.operators import graph, search
 from storyspark.operators.ordered import number_rows
-from storyspark.plans.views import BEATS_SQL, beats, table
+from storyspark.plans.views import BEATS_SQL, beats, spread, table
 from storyspark.queries.registry import register
 from storyspark.sources import web
 
@@ -20,7 +20,8 @@ SENTENCES = f"list_filter(list_transform(string_split(regexp_replace({SQUEEZE},
 
 
 def docs(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "source", F.regexp_replace("text", r"[^\x00-\x7F]", "x").alias("text"))
+    rows = spread(table(spark, sf, "documents").select("doc_id", "source", "text"))
+    return rows.withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "x"))
 
 
 def talk(spark, sf):
@@ -130,7 +131,7 @@ SELECT doc_id, CASE WHEN len(w) = 0 THEN 1.0 ELSE 1.0 - len(list_filter(w, lambd
        OR regexp_matches(x, '[A-Za-z]{{12,}}\\d|\\d[A-Za-z]{{12,}}'))) / CAST(len(w) AS DOUBLE) END AS ocr_quality
 FROM (SELECT doc_id, {TOKENS.format('text')} AS w FROM documents)""")
 def f7(spark, sf):
-    return table(spark, sf, "documents").withColumn("ocr_quality", text.garbled_share(C()))
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).withColumn("ocr_quality", text.garbled_share(C()))
 
 
 @register("f9_chapter_number", "doc_id:i number:i", """

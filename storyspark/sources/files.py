@@ -55,7 +55,7 @@ def read_event_lines(spark: SparkSession, path: str) -> DataFrame:
     Spark splits text files, so the position of a line is its place in the whole file, taken
     file by file in one multi-line read; a subtitle file is small.
     """
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     return files.select("file", F.posexplode(F.split("value", "\r\n|\n|\r")).alias("line_no", "value"))
 
 
