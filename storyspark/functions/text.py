@@ -139,7 +139,9 @@ def quality_rollup(pages: DataFrame, doc: str = "doc_id", page: str = "page", cl
     used = F.col("usable") & (F.length(clean) > 0)
     part = F.length(F.concat(F.lit("Page "), F.col(page).cast("string"), F.lit(": "))) + F.length(clean)
     agg = pages.groupBy(doc).agg(
-        F.count(F.lit(1)).alias("total_pages"), F.count_if("usable").alias("usable_pages"), F.avg("quality_score").alias("_avg"),
+        F.count(F.lit(1)).alias("total_pages"), F.count_if("usable").alias("usable_pages"),
+        # scores have three decimals: added as whole thousandths, the mean does not depend on the order
+        (F.sum(F.round(F.col("quality_score") * 1000).cast("long")) / F.count(F.lit(1)) / 1000).alias("_avg"),
         F.sum(F.when(used, part + 1)).alias("_len"))
     length = F.greatest(F.lit(0), F.coalesce("_len", F.lit(0)) - 1)
     n = F.col("total_pages")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storyspark.operators.ordered import Blocks
+from storyspark.operators.ordered import Blocks, number_rows
 
 K, O = "script_id", "idx"
 
@@ -69,6 +69,32 @@ def snap_to_nearest(points: DataFrame, starts: DataFrame, value: str = "start_s"
     return points.join(best, [key, order], "left").withColumn(out, F.coalesce("_best", at)).drop("_best")
 
 
+# ---- J8: aligning model cues with subtitle lines --------------------------------------------------
+
+def align_cues(lines: DataFrame, cues: DataFrame, max_shift: float = 2.0, narrator: str = "narrator", key: str = K, order: str = O,
+               block_rows: int | None = None) -> DataFrame:
+    """Label and character for every line; line times win over cue times.
+
+    The n-th line of a text takes the n-th cue of that text; a line left over takes the unused
+    cue at its own position if that starts within ``max_shift`` seconds.  Each cue is used at
+    most once.  All text matches are made before positions are used (the published loop lets a
+    position take a cue that a later line's text would have matched).
+    """
+    plain = F.lower(F.trim(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"\s+", " ")))
+    said = number_rows(lines.withColumn("_t", plain), [key, "_t"], [order], "_k", block_rows)
+    given = cues.select(key, F.col(order).alias("_j"), plain.alias("_t"), F.col("start_s").alias("_cs"), F.lower(F.trim("expression")).alias("_e"), F.lower(F.trim("character")).alias("_c"))
+    given = number_rows(given, [key, "_t"], ["_j"], "_k", block_rows)
+    texts = given.filter("_t <> ''").select(key, "_t", "_k", F.col("_j").alias("_jt"), F.col("_e").alias("_et"), F.col("_c").alias("_ct"))
+    first = said.join(texts, [key, "_t", "_k"], "left")
+    used = first.filter("_jt IS NOT NULL").select(key, F.col("_jt").alias("_j"))
+    spare = given.join(used, [key, "_j"], "left_anti").select(key, F.col("_j").alias(order), "_cs", "_e", "_c")
+    both = first.join(spare, [key, order], "left")
+    by_place = F.col("_jt").isNull() & (F.abs(F.col("_cs") - F.col("start_s")) <= max_shift)
+    pick = lambda t, p, d: F.coalesce(F.nullif(F.when(F.col("_jt").isNotNull(), F.col(t)).when(by_place, F.col(p)), F.lit("")), F.lit(d))
+    return both.withColumns({"expression": pick("_et", "_e", "neutral"), "character": pick("_ct", "_c", narrator)}).select(
+        *[c for c in lines.columns if c not in ("expression", "character")], "expression", "character")
+
+
 # ---- W20 - W22: gaps and repair -----------------------------------------------------------------
 
 def fill_gaps(df: DataFrame, total: str = "total_s", key: str = K, order: str = O, block_rows: int | None = None) -> DataFrame:

@@ -36,6 +36,23 @@ def j7(spark, sf):
     return intervals.snap_to_nearest(_slides(b), b.filter("beat_type = 'reveal'"), tolerance=7200.0)
 
 
+@register("j8_align_cues", "script_id:i idx:i expression:s character:s", """
+SELECT l.script_id, l.idx, coalesce(CASE WHEN t.idx IS NOT NULL THEN t.emotion WHEN abs(p.start_s + 1 - l.start_s) <= 2 THEN p.emotion END, 'neutral') AS expression,
+       coalesce(CASE WHEN t.idx IS NOT NULL THEN t.character WHEN abs(p.start_s + 1 - l.start_s) <= 2 THEN p.character END, 'narrator') AS character
+FROM (SELECT *, row_number() OVER (PARTITION BY script_id, subtitle_text ORDER BY idx) AS k FROM beats) l
+LEFT JOIN cue t ON t.script_id = l.script_id AND t.txt = l.subtitle_text AND t.k = l.k
+LEFT JOIN (SELECT * FROM cue c WHERE NOT EXISTS (SELECT 1 FROM (SELECT *, row_number() OVER (PARTITION BY script_id, subtitle_text ORDER BY idx) AS k FROM beats) b
+           WHERE b.script_id = c.script_id AND b.subtitle_text = c.txt AND b.k = c.k)) p ON p.script_id = l.script_id AND p.idx = l.idx""", BEATS_SQL + """,
+cue AS (SELECT *, row_number() OVER (PARTITION BY script_id, txt ORDER BY idx) AS k
+        FROM (SELECT *, CASE WHEN CAST(asset_id AS BIGINT) % 4 = 0 THEN subtitle_text || ' changed' ELSE subtitle_text END AS txt FROM beats WHERE CAST(asset_id AS BIGINT) % 5 > 0))""")
+def j8(spark, sf):
+    b = beats(spark, sf).withColumn("text", F.col("subtitle_text"))
+    k = F.col("asset_id").cast("long")
+    cues = b.filter(k % 5 > 0).select("script_id", "idx", (F.col("start_s") + 1).alias("start_s"), F.col("emotion").alias("expression"), "character",
+                                      F.when(k % 4 == 0, F.concat("text", F.lit(" changed"))).otherwise(F.col("text")).alias("text"))
+    return intervals.align_cues(b.select("script_id", "idx", "start_s", "text"), cues)
+
+
 SHORT = BEATS_SQL + """,
 sh AS (SELECT script_id, idx, start_s, start_s + least(end_s - start_s, 20000) AS end_s, subtitle_text, emotion, character, beat_type, asset_id,
               max(start_s) OVER (PARTITION BY script_id) + 50000 AS total_s FROM beats)"""
