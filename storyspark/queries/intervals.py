@@ -186,7 +186,13 @@ def w35(spark, sf):
     return planners.drop_overlapping(b.withColumn("end_s", F.col("start_s") + 25000))
 
 
-@register("w32_group_short_lines", "script_id:i idx:i start_s:d end_s:d text:s line_count:i")
+@register("w32_group_short_lines", "script_id:i idx:i start_s:d end_s:d text:s line_count:i", """
+SELECT g.script_id, first AS idx, min(b.start_s) AS start_s, arg_max(b.end_s, b.idx) AS end_s, string_agg(b.w, ' ' ORDER BY b.idx) AS text, count(*) AS line_count
+FROM g JOIN ln b USING (script_id, idx) GROUP BY g.script_id, first""", BEATS_SQL + """,
+ln AS (SELECT script_id, idx, start_s, end_s, string_split(subtitle_text, ' ')[1] AS w FROM beats),
+g AS (SELECT script_id, idx, 0::BIGINT AS first, 1 AS n FROM ln WHERE idx = 0
+      UNION ALL SELECT l.script_id, l.idx, CASE WHEN g.n < 3 THEN g.first ELSE l.idx END, CASE WHEN g.n < 3 THEN g.n + 1 ELSE 1 END
+      FROM g JOIN ln l ON l.script_id = g.script_id AND l.idx = g.idx + 1)""")
 def w32(spark, sf):
     return planners.group_short_lines(beats(spark, sf).withColumn("text", F.split("subtitle_text", " ")[0]))
 
@@ -208,21 +214,70 @@ def w30(spark, sf):
     return planners.plan_sounds(b.withColumns({"time_s": F.col("start_s") / 3600, "transition": pick}), stems)
 
 
-@register("w33_chunk_lines", "script_id:i chunk:i start_s:d end_s:d text:s line_count:i")
+CHUNK_CTES = BEATS_SQL + """,
+ln AS (SELECT script_id, idx, start_s / 20000 AS s, end_s / 20000 AS e, subtitle_text || CASE WHEN CAST(asset_id AS BIGINT) % 4 = 0 THEN '.' ELSE ' then' END AS t FROM beats),
+st AS (
+  SELECT script_id, idx, idx AS first, s AS since, t AS said,
+         NOT ((e - s >= 1.6e0 AND suffix(t, '.')) OR (e - s >= 5.5e0 * 0.8e0 AND regexp_matches(t, 'then'))) AS open FROM ln WHERE idx = 0
+  UNION ALL
+  SELECT script_id, idx, first, since, said, over OR NOT ((e - since >= 1.6e0 AND suffix(t, '.')) OR (e - since >= 5.5e0 * 0.8e0 AND regexp_matches(said, 'then')))
+  FROM (SELECT l.script_id, l.idx, l.e, l.t, p.open AND l.e - p.since > 5.5e0 AS over,
+               CASE WHEN p.open AND NOT (l.e - p.since > 5.5e0) THEN p.first ELSE l.idx END AS first, CASE WHEN p.open AND NOT (l.e - p.since > 5.5e0) THEN p.since ELSE l.s END AS since,
+               CASE WHEN p.open AND NOT (l.e - p.since > 5.5e0) THEN p.said || ' ' || l.t ELSE l.t END AS said
+        FROM st p JOIN ln l ON l.script_id = p.script_id AND l.idx = p.idx + 1)),
+ck AS (SELECT st.script_id, first, min(s) AS s, arg_max(e, idx) AS e, count(*) AS n, row_number() OVER (PARTITION BY st.script_id ORDER BY first) - 1 AS c,
+              count(*) OVER (PARTITION BY st.script_id) AS total FROM st JOIN ln USING (script_id, idx) GROUP BY st.script_id, first),
+cm AS (SELECT *, CASE WHEN c = total - 1 AND c > 0 AND e - s < 1.6e0 THEN c - 1 ELSE c END AS chunk FROM ck)"""
+
+
+@register("w33_chunk_lines", "script_id:i chunk:i start_s:d end_s:d text:s line_count:i", """
+SELECT cm.script_id, chunk, min(ln.s) AS start_s, arg_max(ln.e, ln.idx) AS end_s, string_agg(ln.t, ' ' ORDER BY ln.idx) AS text, count(*) AS line_count
+FROM cm JOIN st USING (script_id, first) JOIN ln ON ln.script_id = st.script_id AND ln.idx = st.idx GROUP BY cm.script_id, chunk""", CHUNK_CTES)
 def w33(spark, sf):
     b = beats(spark, sf)
     text = F.concat("subtitle_text", F.when(F.col("asset_id").cast("long") % 4 == 0, ".").otherwise(" then"))
     return planners.chunk_lines(b.select("script_id", "idx", (F.col("start_s") / 20000).alias("start_s"), (F.col("end_s") / 20000).alias("end_s"), text.alias("text")))
 
 
-@register("w34_group_words", "script_id:i idx:i start_s:d end_s:d text:s word_count:i")
+@register("w34_group_words", "script_id:i idx:i start_s:d end_s:d text:s word_count:i", """
+SELECT g.script_id, first AS idx, min(b.start_s) AS start_s, arg_max(b.end_s, b.idx) AS end_s, string_agg(b.beat_type, ' ' ORDER BY b.idx) AS text, count(*) AS word_count
+FROM g JOIN beats b USING (script_id, idx) GROUP BY g.script_id, first""", BEATS_SQL + """,
+wd AS (SELECT script_id, idx, end_s, min(CASE WHEN beat_type = 'reveal' THEN start_s END) OVER (PARTITION BY script_id ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS ahead FROM beats),
+g AS (SELECT script_id, idx, idx AS first, 1 AS n, ahead AS stop, NOT coalesce(end_s > ahead, false) AS open FROM wd WHERE idx = 0
+      UNION ALL
+      SELECT script_id, idx, CASE WHEN more THEN pf ELSE idx END, CASE WHEN more THEN pn + 1 ELSE 1 END, CASE WHEN more THEN ps ELSE ahead END, more OR NOT coalesce(end_s > ahead, false)
+      FROM (SELECT w.*, p.first AS pf, p.n AS pn, p.stop AS ps, p.open AND p.n < 5 AND NOT coalesce(w.end_s > p.stop, false) AS more
+            FROM g p JOIN wd w ON w.script_id = p.script_id AND w.idx = p.idx + 1))""")
 def w34(spark, sf):
     b = beats(spark, sf)
     gaps = b.filter("beat_type = 'reveal'").select("script_id", "start_s")
     return planners.group_words(b.withColumn("word", F.col("beat_type")), gaps)
 
 
-@register("w41_plan_motion", "script_id:i idx:i style:s motion_intensity:d camera_goal:s transition:s easing:s duration_modifier:d reasoning:s")
+_LADDER = ("list_filter([over_, prim, fall, 'subject_push', 'slow_pan', 'stable_pan', 'hold_still'], lambda x: x IS NOT NULL AND x <> shown AND NOT (x = l1 AND x = l2) "
+           "AND NOT (x = 'reveal_zoom' AND rv >= cap))[1]")
+MOTION_CTES = BEATS_SQL + f""",
+mc AS (SELECT script_id, idx, intensity, visual_role, CASE beat_type WHEN 'hook' THEN 'dramatic_push' WHEN 'reveal' THEN 'reveal_zoom' END AS over_,
+              CASE emotion WHEN 'fear' THEN 'dramatic_push' WHEN 'calm' THEN 'slow_pan' WHEN 'rage' THEN 'impact_shake' WHEN 'grief' THEN 'grief_hold' ELSE 'subject_push' END AS prim,
+              CASE emotion WHEN 'fear' THEN 'tension_drift' WHEN 'calm' THEN 'evidence_hold' WHEN 'rage' THEN 'dramatic_push' ELSE 'slow_pan' END AS fall,
+              greatest(2, CAST(floor(count(*) OVER (PARTITION BY script_id) * 0.30e0) AS BIGINT)) AS cap FROM beats),
+mo AS (
+  SELECT script_id, idx, coalesce(over_, prim) AS chosen, '' AS before, CAST(coalesce(over_, prim) = 'reveal_zoom' AS INTEGER) AS reveals FROM mc WHERE idx = 0
+  UNION ALL
+  SELECT script_id, idx, chosen, l1, rv + CAST(chosen = 'reveal_zoom' AS INTEGER)
+  FROM (SELECT script_id, idx, l1, rv, coalesce({_LADDER}, 'slow_push') AS chosen
+        FROM (SELECT m.script_id, m.idx, m.over_, m.prim, m.fall, m.cap, p.chosen AS l1, p.before AS l2, p.reveals AS rv,
+                     CASE WHEN p.chosen IN ('stable_pan', 'hold_still', 'slow_push') THEN 'subject_push' ELSE p.chosen END AS shown
+              FROM mo p JOIN mc m ON m.script_id = p.script_id AND m.idx = p.idx + 1))),
+ms AS (SELECT script_id, idx, CASE WHEN chosen IN ('stable_pan', 'hold_still', 'slow_push') THEN 'subject_push' ELSE chosen END AS style FROM mo)"""
+
+
+@register("w41_plan_motion", "script_id:i idx:i style:s", "SELECT * FROM ms", MOTION_CTES)
+def w41_styles(spark, sf):
+    return planners.plan_motion(beats(spark, sf))
+
+
+@register("w41_motion_details", "script_id:i idx:i style:s motion_intensity:d camera_goal:s transition:s easing:s duration_modifier:d reasoning:s")
 def w41(spark, sf):
     return planners.plan_motion(beats(spark, sf))
 
