@@ -9,8 +9,8 @@ from storyspark.plans import jobs
 from storyspark.plans.views import BEATS_SQL, beats, catalog, table
 from storyspark.queries.beats import DAY
 from storyspark.queries.registry import register
-from storyspark.queries.search import centroids, heads
-from storyspark.queries.text import CREDITS, DOC_BEAT_RULES, DOC_EMOTIONS, DOC_ESCALATION, docs
+from storyspark.queries.search import EDGES_SQL, centroids, heads
+from storyspark.queries.text import CREDITS, DOC_BEAT_RULES, DOC_EMOTIONS, DOC_ESCALATION, QUALITY_CTES, ROLLUP_SQL, docs
 from storyspark.streaming import jobs as streaming
 
 SUMMARY = ("script_id:i beat_count:i mean_intensity:d peak_intensity:d peak_index:i peak_beat_type:s trough_intensity:d intensity_range:d "
@@ -55,14 +55,21 @@ def e5(spark, sf):
     return jobs.retrieval(docs(spark, sf), e, centroids(spark, sf), qvector="q")["context"]
 
 
-@register("e6_page_context", "source:s total_pages:i usable_pages:i score:d context_chars:i level:s usable:b")
+@register("e6_page_context", "source:s total_pages:i usable_pages:i score:d context_chars:i level:s usable:b", ROLLUP_SQL, QUALITY_CTES)
 def e6(spark, sf):
-    # two candidates per page: the text itself and its upper-case form from a second reader
+    # two candidates per page: the text itself and its upper-case form, which scores the same and loses the tie
     d = docs(spark, sf).select("source", F.col("doc_id").alias("page"), F.posexplode(F.array("text", F.upper("text"))).alias("candidate", "text"))
     return jobs.page_context(d, "source", "page", patterns=CREDITS, unicode=False)["verdict"]
 
 
-@register("e7_relationships", "src:i dst:i score:d relationship:s narration_boost:d rank:i")
+@register("e7_relationships", "src:i dst:i score:d relationship:s narration_boost:d rank:i", """
+SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(score, 9) DESC, dst) AS rank
+FROM (SELECT src, dst, CASE WHEN m THEN 'rivals' ELSE type END AS relationship, CASE WHEN m THEN 0.28e0 ELSE 0.0 END AS narration_boost,
+             least(1.0, greatest(0.0, weight + CASE WHEN m THEN 0.28e0 ELSE 0.0 END + importance / 5.0e0 * 0.10e0)) AS score
+      FROM (SELECT e.src, e.dst, e.type, e.weight, c.importance,
+                   regexp_matches(n.told, '\\b' || c.name || '\\b') OR regexp_matches(n.told, '\\b' || c.character || '\\b') AS m
+            FROM ed e JOIN catalog c ON c.id = e.dst JOIN (SELECT id, lower('a rival of ' || name || ' and red gear') AS told FROM heads) n ON n.id = e.src))
+QUALIFY rank <= 10""", EDGES_SQL)
 def e7(spark, sf):
     n = catalog(spark, sf)
     h = heads(n)

@@ -102,12 +102,15 @@ def f8(spark, sf):
     return docs(spark, sf).withColumn("clean_text", text.strip_credit_lines(C(), CREDITS))
 
 
-@register("a10_quality_rollup", "source:s total_pages:i usable_pages:i score:d context_chars:i level:s usable:b", """
+ROLLUP_SQL = """
 SELECT source, count(*) AS total_pages, count(*) FILTER (usable) AS usable_pages, round(sum(CAST(round(quality_score * 1000) AS BIGINT)) / CAST(count(*) AS DOUBLE) / 1000, 3) AS score,
        greatest(0, coalesce(sum(length('Page ' || doc_id || ': ') + n + 1) FILTER (usable AND n > 0), 0) - 1) AS context_chars,
        CASE WHEN avg(quality_score) >= 0.72 THEN 'good' WHEN avg(quality_score) >= 0.45 THEN 'fair' ELSE 'poor' END AS level,
        greatest(0, coalesce(sum(length('Page ' || doc_id || ': ') + n + 1) FILTER (usable AND n > 0), 0) - 1) >= 350 AND count(*) FILTER (usable) >= greatest(2, count(*) // 5) AS usable
-FROM ql GROUP BY source""", QUALITY_CTES)
+FROM ql GROUP BY source"""
+
+
+@register("a10_quality_rollup", "source:s total_pages:i usable_pages:i score:d context_chars:i level:s usable:b", ROLLUP_SQL, QUALITY_CTES)
 def a10(spark, sf):
     return text.quality_rollup(quality(spark, sf), "source", "doc_id")
 
