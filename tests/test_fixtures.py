@@ -60,7 +60,7 @@ def test_curve_limits(spark):
 
 
 def test_diversity_rejects_repetition(spark):
-    d = seq(spark, [("luffy", "wano", "character", "safe_subject", "fear")] * 5, "character string, arc string, visual_role string, layout_mode string, emotion string")
+    d = seq(spark, [("ann", "port", "character", "safe_subject", "fear")] * 5, "character string, arc string, visual_role string, layout_mode string, emotion string")
     rej = [r.rejected for r in sorted(audit.diversity_scores(d).collect(), key=lambda r: r.idx)]
     assert rej[0] is False and any(rej)
     assert [r.rejected for r in sorted(audit.diversity_scores(d, block_rows=4).collect(), key=lambda r: r.idx)] == rej
