@@ -177,3 +177,36 @@ def test_text_folds_against_loops(spark):
         assert r.w == wrap(docs[r.id])
         assert r.c == chunks(docs[r.id])
         assert all(len(x) <= 30 for x in r.t) and " ".join(r.t) == docs[r.id]
+
+
+def test_enrich_cues_loop(spark):
+    rng = random.Random(12)
+    kinds = ["serious", "intense", "worried"]
+    rows, t = [], 0.0
+    for i in range(60):
+        t += rng.choice([0.5, 1.0, 2.5, 4.0])
+        rows.append(("s", i, t, t + 1.0, " ".join(["w"] * rng.randrange(2, 6)), rng.choice(kinds)))
+    lines = spark.createDataFrame(rows, "script_id string, idx long, start_s double, end_s double, text string, kind string")
+    cues = spark.createDataFrame([("s", 0, 3.0, "serious"), ("s", 1, rows[9][2], "intense")], "script_id string, idx long, start_s double, expression string")
+    total = rows[-1][3] - rows[0][2]
+    short = total < 120
+    target = max(3, min(9, int(total / 7) + 1)) if short else max(8, min(28, int(total / 22)))
+    gap, least = (5.5, 3) if short else (14.0, 5)
+    taken, last, before, want = {3.0, round(rows[9][2], 1)}, -999.0, "intense", []
+    for _, i, start, _, body, kind in rows:
+        if start - last < gap or round(start, 1) in taken or len(body.split()) < least:
+            continue
+        label = planners.ALTERNATE_LABELS.get(kind, "serious") if kind == before else kind
+        want.append((i, label))
+        last, before = start, label
+        if 2 + len(want) >= target:
+            break
+    assert table(planners.enrich_cues(lines, cues, F.col("kind")), "idx", "expression") == want
+
+
+def test_choices_never_repeat(spark):
+    for rows in per_script(planners.choose_cuts_and_moves(beats(spark, 6)), "transition_type", "motion").values():
+        assert all(a[0] != b[0] and a[1] != b[1] for a, b in zip(rows, rows[1:]))
+    for rows in per_script(planners.plan_transitions(beats(spark, 7).withColumn("emotion_score", F.lit(80.0))), "transition_type", "duration").values():
+        kinds = [r[0] for r in rows]
+        assert all(not (a == b == c) for a, b, c in zip(kinds, kinds[1:], kinds[2:]))
