@@ -28,12 +28,22 @@ def build_session(app: str = "storyspark", master: str | None = None, **conf) ->
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder the cluster names.
 
-    The folder comes from ``spark.checkpoint.dir``.  Only a session that sets none
-    (a local test) gets a folder of its own.
+    The folder comes from ``spark.checkpoint.dir``.  Only a session on a local master may leave
+    it unset (tests): it gets a folder of its own.  Elsewhere executors could not read such a
+    folder, so a missing setting is an error.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="storyspark-ckpt-", dir=os.environ.get("TMPDIR")))
+        sc.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Folder that the driver and all executors see: ``spark.checkpoint.dir``, or a temporary one on a local master."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="storyspark-shared-", dir=os.environ.get("TMPDIR"))
