@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyspark.llm import byte_bpe, chat_parts, quality_forest
+from storyspark.llm import bin_slack, byte_bpe, byte_cnn, chat_parts, quality_forest
 from storyspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,17 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded through the sentencepiece model of the rank vocabulary, and decoded again."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.encode_texts(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, ids=False)
+
+
+@register
+def op7_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability of good quality of every document; labels come from rows that are not held out only."""
+    docs = table(spark, sf_dir, "documents")
+    net = byte_cnn.fit(docs, table(spark, sf_dir, "labels"))
+    return byte_cnn.score(docs, net)
+
+
+@register
+def op9_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in pieces of at most 1024 tokens, packed by minimum bin slack."""
+    return bin_slack.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
