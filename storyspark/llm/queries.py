@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyspark.llm import bin_slack, byte_bpe, byte_cnn, chat_parts, quality_forest
+from storyspark.llm import bin_slack, byte_bpe, byte_cnn, chat_parts, license_digest, quality_forest
 from storyspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,6 +67,15 @@ def op7_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_cnn.score(docs, net)
 
 
+@register
+def op8_license_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known licences among the whole texts of all documents, and among their lines."""
+    return license_digest.scan(table(spark, sf_dir, "documents"), license_digest.known_licences(spark))
+
+
+SQL["op8_license_digest"] = license_digest.scan_sql()
+
+
 @register
 def op9_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in pieces of at most 1024 tokens, packed by minimum bin slack."""
