@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyspark.llm import bin_slack, byte_bpe, byte_cnn, chat_parts, license_digest, quality_forest
+from storyspark.llm import bin_slack, byte_bpe, byte_cnn, chat_parts, license_digest, quality_forest, warc
 from storyspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +52,20 @@ def op2_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_forest.judge(docs, forest)
 
 
+@register
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives, read back and assembled by transaction."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+SQL["op3_warc"] = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS top FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN top <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN top <> page_id THEN top END AS refers_to
+FROM g"""
+
+
 @register
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded through the sentencepiece model of the rank vocabulary, and decoded again."""
