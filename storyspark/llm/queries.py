@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyspark.llm import bin_slack, byte_bpe, byte_cnn, chat_parts, license_digest, quality_forest, warc
+from storyspark.llm import bag_minhash, bin_slack, byte_bpe, byte_cnn, chat_parts, license_digest, quality_forest, warc
 from storyspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,9 @@ SQL["op8_license_digest"] = license_digest.scan_sql()
 def op9_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in pieces of at most 1024 tokens, packed by minimum bin slack."""
     return bin_slack.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+@register
+def op10_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    return bag_minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("tk")
