@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyspark.llm import bag_minhash, bin_slack, byte_bpe, byte_cnn, chat_parts, license_digest, quality_forest, warc
+from storyspark.llm import bag_minhash, bin_slack, byte_bpe, byte_cnn, cap_filters, chat_parts, license_digest, quality_forest, warc
 from storyspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,6 +73,27 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_texts(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, ids=False)
 
 
+@register
+def op6_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings within their labels."""
+    return cap_filters.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+SQL["op6_cap_filters"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+    AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+links AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    AND list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+SELECT vec_id, (SELECT count(*) FROM links l WHERE l.a = vec_id) AS n_links, min(b) AS component_id, vec_id = min(b) AS kept
+FROM embeddings JOIN reach ON reach.a = vec_id GROUP BY vec_id"""
+
+
 @register
 def op7_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probability of good quality of every document; labels come from rows that are not held out only."""
