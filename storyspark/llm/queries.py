@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyspark.llm import bag_minhash, bin_slack, byte_bpe, byte_cnn, cap_filters, chat_parts, license_digest, quality_forest, warc
+from storyspark.llm import bag_minhash, bin_slack, byte_bpe, byte_cnn, cap_filters, chat_parts, license_digest, line_templates, quality_forest, warc
 from storyspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,10 @@ def op9_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document."""
     return bag_minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("tk")
+
+
+@register
+def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines whose template recurs across documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_templates.drop_recurring(docs, counts=True)
