@@ -261,3 +261,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counted = classes.join(heads, "root").join(texts.select("node", "n_copies"), "node")
     return counted.select(F.col("id").alias(id_col), "tk", F.col("head.id").alias("class_id"), "n_copies",
                           (F.col("id").eqNullSafe(F.col("head.id")) & (F.col("tk") == F.col("head.tk"))).alias("kept"))
+
+
+def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each near-duplicate class, the one ``near_duplicates`` marks as kept; all columns stay."""
+    found = near_duplicates(docs, id_col, text_col, similarity).where("kept")
+    keep = found.select(F.coalesce(F.col(id_col).cast("string"), F.lit("\0")).alias("kid"), "tk").distinct()
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("\0")).alias("kid"),
+                         F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("tk"))
+    # the join leaves the rows of one (kid, tk) together, so this costs no shuffle of its own
+    one = packed.join(keep, ["kid", "tk"]).dropDuplicates(["kid", "tk"])
+    return one.select(*[F.col("row")[c].alias(c) for c in docs.columns])

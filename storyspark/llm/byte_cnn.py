@@ -8,10 +8,11 @@ driver; scoring streams every document through the filters in blocks of fixed si
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -195,6 +196,26 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", id_col: str
     return train([r["text"].encode() for r in got], picked, float(odds))
 
 
+def probabilities(texts: Iterable[str | None], net: Network | None, group_bytes: int = 4_000_000) -> np.ndarray:
+    """Probability of label 1 per text, computed in groups of about ``group_bytes``; 0.5 without a network."""
+    pairs = net.pairs() if net else None
+    logits, group, size = [np.zeros(0)], [], 0
+
+    def close() -> None:
+        if group:
+            logits.append(net.logits(group, pairs) if net else np.zeros(len(group)))
+            group.clear()
+
+    for text in texts:
+        group.append((text or "").encode())
+        size += len(group[-1])
+        if size > group_bytes:
+            close()
+            size = 0
+    close()
+    return 1 / (1 + np.exp(-np.concatenate(logits)))
+
+
 def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
     """(id, held_out, score, predicted) per row, with the columns of ``keep`` as they are.
 
@@ -207,21 +228,20 @@ def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = shared.value
-        pairs = net.pairs() if net else None
         for batch in batches:
-            logits = []
-            group, size = [], 0
-            for text in batch.column(0):
-                group.append((text.as_py() or "").encode())
-                size += len(group[-1])
-                if size > 4_000_000:
-                    logits.append(net.logits(group, pairs) if net else np.zeros(len(group)))
-                    group, size = [], 0
-            if group:
-                logits.append(net.logits(group, pairs) if net else np.zeros(len(group)))
-            p = 1 / (1 + np.exp(-np.concatenate(logits))) if logits else np.zeros(0)
+            p = probabilities((t.as_py() for t in batch.column(0)), shared.value)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names)
 
     kinds = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried), "held_out boolean, score double, predicted int"])
     return docs.select(F.col(text_col).alias("__text"), *carried, held_out(F.col(id_col)).alias("held_out")).mapInArrow(run, kinds)
+
+
+def passing(docs: DataFrame, net: Network | None, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with a score of 0.5 or more, with their columns; only the text goes to Python."""
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+
+    @F.pandas_udf("boolean")
+    def verdict(texts: pd.Series) -> pd.Series:
+        return pd.Series(probabilities(texts, shared.value) >= 0.5)
+
+    return docs.where(verdict(F.col(f"`{text_col}`")))
