@@ -92,10 +92,11 @@ def fullest(counts: Mapping[int, int], room: int) -> list[tuple[int, int]]:
     """(length, copies) of the fullest combination within ``room``, longer lengths first on ties.
 
     Bit s of ``reach`` says that sum s is feasible; copies of one length are added in powers of two.
+    Short lengths come last, so they are spent only where longer ones leave a gap.
     """
     mask = (1 << (room + 1)) - 1
     reach, steps = 1, []
-    for length in sorted(counts):
+    for length in sorted(counts, reverse=True):
         left, take = min(counts[length], room // length), 1
         while left > 0:
             take = min(take, left)
