@@ -126,7 +126,8 @@ class Network:
         mean, top = np.add.reduceat(hidden, starts) / chunks[:, None], np.maximum.reduceat(hidden, starts)
         logit = mean @ self.mean_weight + top @ self.max_weight + self.offset
         error = (1 / (1 + np.exp(-logit)) - target) / len(texts)
-        is_top = hidden == top[owner]
+        is_top = (hidden == top[owner]).astype(float)
+        is_top /= np.add.reduceat(is_top, starts)[owner]  # chunks that share the largest cell share its gradient
         back = error[owner, None] * (self.mean_weight / chunks[owner, None] + self.max_weight * is_top) * (1 - hidden**2)
         taps = np.zeros_like(self.taps)
         filters = np.broadcast_to(np.arange(hidden.shape[1]), place.shape)
