@@ -26,6 +26,8 @@ from storyspark.session import cut_lineage
 SHINGLE = 5
 #: Components of a signature are BANDS times ROWS; at similarity 0.8 a pair is missed with probability (1 - 0.8**4)**32 < 1e-7.
 BANDS, ROWS = 32, 4
+#: Texts on each side of a cell in which pairs of different classes are compared.
+CELL_TEXTS = 256
 _U = np.uint64
 
 
@@ -190,23 +192,23 @@ def _salted(keys: np.ndarray) -> np.ndarray:
 
 
 def _bags(docs: DataFrame, wanted: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """(node, items, counts) of the ``wanted`` (node, kid, tk); arrays travel as bytes."""
+    """(nid, items, counts) of the ``wanted`` (nid, kid, tk); arrays travel as bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for texts in _texts(batch.column(1)):
                 bags = shingle_bags(texts)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array([h.tobytes() for h, _ in bags], pa.binary()),
-                                                  pa.array([c.astype(np.int32).tobytes() for _, c in bags], pa.binary())], ["node", "items", "counts"])
+                                                  pa.array([c.astype(np.int32).tobytes() for _, c in bags], pa.binary())], ["nid", "items", "counts"])
                 at += len(texts)
 
     texts = text_key(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text")
-    one = texts.join(wanted, ["kid", "tk"]).select("node", "text")
-    return one.mapInArrow(run, "node binary, items binary, counts binary").dropDuplicates(["node"])
+    one = texts.join(wanted, ["kid", "tk"]).select("nid", "text")
+    return one.mapInArrow(run, "nid long, items binary, counts binary").dropDuplicates(["nid"])
 
 
 def _verified(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
-    """The ``pairs`` (a, b) of nodes whose multisets are similar enough."""
+    """The ``pairs`` (a, b) of texts whose multisets are similar enough."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cells = [c.to_pylist() for c in batch.columns[2:]]
@@ -214,9 +216,90 @@ def _verified(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame
             ok = [overlap(bag(ia, ca), bag(ib, cb)) >= similarity for ia, ca, ib, cb in zip(*cells)]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
-    side = lambda k: bags.select(F.col("node").alias(k), F.col("items").alias(f"items_{k}"), F.col("counts").alias(f"counts_{k}"))
+    side = lambda k: bags.select(F.col("nid").alias(k), F.col("items").alias(f"items_{k}"), F.col("counts").alias(f"counts_{k}"))
     both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "items_a", "counts_a", "items_b", "counts_b")
-    return both.mapInArrow(run, "a binary, b binary")
+    return both.mapInArrow(run, "a long, b long")
+
+
+def _shared_sizes(bags: DataFrame, open_: DataFrame) -> DataFrame:
+    """(nid, private) of the ``open_`` texts: how much of a multiset lies in shingles that no other open text has (no row if nothing)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for nid, items, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                h = np.frombuffer(items, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), nid, np.int64)), pa.array(np.frombuffer(counts, np.int32))], ["item", "nid", "n"])
+
+    items = bags.join(open_, "nid", "left_semi").mapInArrow(run, "item long, nid long, n int")
+    alone = items.groupBy("item").agg(F.min("nid").alias("nid"), F.max("nid").alias("last"), F.min("n").alias("n")).where("nid = last")
+    return alone.groupBy("nid").agg(F.sum("n").alias("private"))
+
+
+def _cell_links(cells: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links that join classes, found among the texts of each cell (family, low, high).
+
+    A pair is compared if it shares a bucket, its classes differ and the sizes allow the similarity:
+    the overlap is at most the lesser of the parts that are not private.
+    """
+    def compare(rows: list, low: int, high: int) -> Iterator[tuple[int, int]]:
+        left, right = [r for r in rows if r[1] == low], [r for r in rows if r[1] == high]
+        column = lambda side, k: np.array([r[k] for r in side])
+        n_a, n_b = column(left, 3)[:, None], column(right, 3)[None, :]
+        q = np.minimum(column(left, 4)[:, None], column(right, 4)[None, :])
+        maybe = (column(left, 2)[:, None] != column(right, 2)[None, :]) & (q >= similarity / (1 + similarity) * (n_a + n_b) - 1e-9)
+        if low == high:
+            maybe &= np.arange(len(left))[:, None] < np.arange(len(right))[None, :]
+        bands_a, bands_b = column(left, 5), column(right, 5)
+        sets: dict[int, frozenset] = {}
+        parent: dict[int, int] = {}
+
+        def find(x):
+            while parent.setdefault(x, x) != x:
+                x = parent[x]
+            return x
+
+        for i in np.flatnonzero(maybe.any(1)):
+            near = np.flatnonzero(maybe[i])
+            near = near[(bands_b[near] == bands_a[i]).any(1)]
+            for j in near:
+                a, b = left[i], right[j]
+                root_a, root_b = find(a[2]), find(b[2])
+                if root_a == root_b:
+                    continue
+                x, y = (sets.get(r[0]) or sets.setdefault(r[0], _leveled(r[6], r[7])) for r in (a, b))
+                both = len(x & y)
+                if both >= similarity * (len(x) + len(y) - both):
+                    parent[root_a] = root_b
+                    yield a[0], b[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+
+        def close() -> pa.RecordBatch:
+            found = list(compare(rows, *now[1:])) if len(rows) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            for family, low, high, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if (family, low, high) != now:
+                    if now:
+                        yield close()
+                    now, rows = (family, low, high), []
+                rows.append(row)
+        if now:
+            yield close()
+
+    key = ["family", "low", "high"]
+    dealt = cells.select(*key, "nid", "block", "root", "n_shingles", "shared_size", "bands", "items", "counts").repartition(*key).sortWithinPartitions(*key, "nid")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _leveled(items: bytes, counts: bytes) -> frozenset:
+    """The multiset as a set: the k-th copy of an item is an element of its own."""
+    items, counts = np.frombuffer(items, _U), np.frombuffer(counts, np.int32)
+    out = set(items.tolist())
+    for k in range(1, int(counts.max(initial=1))):
+        out.update(_mix(items[counts > k] + _U(k * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)).tolist())
+    return frozenset(out)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
@@ -230,37 +313,50 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     (id, text hash ``tk``) of each class; rows that repeat both are marked alike.  Other columns are
     not read.  An empty table gives an empty one.
 
-    No pair is made within a group of copies.  In each bucket every text is paired with the
-    bucket's first one; buckets whose texts then lie in one class are done, since no further link
-    can change it, and only in the others texts of different classes (and lengths that allow the
-    similarity) are paired.  So a large group of near copies costs about one pair a text and band.
+    No pair is made within a group of copies.  In each bucket every text is first paired with one
+    leader.  Buckets whose texts then lie in one class are done, since no further link can change
+    it.  Of the texts in the other buckets, those with too many shingles of their own to be similar
+    to any are done as well (an exact bound).  The rest is dealt by families (texts tied by shared
+    buckets) to cells of about 2 * CELL_TEXTS texts, which compare what shares a bucket and return the
+    links that join classes; so pairs are never rows of a table there.
     """
     rows = cut_lineage(signed(docs, id_col, text_col))
-    texts = rows.groupBy("node").agg(F.count("*").alias("n_copies"), F.min(F.struct("kid", "tk")).alias("one"), F.first("n_shingles").alias("n_shingles"),
-                                     F.first("bands").alias("bands"))
-    banded = texts.select("node", "n_shingles", F.explode("bands").alias("bucket"))
-    buckets = banded.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead <> last")
+    texts = cut_lineage(rows.groupBy("node").agg(F.count("*").alias("n_copies"), F.min(F.struct("kid", "tk")).alias("one"), F.first("n_shingles").alias("n_shingles"),
+                                                 F.first("bands").alias("bands")).withColumn("nid", F.monotonically_increasing_id()))
+    banded = texts.select("nid", F.explode("bands").alias("bucket"))
+    buckets = banded.groupBy("bucket").agg(F.min("nid").alias("lead"), F.max("nid").alias("last")).where("lead <> last")
     shared = cut_lineage(banded.join(buckets.select("bucket", "lead"), "bucket"))
-    star = cut_lineage(shared.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct())
-    named = star.select(F.col("a").alias("node")).unionByName(star.select(F.col("b").alias("node"))).distinct()
-    wanted = named.join(texts.select("node", "one.kid", "one.tk"), "node")
-    bags = cut_lineage(_bags(docs, wanted, text_col, id_col))
+    star = cut_lineage(shared.where("nid <> lead").select(F.col("lead").alias("a"), F.col("nid").alias("b")).distinct())
+    named = star.select(F.col("a").alias("nid")).unionByName(star.select(F.col("b").alias("nid"))).distinct()
+    bags = cut_lineage(_bags(docs, named.join(texts.select("nid", "one.kid", "one.tk"), "nid"), text_col, id_col))
     links = cut_lineage(_verified(star, bags, similarity))
-    roots = contract(links)
-    placed = shared.join(roots, "node", "left").select("bucket", "node", "n_shingles", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    open_ = cut_lineage(placed.join(mixed, "bucket"))
-    other = open_.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("node", "n_shingles", "root")])
-    cross = open_.join(other, "bucket").where((F.col("root") < F.col("root_b")) & (F.least("n_shingles", "n_shingles_b") >= similarity * F.greatest("n_shingles", "n_shingles_b") - 1e-9))
-    cross = cross.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = _verified(cross, bags, similarity)
-    roots = contract(links.unionByName(more))
-    classes = rows.select("id", "tk", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    links = links.unionByName(_across(texts, shared.select("bucket", "nid"), bags, contract(links), similarity))
+    roots = contract(links).join(texts.select(F.col("nid").alias("root"), F.col("node").alias("root_node")), "root")
+    named = texts.select("nid", "node", "n_copies").join(roots.withColumnRenamed("node", "nid"), "nid", "left")
+    classes = rows.select("id", "tk", "node").join(named.select("node", "n_copies", F.coalesce("root_node", "node").alias("root")), "node")
     first = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("tk").alias("tk"))
     heads = classes.groupBy("root").agg(F.min(first).alias("head"))
-    counted = classes.join(heads, "root").join(texts.select("node", "n_copies"), "node")
-    return counted.select(F.col("id").alias(id_col), "tk", F.col("head.id").alias("class_id"), "n_copies",
-                          (F.col("id").eqNullSafe(F.col("head.id")) & (F.col("tk") == F.col("head.tk"))).alias("kept"))
+    return classes.join(heads, "root").select(F.col("id").alias(id_col), "tk", F.col("head.id").alias("class_id"), "n_copies",
+                                              (F.col("id").eqNullSafe(F.col("head.id")) & (F.col("tk") == F.col("head.tk"))).alias("kept"))
+
+
+def _across(texts: DataFrame, shared: DataFrame, bags: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links that join the classes ``roots`` of texts that share a bucket."""
+    placed = shared.join(roots.withColumnRenamed("node", "nid"), "nid", "left").select("bucket", "nid", F.coalesce("root", "nid").alias("root"))
+    several = lambda df: df.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
+    open_ = cut_lineage(placed.join(several(placed), "bucket"))
+    sizes = texts.join(_shared_sizes(bags, open_.select("nid").distinct()), "nid", "left").select(
+        "nid", "n_shingles", (F.col("n_shingles") - F.coalesce("private", F.lit(0))).alias("shared_size"), "bands")
+    live = open_.join(sizes.where(F.col("shared_size") >= similarity * F.col("n_shingles") - 1e-9).select("nid"), "nid")
+    live = cut_lineage(live.join(several(live), "bucket"))
+    leads = live.groupBy("bucket").agg(F.min("nid").alias("lead"))
+    families = contract(live.join(leads, "bucket").select(F.col("lead").alias("a"), F.col("nid").alias("b"))).withColumnsRenamed({"node": "nid", "root": "family"})
+    blocks = families.groupBy("family").agg(F.ceil(F.count("*") / CELL_TEXTS).alias("blocks"))
+    member = families.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("nid"), F.col("blocks")))
+    dealt = member.select("family", "nid", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("k"))
+    cells = dealt.select("family", "nid", "block", F.least("block", "k").alias("low"), F.greatest("block", "k").alias("high"))
+    root = live.select("nid", "root").distinct()
+    return cut_lineage(_cell_links(cells.join(root, "nid").join(sizes, "nid").join(bags, "nid"), similarity))
 
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:

@@ -11,7 +11,7 @@ def sf():
 @pytest.fixture(scope="session")
 def docs(spark):
     """Documents with every awkward case: null and empty texts, a null id, repeated rows, a repeated id, a very long text, columns with clashing names."""
-    words = [f"w{i % 97}x{i}" for i in range(60)]
+    words = [a + b for a in "abcdefgh" for b in "klmnopqr"][:60]
     long_text = " ".join(f"t{i}" for i in range(40_000))
     rows = [(1, " ".join(words)), (2, None), (3, ""), (None, " ".join(words)), (5, " ".join(words)), (5, " ".join(words)), (5, "other text of the same id"),
             (6, long_text), (7, " \n\t\n "), (8, "日本語 テキスト é 😀 <|endoftext|>")]
