@@ -13,8 +13,9 @@ only ever partition by ``(key, block)``:
   bare key, so no join task sees a whole hot key either.
 
 ``Blocks.dense`` needs a dense 0-based position (block = position div size).
-``Blocks.adaptive`` takes any numeric or time order: keys above the block size are cut by
-value range, again inside a range that is still too full, then by the next order column.
+``Blocks.adaptive`` takes any order: keys above the block size are cut by value range, again
+inside a range that is still too full, and by the next order column where the ones before are
+constant.
 Both are pure functions of the data, so a recomputed task gives the same block.
 """
 
@@ -26,8 +27,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from storyspark.session import cut_lineage
+
 BLOCK_ROWS = 1 << 16
 HEAVY_BROADCAST_ROWS = 200_000  # a few tens of bytes each
+MIN_PARTS = 64  # into which a block that is too full is cut at least
 LONGEST = "longest_sequence"  # column metadata written by number_rows
 _BLK = "_blk"
 _HALO = "_halo"
@@ -37,14 +41,56 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _position(df: DataFrame, name: str) -> Column:
-    """Order column as a double, for range cutting."""
-    kind = df.schema[name].dataType
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
-    if isinstance(kind, T.DateType):
-        return F.unix_date(F.col(name)).cast("double")
-    return F.col(name).cast("double")
+class _Cut:
+    """How one order column cuts a block: statistics of the block, and the part that a row falls into.
+
+    Parts never decrease with the column, in the order that Spark sorts by (nulls first, NaN last);
+    the least and the greatest value of a block that varies fall into different parts.  Whole
+    numbers, dates and times are cut in exact arithmetic, text by the character after the common
+    beginning.
+    """
+
+    def __init__(self, df: DataFrame, column: str, tag: str):
+        self.column, kind = F.col(column), df.schema[column].dataType
+        self.text = isinstance(kind, T.StringType)
+        self.exact = not self.text and not isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType))
+        self.low, self.high, self.nulls, self.least, self.most = (f"{n}{tag}" for n in ("_lo", "_hi", "_nulls", "_min", "_max"))
+        if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+            value = F.unix_micros(self.column.cast("timestamp"))
+        elif isinstance(kind, T.DateType):
+            value = F.unix_date(self.column)
+        else:
+            value = self.column
+        if self.exact:
+            self.value = value.cast("decimal(20,0)")
+        elif self.text:
+            self.value = value
+        else:  # halves, so that the difference of any two is finite
+            finite = ~F.isnan(value.cast("double")) & (F.abs(value.cast("double")) != F.lit(float("inf")))
+            self.value = F.when(finite, value.cast("double") / 2)
+
+    def aggregates(self) -> list[Column]:
+        return [F.min(self.value).alias(self.low), F.max(self.value).alias(self.high), F.count(F.when(self.column.isNull(), 1)).alias(self.nulls),
+                F.min(self.column).alias(self.least), F.max(self.column).alias(self.most)]
+
+    def varies(self) -> Column:
+        nulls = F.col(self.nulls)
+        return (F.col(self.least) != F.col(self.most)) | ((nulls > 0) & (nulls < F.col("_n")))
+
+    def part(self, parts: Column) -> Column:
+        low, high = F.col(self.low), F.col(self.high)
+        if self.text:
+            same = F.transform(F.sequence(F.lit(1), F.least(F.length(low), F.length(high)) + 1), lambda i: F.substring(low, i, 1) == F.substring(high, i, 1))
+            start = F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)), F.size(same))
+            here = F.substring(self.column, start.cast("int"), 1)
+            inner = F.when(here == "", F.lit(0)).otherwise(F.ascii(here) + 1).cast("long")
+            return F.when(self.column.isNull(), F.lit(0).cast("long")).otherwise(inner + 1)
+        if self.exact:
+            width = F.greatest(F.ceil((high - low + 1) / parts), F.lit(1)).cast("decimal(20,0)")
+            return F.when(self.column.isNull(), F.lit(0).cast("long")).otherwise(F.floor((self.value - low) / width).cast("long") + 1)
+        inner = F.when(high > low, F.least(F.floor((self.value - low) / (high - low) * parts), parts - 1)).otherwise(F.lit(0)).cast("long")
+        beyond = F.when(F.isnan(self.column.cast("double")), parts + 3).when(self.column > 0, parts + 2).otherwise(F.lit(1)).cast("long")
+        return F.when(self.column.isNull(), F.lit(0).cast("long")).when(self.value.isNull(), beyond).otherwise(inner + 2)
 
 
 class Blocks:
@@ -72,12 +118,16 @@ class Blocks:
         return cls(cut, key, [order], size)
 
     @classmethod
-    def adaptive(cls, df: DataFrame, key, by, block_rows: int | None = None, levels: int = 2) -> Blocks:
-        """Blocks by value range for keys over ``block_rows``; every other key is one block.
+    def adaptive(cls, df: DataFrame, key, by, block_rows: int | None = None, rounds: int = 64) -> Blocks:
+        """Blocks by value for keys over ``block_rows``; every other key is one block.
 
         One aggregate job (map-side combined, key column only) finds the longest key.  If it
-        fits a block the plan stays a plain window plan.  Otherwise the table of heavy keys
-        is joined: broadcast while it is under ``HEAVY_BROADCAST_ROWS`` rows, else shuffled.
+        fits a block the plan stays a plain window plan.  Otherwise blocks that are too full are
+        cut along the first order column that varies inside them, round by round, until all fit
+        or hold equal rows only (a round narrows a range by MIN_PARTS or more, so evenly spread
+        values take one).  A later column cuts only where all earlier ones are constant, so
+        blocks are always consecutive; a block's name is the path of its cuts and sorts so.  The
+        table of full blocks is joined: broadcast while under ``HEAVY_BROADCAST_ROWS`` rows.
         """
         size = block_rows or BLOCK_ROWS
         key = [key] if isinstance(key, str) else list(key)
@@ -85,29 +135,20 @@ class Blocks:
         longest = df.groupBy(*key).count().agg(F.max("count")).first()[0] or 0
         if longest <= size:
             return cls(df, key, by, size, whole=True, longest=longest)
-        out = df.withColumn(_BLK, F.lit(0).cast("long"))
-        cuts = [c for c in [by[0]] * levels + by[1:2] if not isinstance(df.schema[c].dataType, T.StringType)]
-        for column in cuts:
-            group = [*key, _BLK]
-            heavy = (
-                out.groupBy(*group)
-                .agg(F.count(F.lit(1)).alias("_n"), F.min(_position(df, column)).alias("_lo"),
-                     F.max(_position(df, column)).alias("_hi"))
-                .filter(F.col("_n") > size)
-            )
-            found = heavy.limit(HEAVY_BROADCAST_ROWS + 1).count()
-            if 0 < found <= HEAVY_BROADCAST_ROWS:
-                heavy = F.broadcast(heavy)
-            # sub-blocks are numbered inside their parent block, 2**20 per level
-            parts = F.least(F.ceil(F.col("_n") / size), F.lit((1 << 20) - 1))
-            span = F.col("_hi") - F.col("_lo")
-            step = F.when(span > 0, (_position(df, column) - F.col("_lo")) / span)
-            inner = F.coalesce(F.least(F.floor(step * parts), parts - 1), F.lit(0)).cast("long")
-            blk = F.col(_BLK) * F.lit(1 << 20) + inner
-            if found:
-                out = out.join(heavy, group, "left").withColumn(_BLK, blk).select(*df.columns, _BLK)
-            else:
-                out = out.withColumn(_BLK, F.col(_BLK) * F.lit(1 << 20))
+        cuts = [_Cut(df, c, f"_{i}") for i, c in enumerate(by)]
+        out = df.withColumn(_BLK, F.lit(""))
+        group = [*key, _BLK]
+        for _ in range(rounds):
+            full = out.dropna(subset=key).groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), *[a for c in cuts for a in c.aggregates()]).filter(F.col("_n") > size)
+            which = F.coalesce(*[F.when(c.varies(), F.lit(i)) for i, c in enumerate(cuts)])
+            full = cut_lineage(full.withColumn("_which", which).filter("_which IS NOT NULL"))
+            found = full.limit(HEAVY_BROADCAST_ROWS + 1).count()
+            if not found:
+                break
+            parts = F.least(F.greatest(F.ceil(2 * F.col("_n") / size), F.lit(MIN_PARTS)), F.lit(1 << 20))
+            step = F.coalesce(*[F.when(F.col("_which") == i, F.lpad(F.hex(c.part(parts)), 6, "0")) for i, c in enumerate(cuts)], F.lit(""))
+            out = out.join(F.broadcast(full) if found <= HEAVY_BROADCAST_ROWS else full, group, "left")
+            out = out.withColumn("_cut", F.concat(F.col(_BLK), step)).select(*df.columns, F.col("_cut").alias(_BLK))
         return cls(out, key, by, size, longest=longest)
 
     # ---- steps --------------------------------------------------------------------
