@@ -20,7 +20,7 @@ from storyspark.operators.search import contained_pairs, top_k
 # fixed values
 TYPE_PRIORITY = {"opposes": 6, "rivals": 5, "family_or_lineage": 5, "mentor_link": 4, "allies_with": 4, "exploits": 3, "contrasts": 2,
                  "associated_with": 1}
-CATEGORY_MEMBERS = (2, 20)
+CATEGORY_MEMBERS = (2, 20)  # groups that count as one crew; wider categories say nothing about their members
 EDGE = ["src", "dst", "seq", "type", "weight", "evidence"]
 
 
@@ -59,20 +59,23 @@ def _tokens(c: Column, sep: str) -> Column:
     return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), sep), lambda x: F.lower(F.trim(x))), lambda x: x != ""))
 
 
-def _shared(nodes: DataFrame, sources: DataFrame, tokens: Column, least: int, step: float, cap: float, kind: str, label: str, seq: int) -> DataFrame:
+def _shared(nodes: DataFrame, sources: DataFrame, tokens: Column, least: int, step: float, cap: float, kind: str, label: str, seq: int, shown: int) -> DataFrame:
     owned = nodes.select("id", F.explode(tokens).alias("t"))
     mine = owned.join(sources.select("id"), "id", "left_semi").withColumnRenamed("id", "src")
     both = mine.join(owned.withColumnRenamed("id", "dst"), "t").filter("src <> dst").groupBy("src", "dst").agg(
         F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("t")).alias("ts")).filter(F.col("n") >= least)
     return both.select("src", "dst", F.lit(seq).alias("seq"), F.lit(kind).alias("type"), F.least(F.lit(cap), F.lit(step) * F.col("n")).alias("weight"),
-                       F.concat(F.lit(f"{label}: "), F.array_join(F.slice("ts", 1, 3), ", ")).alias("evidence"))
+                       F.concat(F.lit(f"{label}: "), F.array_join(F.slice("ts", 1, shown), ", ")).alias("evidence"))
 
 
-def mine_edges(nodes: DataFrame, sources: DataFrame, curated: DataFrame | None = None, generic_tags: Sequence[str] = ()) -> DataFrame:
+def mine_edges(nodes: DataFrame, sources: DataFrame, curated: DataFrame | None = None, generic_tags: Sequence[str] = (),
+               category_members: tuple[int, int] = CATEGORY_MEMBERS, shown: int = 3) -> DataFrame:
     """Edge pieces from each source node; ``combine_edges`` adds them up.
 
     ``nodes``: id, name, character, category, arc, emotion, visual_type, importance, tags.
     ``curated``: src, dst, type, weight, evidence; its reverse counts .8.
+    ``category_members``: sizes of a category whose members are linked with each other (the
+    published rule by default); ``shown``: shared tokens named in the evidence.
     """
     kind = F.lower(F.coalesce("visual_type", F.lit("")))
     parts = []
@@ -91,11 +94,11 @@ def mine_edges(nodes: DataFrame, sources: DataFrame, curated: DataFrame | None =
     parts.append(tagged.join(named, "t").filter("src <> dst").select("src", "dst", F.lit(1).alias("seq"), F.lit("associated_with").alias("type"), F.lit(0.12).alias("weight"),
                                                                      F.concat(F.lit("Tag '"), "tag", F.lit("' references "), "dst_name").alias("evidence")))
     people = nodes.filter((kind != "") & ~kind.contains("arc") & ~kind.contains("weapon"))
-    parts.append(_shared(people, sources, _tokens(F.col("arc"), "/"), 1, 0.08, 0.25, "associated_with", "Shared arcs", 2))
+    parts.append(_shared(people, sources, _tokens(F.col("arc"), "/"), 1, 0.08, 0.25, "associated_with", "Shared arcs", 2, shown))
     moody = nodes.filter((F.coalesce("emotion", F.lit("")) != "") & ~kind.contains("arc"))
-    parts.append(_shared(moody, sources, _tokens(F.col("emotion"), ","), 2, 0.05, 0.15, "contrasts", "Shared emotions", 3))
+    parts.append(_shared(moody, sources, _tokens(F.col("emotion"), ","), 2, 0.05, 0.15, "contrasts", "Shared emotions", 3, shown))
     cats = nodes.filter((F.coalesce("category", F.lit("")) != "") & ~F.col("category").contains("arc"))
-    sized = cats.groupBy("category").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n").between(*CATEGORY_MEMBERS))
+    sized = cats.groupBy("category").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n").between(*category_members))
     small = cats.join(sized.select("category"), "category", "left_semi").select("id", "category")
     mine = small.join(sources.select("id"), "id", "left_semi").withColumnRenamed("id", "src")
     parts.append(mine.join(small.withColumnRenamed("id", "dst"), "category").filter("src <> dst").select(
@@ -120,25 +123,20 @@ def term_tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"(?U)(\w+)"), 1)
 
 
-def lexicon_hits(texts: DataFrame, lexicon: DataFrame, term: str = "term", text: str = "text", tid: str = "text_id", max_words: int = 6) -> DataFrame:
+def lexicon_hits(texts: DataFrame, lexicon: DataFrame, term: str = "term", text: str = "text", tid: str = "text_id") -> DataFrame:
     """(text id, lexicon row) for terms found on word boundaries, by a join on word n-grams.
 
-    N-grams are built only for the word counts the lexicon has; a candidate is confirmed
-    against the text itself, so punctuation inside a term still has to match.
+    N-grams are built only for the word counts the lexicon has, which come along as one row (as
+    many numbers as the longest term has words, at most); a candidate is confirmed against the
+    text itself, so punctuation inside a term still has to match.
     """
     lex = lexicon.withColumn("_t", term_tokens(F.col(term))).withColumns({"_n": F.size("_t"), "_gram": F.array_join("_t", " ")}).filter("_n > 0").drop("_t")
-    counts = sorted(r[0] for r in lex.select("_n").distinct().limit(64).collect())
-    if counts and counts[-1] > max_words:
-        raise ValueError(f"lexicon terms of more than {max_words} words")
-    t, none = F.col("_w"), F.array().cast("array<string>")
-
-    def of_size(n: int) -> Column:
-        cut = F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, F.lit(n)), " "))
-        return F.when(F.size(t) >= n, cut).otherwise(none)
-
-    grams = F.array_distinct(F.concat(none, *[of_size(n) for n in counts]))
+    counts = lex.agg(F.sort_array(F.collect_set("_n")).alias("_counts"))
+    t = F.col("_w")
+    cut = lambda n: F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, n), " "))
+    grams = F.array_distinct(F.flatten(F.transform(F.filter("_counts", lambda n: n <= F.size(t)), cut)))
     src = texts.select(tid, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_low"))
-    cand = src.withColumn("_w", term_tokens(F.col("_low"))).select(tid, F.explode(grams).alias("_gram")).join(lex, "_gram").drop("_gram", "_n")
+    cand = src.withColumn("_w", term_tokens(F.col("_low"))).crossJoin(F.broadcast(counts)).select(tid, F.explode(grams).alias("_gram")).join(lex, "_gram").drop("_gram", "_n")
     plain = cand.filter(F.col(term).rlike(r"^[\p{L}\p{N}_]+$"))
     odd = cand.filter(~F.col(term).rlike(r"^[\p{L}\p{N}_]+$"))
     checked = odd.join(src, tid).filter(F.regexp_count("_low", F.concat(F.lit(r"(?U)\b\Q"), F.lower(term), F.lit(r"\E\b"))) > 0).drop("_low")
@@ -193,13 +191,13 @@ def rank_relationships(edges: DataFrame, nodes: DataFrame, k: int = 10, mentions
     return top_k(out, k, [F.desc("score"), F.col("dst")], "src")
 
 
-def mutual_connections(edges: DataFrame, pairs: DataFrame, nodes: DataFrame, k: int = 5) -> DataFrame:
-    """Nodes linked from both ends of each pair (pair_id, a, b): mean weight up to 1, two pieces of evidence from each."""
+def mutual_connections(edges: DataFrame, pairs: DataFrame, nodes: DataFrame, k: int = 5, pieces: int = 2) -> DataFrame:
+    """Nodes linked from both ends of each pair (pair_id, a, b): mean weight up to 1, ``pieces`` pieces of evidence from each."""
     ea = pairs.join(edges.select(F.col("src").alias("a"), "dst", F.col("weight").alias("wa"), F.col("evidence").alias("va")), "a")
     eb = edges.select(F.col("src").alias("b"), "dst", F.col("weight").alias("wb"), F.col("evidence").alias("vb"))
     both = ea.join(eb, ["b", "dst"]).filter((F.col("dst") != F.col("a")) & (F.col("dst") != F.col("b")))
     score = F.round(F.least(F.lit(1.0), (F.col("wa") + F.col("wb")) / 2), 9)
-    out = both.select("pair_id", "dst", score.alias("score"), F.concat(F.slice("va", 1, 2), F.slice("vb", 1, 2)).alias("evidence"))
+    out = both.select("pair_id", "dst", score.alias("score"), F.concat(F.slice("va", 1, pieces), F.slice("vb", 1, pieces)).alias("evidence"))
     return top_k(out, k, [F.desc("score"), F.col("dst")], "pair_id").join(
         nodes.select(F.col("id").alias("dst"), F.coalesce(F.nullif(F.col("character"), F.lit("")), F.col("name")).alias("target")), "dst")
 

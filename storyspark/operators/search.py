@@ -17,8 +17,6 @@ from storyspark.functions.rules import ARC_LOCATION_TERMS
 from storyspark.functions.text import norm_key, split_csv
 from storyspark.operators.vector import cosine, top_k_vectors
 
-MAX_NEEDLE_LENGTHS = 500
-
 
 def top_k(df: DataFrame, k: int, by: Sequence[Column], part: str | Sequence[str] = "query_id", out: str = "rank") -> DataFrame:
     """Best k rows per group.  The row_number filter becomes a group limit before the shuffle."""
@@ -29,17 +27,15 @@ def top_k(df: DataFrame, k: int, by: Sequence[Column], part: str | Sequence[str]
 def contained_pairs(needles: DataFrame, hays: DataFrame, needle: str = "needle", hay: str = "hay") -> DataFrame:
     """Distinct (needle, hay) pairs with the needle inside the hay, as an equi-join.
 
-    Hays are cut into substrings of only the lengths the needles have; these few lengths are
-    read first (bounded and checked).  Meant for short labels: names, tags, title keys.
+    Hays are cut into substrings of only the lengths the needles have; these come along as one
+    row (as many numbers as the longest needle has characters, at most).  Meant for short labels:
+    names, tags, title keys.
     """
     n = needles.select(needle).filter(F.length(needle) > 0).distinct()
-    lengths = [r[0] for r in n.select(F.length(needle)).distinct().limit(MAX_NEEDLE_LENGTHS + 1).collect()]
-    if len(lengths) > MAX_NEEDLE_LENGTHS:
-        raise ValueError("labels are too long for a containment join")
-    sizes = F.array(*[F.lit(x) for x in sorted(lengths)]) if lengths else F.array().cast("array<int>")
-    cut = F.flatten(F.transform(F.filter(sizes, lambda s: s <= F.length(hay)),
+    lengths = n.agg(F.sort_array(F.collect_set(F.length(needle))).alias("_sizes"))
+    cut = F.flatten(F.transform(F.filter("_sizes", lambda s: s <= F.length(hay)),
                                 lambda s: F.transform(F.sequence(F.lit(1), F.length(hay) - s + 1), lambda at: F.substring(F.col(hay), at, s))))
-    h = hays.select(hay).filter(F.length(hay) > 0).distinct().select(hay, F.explode(F.array_distinct(cut)).alias(needle))
+    h = hays.select(hay).filter(F.length(hay) > 0).distinct().crossJoin(F.broadcast(lengths)).select(hay, F.explode(F.array_distinct(cut)).alias(needle))
     return h.join(n, needle).select(needle, hay)
 
 
@@ -175,9 +171,12 @@ def rank_for_beat(assets: DataFrame, beats: DataFrame, k: int = 5, weights: dict
 
 
 def search(assets: DataFrame, queries: DataFrame, mode: str = "auto", k: int = 10, given: Sequence[str] = ("text", "tags", "emotion", "arc"),
-           qid: str = "query_id", id: str = "id", vector: str | None = None, qvector: str | None = None) -> DataFrame:
-    """One entry point for all modes; ``given`` lists the inputs a query batch provides."""
-    k = min(k, 50)
+           qid: str = "query_id", id: str = "id", vector: str | None = None, qvector: str | None = None, max_k: int | None = None) -> DataFrame:
+    """One entry point for all modes; ``given`` lists the inputs a query batch provides.
+
+    ``max_k`` is an upper bound on ``k`` that a service may set; by default there is none.
+    """
+    k = k if max_k is None else min(k, max_k)
     if mode == "tag":
         return tag_search(assets, queries, k, qid=qid, id=id)
     if mode == "emotion":

@@ -121,7 +121,7 @@ def j5(spark, sf):
     return search.rank_for_beat(a, _beats_as_queries(a), 5, {**search.WEIGHTS, "semantic": 0.0}, places=BEAT_WORDS)
 
 
-@register("j5b_auto_search", RANKED, "SELECT query_id, id, score, rank FROM rk", _rank_sql("(0.25e0 / 0.60e0)", "(0.25e0 / 0.60e0)", "0.0e0", "(0.10e0 / 0.60e0)", 50))
+@register("j5b_auto_search", RANKED, "SELECT query_id, id, score, rank FROM rk", _rank_sql("(0.25e0 / 0.60e0)", "(0.25e0 / 0.60e0)", "0.0e0", "(0.10e0 / 0.60e0)", 80))
 def j5b(spark, sf):
     a = catalog(spark, sf)
     return search.search(a, _beats_as_queries(a), "auto", 80, given=("tags", "emotion"))

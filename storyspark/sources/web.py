@@ -39,8 +39,8 @@ def matching_links(links: DataFrame, site: str, phrase: str, chapter: Column) ->
     return links.filter(F.col("url").contains(site) & F.lower("title").contains(phrase.lower()) & title_has_chapter(F.col("title"), chapter))
 
 
-def chapter_section(text: Column, chapter: Column) -> Column:
-    """Lines from "chapter n" to the next chapter heading or footer, at most 9000 characters.
+def chapter_section(text: Column, chapter: Column, limit: int | None = SECTION_CHARS) -> Column:
+    """Lines from "chapter n" to the next chapter heading or footer, at most ``limit`` characters (None: all).
 
     Without such a heading: the text from the first mention of the chapter, else all of it.
     """
@@ -61,4 +61,5 @@ def chapter_section(text: Column, chapter: Column) -> Column:
                 loose(squeeze(F.array_join(lines, " ")))))
 
     lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|[\n\r]"), squeeze), lambda x: x != "")
-    return F.substring(let(lines, chosen), 1, SECTION_CHARS)
+    found = let(lines, chosen)
+    return found if limit is None else F.substring(found, 1, limit)
