@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import os
+import pathlib
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,7 +25,23 @@ def build_session(app: str = "storyspark", master: str | None = None, **conf) ->
     }
     for name, value in settings.items():
         builder = builder.config(name, value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Give the workers of ``spark`` this package, so that tasks can import it wherever they run; once per application."""
+    _shipped(spark.sparkContext.applicationId, spark)
+    return spark
+
+
+@functools.lru_cache(maxsize=4)
+def _shipped(application: str, spark: SparkSession) -> None:
+    home = pathlib.Path(__file__).resolve().parent
+    path = os.path.join(tempfile.mkdtemp(prefix="storyspark-"), "storyspark.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as packed:
+        for file in sorted(home.rglob("*.py")):
+            packed.write(file, file.relative_to(home.parent))
+    spark.sparkContext.addPyFile(path)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
