@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_QUERY_BYTES = 64 << 20   # one pass holds at most this much query matrix per task
+MAX_QUERY_BYTES = 64 << 20   # query matrix that a task (and, for a small set, the driver) holds
+TILE_CELLS = 4 << 20         # products that a task holds at once
 
 
 def unit(m: np.ndarray) -> np.ndarray:
@@ -18,6 +19,55 @@ def unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(size == 0, 1.0, size)
 
 
+class _Best:
+    """The k best rows of each query so far: flat arrays (query number, id, similarity, score)."""
+
+    def __init__(self, names: list, matrix: np.ndarray, tags, k: int, weight: float, clip: bool, positive: bool):
+        self.names, self.matrix, self.tags, self.k = names, matrix, tags, k
+        self.weight, self.clip, self.positive = weight, clip, positive
+        self.held: list[np.ndarray] | None = None
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray, own, bonus) -> None:
+        """Rows in chunks and queries in tiles, so that at most TILE_CELLS products exist at a time."""
+        tile = max(1, min(len(self.names), TILE_CELLS // 1024))
+        rows = max(1, TILE_CELLS // tile)
+        for a in range(0, len(ids), rows):
+            part = slice(a, a + rows)
+            for q in range(0, len(self.names), tile):
+                self._tile(q, min(q + tile, len(self.names)), ids[part], vectors[part], None if own is None else own[part], None if bonus is None else bonus[part])
+
+    def _tile(self, first, last, ids, vectors, own, bonus) -> None:
+        sims = vectors @ self.matrix[first:last].T
+        if self.clip:
+            np.clip(sims, 0.0, 1.0, out=sims)
+        scores = self.weight * sims
+        if bonus is not None:
+            scores += bonus[:, None]
+        if own is not None:
+            scores[own[:, None] != self.tags[first:last][None, :]] = -np.inf
+        if self.positive:
+            scores[~(scores > 0)] = -np.inf
+        if len(ids) > self.k:  # ties with the k-th best stay in until ids decide
+            good = scores >= np.partition(scores, len(ids) - self.k, axis=0)[len(ids) - self.k]
+        else:
+            good = np.ones(scores.shape, bool)
+        row, column = np.nonzero(good & (scores > -np.inf))
+        new = [column + first, ids[row], sims[row, column], scores[row, column]]
+        self.held = self._cut(new if self.held is None else [np.concatenate(p) for p in zip(self.held, new)])
+
+    def _cut(self, flat: list[np.ndarray]) -> list[np.ndarray]:
+        query, ids, _, scores = flat
+        order = np.lexsort((ids, -scores, query))
+        flat = [c[order] for c in flat]
+        start = np.searchsorted(flat[0], flat[0], "left")
+        keep = np.arange(len(order)) - start < self.k
+        return [c[keep] for c in flat]
+
+    def frame(self, qid: str, id: str) -> pd.DataFrame:
+        query, ids, sims, scores = self.held if self.held is not None else [np.zeros(0, int)] * 4
+        return pd.DataFrame({qid: [self.names[q] for q in query], id: ids, "similarity": sims, "score": scores})
+
+
 def top_k_vectors(vectors: DataFrame, queries: DataFrame, k: int, id: str = "vec_id", vector: str = "embedding",
                   qid: str = "query_id", qvector: str = "embedding", same: str | None = None, weight: float = 1.0,
                   bonus: str | None = None, clip: bool = False, positive: bool = False) -> DataFrame:
@@ -26,76 +76,75 @@ def top_k_vectors(vectors: DataFrame, queries: DataFrame, k: int, id: str = "vec
     ``same`` names a column that must be equal on both sides (a metadata filter).  The ranking
     score is ``weight * cosine + bonus`` (cosine clipped to [0, 1] with ``clip``).
 
-    The query matrix goes to the tasks in passes of bounded size (measured here, not assumed);
-    each pass streams the vectors once.  A row of a query's global best is among the best of
-    its own partition, so partial lists of k rows are enough.
+    One job measures the query set.  If its matrix fits MAX_QUERY_BYTES, it goes to every task and
+    the vectors stream past it without a shuffle.  A larger set stays distributed: queries are dealt
+    to tiles of that size and vectors to blocks, and each (block, tile) cell streams its vectors
+    past its tile.  A row of a query's global best is among the best of its own part, so partial
+    lists of k rows are enough.
     """
     picks = [qid, qvector] + ([same] if same else [])
-    first = queries.select(F.size(qvector)).first()
-    if first is None:
+    cols = [id, vector] + ([same] if same else []) + ([bonus] if bonus else [])
+    chosen, rows = queries.select(*picks), vectors.select(*cols)
+    total, dim = chosen.agg(F.count(F.lit(1)), F.max(F.size(qvector))).first()
+    if not total:
         raise ValueError("no query vectors")
-    per_pass = max(1, MAX_QUERY_BYTES // (8 * max(1, first[0])))
-    total = queries.count()
-    passes = -(-total // per_pass)
-    numbered = queries.select(*picks)
-    out = None
-    for p in range(passes):
-        part = numbered if passes == 1 else numbered.filter(F.pmod(F.xxhash64(qid), F.lit(passes)) == p)
-        rows = part.orderBy(qid).collect()
-        if not rows:
-            continue
-        partial = _pass(vectors, rows, k, id, vector, qid, same, weight, bonus, clip, positive, queries.schema[qid].dataType)
-        out = partial if out is None else out.unionByName(partial)
-    w = Window.partitionBy(qid).orderBy(F.desc("score"), id)
-    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    schema = T.StructType([T.StructField(qid, queries.schema[qid].dataType), T.StructField(id, vectors.schema[id].dataType),
+                           T.StructField("similarity", T.DoubleType()), T.StructField("score", T.DoubleType())])
+    tiles = -(-total * 8 * max(1, dim) // MAX_QUERY_BYTES)
 
+    def best_of(names, matrix, tags) -> _Best:
+        return _Best(list(names), unit(np.array(matrix, dtype=np.float64)), np.array(tags, dtype=object) if same else None, k, weight, clip, positive)
 
-def _pass(vectors, rows, k, id, vector, qid, same, weight, bonus, clip, positive, qtype) -> DataFrame:
-    names = [r[0] for r in rows]
-    matrix = unit(np.array([r[1] for r in rows], dtype=np.float64))
-    tags = np.array([r[2] for r in rows], dtype=object) if same else None
-    cols = [id, vector] + ([same] if same else []) + ([bonus] if bonus else [])
-    schema = T.StructType([T.StructField(qid, qtype), T.StructField(id, vectors.schema[id].dataType),
-                           T.StructField("similarity", T.DoubleType()), T.StructField("score", T.DoubleType())])
+    def add(best: _Best, pdf: pd.DataFrame) -> None:
+        if not pdf.empty:
+            best.add(pdf[id].to_numpy(), unit(np.array(pdf[vector].tolist(), dtype=np.float64)), pdf[same].to_numpy() if same else None,
+                     pdf[bonus].to_numpy(dtype=np.float64) if bonus else None)
 
-    def best(ids, sims, scores):
-        """Indexes of the k best per call, ties by id."""
-        if len(scores) > k:
-            floor = np.partition(scores, len(scores) - k)[len(scores) - k]
-            keep = np.flatnonzero(scores >= floor)
-        else:
-            keep = np.arange(len(scores))
-        return keep[np.lexsort((ids[keep], -scores[keep]))][:k]
+    if tiles == 1:
+        given = sorted(chosen.collect())
+        columns = [[r[i] for r in given] for i in range(len(picks))]
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best = best_of(columns[0], columns[1], columns[2] if same else None)
+            for pdf in batches:
+                add(best, pdf)
+            yield best.frame(qid, id)
+
+        found = rows.mapInPandas(run, schema)
+    else:
+        found = _cells(rows, chosen, picks, cols, tiles, best_of, add, schema)
+    w = Window.partitionBy(qid).orderBy(F.desc("score"), id)
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _cells(rows, chosen, picks, cols, tiles, best_of, add, schema) -> DataFrame:
+    """Partial lists of all (vector block, query tile) cells; in each the queries arrive first."""
+    blocks = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // tiles)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = chosen.select(F.struct(*picks).alias("q"), F.pmod(F.xxhash64(picks[0]), F.lit(tiles)).cast("int").alias("_tile")).select("q", "_tile", every(blocks).alias("_block"))
+    right = rows.select(F.struct(*cols).alias("v"), F.pmod(F.xxhash64(cols[0]), F.lit(blocks)).cast("int").alias("_block")).select("v", "_block", every(tiles).alias("_tile"))
+    both = left.withColumn("v", F.lit(None).cast(right.schema["v"].dataType)).unionByName(right.withColumn("q", F.lit(None).cast(left.schema["q"].dataType)))
+    placed = both.withColumn("_side", F.col("v").isNotNull()).repartition("_block", "_tile").sortWithinPartitions("_block", "_tile", "_side")
+    qid, id = picks[0], cols[0]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple] = [(np.array([]), np.array([]), np.array([]))] * len(names)
+        now, asked, best = None, [], None
         for pdf in batches:
-            if pdf.empty:
-                continue
-            sims = unit(np.array(pdf[vector].tolist(), dtype=np.float64)) @ matrix.T
-            if clip:
-                sims = np.clip(sims, 0.0, 1.0)
-            scores = weight * sims
-            if bonus:
-                scores = scores + pdf[bonus].to_numpy(dtype=np.float64)[:, None]
-            ids = pdf[id].to_numpy()
-            own = pdf[same].to_numpy() if same else None
-            for n in range(len(names)):
-                mask = np.ones(len(ids), dtype=bool) if own is None else own == tags[n]
-                if positive:
-                    mask &= scores[:, n] > 0
-                take = np.flatnonzero(mask)
-                take = take[best(ids[take], sims[take, n], scores[take, n])]
-                old = held[n]
-                i = np.concatenate([old[0], ids[take]]) if len(old[0]) else ids[take]
-                s, c = np.concatenate([old[1], sims[take, n]]), np.concatenate([old[2], scores[take, n]])
-                keep = best(i, s, c)
-                held[n] = (i[keep], s[keep], c[keep])
-        for n, (i, s, c) in enumerate(held):
-            if len(i):
-                yield pd.DataFrame({qid: [names[n]] * len(i), id: i, "similarity": s, "score": c})
-
-    return vectors.select(*cols).mapInPandas(run, schema)
+            for cell, part in pdf.groupby(["_block", "_tile"], sort=False):
+                if cell != now:
+                    if best is not None:
+                        yield best.frame(qid, id)
+                    now, asked, best = cell, [], None
+                asked += [tuple(q[c] for c in picks) for q in part.loc[~part["_side"], "q"]]
+                seen = part.loc[part["_side"], "v"]
+                if len(seen) and asked:
+                    if best is None:
+                        best = best_of(*[list(c) for c in zip(*asked)], *([None] if len(picks) == 2 else []))
+                    add(best, pd.DataFrame([tuple(v[c] for c in cols) for v in seen], columns=cols))
+        if best is not None:
+            yield best.frame(qid, id)
+
+    return placed.mapInPandas(run, schema)
 
 
 def cosine(a, b):
