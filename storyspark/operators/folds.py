@@ -7,27 +7,30 @@ step; no group is ever held in memory.
 
 A key that spans several blocks is folded exactly by guess and check:
 
-1. every block starts from a guess, the state after the few rows before it;
-2. a block's entry must equal the exit of the block before; the blocks where it does not are
-   folded again from that exit, until none is left;
-3. one last pass emits the rows from the agreed entries.
+1. every block is traced from a few guesses, the states after the rows before it when the fold
+   starts afresh at ``phases`` successive rows: a greedy grouping is in one of few phases, so the
+   true entry is nearly always among them;
+2. the traces (one row per block and guess) are chained in order: the exit of a block picks the
+   trace of the next one with that entry;
+3. blocks without such a trace are traced again from the exit before them, until none is left;
+4. one last pass emits the rows from the agreed entries.
 
 A counter in the state never forgets, so it is kept apart: block entries get the sum of what
-the blocks before added, all in one window over the block summaries.
+the blocks before added, along the chain.
 
-Greedy choices forget their past quickly, so the guess is nearly always right and the loop
-ends after one check.  In the worst case it degrades to one round per block, never to a
-wrong answer.
+The number of rounds does not depend on the number of blocks where the guesses hold the true
+entry.  In the worst case it degrades to one round per block, never to a wrong answer.
 """
 
 from __future__ import annotations
 
 import json
+from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,6 +50,7 @@ class Fold:
     columns: Sequence[str]          # inputs, in the order of ``row``
     schema: str                     # output columns, DDL
     counted: bool = False           # last state item is a counter a row can only add to
+    phases: int = 1                 # rows before a block at which a trace of it starts afresh
 
 
 def sequence_fold(df: DataFrame, fold: Fold, keep: Sequence[str] = (), key: Sequence[str] | str = K, order: str = O,
@@ -65,7 +69,7 @@ def sequence_fold(df: DataFrame, fold: Fold, keep: Sequence[str] = (), key: Sequ
         placed = rows.repartition(*key).sortWithinPartitions(*key, order)
         return placed.mapInPandas(_emitter(fold, key, list(out.names), entries=False), out)
 
-    rows = rows.withColumn("_blk", F.floor(F.col(order) / size).cast("long"))
+    rows = cut_lineage(rows.withColumn("_blk", F.floor(F.col(order) / size).cast("long")))  # traced, and then folded
     entries = _agreed_entries(rows, fold, cols, key, order, size, min(warmup, size))
     placed = rows.join(entries, [*key, "_blk"]).repartition(*key, "_blk").sortWithinPartitions(*key, order)
     return placed.mapInPandas(_emitter(fold, key, list(out.names), entries=True), out)
@@ -73,30 +77,81 @@ def sequence_fold(df: DataFrame, fold: Fold, keep: Sequence[str] = (), key: Sequ
 
 def _agreed_entries(rows, fold, cols, key, order, size, warmup) -> DataFrame:
     group = [*key, "_blk"]
-    tail = F.pmod(F.col(order), F.lit(size)) >= size - warmup
-    halo = rows.withColumn("_c", F.explode(F.when(tail, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
-    halo = halo.withColumns({"_blk": F.col("_blk") + F.col("_c"), "_entry": F.lit(None).cast("string"),
-                             "_count": F.lit(None).cast("long")})
-    schema = T.StructType([*[rows.schema[c] for c in key], T.StructField("_blk", T.LongType()),
+    phases = max(1, min(fold.phases, warmup))
+    none = {"_entry": F.lit(None).cast("string"), "_count": F.lit(None).cast("long")}
+    # the rows before a block warm its traces up; trace p leaves out the first p of them
+    spot = F.pmod(F.col(order), F.lit(size)) - (size - warmup)
+    here = F.transform(F.sequence(F.lit(0), F.lit(phases - 1)), lambda p: F.struct(p.alias("p"), F.lit(0).alias("c")))
+    ahead = F.filter(F.transform(F.sequence(F.lit(0), F.lit(phases - 1)), lambda p: F.struct(p.alias("p"), F.lit(1).alias("c"))), lambda x: x["p"] <= spot)
+    halo = rows.withColumn("_x", F.explode(F.when(spot >= 0, F.concat(here, ahead)).otherwise(here)))
+    halo = halo.withColumns({"_blk": F.col("_blk") + F.col("_x.c"), "_c": F.col("_x.c"), "_phase": F.col("_x.p"), **none}).drop("_x")
+    halo = halo.filter((F.col("_blk") > 0) | (F.col("_phase") == 0))  # a sequence has one start
+    schema = T.StructType([*[rows.schema[c] for c in key], T.StructField("_blk", T.LongType()), T.StructField("_phase", T.IntegerType()),
                            T.StructField("_entry", T.StringType()), T.StructField("_count", T.LongType()),
                            T.StructField("_exit", T.StringType()), T.StructField("_added", T.LongType())])
 
-    def fold_blocks(source: DataFrame) -> DataFrame:
-        placed = source.repartition(*group).sortWithinPartitions(*group, order)
-        return placed.mapInPandas(_tracer(fold, key), schema)
+    def traced(source: DataFrame) -> DataFrame:
+        placed = source.repartition(*group, "_phase").sortWithinPartitions(*group, "_phase", order)
+        return cut_lineage(placed.mapInPandas(_tracer(fold, key), schema).filter(F.col("_entry").isNotNull()).dropDuplicates([*group, "_entry", "_count"]))
 
-    states = cut_lineage(fold_blocks(halo).filter(F.col("_entry").isNotNull()))
-    w = Window.partitionBy(*key).orderBy("_blk")
-    so_far = F.coalesce(F.sum("_added").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    states, rounds = traced(halo), 0
     while True:
-        checked = states.withColumns({"_want": F.lag("_exit").over(w), "_sum": so_far})
-        wrong = checked.filter((F.col("_blk") > 0) & ((F.col("_want") != F.col("_entry")) | (F.col("_sum") != F.col("_count"))))
-        if wrong.isEmpty():
-            return states.select(*group, "_entry", "_count")
-        again = rows.withColumn("_c", F.lit(0)).join(
-            wrong.select(*group, F.col("_want").alias("_entry"), F.col("_sum").alias("_count")), group)
-        redone = fold_blocks(again)
-        states = cut_lineage(states.join(wrong.select(*group), group, "left_anti").unionByName(redone))
+        chain = states.repartition(*key).sortWithinPartitions(*group, "_phase")
+        chained = cut_lineage(chain.mapInPandas(_chain(key, fold.counted), T.StructType([*schema.fields[:len(key) + 1], *schema.fields[len(key) + 2:len(key) + 4],
+                                                                                         T.StructField("_met", T.BooleanType())])))
+        missing = chained.filter(~F.col("_met"))
+        if missing.isEmpty():
+            _ROUNDS.append(rounds)
+            return chained.drop("_met")
+        rounds += 1
+        again = rows.withColumns({"_c": F.lit(0), "_phase": F.lit(phases + rounds)}).join(missing.drop("_met"), group)
+        states = states.unionByName(traced(again))
+
+
+#: Extra rounds of the latest folds over long keys, for tests.
+_ROUNDS: deque = deque(maxlen=16)
+
+
+def _chain(key: list[str], counted: bool):
+    """Entry of every block along the chain of exits, and whether a trace has it.
+
+    After a block without one, the first trace stands in, so that the rest of the chain is still looked at.
+    """
+    names = [*key, "_blk", "_entry", "_count", "_met"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, want, total, block, traces = None, None, 0, None, []
+        done: list[tuple] = []
+
+        def close() -> None:
+            nonlocal want, total
+            if not traces:
+                return
+            if want is None:  # the first block of a key has one trace
+                met, trace = True, traces[0]
+            else:
+                fit = [t for t in traces if t[0] == want and (t[1] == total or not counted)]
+                met, trace = bool(fit), (fit or traces)[0]
+            entry, count = (trace[0], trace[1]) if want is None else (want, total)
+            done.append((*now, block, entry, count, met))
+            want, total = trace[2], count + trace[3]
+
+        for pdf in batches:
+            for *group, blk, _, entry, count, leave, added in zip(*[pdf[c].tolist() for c in pdf.columns]):
+                if tuple(group) != now or blk != block:
+                    close()
+                    traces = []
+                    if tuple(group) != now:
+                        now, want, total = tuple(group), None, 0
+                    block = blk
+                traces.append((entry, int(count), leave, int(added)))
+            if len(done) > 10_000:
+                yield pd.DataFrame(done, columns=names)
+                done = []
+        close()
+        yield pd.DataFrame(done, columns=names)
+
+    return run
 
 
 def _pack(fold: Fold, state: list) -> tuple[str, int]:
@@ -114,7 +169,7 @@ def _unpack(fold: Fold, text: str | None, count) -> list:
 def _tracer(fold: Fold, key: list[str]):
     """Entry and exit state of each block; rows copied from the block before only warm it up."""
     step, picks = fold.step, list(fold.columns)
-    names = [*key, "_blk", "_entry", "_count", "_exit", "_added"]
+    names = [*key, "_blk", "_phase", "_entry", "_count", "_exit", "_added"]
 
     def closed(group, entry, state):
         if entry is None:  # only warm-up rows: the block does not exist
@@ -126,7 +181,7 @@ def _tracer(fold: Fold, key: list[str]):
         current, state, entry = None, None, None
         for pdf in batches:
             done = []
-            data = zip(zip(*[pdf[c].tolist() for c in [*key, "_blk"]]), pdf["_c"].tolist(), pdf["_entry"].tolist(),
+            data = zip(zip(*[pdf[c].tolist() for c in [*key, "_blk", "_phase"]]), pdf["_c"].tolist(), pdf["_entry"].tolist(),
                        pdf["_count"].tolist(), zip(*[_plain(pdf[c]) for c in picks]))
             for group, copied, given, count, row in data:
                 if group != current:

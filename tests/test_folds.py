@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from storyspark.functions import text
-from storyspark.operators import curve, planners
+from storyspark.operators import curve, folds, planners
 from storyspark.operators.ordered import number_rows
 
 N = 90
@@ -210,3 +210,14 @@ def test_choices_never_repeat(spark):
     for rows in per_script(planners.plan_transitions(beats(spark, 7).withColumn("emotion_score", F.lit(80.0))), "transition_type", "duration").values():
         kinds = [r[0] for r in rows]
         assert all(not (a == b == c) for a, b, c in zip(kinds, kinds[1:], kinds[2:]))
+
+
+@pytest.mark.parametrize("blocks", [5, 10, 20])
+def test_rounds_do_not_grow_with_blocks(spark, blocks):
+    rows = [("k", i, float(i), i + 0.5, f"w{i}") for i in range(blocks * 8)]
+    words = spark.createDataFrame(rows, "script_id string, idx long, start_s double, end_s double, word string")
+    got = {r.idx: r.word_count for r in planners.group_words(words, block_rows=8).collect()}
+    assert got == {i: min(5, blocks * 8 - i) for i in range(0, blocks * 8, 5)} and folds._ROUNDS[-1] == 0
+    lines = words.withColumnRenamed("word", "text")
+    got = {r.idx: r.line_count for r in planners.group_short_lines(lines, block_rows=8).collect()}
+    assert got == {i: min(3, blocks * 8 - i) for i in range(0, blocks * 8, 3)} and folds._ROUNDS[-1] == 0
