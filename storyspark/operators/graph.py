@@ -202,15 +202,24 @@ def mutual_connections(edges: DataFrame, pairs: DataFrame, nodes: DataFrame, k:
         nodes.select(F.col("id").alias("dst"), F.coalesce(F.nullif(F.col("character"), F.lit("")), F.col("name")).alias("target")), "dst")
 
 
-def node_directory(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes with the number of their relationships in ``edges``."""
+def node_directory(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """Nodes with the number of their relationships in ``edges``.
+
+    ``sources`` (id) are the nodes whose edges were mined; the number is null for any other node,
+    of which nothing is known.  Without it all nodes count as mined.
+    """
     degree = edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("relationship_count"))
-    return nodes.join(degree, "id", "left").select(
-        "id", F.coalesce(F.nullif(F.col("character"), F.lit("")), F.col("name")).alias("name"), "category", "importance",
-        F.coalesce("relationship_count", F.lit(0)).alias("relationship_count"))
+    out = nodes.join(degree, "id", "left")
+    count = F.coalesce("relationship_count", F.lit(0))
+    if sources is not None:
+        out = out.join(sources.select("id", F.lit(True).alias("_mined")).distinct(), "id", "left")
+        count = F.when(F.col("_mined"), count)
+    return out.select("id", F.coalesce(F.nullif(F.col("character"), F.lit("")), F.col("name")).alias("name"), "category", "importance",
+                      count.alias("relationship_count"))
 
 
 def graph_status(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: nodes, their categories, the edges that were mined and from how many nodes."""
     n = nodes.agg(F.count(F.lit(1)).alias("node_count"), F.array_sort(F.collect_set(F.when(F.col("category") != "", F.col("category")))).alias("categories")).withColumn("k", F.lit(1))
-    e = edges.agg(F.count(F.lit(1)).alias("edge_count"), F.countDistinct("src").alias("source_count")).withColumn("k", F.lit(1))
+    e = edges.agg(F.count(F.lit(1)).alias("mined_edges"), F.countDistinct("src").alias("mined_nodes")).withColumn("k", F.lit(1))
     return n.join(e, "k").drop("k")

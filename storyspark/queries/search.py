@@ -271,11 +271,11 @@ def j11(spark, sf):
 
 
 @register("a9_node_directory", "id:i name:s category:s importance:i relationship_count:i", """
-SELECT id, character AS name, category, importance, coalesce(n, 0) AS relationship_count
+SELECT id, character AS name, category, importance, CASE WHEN id IN (SELECT id FROM heads) THEN coalesce(n, 0) END AS relationship_count
 FROM catalog LEFT JOIN (SELECT src, count(*) AS n FROM ed GROUP BY src) ON src = id""", EDGES_SQL)
 def a9_nodes(spark, sf):
     n = _nodes(spark, sf)
-    return graph.node_directory(n, _edges(n))
+    return graph.node_directory(n, _edges(n), heads(n))
 
 
 @register("a9_catalog_status", "total_records:i categories:s tag_index_size:i", """
@@ -285,8 +285,8 @@ def a9_catalog(spark, sf):
     return search.catalog_status(catalog(spark, sf)).withColumn("categories", F.array_join("categories", ","))
 
 
-@register("a9_graph_status", "node_count:i edge_count:i source_count:i", """
-SELECT (SELECT count(*) FROM catalog) AS node_count, count(*) AS edge_count, count(DISTINCT src) AS source_count FROM ed""", EDGES_SQL)
+@register("a9_graph_status", "node_count:i mined_edges:i mined_nodes:i", """
+SELECT (SELECT count(*) FROM catalog) AS node_count, count(*) AS mined_edges, count(DISTINCT src) AS mined_nodes FROM ed""", EDGES_SQL)
 def a9_graph(spark, sf):
     n = _nodes(spark, sf)
     return graph.graph_status(n, _edges(n))

@@ -486,14 +486,12 @@ def s7(spark, sf):
     return table(spark, sf, "pages").withColumn("content", web.html_to_text(F.col("html")))
 
 
-@register("s8_links", "page_id:i pos:i url:s title:s", """
-SELECT page_id, pos, url, trim(regexp_replace(regexp_replace(raw, '(?s)<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS title
+@register("s8_links", "page_id:i pos:i url:s title:s", rf"""
+SELECT page_id, pos, url, trim(regexp_replace({UNESCAPE.format("regexp_replace(raw, '(?s)<[^>]+>', ' ', 'g')")}, '[\s' || chr(160) || ']+', ' ', 'g')) AS title
 FROM (SELECT page_id, generate_subscripts(u, 1) - 1 AS pos, unnest(u) AS url, unnest(r) AS raw
-      FROM (SELECT page_id, regexp_extract_all(html, '(?is)<a[^>]+href=["'']([^"'']+)["''][^>]*>(.*?)</a>', 1) AS u, regexp_extract_all(html, '(?is)<a[^>]+href=["'']([^"'']+)["''][^>]*>(.*?)</a>', 2) AS r FROM pages))
-WHERE starts_with(url, '/')""")
+      FROM (SELECT page_id, regexp_extract_all(html, '(?is)<a[^>]+href=["'']([^"'']+)["''][^>]*>(.*?)</a>', 1) AS u, regexp_extract_all(html, '(?is)<a[^>]+href=["'']([^"'']+)["''][^>]*>(.*?)</a>', 2) AS r FROM pages))""")
 def s8(spark, sf):
-    links = web.extract_links(table(spark, sf, "pages"), "page_id", "html")
-    return links.filter(F.col("url").startswith("/"))
+    return web.extract_links(table(spark, sf, "pages"), "page_id", "html")
 
 
 @register("t4_multi_key_sort", "lang:s rank:i page_id:i url_hash:s", """

@@ -6,8 +6,6 @@ is run again after a lost executor or driver replaces its own output and nothing
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,12 +13,12 @@ from pyspark.sql import functions as F
 
 from storyspark.operators.audit import diversity_scores
 from storyspark.operators.ordered import number_rows
+from storyspark.session import shared_folder
 
 
 def job_folder(spark: SparkSession, name: str) -> str:
     """Folder for a job's checkpoint and output, below the shared checkpoint folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="storyspark-", dir=os.environ.get("TMPDIR"))
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def read_table_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
