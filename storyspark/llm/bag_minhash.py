@@ -324,7 +324,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = cut_lineage(rows.groupBy("node").agg(F.count("*").alias("n_copies"), F.min(F.struct("kid", "tk")).alias("one"), F.first("n_shingles").alias("n_shingles"),
                                                  F.first("bands").alias("bands")).withColumn("nid", F.monotonically_increasing_id()))
     banded = texts.select("nid", F.explode("bands").alias("bucket"))
-    buckets = banded.groupBy("bucket").agg(F.min("nid").alias("lead"), F.max("nid").alias("last")).where("lead <> last")
+    # tables of their own, here and below, so that the joins can split a large bucket or class
+    buckets = cut_lineage(banded.groupBy("bucket").agg(F.min("nid").alias("lead"), F.max("nid").alias("last")).where("lead <> last"))
     shared = cut_lineage(banded.join(buckets.select("bucket", "lead"), "bucket"))
     star = cut_lineage(shared.where("nid <> lead").select(F.col("lead").alias("a"), F.col("nid").alias("b")).distinct())
     named = star.select(F.col("a").alias("nid")).unionByName(star.select(F.col("b").alias("nid"))).distinct()
@@ -335,7 +336,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = texts.select("nid", "node", "n_copies").join(roots.withColumnRenamed("node", "nid"), "nid", "left")
     classes = rows.select("id", "tk", "node").join(named.select("node", "n_copies", F.coalesce("root_node", "node").alias("root")), "node")
     first = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("tk").alias("tk"))
-    heads = classes.groupBy("root").agg(F.min(first).alias("head"))
+    heads = cut_lineage(classes.groupBy("root").agg(F.min(first).alias("head")))
     return classes.join(heads, "root").select(F.col("id").alias(id_col), "tk", F.col("head.id").alias("class_id"), "n_copies",
                                               (F.col("id").eqNullSafe(F.col("head.id")) & (F.col("tk") == F.col("head.tk"))).alias("kept"))
 

@@ -25,7 +25,7 @@ from storyspark.llm.byte_bpe import byte_characters
 from storyspark.session import cut_lineage
 
 #: Pieces of one length that are ranked together; more are ranked in several groups.
-RANK_GROUP = 50_000
+RANK_GROUP = 2_000
 
 
 class TextEncoder:
@@ -159,12 +159,11 @@ def pack(pieces: DataFrame, capacity: int = 1024, id_col: str = "doc_id") -> Dat
     """
     spark = pieces.sparkSession
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
-    total = sum(histogram.values())
+    groups = spark.createDataFrame([(n, -(-c // RANK_GROUP)) for n, c in histogram.items()], "length long, __groups long")
     slot_rows = slots(patterns(histogram, capacity))
     table = spark.createDataFrame(slot_rows, "length long, first long, last long, copies long, base_sequence long, base_offset long")
-    groups = max(1, -(-total // RANK_GROUP))
     order = [F.col(id_col), F.col("row"), F.col("piece")]
-    dealt = pieces.withColumn("__group", F.pmod(F.xxhash64(*order), F.lit(groups)))
+    dealt = pieces.join(F.broadcast(groups), "length").withColumn("__group", F.pmod(F.xxhash64(*order), F.col("__groups")))
     sizes = dealt.groupBy("length", "__group").count()
     before = sizes.select("length", "__group", (F.sum("count").over(Window.partitionBy("length").orderBy("__group")) - F.col("count")).alias("__before"))
     ranked = dealt.withColumn("__rank", F.row_number().over(Window.partitionBy("length", "__group").orderBy(*order)) - 1)

@@ -219,7 +219,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     per_node = decoded.select("node", "n").join(counts, "node", "left").join(roots, "node", "left").select(
         "node", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))
     placed = comparable.select("id", "node").join(per_node, "node")
-    least = placed.groupBy("root").agg(F.min("id").alias("least"))
+    least = cut_lineage(placed.groupBy("root").agg(F.min("id").alias("least")))  # on its own, so that the join can split a large component
     linked = placed.join(least, "root").select("id", "n_links", F.col("least").alias("component_id"))
     alone = rows.where("node IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = linked.unionByName(alone)

@@ -171,7 +171,8 @@ def recurring_lines(docs: DataFrame, similarity: float = 0.8, min_docs: int = 2)
     named = lines.join(cut_lineage(final), "line", "left").select("id", "tk", "pos", F.coalesce("template", "line").alias("template"))
     doc = F.struct(F.col("id").isNull().alias("no_id"), "id", "tk")
     per_doc = named.select("template", doc.alias("doc")).distinct()
-    spread = per_doc.groupBy("template").agg(F.count("*").alias("docs"), F.min("doc").alias("home")).where(F.col("docs") >= min_docs)
+    # a table of its own, so that the join below can split a template that many lines have
+    spread = cut_lineage(per_doc.groupBy("template").agg(F.count("*").alias("docs"), F.min("doc").alias("home")).where(F.col("docs") >= min_docs))
     again = named.join(spread, "template").where(~doc.eqNullSafe(F.col("home")))
     return again.groupBy(_kid("id").alias("kid"), "tk").agg(F.collect_set("pos").alias("drop"))
 
