@@ -157,6 +157,13 @@ def _texts(column: pa.Array, chars: int = 2_000_000) -> Iterator[list[bytes]]:
         yield group
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in short slices: what becomes Python objects at once stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def text_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``docs`` with ``kid`` and ``tk``: what tells rows apart (id as text, hash of the text), null ids and texts included."""
     return docs.withColumns({"kid": F.coalesce(F.col(id_col).cast("string"), F.lit("\0")), "tk": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
@@ -210,7 +217,7 @@ def _bags(docs: DataFrame, wanted: DataFrame, text_col: str, id_col: str) -> Dat
 def _verified(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
     """The ``pairs`` (a, b) of texts whose multisets are similar enough."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             cells = [c.to_pylist() for c in batch.columns[2:]]
             bag = lambda items, counts: (np.frombuffer(items, _U), np.frombuffer(counts, np.int32))
             ok = [overlap(bag(ia, ca), bag(ib, cb)) >= similarity for ia, ca, ib, cb in zip(*cells)]
@@ -224,12 +231,13 @@ def _verified(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame
 def _shared_sizes(bags: DataFrame, open_: DataFrame) -> DataFrame:
     """(nid, private) of the ``open_`` texts: how much of a multiset lies in shingles that no other open text has (no row if nothing)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for nid, items, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                h = np.frombuffer(items, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), nid, np.int64)), pa.array(np.frombuffer(counts, np.int32))], ["item", "nid", "n"])
+        for batch in _slices(batches):
+            nids, items, counts = (c.to_pylist() for c in batch.columns)
+            item = np.frombuffer(b"".join(items), np.int64)
+            owner = np.repeat(np.array(nids, np.int64), [len(i) // 8 for i in items])
+            yield pa.RecordBatch.from_arrays([pa.array(item), pa.array(owner), pa.array(np.frombuffer(b"".join(counts), np.int32))], ["item", "nid", "n"])
 
-    items = bags.join(open_, "nid", "left_semi").mapInArrow(run, "item long, nid long, n int")
+    items = bags.join(open_, "nid", "left_semi").select("nid", "items", "counts").mapInArrow(run, "item long, nid long, n int")
     alone = items.groupBy("item").agg(F.min("nid").alias("nid"), F.max("nid").alias("last"), F.min("n").alias("n")).where("nid = last")
     return alone.groupBy("nid").agg(F.sum("n").alias("private"))
 
@@ -242,13 +250,15 @@ def _cell_links(cells: DataFrame, similarity: float) -> DataFrame:
     """
     def compare(rows: list, low: int, high: int) -> Iterator[tuple[int, int]]:
         left, right = [r for r in rows if r[1] == low], [r for r in rows if r[1] == high]
+        if not left or not right:
+            return
         column = lambda side, k: np.array([r[k] for r in side])
         n_a, n_b = column(left, 3)[:, None], column(right, 3)[None, :]
         q = np.minimum(column(left, 4)[:, None], column(right, 4)[None, :])
         maybe = (column(left, 2)[:, None] != column(right, 2)[None, :]) & (q >= similarity / (1 + similarity) * (n_a + n_b) - 1e-9)
         if low == high:
             maybe &= np.arange(len(left))[:, None] < np.arange(len(right))[None, :]
-        bands_a, bands_b = column(left, 5), column(right, 5)
+        bands_a, bands_b = np.stack([r[5] for r in left]), np.stack([r[5] for r in right])
         sets: dict[int, frozenset] = {}
         parent: dict[int, int] = {}
 
@@ -278,12 +288,13 @@ def _cell_links(cells: DataFrame, similarity: float) -> DataFrame:
             found = list(compare(rows, *now[1:])) if len(rows) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-        for batch in batches:
+        for batch in _slices(batches):
             for family, low, high, *row in zip(*(c.to_pylist() for c in batch.columns)):
                 if (family, low, high) != now:
                     if now:
                         yield close()
                     now, rows = (family, low, high), []
+                row[5] = np.array(row[5], np.int64)
                 rows.append(row)
         if now:
             yield close()
