@@ -393,27 +393,86 @@ def p11(spark, sf):
 
 # ---- folds over one text --------------------------------------------------------------------------
 
-@register("f1_chunk_sentences", "doc_id:i chunk_no:i chunk:s")
+# greedy grouping in SQL: every part becomes a state of its own, and states are merged from left to right
+NO_TEXT = "CAST([] AS VARCHAR[])"
+PARTS = "string_split(regexp_replace({0}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))"
+
+
+def _packed(tokens: str, limit: int) -> str:
+    """Tokens joined to pieces of at most ``limit`` characters."""
+    merged = f"""list_reduce(list_transform({tokens}, lambda x: {{'d': {NO_TEXT}, 'c': x}}), lambda a, b: CASE WHEN length(a.c) + 1 + length(b.c) > {limit}
+      THEN {{'d': list_append(a.d, a.c), 'c': b.c}} ELSE {{'d': a.d, 'c': a.c || ' ' || b.c}} END)"""
+    return f"CASE WHEN len({tokens}) = 0 THEN {NO_TEXT} ELSE list_transform([{merged}], lambda z: list_append(z.d, z.c))[1] END"
+
+
+CHUNK_SQL = DOCS_SQL + f""",
+pt AS (SELECT doc_id, list_transform({PARTS.format("coalesce(text, '')")}, lambda x: {{'d': {NO_TEXT}, 'c': [x], 'n': length(x)}}) AS p FROM docs),
+rd AS (SELECT doc_id, list_reduce(p, lambda a, b: CASE WHEN a.n + b.n > 500
+         THEN {{'d': list_append(a.d, array_to_string(a.c, ' ')), 'c': list_concat([a.c[-1]], b.c), 'n': length(a.c[-1]) + b.n}}
+         ELSE {{'d': a.d, 'c': list_concat(a.c, b.c), 'n': a.n + b.n}} END) AS z FROM pt),
+ch AS (SELECT doc_id, list_append(z.d, array_to_string(z.c, ' ')) AS l FROM rd)"""
+
+
+@register("f1_chunk_sentences", "doc_id:i chunk_no:i chunk:s", "SELECT doc_id, generate_subscripts(l, 1) - 1 AS chunk_no, unnest(l) AS chunk FROM ch", CHUNK_SQL)
 def f1(spark, sf):
     return docs(spark, sf).select("doc_id", F.posexplode(text.chunk_sentences(C(), 500, 1)).alias("chunk_no", "chunk"))
 
 
-@register("f17_segment_script", "doc_id:i idx:i segment:s")
+SEGMENT_SQL = DOCS_SQL + f""",
+pt AS (SELECT doc_id, list_prepend({{'d': {NO_TEXT}, 'c': {NO_TEXT}, 'n': 0}}, list_transform({SENTENCES.format("coalesce(text, '')")},
+         lambda x: {{'d': {NO_TEXT}, 'c': [x], 'n': CAST(len({TOKENS.format("x")}) AS INTEGER)}})) AS p FROM docs),
+rd AS (SELECT doc_id, list_reduce(p, lambda a, b:
+         CASE WHEN a.n >= 7 AND a.n + b.n > 16 AND b.n >= 16 THEN {{'d': list_concat(list_append(a.d, array_to_string(a.c, ' ')), b.c), 'c': {NO_TEXT}, 'n': 0}}
+              WHEN a.n >= 7 AND a.n + b.n > 16 THEN {{'d': list_append(a.d, array_to_string(a.c, ' ')), 'c': b.c, 'n': b.n}}
+              WHEN a.n + b.n >= 16 THEN {{'d': list_append(a.d, array_to_string(list_concat(a.c, b.c), ' ')), 'c': {NO_TEXT}, 'n': 0}}
+              ELSE {{'d': a.d, 'c': list_concat(a.c, b.c), 'n': a.n + b.n}} END) AS z FROM pt),
+sg AS (SELECT doc_id, CASE WHEN len(z.c) = 0 THEN z.d WHEN len(z.d) > 0 AND z.n < 7
+         THEN list_append(z.d[1:len(z.d) - 1], z.d[-1] || ' ' || array_to_string(z.c, ' ')) ELSE list_append(z.d, array_to_string(z.c, ' ')) END AS l FROM rd)"""
+
+
+@register("f17_segment_script", "doc_id:i idx:i segment:s", "SELECT doc_id, generate_subscripts(l, 1) - 1 AS idx, unnest(l) AS segment FROM sg", SEGMENT_SQL)
 def f17(spark, sf):
     return docs(spark, sf).select("doc_id", F.posexplode(text.segment_script(C())).alias("idx", "segment"))
 
 
-@register("f27_tts_chunks", "doc_id:i chunk_no:i chunk:s")
+TTS_SQL = DOCS_SQL + f""",
+pa AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(trim(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')), '\\n\\s*\\n+'),
+         lambda x: {SQUEEZE.format("x")}), lambda x: x <> '') AS ps FROM docs),
+pp AS (SELECT doc_id, generate_subscripts(ps, 1) AS n, unnest(ps) AS p FROM pa),
+st AS (SELECT doc_id, n, p, list_filter(list_transform({PARTS.format("p")}, lambda x: trim(x)), lambda x: x <> '') AS s FROM pp),
+el AS (SELECT doc_id, n, p, list_transform(s, lambda x: CASE WHEN length(x) > 250 THEN {{'d': {_packed(TOKENS.format("x"), 250)}, 'c': '', 'long': true}}
+         ELSE {{'d': {NO_TEXT}, 'c': x, 'long': false}} END) AS e FROM st),
+rd AS (SELECT doc_id, n, p, list_reduce(e, lambda a, b:
+         CASE WHEN b.long THEN {{'d': list_concat(list_concat(a.d, CASE WHEN a.c <> '' THEN [a.c] ELSE {NO_TEXT} END), b.d), 'c': '', 'long': true}}
+              WHEN a.c <> '' AND length(a.c) + 1 + length(b.c) > 250 THEN {{'d': list_append(a.d, a.c), 'c': b.c, 'long': false}}
+              ELSE {{'d': a.d, 'c': trim(a.c || ' ' || b.c), 'long': false}} END) AS z FROM el),
+ck AS (SELECT doc_id, flatten(list(CASE WHEN length(p) <= 250 THEN [p] WHEN z.c <> '' THEN list_append(z.d, z.c) ELSE z.d END ORDER BY n)) AS l FROM rd GROUP BY doc_id)"""
+
+
+@register("f27_tts_chunks", "doc_id:i chunk_no:i chunk:s", "SELECT doc_id, generate_subscripts(l, 1) - 1 AS chunk_no, unnest(l) AS chunk FROM ck", TTS_SQL)
 def f27(spark, sf):
     return docs(spark, sf).select("doc_id", F.posexplode(text.tts_chunks(C(), 250)).alias("chunk_no", "chunk"))
 
 
-@register("f28_wrap_lines", "doc_id:i idx:i wrapped:s")
+@register("f28_wrap_lines", "doc_id:i idx:i wrapped:s", """
+SELECT doc_id, idx, CASE WHEN len(l) > 2 THEN l[1] || '\\N' || array_to_string(l[2:], ' ') ELSE array_to_string(l, '\\N') END AS wrapped FROM wl""",
+          SEGMENTS_SQL + f""",
+wl AS (SELECT doc_id, idx, {_packed("t", 28)} AS l FROM (SELECT doc_id, idx, {TOKENS.format("text")} AS t FROM segs))""")
 def f28(spark, sf):
     return segments(spark, sf).withColumn("wrapped", text.wrap_lines(C()))
 
 
-@register("f11_normalize_paragraphs", "doc_id:i paragraphs:i normalized:s")
+NORMAL_SQL = DOCS_SQL + f""",
+md AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\\*{{1,3}}(.+?)\\*{{1,3}}', '\\1', 'g'), '_{{1,3}}(.+?)_{{1,3}}', '\\1', 'g'), '\\[.*?\\]', '', 'g') AS t FROM docs),
+pa AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(trim(regexp_replace(t, '^\\s+|\\s+$', '', 'g')), '\\n\\s*\\n+'), lambda x:
+         regexp_replace(trim(regexp_replace(regexp_replace(x, '[ \\t]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')), '\\s*\\n\\s*', ' ', 'g')), lambda x: x <> '') AS ps FROM md),
+se AS (SELECT doc_id, ps, list_filter(list_transform({PARTS.format("coalesce(ps[1], '')")}, lambda x: trim(x)), lambda x: x <> '') AS s FROM pa),
+nm AS (SELECT doc_id, array_to_string(CASE WHEN len(ps) = 1 AND len(s) > 3 AND len(regexp_extract_all(ps[1], '[A-Za-z0-9_''-]+')) > 140
+         THEN list_transform(range(0, (len(s) + 1) // 2), lambda i: array_to_string(s[2 * i + 1:2 * i + 2], ' ')) ELSE ps END, chr(10) || chr(10)) AS normalized FROM se)"""
+
+
+@register("f11_normalize_paragraphs", "doc_id:i paragraphs:i normalized:s",
+          "SELECT doc_id, len(string_split(normalized, chr(10) || chr(10))) AS paragraphs, normalized FROM nm", NORMAL_SQL)
 def f11(spark, sf):
     d = docs(spark, sf).withColumn("normalized", text.normalize_paragraphs(C()))
     return d.withColumn("paragraphs", F.size(F.split("normalized", "\n\n")))
