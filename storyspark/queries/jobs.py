@@ -9,8 +9,8 @@ from storyspark.plans import jobs
 from storyspark.plans.views import BEATS_SQL, beats, catalog, table
 from storyspark.queries.beats import DAY
 from storyspark.queries.registry import register
-from storyspark.queries.search import EDGES_SQL, centroids, heads
-from storyspark.queries.text import CREDITS, DOC_BEAT_RULES, DOC_EMOTIONS, DOC_ESCALATION, QUALITY_CTES, ROLLUP_SQL, docs
+from storyspark.queries.search import CENTROIDS, EDGES_SQL, centroids, heads
+from storyspark.queries.text import CHUNK_SQL, CREDITS, DOC_BEAT_RULES, DOC_EMOTIONS, DOC_ESCALATION, QUALITY_CTES, ROLLUP_SQL, docs
 from storyspark.streaming import jobs as streaming
 
 SUMMARY = ("script_id:i beat_count:i mean_intensity:d peak_intensity:d peak_index:i peak_beat_type:s trough_intensity:d intensity_range:d "
@@ -49,7 +49,11 @@ def e4(spark, sf):
     return jobs.subtitles_to_slides(lines, cand, total, entities=["click", "purchase", "signup"], unicode=False)["expanded"]
 
 
-@register("e5_retrieval_context", "query_id:s context:s")
+@register("e5_retrieval_context", "query_id:s context:s", """
+SELECT query_id, string_agg('- ' || chunk || ' (Character: label' || label || ')', chr(10) ORDER BY rank) AS context
+FROM (SELECT s.query_id, s.label, r.chunk, row_number() OVER (PARTITION BY s.query_id ORDER BY s.similarity DESC, sha256('docs' || chr(1) || r.doc_id || chr(1) || r.chunk_no || chr(1) || r.chunk)) AS rank
+      FROM sim s JOIN (SELECT doc_id, generate_subscripts(l, 1) - 1 AS chunk_no, unnest(l) AS chunk FROM ch) r ON r.doc_id = s.vec_id QUALIFY rank <= 5)
+GROUP BY query_id""", CHUNK_SQL + "," + CENTROIDS)
 def e5(spark, sf):
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", F.concat(F.lit("label"), "label").alias("character"))
     return jobs.retrieval(docs(spark, sf), e, centroids(spark, sf), qvector="q")["context"]
