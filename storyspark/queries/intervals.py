@@ -206,7 +206,26 @@ def w29(spark, sf):
 SOUND_EVENTS = ["crossfade", "zoom_dissolve", "whip_pan_right", "iris_wipe", "none", "fade"]
 
 
-@register("w30_plan_sounds", "script_id:i idx:i time_s:d transition:s stem:s")
+_HAVE = sorted({*planners.GENTLE_SOUNDS, *planners.IMPACT_SOUNDS})
+_NAMES = ", ".join(f"({n + 1}, '{t}', CAST({planners.sound_candidates(t)} AS VARCHAR[]))" for n, t in enumerate(SOUND_EVENTS))
+SOUND_SQL = BEATS_SQL + f""",
+sn AS (SELECT * FROM (VALUES {_NAMES}) v(k, tr, names)),
+ev AS (SELECT script_id, idx, start_s / 3600 AS hr, tr, names, list_concat(list_slice(names, idx % greatest(1, len(names)) + 1, len(names)), list_slice(names, 1, idx % greatest(1, len(names)))) AS ring
+       FROM beats JOIN sn ON k = CAST(asset_id AS BIGINT) % {len(SOUND_EVENTS)} + 1),
+cue AS (
+  SELECT DISTINCT script_id, CAST(-1 AS BIGINT) AS idx, CAST(NULL AS DOUBLE) AS hr, '' AS tr, CAST(NULL AS VARCHAR) AS stem, '' AS before, CAST(NULL AS DOUBLE) AS cue_at, CAST(NULL AS DOUBLE) AS hit_at FROM beats
+  UNION ALL
+  SELECT script_id, idx, hr, tr, stem, coalesce(stem, before), CASE WHEN stem IS NULL THEN cue_at ELSE hr END, CASE WHEN stem = 'impact_hit' THEN hr ELSE hit_at END
+  FROM (SELECT e.script_id, e.idx, e.hr, e.tr, c.before, c.cue_at, c.hit_at,
+          CASE WHEN c.cue_at IS NOT NULL AND e.hr - c.cue_at < 4.75e0 THEN NULL
+               WHEN list_contains(e.names, 'impact_hit') AND (c.hit_at IS NULL OR e.hr - c.hit_at >= 14.0e0) AND c.before <> 'impact_hit' THEN 'impact_hit'
+               ELSE coalesce(list_filter(e.ring, lambda x: list_contains({_HAVE}, x) AND NOT (x = c.before AND len(e.names) > 1)
+                                                   AND (x <> 'impact_hit' OR c.hit_at IS NULL OR e.hr - c.hit_at >= 14.0e0))[1],
+                             list_filter(e.names, lambda x: list_contains({_HAVE}, x))[1]) END AS stem
+        FROM cue c JOIN ev e ON e.script_id = c.script_id AND e.idx = c.idx + 1))"""
+
+
+@register("w30_plan_sounds", "script_id:i idx:i time_s:d transition:s stem:s", "SELECT script_id, idx, hr AS time_s, tr AS transition, stem FROM cue WHERE stem IS NOT NULL", SOUND_SQL)
 def w30(spark, sf):
     b = beats(spark, sf)
     pick = F.get(F.array(*[F.lit(x) for x in SOUND_EVENTS]), (F.col("asset_id").cast("long") % len(SOUND_EVENTS)).cast("int"))
