@@ -170,7 +170,7 @@ def test_line_templates_edge_cases(spark, docs, no_docs):
 # ---- cap filters
 
 def plain_links(rows, similarity=0.98):
-    ok = [(k, i, label, np.array(v, float)) for k, (i, v, label) in enumerate(rows)
+    ok = [(k, i, label, np.array(v, float) / np.abs(np.array(v, float)).max()) for k, (i, v, label) in enumerate(rows)
           if label is not None and v and all(c is not None and np.isfinite(c) for c in v) and any(v)]
     links = collections.defaultdict(set)
     for (a, _, la, x), (b, _, lb, y) in itertools.combinations(ok, 2):
