@@ -22,8 +22,9 @@ from storyspark.session import cut_lineage
 VARIABLE = "<*>"
 #: Leading tokens that route a line, after its token count.
 DEPTH = 3
-#: Fixed tokens that a line needs to be a template at all: shorter lines recur by chance.
+#: Fixed tokens that a line needs to be parsed: shorter lines recur by chance, so they only match as they are, in SHORT_MIN_DOCS documents or more.
 MIN_FIXED = 5
+SHORT_MIN_DOCS = 10
 #: Lines of a leaf that are parsed in one stream; a larger leaf is parsed in several, whose templates are then merged.
 STREAM_LINES = 4000
 _DIGIT = re.compile(r"\d")
@@ -70,24 +71,30 @@ class Leaf:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """(id, tk, pos, leaf, line) of each line of (id, tk, text) with enough fixed tokens: leaf and masked line as digests."""
+    """(id, tk, pos, leaf, line, short) of each line of (id, tk, text): leaf and masked line as digests.
+
+    A short line has no leaf.  One without a fixed token that holds a letter (blank, numbers, rules, brackets) is layout and left out.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner, pos, leaf, line = [], [], [], []
+            owner, pos, leaf, line, short = [], [], [], [], []
             for i, text in enumerate(batch.column(2)):
                 for p, raw in enumerate((text.as_py() or "").split("\n")):
                     words = tokens(raw)
-                    if len(words) >= MIN_FIXED and len(words) - words.count(VARIABLE) >= MIN_FIXED:
-                        owner.append(i)
-                        pos.append(p)
-                        leaf.append(int.from_bytes(_digest([str(len(words)), *words[:DEPTH]], 8), "little", signed=True))
-                        line.append(_digest(words, 16))
+                    few = len(words) - words.count(VARIABLE) < MIN_FIXED
+                    if few and not any(c.isalpha() for w in words for c in w):
+                        continue
+                    owner.append(i)
+                    pos.append(p)
+                    leaf.append(None if few else int.from_bytes(_digest([str(len(words)), *words[:DEPTH]], 8), "little", signed=True))
+                    line.append(_digest(["", *words] if few else words, 16))  # apart from templates of the same words
+                    short.append(few)
             take = pa.array(owner, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(pos, pa.int32()), pa.array(leaf, pa.int64()),
-                                              pa.array(line, pa.binary())], ["id", "tk", "pos", "leaf", "line"])
+                                              pa.array(line, pa.binary()), pa.array(short, pa.bool_())], ["id", "tk", "pos", "leaf", "line", "short"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "tk", "text").mapInArrow(run, f"id {kind}, tk long, pos int, leaf long, line binary")
+    return docs.select("id", "tk", "text").mapInArrow(run, f"id {kind}, tk long, pos int, leaf long, line binary, short boolean")
 
 
 def _line_tokens(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -151,7 +158,7 @@ def _parsed(lines: DataFrame, similarity: float) -> DataFrame:
     return dealt.mapInArrow(run, "leaf long, line binary, template binary, words array<string>")
 
 
-def recurring_lines(docs: DataFrame, similarity: float = 0.8, min_docs: int = 2) -> DataFrame:
+def recurring_lines(docs: DataFrame, similarity: float = 0.8, min_docs: int = 2, short_min_docs: int = SHORT_MIN_DOCS) -> DataFrame:
     """(kid, tk, drop) of (id, tk, text): positions of the lines to drop from each document that has any.
 
     Exact copies of a masked line are counted as digests.  Only leaves with several different lines
@@ -160,7 +167,7 @@ def recurring_lines(docs: DataFrame, similarity: float = 0.8, min_docs: int = 2)
     """
     lines = cut_lineage(scan(docs))
     at = F.struct(F.col("id").isNull().alias("no_id"), "id", "tk", "pos")
-    distinct = cut_lineage(lines.groupBy("leaf", "line").agg(F.min(at).alias("at")))
+    distinct = cut_lineage(lines.where("NOT short").groupBy("leaf", "line").agg(F.min(at).alias("at")))
     crowded = distinct.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1")
     wanted = distinct.join(crowded, "leaf")
     streams = crowded.select("leaf", F.ceil(F.col("n") / STREAM_LINES).alias("streams"))
@@ -168,28 +175,29 @@ def recurring_lines(docs: DataFrame, similarity: float = 0.8, min_docs: int = 2)
     first = cut_lineage(_parsed(spelled.withColumn("stream", F.pmod(F.xxhash64("line"), F.col("streams"))), similarity))
     merged = _parsed(first.where("words IS NOT NULL").groupBy("leaf", F.col("template").alias("line")).agg(F.first("words").alias("words")).withColumn("stream", F.lit(0)), similarity)
     final = first.select("line", F.col("template").alias("own")).join(merged.select(F.col("line").alias("own"), "template"), "own").select("line", "template")
-    named = lines.join(cut_lineage(final), "line", "left").select("id", "tk", "pos", F.coalesce("template", "line").alias("template"))
+    named = lines.join(cut_lineage(final), "line", "left").select("id", "tk", "pos", "short", F.coalesce("template", "line").alias("template"))
     doc = F.struct(F.col("id").isNull().alias("no_id"), "id", "tk")
-    per_doc = named.select("template", doc.alias("doc")).distinct()
+    per_doc = named.select("template", "short", doc.alias("doc")).distinct()
     # a table of its own, so that the join below can split a template that many lines have
-    spread = cut_lineage(per_doc.groupBy("template").agg(F.count("*").alias("docs"), F.min("doc").alias("home")).where(F.col("docs") >= min_docs))
+    least = F.when(F.col("short"), max(min_docs, short_min_docs)).otherwise(min_docs)
+    spread = cut_lineage(per_doc.groupBy("template", "short").agg(F.count("*").alias("docs"), F.min("doc").alias("home")).where(F.col("docs") >= least)
+                         .drop("short"))
     again = named.join(spread, "template").where(~doc.eqNullSafe(F.col("home")))
     return again.groupBy(_kid("id").alias("kid"), "tk").agg(F.collect_set("pos").alias("drop"))
 
 
 def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, min_docs: int = 2,
-                   counts: bool = False) -> DataFrame:
+                   counts: bool = False, short_min_docs: int = SHORT_MIN_DOCS) -> DataFrame:
     """``docs`` with the lines of recurring templates cut from ``text_col`` (and with ``n_lines``, ``n_dropped`` if ``counts``).
 
     A template recurs if lines of it stand in ``min_docs`` documents or more; the document of least
-    id (null ids last, then by text hash) keeps its lines, all others lose theirs.  Lines with fewer
-    than MIN_FIXED fixed tokens never match.  Every row stays, with all its columns; a text of
+    id (null ids last, then by text hash) x stays, with all its columns; a text of
     dropped lines alone becomes empty, a null text stays null.  Rows that repeat an id and its text
     are one document, rows that share an id only are several.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tk"), text.alias("text"))
-    drops = recurring_lines(slim, similarity, min_docs)
+    drops = recurring_lines(slim, similarity, min_docs, short_min_docs)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _kid(f"`{id_col}`").alias("kid"), F.xxhash64(text).alias("tk"))
     joined = packed.join(drops, ["kid", "tk"], "left")
     parts = F.split(F.col("row")[text_col], "\n")

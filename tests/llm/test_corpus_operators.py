@@ -151,6 +151,16 @@ def test_line_templates_generalise_fields_and_keep_the_first(spark):
     assert got[1] == texts[1] and got[2] == "short line" and got[3] == "" and got[4] == "short line" and got[5] is None and got[7] == texts[7] and got[8] == texts[8]
 
 
+def test_line_templates_short_lines_need_more_documents(spark):
+    texts = {i: f"All rights reserved.\nPage {i}\n}}\n\n42\n" + ("Seldom seen." if i < 9 else "other") for i in range(10)}
+    got = {r["doc_id"]: r["text"] for r in line_templates.drop_recurring(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got[0] == texts[0] and all(got[i] == "}\n\n42\n" + ("Seldom seen." if i < 9 else "other") for i in range(1, 10))
+    few = spark.createDataFrame(list(texts.items())[:9], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in line_templates.drop_recurring(few).collect()} == dict(list(texts.items())[:9])
+    got = {r["doc_id"]: r["text"] for r in line_templates.drop_recurring(few, short_min_docs=3).collect()}
+    assert got[0] == texts[0] and set(got.values()) == {texts[0], "}\n\n42"}
+
+
 def test_line_templates_streams_merge(spark, monkeypatch):
     monkeypatch.setattr(line_templates, "STREAM_LINES", 3)
     base = "the start of every line is the same and then come {} {} in the middle of it all"
