@@ -9,8 +9,10 @@ boilerplate: their lines are dropped from every document but the first.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ DEPTH = 3
 #: Fixed tokens that a line needs to be parsed: shorter lines recur by chance, so they only match as they are, in SHORT_MIN_DOCS documents or more.
 MIN_FIXED = 5
 SHORT_MIN_DOCS = 10
-#: Lines of a leaf that are parsed in one stream; a larger leaf is parsed in several, whose templates are then merged.
+#: Templates of a leaf that a line is compared with one by one; among more, those that can match are looked up by their segments, with the same outcome.
 STREAM_LINES = 4000
 _DIGIT = re.compile(r"\d")
 
@@ -41,33 +43,96 @@ def _digest(parts: list[str], size: int) -> bytes:
 
 
 class Leaf:
-    """Templates of one leaf, in order of arrival."""
+    """Templates of one leaf, in order of arrival.
+
+    A line that is similar enough to a template differs from it in at most ``places - need`` places,
+    so it shares one whole segment at least of any ``places - need + 1``.  In a large leaf, templates
+    are found by the segments that they have or had, of which a line takes those that the fewest
+    templates have; all that can match are among them.
+    """
 
     def __init__(self, similarity: float):
         self.similarity, self.ids, self.lines = similarity, {VARIABLE: 0}, []
         self.matrix = np.zeros((0, 0), np.int32)
         self.n = 0
+        self.index: dict[tuple[int, bytes], array] | None = None
+        self.bounds: list[tuple[int, int]] = []
+        self.looked_up = 0
+
+    def _segments(self, row: np.ndarray) -> list[tuple[int, bytes]]:
+        return [(k, row[a:b].tobytes()) for k, (a, b) in enumerate(self.bounds)]
+
+    def _build(self, places: int) -> None:
+        """Index of the templates so far; the leading places, which all share, are in no segment."""
+        need = next((k for k in range(places + 1) if k >= self.similarity * places), places)
+        self.looked_up = places - need + 1
+        self.index = {}
+        if self.looked_up <= places - DEPTH:
+            segments = min(2 * self.looked_up, places - DEPTH)
+            cuts = [DEPTH + (places - DEPTH) * k // segments for k in range(segments + 1)]
+            self.bounds = list(itertools.pairwise(cuts))
+            for k in range(self.n):
+                self._enter(k, self._segments(self.matrix[k]))
+
+    def _enter(self, template: int, segments: list[tuple[int, bytes]]) -> None:
+        for key in segments:
+            self.index.setdefault(key, array("i")).append(template)
+
+    def _best(self, row: np.ndarray, segments: list[tuple[int, bytes]]) -> tuple[int, int]:
+        """The template that agrees with ``row`` in most places (the first on ties), and in how many."""
+        found = sorted((self.index.get(key, ()) for key in segments), key=len)[:self.looked_up]
+        if not found or sum(map(len, found)) > self.n // 4:
+            same = (self.matrix[:self.n] == row).sum(1)
+            best = int(same.argmax())
+            return best, int(same[best])
+        some = np.unique(np.concatenate([np.array(f, np.int32) for f in found]))
+        if not len(some):
+            return -1, -1
+        same = (self.matrix[some] == row).sum(1)
+        best = int(same.argmax())
+        return int(some[best]), int(same[best])
 
     def add(self, line: list[str]) -> int:
         """Index of the template that ``line`` joins (the most similar one, the first on ties) or opens."""
         row = np.array([self.ids.setdefault(t, len(self.ids)) for t in line], np.int32)
+        if self.index is None and self.n > STREAM_LINES:
+            self._build(len(row))
+        segments = self._segments(row)
         if not self.n:
             self.matrix = np.zeros((4, len(row)), np.int32)
         else:
-            same = (self.matrix[:self.n] == row).sum(1)
-            best = int(same.argmax())
-            if same[best] >= self.similarity * len(row):
-                self.matrix[best] = np.where(self.matrix[best] == row, row, 0)
+            best, same = self._best(row, segments)
+            if best >= 0 and same >= self.similarity * len(row):
+                old, new = self.matrix[best], np.where(self.matrix[best] == row, row, 0)
+                if self.bounds and (old != new).any():
+                    had = set(self._segments(old))
+                    self._enter(best, [key for key in self._segments(new) if key not in had])
+                self.matrix[best] = new
                 return best
         if self.n == len(self.matrix):
             self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
         self.matrix[self.n] = row
+        if self.bounds:
+            self._enter(self.n, segments)
         self.n += 1
         return self.n - 1
 
-    def templates(self) -> list[list[str]]:
+    def templates(self, order: Iterable[int] | None = None) -> Iterator[list[str]]:
         spell = list(self.ids)
-        return [[spell[i] for i in row] for row in self.matrix[:self.n].tolist()]
+        return ([spell[i] for i in self.matrix[k].tolist()] for k in (range(self.n) if order is None else order))
+
+
+def parse(lines: Iterable[list[str]], similarity: float) -> list[bytes]:
+    """Digest of the template of each of the ``lines`` of one leaf: parsed in their order, then the templates once more in order of their digests."""
+    leaf = Leaf(similarity)
+    of = array("i", (leaf.add(words) for words in lines))
+    names = [_digest(t, 16) for t in leaf.templates()]
+    once = {name: k for k, name in enumerate(names)}
+    order = sorted(once)
+    again = Leaf(similarity)
+    merged = dict(zip(order, [again.add(words) for words in leaf.templates(once[name] for name in order)]))
+    final = [_digest(t, 16) for t in again.templates()]
+    return [final[merged[names[k]]] for k in of]
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -120,61 +185,47 @@ def _kid(column: str):
 
 
 def _parsed(lines: DataFrame, similarity: float) -> DataFrame:
-    """(leaf, line, template, words) of (leaf, stream, line, words): the template's digest, and its tokens once per template.
+    """(line, template) of (leaf, line, words), as digests.
 
-    Streams are sorted, so a task holds one leaf's templates and the digests of one stream.
+    A leaf is one stream, however many lines it has: lines that meet in no template of one stream
+    could still meet in another order, so a leaf in parts would not give the same templates.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, leaf, members, out = None, None, [], ([], [], [], [])
-
-        def close() -> None:
-            if leaf is None:
-                return
-            templates = leaf.templates()
-            names = [_digest(t, 16) for t in templates]
-            first = set()
-            for line, k in members:
-                for column, value in zip(out, (now[0], line, names[k], None if k in first else templates[k])):
-                    column.append(value)
-                first.add(k)
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+        lines, templates = [], []
 
         def emit() -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.string()))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["leaf", "line", "template", "words"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in (lines, templates)], ["line", "template"])
 
-        for batch in batches:
-            for key, stream, line, words in zip(*(c.to_pylist() for c in batch.columns)):
-                if (key, stream) != now:
-                    close()
-                    now, leaf, members = (key, stream), Leaf(similarity), []
-                members.append((line, leaf.add(words)))
-            if len(out[0]) > 10_000:
+        def words(members: Iterable[tuple]) -> Iterator[list[str]]:
+            for _, line, spelled in members:
+                lines.append(line)
+                yield spelled
+
+        for _, members in itertools.groupby(rows, key=lambda row: row[0]):
+            templates += parse(words(members), similarity)
+            if len(lines) > 10_000:
                 yield emit()
-                out = [], [], [], []
-        close()
+                lines, templates = [], []
         yield emit()
 
-    dealt = lines.select("leaf", "stream", "line", "words").repartition("leaf", "stream").sortWithinPartitions("leaf", "stream", "line")
-    return dealt.mapInArrow(run, "leaf long, line binary, template binary, words array<string>")
+    dealt = lines.select("leaf", "line", "words").repartition("leaf").sortWithinPartitions("leaf", "line")
+    return dealt.mapInArrow(run, "line binary, template binary")
 
 
 def recurring_lines(docs: DataFrame, similarity: float = 0.8, min_docs: int = 2, short_min_docs: int = SHORT_MIN_DOCS) -> DataFrame:
     """(kid, tk, drop) of (id, tk, text): positions of the lines to drop from each document that has any.
 
     Exact copies of a masked line are counted as digests.  Only leaves with several different lines
-    need their tokens: these are read once more and parsed, in streams of about STREAM_LINES, whose
-    templates are merged by a second parse of the templates alone.
+    need their tokens: these are read once more and parsed, each leaf as one stream, so that the
+    templates do not depend on the number of lines.
     """
     lines = cut_lineage(scan(docs))
     at = F.struct(F.col("id").isNull().alias("no_id"), "id", "tk", "pos")
     distinct = cut_lineage(lines.where("NOT short").groupBy("leaf", "line").agg(F.min(at).alias("at")))
     crowded = distinct.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1")
     wanted = distinct.join(crowded, "leaf")
-    streams = crowded.select("leaf", F.ceil(F.col("n") / STREAM_LINES).alias("streams"))
-    spelled = _line_tokens(docs, wanted).join(streams, "leaf")
-    first = cut_lineage(_parsed(spelled.withColumn("stream", F.pmod(F.xxhash64("line"), F.col("streams"))), similarity))
-    merged = _parsed(first.where("words IS NOT NULL").groupBy("leaf", F.col("template").alias("line")).agg(F.first("words").alias("words")).withColumn("stream", F.lit(0)), similarity)
-    final = first.select("line", F.col("template").alias("own")).join(merged.select(F.col("line").alias("own"), "template"), "own").select("line", "template")
+    final = _parsed(_line_tokens(docs, wanted), similarity)
     named = lines.join(cut_lineage(final), "line", "left").select("id", "tk", "pos", "short", F.coalesce("template", "line").alias("template"))
     doc = F.struct(F.col("id").isNull().alias("no_id"), "id", "tk")
     per_doc = named.select("template", "short", doc.alias("doc")).distinct()

@@ -169,6 +169,23 @@ def test_line_templates_streams_merge(spark, monkeypatch):
     assert got[0] and not any(got[i] for i in range(1, 20))
 
 
+def test_line_templates_do_not_depend_on_the_size_of_a_leaf(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    for places, vocabulary, similarity in ((10, 3, 0.8), (5, 6, 0.8), (21, 2, 0.8), (10, 4, 0.5), (6, 9, 0.3)):
+        draws = {tuple(map(int, r)) for r in rng.integers(0, vocabulary, (300, places - 3))}
+        lines = [["all", "open", "alike", *("<*>" if t == 1 else f"w{chr(97 + t)}" for t in row)] for row in sorted(draws)]
+        outcomes = []
+        for bound in (10_000, 20, 0):
+            monkeypatch.setattr(line_templates, "STREAM_LINES", bound)
+            outcomes.append(line_templates.parse(lines, similarity))
+        assert outcomes[0] == outcomes[1] == outcomes[2] and 1 <= len(set(outcomes[0])) < len(lines)
+    rows = rng.integers(0, 4, (120, 9))
+    texts = {i: "all open alike here now " + " ".join(f"w{chr(97 + t)}" for t in row) for i, row in enumerate(rows.tolist())}
+    monkeypatch.setattr(line_templates, "STREAM_LINES", 7)
+    got = {r["doc_id"]: r["text"] for r in line_templates.drop_recurring(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == plain_line_dedup(texts) and "" in got.values()
+
+
 def test_line_templates_edge_cases(spark, docs, no_docs):
     got = line_templates.drop_recurring(docs, counts=True)
     assert got.columns == [*docs.columns, "n_lines", "n_dropped"] and got.count() == 10
