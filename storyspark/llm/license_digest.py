@@ -24,8 +24,11 @@ SPELLINGS = [
     ("sub license", "sublicense"), ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willful"),
 ]
 
-#: A line that only names the owner of the copyright: it opens with the word or sign, or says all rights reserved.
-COPYRIGHT_LINE = r"(?m)^[^\S\n]*(?:copyright\b|\(c\)|©|all rights reserved)[^\n]*$"
+#: A line that only names the owner of the copyright: it opens with the sign, or with the word or (c) before a year, a sign, a field to fill in
+#: or "by", or ends in (or is) all rights reserved.  A wrapped sentence that opens with the word, and an item (c) of a list, are text.
+COPYRIGHT_LINE = (r"(?m)^[^\S\n]*(?:(?:copyright[^\S\n]*:?[^\S\n]*)?(?:©[^\n]*|\(c\)[^\S\n]*(?:copyright[^\S\n]*)?(?:[0-9<\[{]|by\b)[^\n]*)"
+                  r"|copyright[^\S\n]*:?[^\S\n]*(?:\(c\)|[0-9<\[{]|by\b)[^\n]*"
+                  r"|(?:copyright\b[^\n]*[^\S\n])?all rights reserved[^\S\n]*[.!]?[^\S\n]*)$")
 
 _NOTICES = [  # short notices that stand for a whole licence
     ("MIT", "Released under the MIT License."),

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -230,3 +231,25 @@ def test_licence_forms_that_are_equal(spark, no_docs):
     assert license_digest.scan(no_docs, license_digest.known_licences(spark)).collect() == []
     spelled = license_digest.known_licences(spark, [("A", "The licences of the organisation, whilst the copyright owner"), ("B", "!")]).collect()
     assert [r["digest"] for r in spelled] == [hashlib.sha256(b"the licenses of the organization while the copyright holder").hexdigest()]
+
+
+@pytest.mark.parametrize("width", [None, 20, 40, 64, 72, 80, 100])
+def test_licence_texts_match_however_they_are_wrapped(spark, width):
+    def wrapped(text):
+        parts = [" ".join(part.split()) for part in text.split("\n\n")]
+        return " ".join(parts) if width is None else "\n\n".join(textwrap.fill(part, width, break_long_words=False, break_on_hyphens=False) for part in parts)
+
+    texts = [*license_digest._TEXTS, ("ISC", license_digest._TEXTS[1][1].replace("the above copyright", "the above\ncopyright"))]
+    docs = spark.createDataFrame([(i, f"Copyright (c) 2020 Someone\nAll rights reserved.\n\n{wrapped(t)}") for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text_license"] for r in license_digest.scan(docs, license_digest.known_licences(spark)).collect()}
+    assert got == {i: name for i, (name, _) in enumerate(texts)}
+
+
+def test_licence_copyright_lines_are_those_of_owners_only(spark):
+    owners = ["Copyright (c) 2020 Someone", "copyright 1999, 2001 A", "Copyright © B", "© C", "(c) 2020 D", "Copyright by E", "Copyright [yyyy] [name]", "All rights reserved.",
+              "(C) Copyright 2001 F", "Copyright The Authors. All rights reserved."]
+    kept = ["copyright notice and this permission notice appear in all copies.", "(c) You must retain all notices", "Copyright", "copyright holders be liable",
+            "all rights reserved to others are kept"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(owners + kept)], "i int, text string")
+    got = {r["i"]: r["canon"] for r in license_digest.with_canonical(rows, "text", "canon").collect()}
+    assert [i for i, c in got.items() if c == ""] == list(range(len(owners)))
