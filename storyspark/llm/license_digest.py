@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storyspark.llm.licence_texts import LONG_TEXTS
 from storyspark.session import cut_lineage
 
 # Equivalent spellings of the published matching guidelines for licences (variant, kept spelling), in lower case without punctuation.
@@ -57,6 +58,53 @@ _TEXTS = [  # Fixed values: whole licence texts
     ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\n" + _ISC_END),
 ]
 
+_BSD = [
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+    "and/or other materials provided with the distribution.",
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+    "without specific prior written permission.",
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, "
+    "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS "
+    "BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE "
+    "GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT "
+    "LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH "
+    "DAMAGE.",
+]
+_TITLES = {  # titles that a text has, has not, or has in other words
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "Expat License"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "BSD Zero Clause License (0BSD)", "0BSD License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", "BSD 2-Clause \"Simplified\" License", "BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", "BSD 3-Clause \"New\" or \"Revised\" License", "BSD License"],
+}
+_END = "END OF TERMS AND CONDITIONS"
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """(license_id, text) of the whole licences in their usual variants.
+
+    Short texts with each of their titles or none; longer ones as published, in one line (where
+    notices inside are not lines of their own), and without the appendix on how to apply them.
+    """
+    short = list(_TEXTS)
+    for name, parts in (("BSD-2-Clause", [*_BSD[:3], _BSD[4]]), ("BSD-3-Clause", _BSD)):
+        for holders in (parts[-1], parts[-1].replace("COPYRIGHT HOLDER OR", "COPYRIGHT HOLDERS OR")):
+            short.append((name, "\n\n".join([*parts[:-1], holders])))
+            short.append((name, "\n\n".join([parts[0], *(f"{k}. {part}" for k, part in enumerate(parts[1:-1], 1)), holders])))
+    short += [(name, text) for name, text in LONG_TEXTS if name in _TITLES]
+    found = []
+    for name, text in short:
+        bare = next((text[len(title):].lstrip() for title in _TITLES[name] if text.startswith(f"{title}\n")), text)
+        found += [(name, bare), *((name, f"{title}\n\n{bare}") for title in _TITLES[name])]
+    for name, text in LONG_TEXTS:
+        if name not in _TITLES:
+            body = text.split(_END)[0]
+            for variant in dict.fromkeys([text, body, body + _END if _END in text else text]):
+                found += [(name, variant), (name, " ".join(variant.split()))]
+    return list(dict.fromkeys(found))
+
 
 def with_canonical(df: DataFrame, text: str, out: str) -> DataFrame:
     """``df`` with column ``out``: the canonical form of ``text``.
@@ -84,7 +132,7 @@ def digest(canonical_text: Column) -> Column:
 
 def known_licences(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
     """(license_id, digest) of known texts, the built-in ones by default; texts that share a digest keep the least id."""
-    rows = spark.createDataFrame(texts if texts is not None else [*_NOTICES, *_TEXTS], "license_id string, text string")
+    rows = spark.createDataFrame(texts if texts is not None else [*_NOTICES, *whole_texts()], "license_id string, text string")
     return with_canonical(rows, "text", "canon").select("license_id", digest(F.col("canon")).alias("digest")).where("digest IS NOT NULL").groupBy("digest").agg(
         F.min("license_id").alias("license_id"))
 
@@ -127,7 +175,7 @@ def scan_sql(docs: str = "documents", texts: list[tuple[str, str]] | None = None
         return out
 
     flat = "replace({0}, chr(10), ' ')"
-    quoted = ", ".join("('{}', '{}')".format(a, t.replace("'", "''")) for a, t in (texts if texts is not None else [*_NOTICES, *_TEXTS]))
+    quoted = ", ".join("('{}', '{}')".format(a, t.replace("'", "''")) for a, t in (texts if texts is not None else [*_NOTICES, *whole_texts()]))
     return f"""
 WITH known AS (
   SELECT sha256({flat.format("c")}) AS digest, min(license_id) AS license_id

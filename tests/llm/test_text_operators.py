@@ -253,3 +253,16 @@ def test_licence_copyright_lines_are_those_of_owners_only(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(owners + kept)], "i int, text string")
     got = {r["i"]: r["canon"] for r in license_digest.with_canonical(rows, "text", "canon").collect()}
     assert [i for i, c in got.items() if c == ""] == list(range(len(owners)))
+
+
+def test_licence_whole_texts_are_known_with_their_titles(spark):
+    long = dict(license_digest.LONG_TEXTS)
+    mit, bsd = dict(license_digest._TEXTS)["MIT"].removeprefix("MIT License"), "\n".join(license_digest._BSD)
+    rows = [(name, long[name]) for name in long] + [(name, textwrap.dedent(long[name]).upper()) for name in long]
+    rows += [(name, " ".join(long[name].split())) for name in long if name != "BSD-3-Clause"] + [(n, long[n].split("END OF TERMS")[0]) for n in ("Apache-2.0", "GPL-3.0", "GPL-2.0")]
+    rows += [("MIT", f"{title}\n\nCopyright (c) 2001 A\n{mit}") for title in ("", "MIT License", "The MIT License (MIT)")]
+    rows += [("BSD-3-Clause", f"Copyright 2001, A\nAll rights reserved.\n\n{bsd}"), ("BSD-3-Clause", textwrap.fill(bsd, 72)), (None, long["GPL-3.0"][:-200])]
+    rows += [("BSD-2-Clause", "BSD 2-Clause License\n\n" + "\n* ".join(license_digest._BSD[:3]) + "\n" + license_digest._BSD[4])]
+    docs = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text_license"] for r in license_digest.scan(docs, license_digest.known_licences(spark)).collect()}
+    assert got == {i: name for i, (name, _) in enumerate(rows)}
