@@ -28,7 +28,7 @@ BLOCK_CELLS = 512
 
 @dataclass
 class Layout:
-    """Texts as one byte buffer: each is padded with zeros to whole cells, and windows start at its own bytes only."""
+    """Texts as one byte buffer: each is padded with zeros to whole cells, so that windows start at its own bytes only and end in its own padding."""
 
     data: np.ndarray
     valid: np.ndarray
@@ -37,7 +37,7 @@ class Layout:
     @classmethod
     def of(cls, texts: Sequence[bytes]) -> Layout:
         size = np.array([len(t) for t in texts], np.int64)
-        cells = np.maximum(1, -(-size // CELL))
+        cells = -(-(np.maximum(size, 1) + WIDTH - 1) // CELL)
         start = np.concatenate([[0], np.cumsum(cells)]) * CELL
         data = np.zeros(start[-1] + WIDTH, np.uint8)
         valid = np.zeros(start[-1], bool)
@@ -109,7 +109,9 @@ class Network:
         hidden = np.tanh(chunk + self.bias)
         starts = np.concatenate([[0], np.cumsum(layout.chunks())[:-1]])
         mean = np.add.reduceat(hidden, starts) / layout.chunks()[:, None]
-        return mean @ self.mean_weight + np.maximum.reduceat(hidden, starts) @ self.max_weight + self.offset + self.prior
+        top = np.maximum.reduceat(hidden, starts)
+        # row by row: the last bits of a matrix product depend on the other rows
+        return (mean * self.mean_weight).sum(1) + (top * self.max_weight).sum(1) + self.offset + self.prior
 
     def gradients(self, texts: Sequence[bytes], target: np.ndarray) -> list[np.ndarray]:
         """Of the mean log loss, in the order taps, bias, mean_weight, max_weight, offset."""

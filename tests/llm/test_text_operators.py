@@ -194,6 +194,15 @@ def test_network_covers_the_whole_text_and_ignores_the_batch():
     assert np.allclose(batch, [net.logits([t], pairs)[0] for t in (b"", b"x", tail, b"good text here")], atol=1e-5)
 
 
+def test_classifier_score_does_not_depend_on_the_next_text():
+    net = byte_cnn.Network.start(4, np.random.default_rng(2))
+    pairs = net.pairs()
+    for n in (122, 123, 124, 127, 128, 129, 256, 384):
+        text = b"a" * n
+        alone = net.logits([text], pairs)[0]
+        assert np.isfinite(alone) and all(net.logits([text, other], pairs)[0] == alone for other in (b"zzzzz", b"\xff" * 200, b""))
+
+
 def test_classifier_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     rows = QUERIES["op7_byte_cnn"](spark, sf).collect()
