@@ -31,6 +31,8 @@ RANK_GROUP = 2_000
 class TextEncoder:
     """Ids of a byte-level BPE file of the tokenizers library, without special tokens.
 
+    The name of an added token in a text is text: it becomes ordinary pieces, unlike by the library's default.
+
     Texts up to U+024F are encoded with the file's own vocabulary as ranks, which gives the same
     ids several times faster (its ids follow its merges); any other text goes to the library itself,
     since the two split newer scripts by different Unicode tables.
