@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyspark.llm import bag_minhash, bin_slack, byte_bpe, byte_cnn, cap_filters, chat_parts, hard_negatives, license_digest, line_templates, quality_forest, warc
+from storyspark.llm import bag_minhash, bin_slack, byte_bpe, byte_cnn, cap_filters, chat_parts, fp_tree, hard_negatives, license_digest, line_templates, quality_forest, warc
 from storyspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +154,28 @@ SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, p
 FROM p JOIN s USING (anchor_id)
 WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
 QUALIFY rank <= 5"""
+
+
+@register
+def op12_fp_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item, among all documents."""
+    return fp_tree.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+SQL["op12_fp_tree"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+i AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+s AS (SELECT count(*) AS docs, CAST(sum(len(words)) AS BIGINT) AS length FROM d WHERE len(words) > 0),
+t AS (SELECT r, doc_id, len(words) AS n, term, count(*) AS tf FROM (SELECT r, doc_id, words, unnest(words) AS term FROM d) GROUP BY r, doc_id, len(words), term),
+f AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM t, s GROUP BY term, docs),
+p AS (
+  SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // length)))) AS BIGINT) AS score
+  FROM i JOIN t USING (term) JOIN f USING (term), s GROUP BY item_id, r, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM p WHERE score > 0 QUALIFY rank <= 50"""
