@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyspark.llm import bag_minhash, bin_slack, byte_bpe, byte_cnn, cap_filters, chat_parts, fp_tree, hard_negatives, license_digest, line_templates, quality_forest, warc
+from storyspark.llm import bag_minhash, bin_slack, byte_bpe, byte_cnn, cap_filters, chat_parts, fp_tree, hard_negatives, kneser_ney, license_digest, line_templates, quality_forest, warc
 from storyspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -179,3 +179,10 @@ p AS (
   FROM i JOIN t USING (term) JOIN f USING (term), s GROUP BY item_id, r, doc_id)
 SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
 FROM p WHERE score > 0 QUALIFY rank <= 50"""
+
+
+@register
+def op13_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability that each document is toxic; labels come from rows that are not held out only."""
+    docs = table(spark, sf_dir, "documents")
+    return kneser_ney.score(docs, kneser_ney.fit(docs, table(spark, sf_dir, "labels")))
