@@ -1,9 +1,11 @@
 """Catalog search: tag, emotion, arc and composite ranking, catalog and file matching.
 
-No search multiplies queries by assets.  Matches come from equi-joins on tags, tokens and
-exploded substrings of short distinct labels.  The composite ranker adds the best assets by
-the part of the score every asset has (importance, similarity): an asset outside both sets
-loses against k others, so the candidates always hold the true top k.
+No search multiplies queries by assets.  Scores depend on an asset's attributes only, so a batch
+first meets *signatures*: distinct combinations of the attributes that it asks about, each with
+its k lowest ids.  Of the signatures, a query keeps the k best by score and lowest id; each has an
+asset that beats all assets of those left out, so the k best assets are among theirs.  Matches come
+from equi-joins on tags, tokens and exploded substrings of short distinct labels.  The composite
+ranker adds the best assets by the part of the score every asset has (importance, similarity).
 """
 
 from __future__ import annotations
@@ -39,19 +41,67 @@ def contained_pairs(needles: DataFrame, hays: DataFrame, needle: str = "needle",
     return h.join(n, needle).select(needle, hay)
 
 
+# ---- signatures -----------------------------------------------------------------------------------
+
+def signatures(assets: DataFrame, columns: Sequence[str], k: int, id: str = "id") -> DataFrame:
+    """Distinct combinations of ``columns`` with their k lowest ids (``_ids``); the lowest stands for the combination.
+
+    The row_number filter becomes a group limit before the shuffle, so a combination that a third of
+    the assets share sends k rows a task.
+    """
+    lowest = top_k(assets.select(id, *columns), k, [F.col(id)], list(columns), "_n").drop("_n")
+    return lowest.groupBy(*columns).agg(F.sort_array(F.collect_list(id)).alias("_ids")).withColumn(id, F.col("_ids")[0])
+
+
+def _members(ranked: DataFrame, sigs: DataFrame, k: int, by: Sequence[Column], qid: str, id: str) -> DataFrame:
+    """The k best assets of each query, from its ranked signatures: k x k rows a query at most."""
+    each = ranked.join(sigs.select(id, "_ids"), id).withColumn(id, F.explode("_ids")).drop("_ids")
+    return top_k(each, k, by, qid)
+
+
+def _best_assets(found: DataFrame, sigs: DataFrame, k: int, qid: str, id: str) -> DataFrame:
+    by = [F.desc("score"), F.col(id)]
+    return _members(top_k(found, k, by, qid).drop("rank"), sigs, k, by, qid, id)
+
+
 # ---- J2: tags -----------------------------------------------------------------------------------
 
 def _tag_set(c: Column) -> Column:
     return F.filter(F.transform(c, lambda t: F.lower(F.trim(t))), lambda t: t != "")
 
 
+def asked_tags(assets: DataFrame, asked: DataFrame, tags: Column, id: str = "id") -> DataFrame:
+    """(id, _tags): the tags of each asset that some query asks for, sorted; assets without one are left out."""
+    owned = assets.select(id, F.explode(tags).alias("_tag"))
+    return owned.join(asked.select("_tag").distinct(), "_tag", "left_semi").groupBy(id).agg(F.sort_array(F.collect_list("_tag")).alias("_tags"))
+
+
+def tag_candidates(sigs: DataFrame, asked: DataFrame, k: int, qid: str = "query_id", id: str = "id") -> DataFrame:
+    """(query, signature) pairs that hold the k best signatures of each query by matched tags.
+
+    The tag of a query that most signatures have gives only its k best ones (most copies of the tag,
+    then lowest id): a signature that matches by this tag alone loses against them.  All others
+    match by a rarer tag too and come from its list.  So one hub tag does not pair its queries with its
+    signatures.
+    """
+    lists = sigs.select(id, F.explode("_tags").alias("_tag")).groupBy("_tag", id).agg(F.count(F.lit(1)).alias("_copies"))
+    spread = lists.groupBy("_tag").agg(F.count(F.lit(1)).alias("_sigs"))
+    order = Window.partitionBy(qid).orderBy(F.desc("_sigs"), "_tag")
+    placed = asked.select(qid, "_tag").join(spread, "_tag").withColumn("_hub", F.row_number().over(order) == 1)
+    short = top_k(lists, k, [F.desc("_copies"), F.col(id)], "_tag", "_n")
+    hub = placed.filter("_hub").select(qid, "_tag").join(short.select("_tag", id), "_tag").select(qid, id)
+    rest = placed.filter("NOT _hub").select(qid, "_tag").join(lists.select("_tag", id), "_tag").select(qid, id)
+    return hub.unionByName(rest).distinct()
+
+
 def tag_search(assets: DataFrame, queries: DataFrame, k: int = 10, tags: str = "tags", qid: str = "query_id", id: str = "id") -> DataFrame:
     """Score = matched tags / asked tags.  A tag listed twice on an asset counts twice."""
-    asked = queries.select(qid, F.array_distinct(_tag_set(F.col(tags))).alias("_q"))
-    asked = asked.select(qid, F.size("_q").alias("_n"), F.explode("_q").alias("_tag"))
-    owned = assets.select(id, F.explode(_tag_set(F.col(tags))).alias("_tag"))
-    hits = asked.join(owned, "_tag").groupBy(qid, id, "_n").agg(F.count(F.lit(1)).alias("hits"))
-    return top_k(hits.withColumn("score", F.col("hits") / F.col("_n")).drop("_n"), k, [F.desc("score"), F.col(id)], qid)
+    wanted = queries.select(qid, F.array_distinct(_tag_set(F.col(tags))).alias("_q"))
+    asked = wanted.select(qid, F.explode("_q").alias("_tag"))
+    sigs = signatures(asked_tags(assets, asked, _tag_set(F.col(tags)), id), ["_tags"], k, id)
+    pairs = tag_candidates(sigs, asked, k, qid, id).join(sigs.select(id, "_tags"), id).join(wanted, qid)
+    hits = pairs.select(qid, id, F.size(F.filter("_tags", lambda t: F.array_contains("_q", t))).cast("long").alias("hits"), F.size("_q").alias("_n"))
+    return _best_assets(hits.withColumn("score", F.col("hits") / F.col("_n")).drop("_n"), sigs, k, qid, id)
 
 
 # ---- J3: emotions --------------------------------------------------------------------------------
@@ -71,9 +121,10 @@ def emotion_matches(assets: DataFrame, queries: DataFrame, qid: str = "query_id"
     return best.groupBy(qid, id, "_n").agg((F.sum("_w") / F.first("_n")).alias("emotion_match")).drop("_n")
 
 
-def emotion_search(assets: DataFrame, queries: DataFrame, k: int = 10, qid: str = "query_id", id: str = "id", **kw) -> DataFrame:
-    found = emotion_matches(assets, queries, qid, id, **kw).withColumn("score", F.round("emotion_match", 9))
-    return top_k(found, k, [F.desc("score"), F.col(id)], qid)
+def emotion_search(assets: DataFrame, queries: DataFrame, k: int = 10, qid: str = "query_id", id: str = "id", emotion: str = "emotion") -> DataFrame:
+    sigs = signatures(assets.select(id, F.array_sort(emotion_tokens(F.col(emotion))).alias("_tokens")), ["_tokens"], k, id)
+    found = emotion_matches(sigs.withColumn(emotion, F.array_join("_tokens", ",")), queries, qid, id, emotion).withColumn("score", F.round("emotion_match", 9))
+    return _best_assets(found, sigs, k, qid, id)
 
 
 # ---- J4: arcs ----------------------------------------------------------------------------------------
@@ -81,10 +132,11 @@ def emotion_search(assets: DataFrame, queries: DataFrame, k: int = 10, qid: str
 def arc_search(assets: DataFrame, queries: DataFrame, k: int = 10, arc: str = "arc", qid: str = "query_id", id: str = "id") -> DataFrame:
     """Exact key 1.0, key inside 0.7, raw text inside 0.6, arc key (4+ letters) inside the query 0.4.
 
-    The ladder runs over distinct arc texts; assets join at the end.
+    The ladder runs over distinct arc texts, each with its k lowest ids.
     """
+    sigs = signatures(assets.select(id, F.col(arc).alias("_arc")).filter("_arc <> ''"), ["_arc"], k, id)
     asked = queries.select(qid, norm_key(F.col(arc)).alias("qn"), F.lower(F.trim(F.col(arc))).alias("ql")).filter("ql <> ''")
-    parts = assets.select(F.col(arc).alias("_arc")).filter("_arc <> ''").distinct().select(
+    parts = sigs.select(
         "_arc", F.explode(F.transform(F.split("_arc", "/"), lambda x: F.lower(F.trim(x)))).alias("part")).withColumn("pn", norm_key(F.col("part")))
     key_in = contained_pairs(asked, parts, "qn", "pn").withColumn("w", F.when(F.col("qn") == F.col("pn"), 1.0).otherwise(0.7))
     raw_in = contained_pairs(asked, parts, "ql", "part").withColumn("w", F.lit(0.6))
@@ -93,7 +145,7 @@ def arc_search(assets: DataFrame, queries: DataFrame, k: int = 10, arc: str = "a
               .unionByName(asked.join(raw_in, "ql").join(parts, "part").select(qid, "_arc", "w"))
               .unionByName(asked.join(back, "qn").join(parts, "pn").select(qid, "_arc", "w")))
     best = ladder.groupBy(qid, "_arc").agg(F.max("w").alias("score"))
-    return top_k(best.join(assets.select(id, F.col(arc).alias("_arc")), "_arc"), k, [F.desc("score"), F.col(id)], qid)
+    return _best_assets(best.join(sigs.select("_arc", id), "_arc"), sigs, k, qid, id)
 
 
 # ---- J5: composite ranker ----------------------------------------------------------------------------
@@ -117,64 +169,112 @@ def _arc_matches(assets: DataFrame, queries: DataFrame, terms: Sequence[str], te
     return best.join(assets.select(id, F.col(arc).alias("_arc")), "_arc").select(qid, id, "arc_match")
 
 
-def rank_for_beat(assets: DataFrame, beats: DataFrame, k: int = 5, weights: dict[str, float] | None = None, qid: str = "query_id", id: str = "id",
+def _planned(w: float | Column) -> bool:
+    return isinstance(w, Column) or w > 0
+
+
+def rank_for_beat(assets: DataFrame, beats: DataFrame, k: int = 5, weights: dict[str, float | Column] | None = None, qid: str = "query_id", id: str = "id",
                   vector: str | None = None, qvector: str | None = None, places: Sequence[str] = ARC_LOCATION_TERMS) -> DataFrame:
     """Weighted sum of similarity, tag overlap (sets), emotion, arc and importance / 5.
 
-    ``beats``: query_id, text, entities, tags, emotion (and a vector).  A component with weight
-    0 is not planned at all.
+    ``beats``: query_id, text, entities, tags, emotion (and a vector).  A weight is a number or a
+    column of the beats; a component of which the weight is the number 0 is not planned at all.
+
+    Without vectors a query meets signatures only.  With vectors, the best k assets by similarity
+    and importance give each query a score that its k-th best asset reaches at least; signatures that could
+    not reach it even with a similarity of 1 are left out, and the assets of the others are compared.
     """
     w = {**dict.fromkeys(WEIGHTS, 0.0), **(weights or WEIGHTS)}
     empty = F.array().cast("array<string>")
     ents = F.coalesce(F.col("entities"), empty)
-    beats = beats.withColumn("entities", ents)
-    semantic = w["semantic"] > 0 and vector is not None and qvector is not None
-    parts = []
-    if w["tag"] > 0:
+    beats = beats.withColumn("entities", ents).withColumns({f"_w_{c}": F.lit(v) if not isinstance(v, Column) else v for c, v in w.items()})
+    heavy = beats.select(qid, *[f"_w_{c}" for c in w])
+    semantic = _planned(w["semantic"]) and vector is not None and qvector is not None
+    attrs = ["importance"]
+    wide = assets
+    if _planned(w["tag"]):
         joined = F.array_distinct(_tag_set(F.concat(F.coalesce(F.col("tags"), empty), F.transform(ents, lambda e: F.replace(F.lower(e), F.lit(" "), F.lit("_"))))))
         asked = beats.select(qid, joined.alias("_q")).select(qid, F.size("_q").alias("_n"), F.explode("_q").alias("_tag"))
-        owned = assets.select(id, F.explode(F.array_distinct(_tag_set(F.col("tags")))).alias("_tag"))
-        parts.append(asked.join(owned, "_tag").groupBy(qid, id).agg((F.count(F.lit(1)) / F.max("_n")).alias("tag_overlap")))
-    if w["emotion"] > 0:
-        parts.append(emotion_matches(assets, beats, qid, id))
-    if w["arc"] > 0:
-        parts.append(_arc_matches(assets, beats, places, "text", "entities", qid, id, "arc"))
+        wide = wide.join(asked_tags(assets, asked, F.array_distinct(_tag_set(F.col("tags"))), id), id, "left").withColumn("_tags", F.coalesce("_tags", empty))
+        attrs.append("_tags")
+    if _planned(w["emotion"]):
+        wide = wide.withColumn("emotion", F.array_join(F.array_sort(emotion_tokens(F.col("emotion"))), ","))
+        attrs.append("emotion")
+    if _planned(w["arc"]):
+        attrs.append("arc")
+    sigs = signatures(wide, attrs, k, id)
+    parts = []
+    if _planned(w["tag"]):
+        parts.append(asked.join(sigs.select(id, F.explode("_tags").alias("_tag")), "_tag").groupBy(qid, id).agg((F.count(F.lit(1)) / F.max("_n")).alias("tag_overlap")))
+    if _planned(w["emotion"]):
+        parts.append(emotion_matches(sigs, beats, qid, id))
+    if _planned(w["arc"]):
+        parts.append(_arc_matches(sigs, beats, places, "text", "entities", qid, id, "arc"))
     names = [c for p in parts for c in p.columns if c not in (qid, id)]
-    long = [p.select(qid, id, *[(F.col(c) if c in p.columns else F.lit(None).cast("double")).alias(c) for c in names]) for p in parts]
-    base = w["importance"] * F.coalesce(F.col("importance"), F.lit(3)) / F.lit(5.0)
-    if semantic:
-        seeds = top_k_vectors(assets.withColumn("_base", base), beats.select(qid, F.col(qvector).alias("_qv")), k, id, vector, qid, "_qv",
-                              weight=w["semantic"], bonus="_base", clip=True).select(qid, id)
-    else:
-        # the k most important assets stand in for every asset that matches nothing
-        top = assets.select(id, base.alias("_b")).orderBy(F.desc("_b"), id).limit(k)
-        ranked = top.withColumn("_r", F.row_number().over(Window.orderBy(F.desc("_b"), id))).select("_r", id)
-        seeds = beats.select(qid, F.explode(F.sequence(F.lit(1), F.lit(k))).alias("_r")).join(ranked, "_r").select(qid, id)
-    seeds = seeds.select(qid, id, *[F.lit(None).cast("double").alias(c) for c in names])
-    for p in long:
-        seeds = seeds.unionByName(p)
-    cand = seeds.groupBy(qid, id).agg(*[F.coalesce(F.max(c), F.lit(0.0)).alias(c) for c in names]) if names else seeds.distinct()
-    keep = [id, "importance"] + ([vector] if semantic else [])
-    full = cand.join(assets.select(*keep), id)
-    if semantic:
-        full = full.join(beats.select(qid, F.col(qvector).alias("_qv")), qid).withColumn(
-            "semantic", F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine(F.col(vector), F.col("_qv")))))
-    comp = {"semantic": "semantic", "tag": "tag_overlap", "emotion": "emotion_match", "arc": "arc_match"}
-    total = w["importance"] * F.coalesce(F.col("importance"), F.lit(3)) / F.lit(5.0)
+    rows = [p.select(qid, id, *[(F.col(c) if c in p.columns else F.lit(None).cast("double")).alias(c) for c in names]) for p in parts]
+    # the k most important signatures stand in for every one that matches nothing
+    top = sigs.select(id, "importance").orderBy(F.desc(F.coalesce("importance", F.lit(3))), id).limit(k)
+    ranked = top.withColumn("_r", F.row_number().over(Window.orderBy(F.desc(F.coalesce("importance", F.lit(3))), id))).select("_r", id)
+    every = beats.select(qid, F.explode(F.sequence(F.lit(1), F.lit(k))).alias("_r")).join(ranked, "_r").select(qid, id)
+    for p in [every.select(qid, id, *[F.lit(None).cast("double").alias(c) for c in names])] if not semantic else []:
+        rows.append(p)
+    cand = rows[0] if rows else every.limit(0)
+    for p in rows[1:]:
+        cand = cand.unionByName(p)
+    comp = {"tag": "tag_overlap", "emotion": "emotion_match", "arc": "arc_match"}
+    base = F.col("_w_importance") * F.coalesce(F.col("importance"), F.lit(3)) / F.lit(5.0)
+    full = cand.groupBy(qid, id).agg(*[F.coalesce(F.max(c), F.lit(0.0)).alias(c) for c in names]) if names else cand.distinct()
+    full = full.withColumns({c: F.lit(0.0) for c in comp.values() if c not in names})
+    gain = base
     for name, c in comp.items():
-        if c in full.columns:
-            total = total + F.lit(w[name]) * F.col(c)
-        else:
-            full = full.withColumn(c, F.lit(0.0))
-    full = full.withColumns({"importance_score": F.coalesce(F.col("importance"), F.lit(3)) / 5.0, "score": F.round(total, 9)}).filter("score > 0")
-    return top_k(full.select(qid, id, "score", *comp.values(), "importance_score"), k, [F.desc("score"), F.col(id)], qid)
-
-
-def search(assets: DataFrame, queries: DataFrame, mode: str = "auto", k: int = 10, given: Sequence[str] = ("text", "tags", "emotion", "arc"),
-           qid: str = "query_id", id: str = "id", vector: str | None = None, qvector: str | None = None, max_k: int | None = None) -> DataFrame:
-    """One entry point for all modes; ``given`` lists the inputs a query batch provides.
-
-    ``max_k`` is an upper bound on ``k`` that a service may set; by default there is none.
+        gain = gain + F.col(f"_w_{name}") * F.col(c)
+    shown = ["semantic", *comp.values(), "importance_score"]
+    full = full.join(sigs.select(id, "importance"), id).join(heavy, qid).withColumns({"importance_score": F.coalesce("importance", F.lit(3)) / 5.0})
+    if not semantic:
+        scored = full.withColumns({"semantic": F.lit(0.0), "score": F.round(gain, 9)}).filter("score > 0")
+        return _best_assets(scored.select(qid, id, "score", *shown), sigs, k, qid, id).select(qid, id, "score", *shown, "rank")
+
+    similar = F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine(F.col(vector), F.col("_qv"))))
+    asking = beats.select(qid, F.col(qvector).alias("_qv"), *[f"_w_{c}" for c in w])
+    # importance counts the same for all queries here: each query's weights are divided by that of importance
+    scale = F.when(F.col("_w_importance") > 0, F.col("_w_importance")).otherwise(1.0)
+    seeds = top_k_vectors(assets.withColumn("_base", F.coalesce("importance", F.lit(3)) / 5.0), asking.withColumns({
+        "_pull": F.col("_w_semantic") / scale, "_push": F.when(F.col("_w_importance") > 0, 1.0).otherwise(0.0)}),
+        k, id, vector, qid, "_qv", weight="_pull", bonus="_base", bonus_weight="_push", clip=True)
+    seeds = seeds.join(heavy, qid).withColumn("_sure", F.col("score") * scale).select(qid, id, "_sure")
+    # a query with k seeds has k assets of at least the least of their scores
+    reached = seeds.groupBy(qid).agg(F.when(F.count(F.lit(1)) >= k, F.min("_sure")).otherwise(0.0).alias("_least"))
+    able = full.join(reached, qid, "left").filter(gain + F.col("_w_semantic") + 1e-9 >= F.coalesce("_least", F.lit(0.0)))
+    group = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) if c != "_tags" else F.array_join(c, "\1") for c in attrs]
+    key = F.xxhash64(*group)
+    owners = wide.select(id, vector, "importance", key.alias("_sig"))
+    by_sig = able.select(qid, id, *names).join(sigs.select(id, key.alias("_sig")), id).drop(id)
+    pairs = by_sig.join(owners.select(F.col(id), "_sig"), "_sig").select(qid, id).unionByName(seeds.select(qid, id)).distinct()
+    known = full.select(qid, F.col(id).alias("_rep"), *comp.values()).join(sigs.select(F.col(id).alias("_rep"), key.alias("_sig")), "_rep").drop("_rep")
+    out = pairs.join(owners, id).join(known, [qid, "_sig"], "left").join(asking, qid).withColumns({c: F.coalesce(c, F.lit(0.0)) for c in comp.values()})
+    out = out.withColumns({"semantic": similar, "importance_score": F.coalesce("importance", F.lit(3)) / 5.0}).withColumn(
+        "score", F.round(F.col("_w_semantic") * F.col("semantic") + gain, 9)).filter("score > 0")
+    return top_k(out.select(qid, id, "score", *shown), k, [F.desc("score"), F.col(id)], qid)
+
+
+def request_weights(text: Column, tags: Column, emotion: Column, arc: Column, weights: dict[str, float] | None = None) -> dict[str, Column]:
+    """Weights of each request from what it gives: parts it lacks count nothing, the others sum to one."""
+    filled = {"semantic": F.coalesce(text, F.lit("")) != "", "tag": F.size(F.coalesce(tags, F.array().cast("array<string>"))) > 0,
+              "emotion": F.coalesce(emotion, F.lit("")) != "", "arc": F.coalesce(arc, F.lit("")) != ""}
+    raw = {c: F.when(filled[c], F.lit(v)).otherwise(0.0) if c in filled else F.lit(v) for c, v in (weights or AUTO_WEIGHTS).items()}
+    total = sum(raw.values(), F.lit(0.0))
+    return {c: v / total for c, v in raw.items()}
+
+
+def search(assets: DataFrame, queries: DataFrame, mode: str = "auto", k: int = 10, qid: str = "query_id", id: str = "id", vector: str | None = None,
+           qvector: str | None = None, max_k: int | None = None, lexicon: DataFrame | None = None, entity_limit: int = 6,
+           places: Sequence[str] = ARC_LOCATION_TERMS) -> DataFrame:
+    """One entry point for all modes, over a batch of requests (query_id, text, tags, emotion, arc; nulls and empty values are not given).
+
+    Mode "auto" weighs each request by what it gives; one that gives nothing has no result.  With a
+    ``lexicon`` (term, canonical, alias_first, pos) its entities are those its text names, in the
+    lexicon's order and at most ``entity_limit``.  ``max_k`` is an upper bound on ``k`` that a service may
+    set; by default there is none.
     """
     k = k if max_k is None else min(k, max_k)
     if mode == "tag":
@@ -187,10 +287,18 @@ def search(assets: DataFrame, queries: DataFrame, mode: str = "auto", k: int = 1
         return top_k_vectors(assets, queries, k, id, vector, qid, qvector, positive=True)
     if mode != "auto":
         raise ValueError(f"unknown mode {mode!r}")
-    inputs = {"semantic": "text", "tag": "tags", "emotion": "emotion", "arc": "arc"}
-    w = {c: (AUTO_WEIGHTS[c] if c == "importance" or inputs[c] in given else 0.0) for c in AUTO_WEIGHTS}
-    size = sum(w.values())
-    return rank_for_beat(assets, queries, k, {c: v / size for c, v in w.items()}, qid, id, vector, qvector)
+    from storyspark.operators.graph import entities_by_join
+
+    empty = F.array().cast("array<string>")
+    queries = queries.drop("entities")
+    if lexicon is None:
+        queries = queries.withColumn("entities", empty)
+    else:
+        queries = queries.join(entities_by_join(queries.select(qid, "text"), lexicon, entity_limit, "text", qid), qid, "left").withColumn(
+            "entities", F.coalesce("entities", empty))
+    text, tags, emotion, arc = (F.col(c) for c in ("text", "tags", "emotion", "arc"))
+    something = (F.coalesce(text, F.lit("")) != "") | (F.size(F.coalesce(tags, empty)) > 0) | (F.coalesce(emotion, F.lit("")) != "") | (F.coalesce(arc, F.lit("")) != "")
+    return rank_for_beat(assets, queries.filter(something), k, request_weights(text, tags, emotion, arc), qid, id, vector, qvector, places)
 
 
 # ---- J14, J15: catalog entries -------------------------------------------------------------------------------

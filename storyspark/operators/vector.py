@@ -22,9 +22,10 @@ def unit(m: np.ndarray) -> np.ndarray:
 class _Best:
     """The k best rows of each query so far: flat arrays (query number, id, similarity, score)."""
 
-    def __init__(self, names: list, matrix: np.ndarray, tags, k: int, weight: float, clip: bool, positive: bool):
+    def __init__(self, names: list, matrix: np.ndarray, tags, k: int, weight, bonus_weight, clip: bool, positive: bool):
         self.names, self.matrix, self.tags, self.k = names, matrix, tags, k
-        self.weight, self.clip, self.positive = weight, clip, positive
+        self.weight, self.bonus_weight = (np.broadcast_to(np.asarray(w, float), len(names)) for w in (weight, bonus_weight))
+        self.clip, self.positive = clip, positive
         self.held: list[np.ndarray] | None = None
 
     def add(self, ids: np.ndarray, vectors: np.ndarray, own, bonus) -> None:
@@ -40,9 +41,9 @@ class _Best:
         sims = vectors @ self.matrix[first:last].T
         if self.clip:
             np.clip(sims, 0.0, 1.0, out=sims)
-        scores = self.weight * sims
+        scores = self.weight[first:last] * sims
         if bonus is not None:
-            scores += bonus[:, None]
+            scores += bonus[:, None] * self.bonus_weight[first:last]
         if own is not None:
             scores[own[:, None] != self.tags[first:last][None, :]] = -np.inf
         if self.positive:
@@ -69,12 +70,13 @@ class _Best:
 
 
 def top_k_vectors(vectors: DataFrame, queries: DataFrame, k: int, id: str = "vec_id", vector: str = "embedding",
-                  qid: str = "query_id", qvector: str = "embedding", same: str | None = None, weight: float = 1.0,
-                  bonus: str | None = None, clip: bool = False, positive: bool = False) -> DataFrame:
+                  qid: str = "query_id", qvector: str = "embedding", same: str | None = None, weight: float | str = 1.0,
+                  bonus: str | None = None, bonus_weight: float | str = 1.0, clip: bool = False, positive: bool = False) -> DataFrame:
     """(query, id, similarity, score, rank) of the ``k`` best rows by cosine, ties by id.
 
     ``same`` names a column that must be equal on both sides (a metadata filter).  The ranking
-    score is ``weight * cosine + bonus`` (cosine clipped to [0, 1] with ``clip``).
+    score is ``weight * cosine + bonus_weight * bonus`` (cosine clipped to [0, 1] with ``clip``); each
+    weight is a number, or names a column of the queries.
 
     One job measures the query set.  If its matrix fits MAX_QUERY_BYTES, it goes to every task and
     the vectors stream past it without a shuffle.  A larger set stays distributed: queries are dealt
@@ -82,7 +84,7 @@ def top_k_vectors(vectors: DataFrame, queries: DataFrame, k: int, id: str = "vec
     past its tile.  A row of a query's global best is among the best of its own part, so partial
     lists of k rows are enough.
     """
-    picks = [qid, qvector] + ([same] if same else [])
+    picks = [qid, qvector] + ([same] if same else []) + [w for w in (weight, bonus_weight) if isinstance(w, str)]
     cols = [id, vector] + ([same] if same else []) + ([bonus] if bonus else [])
     chosen, rows = queries.select(*picks), vectors.select(*cols)
     total, dim = chosen.agg(F.count(F.lit(1)), F.max(F.size(qvector))).first()
@@ -92,8 +94,11 @@ def top_k_vectors(vectors: DataFrame, queries: DataFrame, k: int, id: str = "vec
                            T.StructField("similarity", T.DoubleType()), T.StructField("score", T.DoubleType())])
     tiles = -(-total * 8 * max(1, dim) // MAX_QUERY_BYTES)
 
-    def best_of(names, matrix, tags) -> _Best:
-        return _Best(list(names), unit(np.array(matrix, dtype=np.float64)), np.array(tags, dtype=object) if same else None, k, weight, clip, positive)
+    def best_of(columns: list[list]) -> _Best:
+        """``columns``: the picked columns of the queries."""
+        own = dict(zip(picks, columns))
+        return _Best(own[qid], unit(np.array(own[qvector], dtype=np.float64)), np.array(own[same], dtype=object) if same else None, k,
+                     own.get(weight, weight), own.get(bonus_weight, bonus_weight), clip, positive)
 
     def add(best: _Best, pdf: pd.DataFrame) -> None:
         if not pdf.empty:
@@ -105,7 +110,7 @@ def top_k_vectors(vectors: DataFrame, queries: DataFrame, k: int, id: str = "vec
         columns = [[r[i] for r in given] for i in range(len(picks))]
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            best = best_of(columns[0], columns[1], columns[2] if same else None)
+            best = best_of(columns)
             for pdf in batches:
                 add(best, pdf)
             yield best.frame(qid, id)
@@ -139,7 +144,7 @@ def _cells(rows, chosen, picks, cols, tiles, best_of, add, schema) -> DataFrame:
                 seen = part.loc[part["_side"], "v"]
                 if len(seen) and asked:
                     if best is None:
-                        best = best_of(*[list(c) for c in zip(*asked)], *([None] if len(picks) == 2 else []))
+                        best = best_of([list(c) for c in zip(*asked)])
                     add(best, pd.DataFrame([tuple(v[c] for c in cols) for v in seen], columns=cols))
         if best is not None:
             yield best.frame(qid, id)

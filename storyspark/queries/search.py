@@ -121,10 +121,37 @@ def j5(spark, sf):
     return search.rank_for_beat(a, _beats_as_queries(a), 5, {**search.WEIGHTS, "semantic": 0.0}, places=BEAT_WORDS)
 
 
-@register("j5b_auto_search", RANKED, "SELECT query_id, id, score, rank FROM rk", _rank_sql("(0.25e0 / 0.60e0)", "(0.25e0 / 0.60e0)", "0.0e0", "(0.10e0 / 0.60e0)", 80))
+REQUEST_SQL = HEADS_SQL + """,
+rq AS (SELECT query_id, CASE WHEN n % 3 > 0 THEN name END AS text, CASE WHEN n % 4 <> 1 THEN tags ELSE [] END AS tags, CASE WHEN n % 5 <> 2 THEN emotion ELSE '' END AS emotion,
+              CASE WHEN n % 2 = 0 THEN arc END AS arc FROM (SELECT *, CAST(regexp_extract(category, '[0-9]+') AS INT) AS n FROM heads)),
+wt AS (SELECT *, CASE WHEN coalesce(text, '') <> '' THEN 0.35e0 ELSE 0 END AS ws, CASE WHEN len(tags) > 0 THEN 0.25e0 ELSE 0 END AS wg,
+              CASE WHEN emotion <> '' THEN 0.25e0 ELSE 0 END AS we, CASE WHEN coalesce(arc, '') <> '' THEN 0.15e0 ELSE 0 END AS wa FROM rq),
+nm AS (SELECT query_id, list(c ORDER BY c)[1:6] AS ents FROM rq JOIN (SELECT DISTINCT character AS c FROM catalog) ON list_contains(regexp_extract_all(lower(text), '[a-z]+'), lower(c)) GROUP BY query_id),
+rt AS (SELECT query_id, list_distinct(tags || coalesce(list_transform(ents, lambda e: replace(lower(e), ' ', '_')), [])) AS q FROM rq LEFT JOIN nm USING (query_id)),
+qe AS (SELECT query_id, unnest(list_distinct(list_transform(string_split(emotion, ','), lambda x: regexp_replace(lower(trim(x)), '[^a-z0-9]+', '', 'g')))) AS t FROM rq),
+ae AS (SELECT id, unnest(list_distinct(list_transform(string_split(emotion, ','), lambda x: regexp_replace(lower(trim(x)), '[^a-z0-9]+', '', 'g')))) AS t FROM catalog),
+em AS (SELECT query_id, id, sum(w) / any_value(n) AS emotion_match
+       FROM (SELECT q.query_id, a.id, q.t, max(CASE WHEN q.t = a.t THEN 1.0e0 ELSE 0.6e0 END) AS w, any_value(c.n) AS n
+             FROM qe q JOIN ae a ON contains(q.t, a.t) OR contains(a.t, q.t) JOIN (SELECT query_id, count(*) AS n FROM qe GROUP BY query_id) c ON c.query_id = q.query_id
+             WHERE q.t <> '' AND a.t <> '' GROUP BY ALL) GROUP BY query_id, id),
+sc AS (SELECT w.query_id, a.id, (wg * coalesce(len(list_intersect(rt.q, list_distinct(a.tags))) / nullif(CAST(len(rt.q) AS DOUBLE), 0), 0) + we * coalesce(emotion_match, 0)
+              + wa * CASE WHEN EXISTS (SELECT 1 FROM (SELECT unnest(['economy', 'small', 'blue', 'hot']) AS t) WHERE contains(w.text, t) AND contains(lower(a.arc), t)) THEN 1 ELSE 0 END
+              + 0.10e0 * a.importance / 5.0e0) / (ws + wg + we + wa + 0.10e0) AS score
+       FROM wt w JOIN catalog a ON true JOIN rt ON rt.query_id = w.query_id LEFT JOIN em ON em.query_id = w.query_id AND em.id = a.id
+       WHERE ws + wg + we + wa > 0)"""
+
+
+@register("j5b_auto_search", RANKED, """
+SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM sc WHERE score > 0 QUALIFY rank <= 80""", REQUEST_SQL)
 def j5b(spark, sf):
+    """A mixed batch: each request gives other parts, and names in its text are its entities."""
     a = catalog(spark, sf)
-    return search.search(a, _beats_as_queries(a), "auto", 80, given=("tags", "emotion"))
+    n = F.regexp_extract("category", "[0-9]+", 0).cast("int")
+    requests = heads(a).select("query_id", F.when(n % 3 > 0, F.col("name")).alias("text"), F.when(n % 4 != 1, F.col("tags")).otherwise(F.array().cast("array<string>")).alias("tags"),
+                               F.when(n % 5 != 2, F.col("emotion")).otherwise("").alias("emotion"), F.when(n % 2 == 0, F.col("arc")).alias("arc"))
+    known = a.select(F.col("character").alias("term")).distinct()
+    known = known.withColumns({"canonical": F.col("term"), "alias_first": F.lit(1), "pos": F.col("term")})
+    return search.search(a, requests, "auto", 80, lexicon=known, places=BEAT_WORDS)
 
 
 # ---- vectors -------------------------------------------------------------------------------------
