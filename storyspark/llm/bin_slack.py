@@ -31,9 +31,9 @@ RANK_GROUP = 2_000
 class TextEncoder:
     """Ids of a byte-level BPE file of the tokenizers library, without special tokens.
 
-    The name of an added token in a text is text: it becomes ordinary pieces, unlike by the library's default.
+    The name of an added token in a text is that token, as by the library's default.
 
-    Texts up to U+024F are encoded with the file's own vocabulary as ranks, which gives the same
+    Texts up to U+024F without such a name are encoded with the file's own vocabulary as ranks, which gives the same
     ids several times faster (its ids follow its merges); any other text goes to the library itself,
     since the two split newer scripts by different Unicode tables.
     """
@@ -44,14 +44,14 @@ class TextEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         spelled = {c: i for i, c in enumerate(byte_characters())}
-        special = set(self.library.get_added_tokens_decoder())
+        special = self.library.get_added_tokens_decoder()
+        self.names = [token.content for token in special.values()]
         ranks = {bytes(spelled[c] for c in token): i for token, i in self.library.get_vocab().items() if i not in special}
         self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> list[int]:
-        if text.isascii() or max(text) <= "\u024f":
+        if (text.isascii() or max(text) <= "\u024f") and not any(name in text for name in self.names):
             return self.fast.encode_ordinary(text)
         return self.library.encode(text, add_special_tokens=False).ids
 

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from storyspark.llm.common import written
 from storyspark.session import cut_lineage
 
 VARIABLE = "<*>"
@@ -29,6 +30,8 @@ MIN_FIXED = 5
 SHORT_MIN_DOCS = 10
 #: Templates of a leaf that a line is compared with one by one; among more, those that can match are looked up by their segments, with the same outcome.
 STREAM_LINES = 4000
+#: Places of lines (some 50 bytes each) that are broadcast to the documents; both ways give the same rows.
+SENT_PLACES = 400_000
 _DIGIT = re.compile(r"\d")
 
 
@@ -138,7 +141,7 @@ def parse(lines: Iterable[list[str]], similarity: float) -> list[bytes]:
 def scan(docs: DataFrame) -> DataFrame:
     """(id, tk, pos, leaf, line, short) of each line of (id, tk, text): leaf and masked line as digests.
 
-    A short line has no leaf.  One without a fixed token that holds a letter (blank, numbers, rules, brackets) is layout and left out.
+    A short line is a leaf of its own.  One without a fixed token that holds a letter (blank, numbers, rules, brackets) is layout and left out.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,8 +154,8 @@ def scan(docs: DataFrame) -> DataFrame:
                         continue
                     owner.append(i)
                     pos.append(p)
-                    leaf.append(None if few else int.from_bytes(_digest([str(len(words)), *words[:DEPTH]], 8), "little", signed=True))
                     line.append(_digest(["", *words] if few else words, 16))  # apart from templates of the same words
+                    leaf.append(int.from_bytes(line[-1][:8] if few else _digest([str(len(words)), *words[:DEPTH]], 8), "little", signed=True))
                     short.append(few)
             take = pa.array(owner, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(pos, pa.int32()), pa.array(leaf, pa.int64()),
@@ -176,10 +179,17 @@ def _line_tokens(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(line, pa.binary()), pa.array(words, pa.list_(pa.string()))], ["leaf", "line", "words"])
 
     per_doc = wanted.groupBy(_kid("at.id").alias("kid"), F.col("at.tk").alias("tk")).agg(F.collect_list(F.struct("at.pos", "leaf", "line")).alias("places"))
-    texts = docs.select(_kid("id").alias("kid"), "tk", "text").join(per_doc, ["kid", "tk"])
+    texts = docs.select(_kid("id").alias("kid"), "tk", "text").join(_sent(per_doc, "places"), ["kid", "tk"])
     return texts.select("text", "places").mapInArrow(run, "leaf long, line binary, words array<string>").dropDuplicates(["line"])
 
 
+def _sent(rows: DataFrame, places: str) -> DataFrame:
+    """``rows`` written, and broadcast to the texts they belong to if they hold SENT_PLACES places at most; more meet the texts by a shuffle."""
+    rows = written(rows)
+    held = rows.agg(F.sum(F.size(places))).first()[0] or 0
+    return F.broadcast(rows) if held <= SENT_PLACES else rows
+
+
 def _kid(column: str):
     return F.coalesce(F.col(column).cast("string"), F.lit("\0"))
 
@@ -216,13 +226,16 @@ def _parsed(lines: DataFrame, similarity: float) -> DataFrame:
 def recurring_lines(docs: DataFrame, similarity: float = 0.8, min_docs: int = 2, short_min_docs: int = SHORT_MIN_DOCS) -> DataFrame:
     """(kid, tk, drop) of (id, tk, text): positions of the lines to drop from each document that has any.
 
-    Exact copies of a masked line are counted as digests.  Only leaves with several different lines
-    need their tokens: these are read once more and parsed, each leaf as one stream, so that the
-    templates do not depend on the number of lines.
+    A leaf with one line in all documents cannot recur, so its line is left out first.  Exact copies
+    of a masked line are counted as digests.  Only leaves with several different lines need their
+    tokens: these are read once more and parsed, each leaf as one stream, so that the templates do
+    not depend on the number of lines.
     """
-    lines = cut_lineage(scan(docs))
+    every = written(scan(docs))
+    busy = every.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1").select("leaf")
+    lines = written(every.join(busy, "leaf", "left_semi"))
     at = F.struct(F.col("id").isNull().alias("no_id"), "id", "tk", "pos")
-    distinct = cut_lineage(lines.where("NOT short").groupBy("leaf", "line").agg(F.min(at).alias("at")))
+    distinct = lines.where("NOT short").groupBy("leaf", "line").agg(F.min(at).alias("at"))
     crowded = distinct.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1")
     wanted = distinct.join(crowded, "leaf")
     final = _parsed(_line_tokens(docs, wanted), similarity)
@@ -250,10 +263,12 @@ def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tk"), text.alias("text"))
     drops = recurring_lines(slim, similarity, min_docs, short_min_docs)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _kid(f"`{id_col}`").alias("kid"), F.xxhash64(text).alias("tk"))
-    joined = packed.join(drops, ["kid", "tk"], "left")
+    joined = packed.join(_sent(drops, "drop"), ["kid", "tk"], "left")
     parts = F.split(F.col("row")[text_col], "\n")
     left = F.sort_array(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("drop")))
-    cleaned = F.when(F.col("drop").isNull(), F.col("row")[text_col]).otherwise(F.array_join(F.transform(left, lambda i: parts[i]), "\n"))
+    # the outer transform holds the lines as a variable, so that the text is split once
+    kept_lines = F.transform(F.array(parts), lambda lines: F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))[0]
+    cleaned = F.when(F.col("drop").isNull(), F.col("row")[text_col]).otherwise(kept_lines)
     columns = [cleaned.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]
     if counts:
         columns += [F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped")]
