@@ -249,22 +249,26 @@ def repeat_penalty(value: Column, back: list[Column], position: Column) -> Colum
     return F.when(hits > 0, F.least(F.lit(1.0), hits / seen + F.least(F.lit(0.25), F.lit(0.10) * streak))).otherwise(0.0)
 
 
+def repetition_columns(df: DataFrame, back: dict[str, list[Column]], threshold: float = 0.7, weights: dict[str, float] | None = None, order: str = O) -> DataFrame:
+    """``df`` with penalties, ``repetition_score`` and ``rejected``: d_<dim> of each row against the values ``back`` of the rows before it."""
+    weights = weights or DIVERSITY_WEIGHTS
+    out = df.withColumns({f"{d}_penalty": repeat_penalty(F.col(f"d_{d}"), b, F.col(order)) for d, b in back.items()})
+    total = reduce(lambda a, c: a + c, [F.lit(weights.get(d, 0.25)) * F.col(f"{d}_penalty") for d in back])
+    out = out.withColumn("repetition_score", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)), 3))
+    return out.withColumn("rejected", F.col("repetition_score") > threshold)
+
+
 def diversity_scores(df: DataFrame, dims: dict[str, Column] | None = None, lookback: int = 3, threshold: float = 0.7,
                      weights: dict[str, float] | None = None, key: str = K, order: str = O,
                      block_rows: int | None = None) -> DataFrame:
     """Repetition score of each beat against the ``lookback`` beats before it."""
     lookback = max(1, lookback)
-    weights = weights or DIVERSITY_WEIGHTS
     dims = dims or {"character": F.col("character"), "arc": F.col("arc"),
                     "composition": composition_label(), "emotion": F.col("emotion")}
     b = Blocks.dense(df, key, order, block_rows).select(**{f"d_{d}": c for d, c in dims.items()})
     b = b.neighbours(**{f"_{d}{n}": (f"d_{d}", -n) for d in dims for n in range(1, lookback + 1)})
     i = F.col(order)
-    out = b.df.withColumns({
-        f"{d}_penalty": repeat_penalty(F.col(f"d_{d}"), [F.col(f"_{d}{n}") for n in range(1, lookback + 1)], i) for d in dims})
-    total = reduce(lambda a, c: a + c, [F.lit(weights.get(d, 0.25)) * F.col(f"{d}_penalty") for d in dims])
-    out = out.withColumn("repetition_score", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)), 3))
-    out = out.withColumn("rejected", F.col("repetition_score") > threshold)
+    out = repetition_columns(b.df, {d: [F.col(f"_{d}{n}") for n in range(1, lookback + 1)] for d in dims}, threshold, weights, order)
     hints = [F.when(F.col("rejected"), F.lit(REJECTED_NOTE))] + [
         F.when(F.col(f"{d}_penalty") > 0, pick(SUGGESTIONS[d], i)) for d in dims if d in SUGGESTIONS]
     notes = []

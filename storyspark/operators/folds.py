@@ -15,8 +15,10 @@ A key that spans several blocks is folded exactly by guess and check:
 3. blocks without such a trace are traced again from the exit before them, until none is left;
 4. one last pass emits the rows from the agreed entries.
 
-A counter in the state never forgets, so it is kept apart: block entries get the sum of what
-the blocks before added, along the chain.
+Counters in the state never forget, so they are kept apart: block entries get the sum of what
+the blocks before added, along the chain.  That is one number, or a vector of counts by name of
+which a step tells values up to ``cap`` apart only: saturating vectors add up in any grouping, so
+the blocks after one without a fitting trace already get nearly the counts that they will have.
 
 The number of rounds does not depend on the number of blocks where the guesses hold the true
 entry.  In the worst case it degrades to one round per block, never to a wrong answer.
@@ -49,7 +51,8 @@ class Fold:
     step: Callable[[list, tuple], tuple[list, tuple | None]]
     columns: Sequence[str]          # inputs, in the order of ``row``
     schema: str                     # output columns, DDL
-    counted: bool = False           # last state item is a counter a row can only add to
+    counted: bool = False           # last state item is a counter a row can only add to, or {name: counter}
+    cap: int | None = None          # counters over it are alike
     phases: int = 1                 # rows before a block at which a trace of it starts afresh
 
 
@@ -78,7 +81,7 @@ def sequence_fold(df: DataFrame, fold: Fold, keep: Sequence[str] = (), key: Sequ
 def _agreed_entries(rows, fold, cols, key, order, size, warmup) -> DataFrame:
     group = [*key, "_blk"]
     phases = max(1, min(fold.phases, warmup))
-    none = {"_entry": F.lit(None).cast("string"), "_count": F.lit(None).cast("long")}
+    none = {"_entry": F.lit(None).cast("string"), "_count": F.lit(None).cast("string")}
     # the rows before a block warm its traces up; trace p leaves out the first p of them
     spot = F.pmod(F.col(order), F.lit(size)) - (size - warmup)
     here = F.transform(F.sequence(F.lit(0), F.lit(phases - 1)), lambda p: F.struct(p.alias("p"), F.lit(0).alias("c")))
@@ -87,8 +90,7 @@ def _agreed_entries(rows, fold, cols, key, order, size, warmup) -> DataFrame:
     halo = halo.withColumns({"_blk": F.col("_blk") + F.col("_x.c"), "_c": F.col("_x.c"), "_phase": F.col("_x.p"), **none}).drop("_x")
     halo = halo.filter((F.col("_blk") > 0) | (F.col("_phase") == 0))  # a sequence has one start
     schema = T.StructType([*[rows.schema[c] for c in key], T.StructField("_blk", T.LongType()), T.StructField("_phase", T.IntegerType()),
-                           T.StructField("_entry", T.StringType()), T.StructField("_count", T.LongType()),
-                           T.StructField("_exit", T.StringType()), T.StructField("_added", T.LongType())])
+                           *[T.StructField(c, T.StringType()) for c in ("_entry", "_count", "_exit", "_added")]])
 
     def traced(source: DataFrame) -> DataFrame:
         placed = source.repartition(*group, "_phase").sortWithinPartitions(*group, "_phase", order)
@@ -97,7 +99,7 @@ def _agreed_entries(rows, fold, cols, key, order, size, warmup) -> DataFrame:
     states, rounds = traced(halo), 0
     while True:
         chain = states.repartition(*key).sortWithinPartitions(*group, "_phase")
-        chained = cut_lineage(chain.mapInPandas(_chain(key, fold.counted), T.StructType([*schema.fields[:len(key) + 1], *schema.fields[len(key) + 2:len(key) + 4],
+        chained = cut_lineage(chain.mapInPandas(_chain(key, fold), T.StructType([*schema.fields[:len(key) + 1], *schema.fields[len(key) + 2:len(key) + 4],
                                                                                          T.StructField("_met", T.BooleanType())])))
         missing = chained.filter(~F.col("_met"))
         if missing.isEmpty():
@@ -112,7 +114,7 @@ def _agreed_entries(rows, fold, cols, key, order, size, warmup) -> DataFrame:
 _ROUNDS: deque = deque(maxlen=16)
 
 
-def _chain(key: list[str], counted: bool):
+def _chain(key: list[str], fold: Fold):
     """Entry of every block along the chain of exits, and whether a trace has it.
 
     After a block without one, the first trace stands in, so that the rest of the chain is still looked at.
@@ -120,7 +122,7 @@ def _chain(key: list[str], counted: bool):
     names = [*key, "_blk", "_entry", "_count", "_met"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, want, total, block, traces = None, None, 0, None, []
+        now, want, total, block, traces = None, None, "", None, []
         done: list[tuple] = []
 
         def close() -> None:
@@ -130,11 +132,11 @@ def _chain(key: list[str], counted: bool):
             if want is None:  # the first block of a key has one trace
                 met, trace = True, traces[0]
             else:
-                fit = [t for t in traces if t[0] == want and (t[1] == total or not counted)]
+                fit = [t for t in traces if t[0] == want and t[1] == total]
                 met, trace = bool(fit), (fit or traces)[0]
             entry, count = (trace[0], trace[1]) if want is None else (want, total)
             done.append((*now, block, entry, count, met))
-            want, total = trace[2], count + trace[3]
+            want, total = trace[2], _sum(fold, count, trace[3])
 
         for pdf in batches:
             for *group, blk, _, entry, count, leave, added in zip(*[pdf[c].tolist() for c in pdf.columns]):
@@ -142,9 +144,9 @@ def _chain(key: list[str], counted: bool):
                     close()
                     traces = []
                     if tuple(group) != now:
-                        now, want, total = tuple(group), None, 0
+                        now, want, total = tuple(group), None, ""
                     block = blk
-                traces.append((entry, int(count), leave, int(added)))
+                traces.append((entry, count, leave, added))
             if len(done) > 10_000:
                 yield pd.DataFrame(done, columns=names)
                 done = []
@@ -154,16 +156,38 @@ def _chain(key: list[str], counted: bool):
     return run
 
 
-def _pack(fold: Fold, state: list) -> tuple[str, int]:
-    return (json.dumps(state[:-1], sort_keys=True), state[-1]) if fold.counted else (
-        json.dumps(state, sort_keys=True), 0)
+def _spell(fold: Fold, counter) -> str:
+    """A counter as text; equal texts are alike to the fold."""
+    cap = fold.cap if fold.cap is not None else float("inf")
+    if isinstance(counter, dict):
+        return json.dumps({name: min(n, cap) for name, n in counter.items() if n}, sort_keys=True)
+    return json.dumps(min(counter, cap))
 
 
-def _unpack(fold: Fold, text: str | None, count) -> list:
+def _sum(fold: Fold, one: str, other: str) -> str:
+    if not fold.counted:
+        return ""
+    a, b = json.loads(one), json.loads(other)
+    return _spell(fold, {name: a.get(name, 0) + b.get(name, 0) for name in {*a, *b}} if isinstance(a, dict) else a + b)
+
+
+def _pack(fold: Fold, state: list) -> tuple[str, str]:
+    """State without its counter, and the counter."""
+    return (json.dumps(state[:-1], sort_keys=True), _spell(fold, state[-1])) if fold.counted else (json.dumps(state, sort_keys=True), "")
+
+
+def _gained(fold: Fold, before, after) -> str:
+    """What a block added to the counter."""
+    if not fold.counted:
+        return ""
+    return _spell(fold, {name: n - before.get(name, 0) for name, n in after.items()} if isinstance(after, dict) else after - before)
+
+
+def _unpack(fold: Fold, text: str | None, count: str | None) -> list:
     if text is None:
         return list(fold.start)
     state = json.loads(text)
-    return [*state, int(count)] if fold.counted else state
+    return [*state, json.loads(count)] if fold.counted else state
 
 
 def _tracer(fold: Fold, key: list[str]):
@@ -174,8 +198,8 @@ def _tracer(fold: Fold, key: list[str]):
     def closed(group, entry, state):
         if entry is None:  # only warm-up rows: the block does not exist
             return (*group, None, None, None, None)
-        text, count = _pack(fold, state)
-        return (*group, *entry, text, count - entry[1])
+        (text, count), before = entry
+        return (*group, text, count, _pack(fold, state)[0], _gained(fold, before, state[-1]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state, entry = None, None, None
@@ -191,7 +215,7 @@ def _tracer(fold: Fold, key: list[str]):
                 if not copied and entry is None:
                     if given is None and fold.counted:
                         state = [*state[:-1], fold.start[-1]]
-                    entry = _pack(fold, state)
+                    entry = _pack(fold, state), state[-1]
                 state, _ = step(state, row)
             if done:
                 yield pd.DataFrame(done, columns=names)
@@ -212,7 +236,7 @@ def _emitter(fold: Fold, key: list[str], names: list[str], entries: bool):
             out = []
             size = len(pdf)
             given = pdf["_entry"].tolist() if entries else [None] * size
-            counts = pdf["_count"].tolist() if entries else [0] * size
+            counts = pdf["_count"].tolist() if entries else [None] * size
             data = zip(zip(*[pdf[c].tolist() for c in group_cols]), given, counts, zip(*[_plain(pdf[c]) for c in picks]),
                        zip(*[_plain(pdf[c]) for c in carried]))
             for group, entry, count, row, kept in data:

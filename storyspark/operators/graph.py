@@ -8,8 +8,13 @@ definition, and the rule itself limits a category to 20 members.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+import unicodedata
+from collections.abc import Iterator, Sequence
 
+import ahocorasick
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -119,40 +124,137 @@ def combine_edges(edges: DataFrame) -> DataFrame:
 
 # ---- J1, J12: mentions ----------------------------------------------------------------------------------
 
-def term_tokens(c: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"(?U)(\w+)"), 1)
+#: Terms and characters of a lexicon that goes to every task as one automaton; a larger one meets the texts by a join.
+MATCHER_TERMS, MATCHER_CHARS = 200_000, 8_000_000
+
+
+def _is_word(ch: str) -> bool:
+    """Characters of words: letters, marks, digits, connectors and joiners."""
+    kind = unicodedata.category(ch)
+    return kind[0] in "LM" or kind in ("Nd", "Nl", "Pc") or ch in "\u200c\u200d"
+
+
+class Matcher:
+    """Aho-Corasick automaton over lower-case terms; a term counts where both its ends are word boundaries."""
+
+    def __init__(self, terms: Sequence[str]):
+        self.automaton = ahocorasick.Automaton()
+        for number, term in enumerate(terms):
+            self.automaton.add_word(term, (number, len(term)))
+        if terms:
+            self.automaton.make_automaton()
+        self.known = len(terms)
+
+    def find(self, text: str) -> list[int]:
+        """Numbers of the terms in a lower-case text, each once."""
+        found: set[int] = set()
+        for last, (number, size) in self.automaton.iter(text) if self.known and text else ():
+            if number not in found and self._edge(text, last - size + 1) and self._edge(text, last + 1):
+                found.add(number)
+        return sorted(found)
+
+    @staticmethod
+    def _edge(text: str, at: int) -> bool:
+        before = at > 0 and _is_word(text[at - 1])
+        after = at < len(text) and _is_word(text[at])
+        return before != after
+
+
+def _lexicon(lexicon: DataFrame, term: str) -> DataFrame:
+    """``lexicon`` with ``_term``: lower-case terms that hold a word."""
+    return lexicon.withColumn("_term", F.lower(F.col(term))).filter(F.col("_term").rlike(r"(?U)\w"))
 
 
 def lexicon_hits(texts: DataFrame, lexicon: DataFrame, term: str = "term", text: str = "text", tid: str = "text_id") -> DataFrame:
-    """(text id, lexicon row) for terms found on word boundaries, by a join on word n-grams.
+    """(text id, lexicon row) for terms that stand in the text, case aside, between word boundaries.
 
-    N-grams are built only for the word counts the lexicon has, which come along as one row (as
-    many numbers as the longest term has words, at most); a candidate is confirmed against the
-    text itself, so punctuation inside a term still has to match.
+    A lexicon within MATCHER_TERMS and MATCHER_CHARS goes to every task as one automaton: each
+    text is read once where it lies, and only hits move.  A larger one is joined on the first word of its terms; the
+    text's pieces from there on come along, so the text itself moves once.
     """
-    lex = lexicon.withColumn("_t", term_tokens(F.col(term))).withColumns({"_n": F.size("_t"), "_gram": F.array_join("_t", " ")}).filter("_n > 0").drop("_t")
-    counts = lex.agg(F.sort_array(F.collect_set("_n")).alias("_counts"))
-    t = F.col("_w")
-    cut = lambda n: F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, n), " "))
-    grams = F.array_distinct(F.flatten(F.transform(F.filter("_counts", lambda n: n <= F.size(t)), cut)))
-    src = texts.select(tid, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_low"))
-    cand = src.withColumn("_w", term_tokens(F.col("_low"))).crossJoin(F.broadcast(counts)).select(tid, F.explode(grams).alias("_gram")).join(lex, "_gram").drop("_gram", "_n")
-    plain = cand.filter(F.col(term).rlike(r"^[\p{L}\p{N}_]+$"))
-    odd = cand.filter(~F.col(term).rlike(r"^[\p{L}\p{N}_]+$"))
-    checked = odd.join(src, tid).filter(F.regexp_count("_low", F.concat(F.lit(r"(?U)\b\Q"), F.lower(term), F.lit(r"\E\b"))) > 0).drop("_low")
-    return plain.unionByName(checked)
+    lex = _lexicon(lexicon, term)
+    spelled = lex.select("_term").distinct()
+    count, size = spelled.agg(F.count(F.lit(1)), F.sum(F.length("_term"))).first()
+    low = texts.select(tid, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_low"))
+    if count <= MATCHER_TERMS and (size or 0) <= MATCHER_CHARS:
+        hits = _found_by_automaton(low, sorted(r["_term"] for r in spelled.collect()), tid)
+        # a lexicon of this size is bounded
+        return hits.join(F.broadcast(lex), "_term").drop("_term")
+    return _found_by_join(low, spelled, tid).join(lex, "_term").drop("_term")
+
+
+def _found_by_automaton(low: DataFrame, terms: list[str], tid: str) -> DataFrame:
+    shared = low.sparkSession.sparkContext.broadcast(terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(shared.value)
+        for batch in batches:
+            found = [matcher.find(t.as_py()) for t in batch.column(1)]
+            owner = [i for i, f in enumerate(found) for _ in f]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), pa.array([shared.value[n] for f in found for n in f], pa.string())], [tid, "_term"])
+
+    return low.mapInArrow(run, f"`{tid}` {low.schema[tid].dataType.simpleString()}, _term string")
+
+
+def _found_by_join(low: DataFrame, spelled: DataFrame, tid: str) -> DataFrame:
+    """Terms by their first word: the pieces (words and what stands between) from each such word on hold the term, if it is there."""
+    pieces = lambda c: F.regexp_extract_all(c, F.lit(r"(?U)(\w+|\W+)"), 1)
+    is_word = lambda c: c.rlike(r"(?U)^\w")
+    own = spelled.withColumn("_p", pieces(F.col("_term"))).withColumn("_lead", F.when(is_word(F.get("_p", 0)), "").otherwise(F.get("_p", 0)))
+    own = own.withColumns({"_first": F.when(F.col("_lead") == "", F.get("_p", 0)).otherwise(F.get("_p", 1)),
+                           "_core": F.expr("substring(_term, length(_lead) + 1)"), "_size": F.size("_p")})
+    longest = F.broadcast(own.agg(F.coalesce(F.max("_size"), F.lit(0)).alias("_longest")))
+    cut = low.withColumn("_p", pieces(F.col("_low"))).crossJoin(longest).select(tid, F.posexplode("_p").alias("_at", "_first"), "_p", "_longest").filter(is_word(F.col("_first")))
+    # one piece before and one behind decide on the boundaries of terms that start or end with other characters
+    around = cut.select(tid, "_first", F.when(F.col("_at") > 0, F.get("_p", F.col("_at") - 1)).otherwise("").alias("_before"), (F.col("_at") > 1).alias("_more"),
+                        F.array_join(F.slice("_p", F.col("_at") + 1, F.col("_longest") + 1), "").alias("_rest"))
+    met = around.join(own, "_first").filter(F.startswith("_rest", F.col("_core")))
+    next_ = F.expr("substring(_rest, length(_core) + 1, 1)")
+    ends_in_word = F.col("_core").rlike(r"(?U)\w$")
+    follows = next_.rlike(r"(?U)\w")
+    starts = (F.col("_lead") == "") | ((F.col("_before") == F.col("_lead")) & F.col("_more"))
+    return met.filter(starts & (ends_in_word != follows)).select(tid, "_term").distinct()
+
+
+#: Names up to which a row expression asks for each on its own; more are found by one automaton.
+FEW_NAMES = 16
 
 
 def context_entities(text: Column, aliases: Sequence[tuple[str, str]], entities: Sequence[str], limit: int = 8) -> Column:
     """Known entities of a text as a row expression: aliases by substring first, then entities on word boundaries."""
-    import re
-
     low = F.lower(F.coalesce(text, F.lit("")))
+    if len(aliases) + len(entities) > FEW_NAMES:
+        return _known_names(list(aliases), list(entities), limit)(low)
     found = [F.when(low.contains(a), F.lit(name)) for a, name in aliases]
     found += [F.when(low.rlike(r"(?U)\b" + re.escape(e.lower()) + r"\b"), F.lit(e)) for e in entities]
     return F.slice(F.array_distinct(F.array_compact(F.array(*found))), 1, limit) if found else F.array().cast("array<string>")
 
 
+def _known_names(aliases: list[tuple[str, str]], entities: list[str], limit: int):
+    """The same in one pass over the text."""
+    @F.pandas_udf("array<string>")
+    def names(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        parts = ahocorasick.Automaton()
+        for number, (part, _) in enumerate(aliases):
+            if part:
+                parts.add_word(part, [*parts.get(part, []), number])
+        if len(parts):
+            parts.make_automaton()
+        lowered = [e.lower() for e in entities]
+        terms = sorted(set(lowered) - {""})
+        matcher = Matcher(terms)
+
+        def known(text: str) -> list[str]:
+            at = {n for _, numbers in (parts.iter(text) if len(parts) and text else ()) for n in numbers} | {n for n, (part, _) in enumerate(aliases) if not part}
+            words = {terms[n] for n in matcher.find(text)}
+            return list(dict.fromkeys([aliases[n][1] for n in sorted(at)] + [e for e, low in zip(entities, lowered) if low in words]))[:limit]
+
+        for batch in texts:
+            yield batch.map(known)
+
+    return names
+
+
 def entities_by_join(texts: DataFrame, lexicon: DataFrame, limit: int = 8, text: str = "text", tid: str = "text_id") -> DataFrame:
     """Same for a lexicon table (term, canonical, alias_first, pos): the first ``limit`` names per text, in order."""
     hits = lexicon_hits(texts, lexicon, "term", text, tid).groupBy(tid, "canonical").agg(F.min(F.struct("alias_first", "pos")).alias("o"))
@@ -202,11 +304,55 @@ def mutual_connections(edges: DataFrame, pairs: DataFrame, nodes: DataFrame, k:
         nodes.select(F.col("id").alias("dst"), F.coalesce(F.nullif(F.col("character"), F.lit("")), F.col("name")).alias("target")), "dst")
 
 
-def node_directory(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
-    """Nodes with the number of their relationships in ``edges``.
+def neighbour_groups(nodes: DataFrame, generic_tags: Sequence[str] = (), category_members: tuple[int, int] = CATEGORY_MEMBERS) -> tuple[DataFrame, DataFrame]:
+    """((id, group) of the nodes in a group, (id, group) of those that the group links to): the rules of ``mine_edges`` without a pair.
+
+    A node is linked to all members of the groups it looks up: names that a tag of it spells, arcs, pairs of emotions, small categories.
+    """
+    kind = F.lower(F.coalesce("visual_type", F.lit("")))
+    plain = list(generic_tags)
+    usable = lambda c: (F.length(c) >= 3) & ~c.isin(*plain) if plain else F.length(c) >= 3
+    group = lambda rule, c: F.concat(F.lit(f"{rule}:"), c)
+    named = nodes.select("id", F.explode(F.array_distinct(F.transform(F.split(F.lower(F.concat_ws(" ", "name", "character")), r"\s+"), norm_key))).alias("t"))
+    tagged = nodes.select("id", F.explode(F.array_distinct(F.transform("tags", norm_key))).alias("t"))
+    named, tagged = (d.filter(usable(F.col("t"))).select("id", group("tag", F.col("t")).alias("group")) for d in (named, tagged))
+    people = nodes.filter((kind != "") & ~kind.contains("arc") & ~kind.contains("weapon"))
+    arcs = people.select("id", F.explode(_tokens(F.col("arc"), "/")).alias("t")).select("id", group("arc", F.col("t")).alias("group"))
+    moody = nodes.filter((F.coalesce("emotion", F.lit("")) != "") & ~kind.contains("arc")).select("id", F.array_sort(_tokens(F.col("emotion"), ",")).alias("e"))
+    two = F.flatten(F.transform("e", lambda x, i: F.transform(F.slice("e", i + 2, F.size("e")), lambda y: F.concat(x, F.lit("\1"), y))))
+    moods = moody.filter(F.size("e") > 1).select("id", F.explode(two).alias("t")).select("id", group("emotion", F.col("t")).alias("group"))
+    cats = nodes.filter((F.coalesce("category", F.lit("")) != "") & ~F.col("category").contains("arc"))
+    small = cats.groupBy("category").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n").between(*category_members))
+    crews = cats.join(small.select("category"), "category", "left_semi").select("id", group("category", F.col("category")).alias("group"))
+    both = arcs.unionByName(moods).unionByName(crews)
+    return named.unionByName(both), tagged.unionByName(both)
+
+
+def degree_estimates(nodes: DataFrame, generic_tags: Sequence[str] = (), category_members: tuple[int, int] = CATEGORY_MEMBERS, lg_k: int = 12) -> DataFrame:
+    """(id, relationship_estimate) of every node, mined or not: distinct neighbours by HyperLogLog sketches.
+
+    One sketch a group holds its members; a node's neighbours are the union of the sketches that it looks
+    up, less itself.  Nodes that look up the same groups share one union, and no pair of nodes is
+    written.  The relative standard error is 1.04 / sqrt(2 ** lg_k), 1.6 % by default; a few hundred
+    neighbours are counted almost exactly.
+    """
+    members, lookups = neighbour_groups(nodes, generic_tags, category_members)
+    sketches = members.groupBy("group").agg(F.hll_sketch_agg(F.col("id").cast("string"), F.lit(lg_k)).alias("sketch"))
+    sets = lookups.groupBy("id").agg(F.sort_array(F.collect_set("group")).alias("groups")).withColumn("key", F.sha2(F.array_join("groups", "\2"), 256))
+    each = sets.groupBy("key").agg(F.first("groups").alias("groups")).select("key", F.explode("groups").alias("group"))
+    sizes = each.join(sketches, "group").groupBy("key").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch", F.lit(False))).alias("size"))
+    itself = lookups.join(members, ["id", "group"], "left_semi").select("id", F.lit(1).alias("self")).distinct()
+    found = sets.select("id", "key").join(sizes, "key").join(itself, "id", "left").select(
+        "id", F.greatest(F.lit(0), F.col("size") - F.coalesce("self", F.lit(0))).cast("long").alias("relationship_estimate"))
+    return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("relationship_estimate", F.lit(0)).cast("long").alias("relationship_estimate"))
+
+
+def node_directory(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None, estimates: DataFrame | None = None) -> DataFrame:
+    """Nodes with the number of their relationships in ``edges``, and their names in lower case, by which they are resolved.
 
     ``sources`` (id) are the nodes whose edges were mined; the number is null for any other node,
-    of which nothing is known.  Without it all nodes count as mined.
+    of which nothing is known.  Without it all nodes count as mined.  ``estimates`` (of
+    ``degree_estimates``) adds the estimated number for every node.
     """
     degree = edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("relationship_count"))
     out = nodes.join(degree, "id", "left")
@@ -214,8 +360,13 @@ def node_directory(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None
     if sources is not None:
         out = out.join(sources.select("id", F.lit(True).alias("_mined")).distinct(), "id", "left")
         count = F.when(F.col("_mined"), count)
-    return out.select("id", F.coalesce(F.nullif(F.col("character"), F.lit("")), F.col("name")).alias("name"), "category", "importance",
-                      count.alias("relationship_count"))
+    names = F.array_distinct(F.filter(F.array(*[norm_key(F.col(c).cast("string")) for c in ("id", "name", "character")]), lambda x: x != ""))
+    columns = ["id", F.coalesce(F.nullif(F.col("character"), F.lit("")), F.col("name")).alias("name"), "category", "importance",
+               count.alias("relationship_count"), names.alias("resolvable_names")]
+    if estimates is not None:
+        out = out.join(estimates, "id", "left")
+        columns.append("relationship_estimate")
+    return out.select(*columns)
 
 
 def graph_status(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -23,30 +23,74 @@ def joined_text(order: Column, text: Column, sep: str = " ") -> Column:
 
 # ---- J6, J7: overlap and nearest joins ------------------------------------------------------
 
-def overlap_pairs(lines: DataFrame, slides: DataFrame, bucket_s: float = 30.0, key: str = K) -> DataFrame:
+#: Least level: intervals up to a quarter of a second share it.  Times beyond FAR share their outermost cells.
+LEAST_LEVEL, FAR = -2, 1e15
+
+
+def _level(start: Column, end: Column) -> Column:
+    """Exponent of the least power of two that is as long as the interval."""
+    return F.greatest(F.ceil(F.log2(F.greatest(F.least(F.abs(end - start), F.lit(FAR)), F.lit(2.0**LEAST_LEVEL)))), F.lit(LEAST_LEVEL)).cast("int")
+
+
+def _cell(at: Column, level: Column) -> Column:
+    return F.floor(F.greatest(F.least(at, F.lit(FAR)), F.lit(-FAR)) / F.pow(F.lit(2.0), level)).cast("long")
+
+
+def overlap_pairs(lines: DataFrame, slides: DataFrame, key: str = K) -> DataFrame:
     """Pairs of line and slide that overlap in time.
 
-    Both sides are spread over the time buckets they touch and meet on (key, bucket), so a
-    long script is many join keys.  A pair is kept only in the first bucket both touch.
-    ``lines`` / ``slides`` need start_s and end_s; all their other columns are prefixed l_ / s_.
+    Time is cut into cells of 2 ** n seconds at every level n.  An interval belongs to the level of its
+    own length, where it touches two cells, or three.  A line meets the slides of its level and of
+    all longer ones in those cells, a slide the longer lines in theirs; levels without an interval
+    are left out.  So an interval is a few rows a level however long it is, and a wrong end costs as
+    much as a right one.  A pair is kept only in the first cell both touch.
+    ``lines`` / ``slides`` need start_s and end_s (rows without either overlap nothing); all their other columns are prefixed l_ / s_.
     """
-    def spread(df, p):
-        first = F.floor(F.col("start_s") / bucket_s).cast("long")
-        last = F.greatest(first, F.floor(F.col("end_s") / bucket_s).cast("long"))
+    def side(df: DataFrame, p: str) -> DataFrame:
+        first, last = F.least("start_s", "end_s"), F.greatest("start_s", "end_s")
         cols = [F.col(key)] + [F.col(c).alias(f"{p}_{c}") for c in df.columns if c != key]
-        return df.select(*cols, first.alias(f"_{p}0"), F.explode(F.sequence(first, last)).alias("_bucket"))
+        return df.filter(F.col("start_s").isNotNull() & F.col("end_s").isNotNull()).select(
+            *cols, first.alias(f"_{p}0"), last.alias(f"_{p}1"), _level(F.col("start_s"), F.col("end_s")).alias(f"_{p}n"))
+
+    def present(df: DataFrame, p: str) -> DataFrame:
+        return F.broadcast(df.agg(F.sort_array(F.collect_set(f"_{p}n")).alias("_levels")))  # one row of some fifty numbers at most
+
+    def touched(df: DataFrame, p: str) -> DataFrame:
+        """One row for each cell at ``_at``; ``_{p}c`` is the first of them."""
+        first = _cell(F.col(f"_{p}0"), F.col("_at"))
+        return df.withColumn(f"_{p}c", first).withColumn("_cell", F.explode(F.sequence(first, _cell(F.col(f"_{p}1"), F.col("_at")))))
 
-    left, right = spread(lines, "l"), spread(slides, "s")
-    joined = left.join(right, [key, "_bucket"])
-    return joined.filter(
-        (F.col("l_end_s") > F.col("s_start_s")) & (F.col("l_start_s") < F.col("s_end_s"))
-        & (F.col("_bucket") == F.greatest("_l0", "_s0"))).drop("_bucket", "_l0", "_s0")
+    left, right = side(lines, "l"), side(slides, "s")
+    levels = {"l": present(left, "l"), "s": present(right, "s")}
+
+    def meet(small: DataFrame, sp: str, large: DataFrame, lp: str, same: bool) -> DataFrame:
+        """Intervals of ``large`` in the cells of their own level, and those of ``small`` in the cells of all levels above their own (and at it, if ``same``)."""
+        up = F.filter("_levels", lambda n: n >= F.col(f"_{sp}n") if same else n > F.col(f"_{sp}n"))
+        searching = touched(small.crossJoin(levels[lp]).withColumn("_at", F.explode(up)).drop("_levels"), sp)
+        staying = touched(large.withColumn("_at", F.col(f"_{lp}n")), lp)
+        return searching.join(staying, [key, "_at", "_cell"])
+
+    helpers = ["_at", "_cell", *(f"_{p}{x}" for p in "ls" for x in "01nc")]
+    joined = meet(left, "l", right, "s", True).unionByName(meet(right, "s", left, "l", False))
+    return joined.filter((F.col("l_end_s") > F.col("s_start_s")) & (F.col("l_start_s") < F.col("s_end_s"))
+                         & (F.col("_cell") == F.greatest("_lc", "_sc"))).drop(*helpers)
+
+
+def overlapping_lines(lines: DataFrame, slides: DataFrame, key: str = K, order: str = O) -> DataFrame:
+    """(key, slide, position, line, text): the lines of each slide in time order, one row each.
+
+    The long form of ``overlapping_text``: a slide over a whole script is many rows, numbered in blocks.
+    """
+    said = lines.withColumn("text", F.trim(F.coalesce("text", F.lit("")))).filter("text <> ''")
+    pairs = overlap_pairs(said.select(key, order, "start_s", "end_s", "text"), slides.select(key, order, "start_s", "end_s"), key)
+    rows = pairs.select(key, F.col(f"s_{order}").alias(order), F.col("l_start_s").alias("_from"), F.col(f"l_{order}").alias("line"), F.col("l_text").alias("text"))
+    return number_rows(rows, [key, order], ["_from", "line"], out="position").drop("_from")
 
 
-def overlapping_text(lines: DataFrame, slides: DataFrame, bucket_s: float = 30.0, key: str = K, order: str = O) -> DataFrame:
+def overlapping_text(lines: DataFrame, slides: DataFrame, key: str = K, order: str = O) -> DataFrame:
     """Slide with the text of its lines in time order; slides without lines keep an empty text."""
     said = lines.withColumn("text", F.trim(F.coalesce("text", F.lit("")))).filter("text <> ''")
-    pairs = overlap_pairs(said, slides.select(key, order, "start_s", "end_s"), bucket_s, key)
+    pairs = overlap_pairs(said, slides.select(key, order, "start_s", "end_s"), key)
     text = pairs.groupBy(key, F.col(f"s_{order}").alias(order)).agg(
         joined_text(F.struct("l_start_s", f"l_{order}"), F.col("l_text")).alias("_text"), F.count(F.lit(1)).alias("_n"))
     return slides.join(text, [key, order], "left").withColumns({

@@ -335,7 +335,7 @@ def plan_query(query: Column, context: Column, inferred: Column, entities: Colum
 
 
 def refine_slides(slides: DataFrame, lines: DataFrame, aliases: Sequence[tuple[str, str]] = (), entities: Sequence[str] = (), hooks: Sequence[tuple[str, str]] = (),
-                  hints: Sequence[tuple[str, str]] = (), fallback: str = "Logo", profile: str = "short_vertical", bucket_s: float = 30.0, key: str = K, order: str = O,
+                  hints: Sequence[tuple[str, str]] = (), fallback: str = "Logo", profile: str = "short_vertical", key: str = K, order: str = O,
                   block_rows: int | None = None, unicode: bool = True) -> DataFrame:
     """Text per slide, queries aligned with it, repeats made different, confidence, production defaults.
 
@@ -343,7 +343,7 @@ def refine_slides(slides: DataFrame, lines: DataFrame, aliases: Sequence[tuple[s
     it is a first-position aggregate per (script, query), not a running map.
     """
     known = lambda c, n: context_entities(c, aliases, entities, n)
-    s = overlapping_text(lines, slides, bucket_s, key, order)
+    s = overlapping_text(lines, slides, key, order)
     empty = F.array().cast("array<string>")
     given = F.coalesce(F.col("entities"), empty) if "entities" in slides.columns else empty
     s = s.withColumns({"_given": given, "_heard": known(F.col("subtitle_text"), 3), "_both": F.trim(F.concat_ws(" ", "subtitle_text", _s("summary")))})

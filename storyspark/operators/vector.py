@@ -1,8 +1,9 @@
-"""Exact vector top-k: matrix products inside tasks, k rows per query and partition leave them."""
+"""Vector top-k, exact or over inverted lists: matrix products inside tasks, k rows per query and partition leave them."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from storyspark.session import cut_lineage
+
 MAX_QUERY_BYTES = 64 << 20   # query matrix that a task (and, for a small set, the driver) holds
 TILE_CELLS = 4 << 20         # products that a task holds at once
 
@@ -152,6 +155,116 @@ def _cells(rows, chosen, picks, cols, tiles, best_of, add, schema) -> DataFrame:
     return placed.mapInPandas(run, schema)
 
 
+# ---- J20: inverted lists -------------------------------------------------------------------------------
+
+MAX_LISTS = 4096             # so that centroids can go to every task
+SAMPLE_BYTES = 64 << 20      # vectors that the driver fits the centroids on
+LIST_ROWS, LIST_QUERIES = 16_384, 4096  # rows and queries of a cell
+
+
+def fit_centroids(sample: np.ndarray, lists: int, rounds: int = 10, seed: int = 3) -> np.ndarray:
+    """Unit centroids by k-means on the sphere; a list that loses its rows starts again from the row that fits worst."""
+    rng = np.random.default_rng(seed)
+    x = unit(sample)
+    centres = x[rng.choice(len(x), lists, replace=False)]
+    for _ in range(rounds):
+        own, near = _nearest_list(x, centres)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, x)
+        empty = np.flatnonzero(np.bincount(own, minlength=lists) == 0)
+        sums[empty] = x[np.argsort(near, kind="stable")[:len(empty)]]
+        centres = unit(sums)
+    return centres
+
+
+def _nearest_list(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    own, near = np.empty(len(x), np.int64), np.empty(len(x))
+    for a in range(0, len(x), 4096):
+        sims = x[a:a + 4096] @ centres.T
+        own[a:a + 4096] = sims.argmax(1)
+        near[a:a + 4096] = sims.max(1)
+    return own, near
+
+
+@dataclass
+class VectorLists:
+    """Every row with a vector in the list of its nearest centroid, and the centroids."""
+
+    rows: DataFrame  # id, vector, list
+    centroids: np.ndarray
+    id: str
+    vector: str
+
+
+def build_lists(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", lists: int | None = None, sample_rows: int = 50_000) -> VectorLists:
+    """Index of all rows that have a vector.
+
+    Centroids are fitted in the driver on the rows of least id hash, ``sample_rows`` at most and
+    SAMPLE_BYTES at most; every row is then assigned.  There are as many lists as the square root of
+    the number of rows, MAX_LISTS at most, unless ``lists`` says otherwise.
+    """
+    slim = vectors.select(id, vector).filter(F.col(vector).isNotNull())
+    total, dim = slim.agg(F.count(F.lit(1)), F.max(F.size(vector))).first()
+    if not total:
+        raise ValueError("no vectors")
+    bound = min(sample_rows, max(1, SAMPLE_BYTES // (8 * dim)))
+    sample = slim.orderBy(F.xxhash64(id), id).limit(bound).select(vector).toPandas()[vector]
+    wanted = min(lists or max(1, round(total**0.5)), MAX_LISTS, len(sample))
+    centres = fit_centroids(np.array(sample.tolist(), dtype=np.float64), wanted)
+    shared = vectors.sparkSession.sparkContext.broadcast(centres)
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            own = _nearest_list(unit(np.array(pdf[vector].tolist(), dtype=np.float64).reshape(len(pdf), -1)), shared.value)[0] if len(pdf) else np.zeros(0, int)
+            yield pdf.assign(list=own)
+
+    schema = T.StructType([*slim.schema.fields, T.StructField("list", T.LongType())])
+    return VectorLists(cut_lineage(slim.mapInPandas(assign, schema)), centres, id, vector)
+
+
+def search_lists(index: VectorLists, queries: DataFrame, k: int, probes: int, qid: str = "query_id", qvector: str = "embedding") -> DataFrame:
+    """(query, id, similarity, score, rank) of the ``k`` best rows of the ``probes`` lists nearest to each query, by exact cosine.
+
+    All lists give the exact result.  A long list is cut into cells of LIST_ROWS rows and
+    LIST_QUERIES queries; a cell returns k rows a query.
+    """
+    spark, id, vector = queries.sparkSession, index.id, index.vector
+    probes = min(probes, len(index.centroids))
+    shared = spark.sparkContext.broadcast(index.centroids)
+    slim = queries.select(qid, F.col(qvector).alias("_qv")).filter("_qv IS NOT NULL")
+
+    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                sims = unit(np.array(pdf["_qv"].tolist(), dtype=np.float64)) @ shared.value.T
+                yield pdf.assign(list=list(np.argsort(-sims, axis=1, kind="stable")[:, :probes]))
+
+    lists = T.StructType([*slim.schema.fields, T.StructField("list", T.ArrayType(T.LongType()))])
+    asked = slim.mapInPandas(probe, lists).withColumn("list", F.explode("list"))
+    # one row a list: MAX_LISTS at most
+    sizes = index.rows.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / LIST_ROWS).cast("int").alias("_rows"))
+    crowds = asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / LIST_QUERIES).cast("int").alias("_queries"))
+    grid = F.broadcast(sizes.join(crowds, "list"))
+    spot = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = asked.join(grid, "list").select(qid, "_qv", "list", every("_rows").alias("_row"), spot(qid, "_queries").alias("_query"))
+    right = index.rows.join(grid, "list").select(id, vector, "list", spot(id, "_rows").alias("_row"), every("_queries").alias("_query"))
+    schema = T.StructType([T.StructField(qid, queries.schema[qid].dataType), T.StructField(id, index.rows.schema[id].dataType),
+                           T.StructField("similarity", T.DoubleType()), T.StructField("score", T.DoubleType())])
+
+    def compare(some: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if some.empty or rows.empty:
+            return pd.DataFrame({f.name: [] for f in schema})
+        best = _Best(some[qid].tolist(), unit(np.array(some["_qv"].tolist(), dtype=np.float64)), None, k, 1.0, 1.0, False, False)
+        best.add(rows[id].to_numpy(), unit(np.array(rows[vector].tolist(), dtype=np.float64)), None, None)
+        return best.frame(qid, id)
+
+    cell = ["list", "_row", "_query"]
+    found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(compare, schema)
+    w = Window.partitionBy(qid).orderBy(F.desc("score"), id)
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
 def cosine(a, b):
     """Cosine of two array columns (for pairs that are already known)."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda acc, v: acc + v)
@@ -172,8 +285,32 @@ def collection_rows(df: DataFrame, collection: str, text: str = "text", parts: t
     return df.withColumns({"collection": F.lit(collection), "id": digest, "content_hash": F.md5(F.coalesce(F.col(text), F.lit("")))})
 
 
-def append_collection(df: DataFrame, path: str, collection: str, **kw) -> None:
-    collection_rows(df, collection, **kw).write.mode("append").partitionBy("collection").parquet(path)
+def append_collection(df: DataFrame, path: str, collection: str, buckets: int = 16, **kw) -> int:
+    """Store the rows that the collection does not hold yet; how many were new.
+
+    Rows lie in buckets by content id.  Only the buckets of the batch are read; those with new rows are
+    written anew as a whole (dynamic partition overwrite), so a load that is run again, wholly or
+    after a failure half-way, leaves each row once.  Rows that repeat a content id in the batch are one.
+    """
+    spark = df.sparkSession
+    placed = lambda rows: rows.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
+    rows = cut_lineage(placed(collection_rows(df, collection, **kw).dropDuplicates(["id"])))
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fresh = rows
+    stored = None
+    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]  # the number of buckets at most
+        stored = spark.read.schema(rows.schema).parquet(path).filter((F.col("collection") == collection) & F.col("bucket").isin(touched))
+        fresh = rows.join(stored.select("id"), "id", "left_anti")
+    fresh = cut_lineage(fresh)
+    new = fresh.count()
+    if new:
+        out = fresh
+        if stored is not None:
+            # the old rows of the same buckets come along; cut off from the files that the write replaces
+            out = fresh.unionByName(cut_lineage(stored.join(F.broadcast(fresh.select("bucket").distinct()), "bucket", "left_semi").select(*fresh.columns)))
+        out.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collection", "bucket").parquet(path)
+    return new
 
 
 def stale_rows(current: DataFrame, stored: DataFrame, key: str, text: str = "text") -> DataFrame:

@@ -72,7 +72,7 @@ def staged_storyboard(beats: DataFrame, score_scale: float = 100.0, style: str =
 
 
 def subtitles_to_slides(lines: DataFrame, candidates: DataFrame, total_s: DataFrame, aliases: Sequence[tuple[str, str]] = (), entities: Sequence[str] = (),
-                        hooks: Sequence[tuple[str, str]] = (), profile: str = "short_vertical", bucket_s: float = 30.0, key: str = K, unicode: bool = True) -> dict[str, DataFrame]:
+                        hooks: Sequence[tuple[str, str]] = (), profile: str = "short_vertical", key: str = K, unicode: bool = True) -> dict[str, DataFrame]:
     """E4: subtitle lines and candidate slides to split, refined, repaired, audited and expanded slides.
 
     ``total_s``: key and total_s, the length of each script.
@@ -80,7 +80,7 @@ def subtitles_to_slides(lines: DataFrame, candidates: DataFrame, total_s: DataFr
     clean = intervals.trim_overlaps(lines)
     long = (F.col("end_s") - F.col("start_s")) > planners.SLIDE_MAX_S
     pairs = intervals.overlap_pairs(clean.filter("text <> ''").select(key, O, "start_s", "end_s", "text"),
-                                    candidates.filter(long).select(key, O, "start_s", "end_s"), bucket_s, key)
+                                    candidates.filter(long).select(key, O, "start_s", "end_s"), key)
     inner = pairs.select(key, F.col("s_idx").alias("slide"), F.col("l_start_s").alias("start_s"), F.col("l_end_s").alias("end_s"), F.col("l_text").alias("text"),
                          F.col(f"l_{O}").alias("_l"))
     inner = number_rows(inner, [key, "slide"], ["start_s", "_l"], out=O)
@@ -93,7 +93,7 @@ def subtitles_to_slides(lines: DataFrame, candidates: DataFrame, total_s: DataFr
         "_part": F.coalesce("chunk", F.lit(0))}).drop("_s", "_e", "_sum", "chunk")
     # everything after this point reads the split slides several times
     split = cut_lineage(number_rows(split.withColumnRenamed(O, "_slide"), key, ["start_s", "_part"], out=O).drop("_slide", "_part"))
-    refined = slides.refine_slides(split, clean, aliases, entities, hooks, profile=profile, bucket_s=bucket_s, unicode=unicode)
+    refined = slides.refine_slides(split, clean, aliases, entities, hooks, profile=profile, unicode=unicode)
     snapped = intervals.snap_to_nearest(refined, clean).join(total_s, key)
     cut = intervals.repair_cuts(snapped).withColumns({"start_s": F.col("new_start"), "end_s": F.col("new_end")}).drop("new_start", "new_end", "snapped", "total_s")
     final = sequence.expand_parallel(cut.withColumn("transition_type", F.col("transition_in")))

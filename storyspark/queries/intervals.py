@@ -24,7 +24,18 @@ FROM slides s LEFT JOIN beats l ON l.script_id = s.script_id AND l.end_s > s.sta
 def j6(spark, sf):
     b = beats(spark, sf)
     lines = b.select("script_id", "idx", "start_s", "end_s", F.col("subtitle_text").alias("text"))
-    return intervals.overlapping_text(lines, _slides(b), bucket_s=86400.0)
+    return intervals.overlapping_text(lines, _slides(b))
+
+
+@register("j6_overlap_lines", "script_id:i idx:i position:i line:i text:s", """
+SELECT s.script_id, s.idx, row_number() OVER (PARTITION BY s.script_id, s.idx ORDER BY l.start_s, l.idx) - 1 AS position, l.idx AS line, l.subtitle_text AS text
+FROM (SELECT script_id, idx, start_s, CASE WHEN idx % 9 = 0 THEN start_s + 31536000 ELSE end_s END AS end_s FROM slides) s
+JOIN beats l ON l.script_id = s.script_id AND l.end_s > s.start_s AND l.start_s < s.end_s""", SLIDES_SQL)
+def j6_lines(spark, sf):
+    """Every ninth slide has a wrong end, a year later."""
+    b = beats(spark, sf)
+    wrong = _slides(b).withColumn("end_s", F.when(F.col("idx") % 9 == 0, F.col("start_s") + 31_536_000).otherwise(F.col("end_s")))
+    return intervals.overlapping_lines(b.select("script_id", "idx", "start_s", "end_s", F.col("subtitle_text").alias("text")), wrong)
 
 
 @register("j7_snap_to_nearest", "script_id:i idx:i snapped:d", """

@@ -119,8 +119,8 @@ def event_stream(spark, sf):
 SELECT user_id AS script_id, regexp_extract(props, '(\\d+)', 1) AS asset_id, min(epoch_us(ts)) AS first_us, max(epoch_us(ts)) AS last_us, count(*) AS times_used FROM events GROUP BY ALL""")
 def r1(spark, sf):
     s = event_stream(spark, sf).withColumn("asset_id", F.col("k").cast("string"))
-    rows = streaming.drain(streaming.asset_memory_stream(s), streaming.job_folder(spark, "memory"))
-    return streaming.latest(rows, ["script_id", "asset_id"]).withColumns({"first_us": F.unix_micros("first_seen"), "last_us": F.unix_micros("last_seen")})
+    rows = streaming.asset_memory(s, streaming.job_folder(spark, "memory"))
+    return rows.withColumns({"first_us": F.unix_micros("first_seen"), "last_us": F.unix_micros("last_seen")})
 
 
 @register("r2_score_new_beats", "script_id:i idx:i repetition_score:d rejected:b", """
@@ -143,5 +143,4 @@ QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC)
 def r3(spark, sf):
     s = event_stream(spark, sf).select(F.col("script_id").alias("session_id"), F.col("event_type").alias("stage"), "ts", F.col("event_id").alias("seq"),
                                        F.when(F.col("value") > 60, "failed").otherwise("done").alias("status"))
-    rows = streaming.drain(streaming.session_status_stream(s), streaming.job_folder(spark, "sessions"))
-    return streaming.latest(rows, ["session_id"])
+    return streaming.session_status(s, streaming.job_folder(spark, "sessions"))

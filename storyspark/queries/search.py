@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from storyspark.operators import graph, planners, search, vector
 from storyspark.operators.sequence import lookup
 from storyspark.plans.views import BEATS_SQL, CATALOG_SQL, beats, catalog, table
 from storyspark.queries.registry import register
+from storyspark.session import shared_folder
 
 NORM = "regexp_replace(lower(coalesce({0}, '')), '[^a-z0-9]+', '', 'g')"
 
@@ -178,6 +181,30 @@ def j20(spark, sf):
     return vector.top_k_vectors(table(spark, sf, "embeddings"), centroids(spark, sf), 10, qvector="q")
 
 
+@register("j20_lists_all_probes", HIT, "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM sim QUALIFY rank <= 10", CENTROIDS)
+def j20_lists(spark, sf):
+    """Inverted lists give the exact result if all of them are probed."""
+    index = vector.build_lists(table(spark, sf, "embeddings"))
+    return vector.search_lists(index, centroids(spark, sf), 10, len(index.centroids), qvector="q")
+
+
+@register("j20_lists_recall", "queries:i k:i recall_reached:b", """
+SELECT count(*) AS queries, 10 AS k, true AS recall_reached FROM embeddings WHERE vec_id % 5 = 0""")
+def j20_recall(spark, sf):
+    """Recall of the lists against the exact search, over the whole table and a fifth of it as queries: 0.95 at least.
+
+    These vectors point everywhere alike, the hardest case for lists: it takes four fifths of them.
+    """
+    e = table(spark, sf, "embeddings")
+    q = e.filter("vec_id % 5 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    index = vector.build_lists(e)
+    near = vector.search_lists(index, q, 10, -(-4 * len(index.centroids) // 5)).select("query_id", "vec_id")
+    exact = vector.top_k_vectors(e, q, 10).select("query_id", "vec_id")
+    found = exact.join(near.withColumn("hit", F.lit(1)), ["query_id", "vec_id"], "left")
+    return found.agg(F.countDistinct("query_id").alias("queries"), (F.count(F.lit(1)) / F.countDistinct("query_id")).cast("long").alias("k"),
+                     (F.count("hit") / F.count(F.lit(1)) >= 0.95).alias("recall_reached"))
+
+
 @register("j20_vector_top_k_filtered", HIT, """
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM sim WHERE label = qlabel QUALIFY rank <= 5""", CENTROIDS)
 def j20_filtered(spark, sf):
@@ -215,6 +242,18 @@ def s10(spark, sf):
     return rows.groupBy("collection").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("id").alias("ids"))
 
 
+@register("s10_loaded_twice", "collection:s rows:i ids:i again:i", """
+SELECT 'embeddings' AS collection, count(*) AS rows, count(DISTINCT vec_id) AS ids, 0 AS again FROM embeddings""")
+def s10_twice(spark, sf):
+    """Half of the rows are loaded, then all, then all once more: each is stored once."""
+    path = f"{shared_folder(spark).rstrip('/')}/collection-{uuid.uuid4().hex}"
+    rows = table(spark, sf, "embeddings").withColumn("text", F.col("vec_id").cast("string"))
+    for part in (rows.filter("vec_id % 2 = 0"), rows):
+        vector.append_collection(part, path, "embeddings", parts=("vec_id",))
+    again = vector.append_collection(rows, path, "embeddings", parts=("vec_id",))
+    return spark.read.parquet(path).groupBy("collection").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("id").alias("ids")).withColumn("again", F.lit(again))
+
+
 @register("s11_stale_rows", "doc_id:i content_hash:s", """
 SELECT d.doc_id, md5(d.text) AS content_hash FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.quality IS NULL OR l.quality = 0""")
 def s11(spark, sf):
@@ -297,12 +336,25 @@ def j11(spark, sf):
     return graph.mutual_connections(_edges(n), pairs, n)
 
 
-@register("a9_node_directory", "id:i name:s category:s importance:i relationship_count:i", """
-SELECT id, character AS name, category, importance, CASE WHEN id IN (SELECT id FROM heads) THEN coalesce(n, 0) END AS relationship_count
+@register("a9_node_directory", "id:i name:s category:s importance:i relationship_count:i names:s", f"""
+SELECT id, character AS name, category, importance, CASE WHEN id IN (SELECT id FROM heads) THEN coalesce(n, 0) END AS relationship_count,
+       id || ',' || {NORM.format('name')} || CASE WHEN {NORM.format('character')} NOT IN ('', {NORM.format('name')}) THEN ',' || {NORM.format('character')} ELSE '' END AS names
 FROM catalog LEFT JOIN (SELECT src, count(*) AS n FROM ed GROUP BY src) ON src = id""", EDGES_SQL)
 def a9_nodes(spark, sf):
     n = _nodes(spark, sf)
-    return graph.node_directory(n, _edges(n), heads(n))
+    return graph.node_directory(n, _edges(n), heads(n)).withColumn("names", F.array_join("resolvable_names", ","))
+
+
+@register("a9_degree_estimates", "id:i relationship_count:i close:b", """
+SELECT id, coalesce(n, 0) AS relationship_count, true AS close FROM catalog LEFT JOIN (SELECT src, count(*) AS n FROM ed GROUP BY src) ON src = id""",
+          EDGES_SQL.replace(HEADS_SQL, CATALOG_SQL + ",\nheads AS (SELECT * FROM catalog)"))
+def a9_degrees(spark, sf):
+    """The estimate of every node against its exact number, here mined for all nodes: within 5 % and two."""
+    n = _nodes(spark, sf)
+    all_edges = graph.combine_edges(graph.mine_edges(n, n.select("id")))
+    out = graph.node_directory(n, all_edges, estimates=graph.degree_estimates(n))
+    gap = F.abs(F.col("relationship_estimate") - F.col("relationship_count"))
+    return out.withColumn("close", gap <= 0.05 * F.col("relationship_count") + 2)
 
 
 @register("a9_catalog_status", "total_records:i categories:s tag_index_size:i", """

@@ -481,15 +481,16 @@ def f11(spark, sf):
 # ---- lexicons ------------------------------------------------------------------------------------------
 
 LEX_SQL = DOCS_SQL + """,
-lx AS (SELECT item_id, lower(list_extract(w, 1) || ' ' || list_extract(w, 2)) AS term
+lx AS (SELECT item_id, lower(array_to_string(unnest([w[1:2], w[2:4], w[5:9], w[3:3]]), ' ')) AS term
        FROM (SELECT item_id, regexp_extract_all(regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g'), '[A-Za-z]+') AS w FROM benchmark)),
-lh AS (SELECT d.doc_id, l.item_id FROM docs d JOIN lx l ON regexp_matches(lower(d.text), '\\b' || l.term || '\\b'))"""
+lh AS (SELECT DISTINCT d.doc_id, l.item_id FROM docs d JOIN lx l ON l.term <> '' AND regexp_matches(lower(d.text), '\\b' || l.term || '\\b'))"""
 
 
 def lexicon(spark, sf):
-    """First two words of each benchmark item as a lexicon of names."""
+    """Runs of one, two, three and five words of each benchmark item as a lexicon of names."""
     w = F.regexp_extract_all(F.regexp_replace("text", r"[^\x00-\x7F]", "x"), F.lit("([A-Za-z]+)"), 1)
-    return table(spark, sf, "benchmark").select("item_id", F.lower(F.concat_ws(" ", F.get(w, 0), F.get(w, 1))).alias("term"))
+    runs = F.array(*[F.array_join(F.slice(w, a, n), " ") for a, n in ((1, 2), (2, 3), (5, 5), (3, 1))])
+    return table(spark, sf, "benchmark").select("item_id", F.explode(F.transform(runs, F.lower)).alias("term"))
 
 
 @register("j1_lexicon_entities", "doc_id:i entities:s", """

@@ -196,20 +196,6 @@ def test_picture_index(spark, tmp_path):
     assert files.expired_files(listed, 1).count() == 0
 
 
-def test_streamed_scores_equal_batch(spark, tmp_path):
-    rows = [(f"s{i % 2}", i, ["x", "y"][i % 3 == 0], ["p", "q"][i % 5 == 0]) for i in range(40)]
-    cols = "script_id string, ts long, character string, arc string"
-    for n in range(4):
-        spark.createDataFrame(rows[n * 10:(n + 1) * 10], cols).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        time.sleep(0.05)  # files are taken in order of their time
-    dims = {"character": F.col("character"), "arc": F.col("arc")}
-    stream = streaming.read_table_stream(spark, str(tmp_path / "in"), "", 1)
-    got = streaming.score_new_beats(stream, str(tmp_path / "job"), ["ts"], dims=dims)
-    want = audit.diversity_scores(number_rows(spark.createDataFrame(rows, cols), "script_id", ["ts"]), dims)
-    key = lambda d: sorted((r.script_id, r.idx, r.repetition_score) for r in d.collect())
-    assert key(got) == key(want) and got.select("batch").distinct().count() == 4
-
-
 def test_contained_pairs_is_exact(spark):
     a = ["ab", "b", "xyz", "abc", ""]
     b = ["abc", "cab", "zzz", "b"]
