@@ -16,8 +16,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from storyspark.llm.common import written
 from storyspark.session import cut_lineage
@@ -30,8 +32,8 @@ MIN_FIXED = 5
 SHORT_MIN_DOCS = 10
 #: Templates of a leaf that a line is compared with one by one; among more, those that can match are looked up by their segments, with the same outcome.
 STREAM_LINES = 4000
-#: Places of lines (some 50 bytes each) that are broadcast to the documents; both ways give the same rows.
-SENT_PLACES = 400_000
+#: Rows whose texts are packed or unpacked together.
+SLICE = 256
 _DIGIT = re.compile(r"\d")
 
 
@@ -170,8 +172,8 @@ def _line_tokens(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             leaf, line, words = [], [], []
-            for text, places in zip(batch.column(0), batch.column(1).to_pylist()):
-                lines = text.as_py().split("\n")
+            for crate, places in zip(batch.column(0), batch.column(1).to_pylist()):
+                lines = _unpacked(crate).split("\n")
                 for p in places:
                     leaf.append(p["leaf"])
                     line.append(p["line"])
@@ -179,15 +181,27 @@ def _line_tokens(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(line, pa.binary()), pa.array(words, pa.list_(pa.string()))], ["leaf", "line", "words"])
 
     per_doc = wanted.groupBy(_kid("at.id").alias("kid"), F.col("at.tk").alias("tk")).agg(F.collect_list(F.struct("at.pos", "leaf", "line")).alias("places"))
-    texts = docs.select(_kid("id").alias("kid"), "tk", "text").join(_sent(per_doc, "places"), ["kid", "tk"])
-    return texts.select("text", "places").mapInArrow(run, "leaf long, line binary, words array<string>").dropDuplicates(["line"])
+    texts = _crated(docs.select(_kid("id").alias("kid"), "tk", "text")).join(per_doc, ["kid", "tk"])
+    return texts.select("crate", "places").mapInArrow(run, "leaf long, line binary, words array<string>").dropDuplicates(["line"])
 
 
-def _sent(rows: DataFrame, places: str) -> DataFrame:
-    """``rows`` written, and broadcast to the texts they belong to if they hold SENT_PLACES places at most; more meet the texts by a shuffle."""
-    rows = written(rows)
-    held = rows.agg(F.sum(F.size(places))).first()[0] or 0
-    return F.broadcast(rows) if held <= SENT_PLACES else rows
+def _crated(docs: DataFrame) -> DataFrame:
+    """``docs`` with its column ``text`` packed as ``crate``: texts cross a shuffle in a third of their size."""
+    kept = [f for f in docs.schema.fields if f.name != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            for a in range(0, batch.num_rows, SLICE):
+                part = batch.slice(a, SLICE)
+                crate = pa.array([None if t is None else pack(t.encode()) for t in (v.as_py() for v in part.column(0))], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], crate], [*(f.name for f in kept), "crate"])
+
+    return docs.select("text", *(f.name for f in kept)).mapInArrow(run, T.StructType([*kept, T.StructField("crate", T.BinaryType())]))
+
+
+def _unpacked(crate: pa.Scalar) -> str | None:
+    return zstandard.ZstdDecompressor().decompress(crate.as_py()).decode() if crate.is_valid else None
 
 
 def _kid(column: str):
@@ -262,14 +276,27 @@ def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tk"), text.alias("text"))
     drops = recurring_lines(slim, similarity, min_docs, short_min_docs)
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _kid(f"`{id_col}`").alias("kid"), F.xxhash64(text).alias("tk"))
-    joined = packed.join(_sent(drops, "drop"), ["kid", "tk"], "left")
-    parts = F.split(F.col("row")[text_col], "\n")
-    left = F.sort_array(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("drop")))
-    # the outer transform holds the lines as a variable, so that the text is split once
-    kept_lines = F.transform(F.array(parts), lambda lines: F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))[0]
-    cleaned = F.when(F.col("drop").isNull(), F.col("row")[text_col]).otherwise(kept_lines)
-    columns = [cleaned.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]
-    if counts:
-        columns += [F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped")]
-    return joined.select(*columns)
+    # the other columns travel in a struct, so that their names clash with nothing
+    rest = [c for c in docs.columns if c != text_col]
+    row = F.struct(F.lit(True).alias("__"), *[F.col(f"`{c}`") for c in rest])
+    packed = _crated(docs.select(row.alias("row"), _kid(f"`{id_col}`").alias("kid"), F.xxhash64(text).alias("tk"), F.col(f"`{text_col}`").alias("text")))
+    joined = packed.join(drops, ["kid", "tk"], "left").select("row", "crate", "drop")
+    kind = T.StructType([joined.schema["row"], *(T.StructField(n, t) for n, t in (("text", T.StringType()), ("n_lines", T.LongType()), ("n_dropped", T.LongType())))])
+    cleaned = joined.mapInArrow(_without_lines, kind)
+    columns = [F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]
+    return cleaned.select(*columns, *(["n_lines", "n_dropped"] if counts else []))
+
+
+def _without_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a in range(0, batch.num_rows, SLICE):
+            part = batch.slice(a, SLICE)
+            texts, sizes, gone = [], [], []
+            for crate, drop in zip(part.column(1), part.column(2).to_pylist()):
+                text = _unpacked(crate)
+                out = set(drop or ())
+                lines = [] if text is None else text.split("\n")
+                texts.append("\n".join(line for i, line in enumerate(lines) if i not in out) if out else text)
+                sizes.append(len(lines))
+                gone.append(len(out))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64())], ["row", "text", "n_lines", "n_dropped"])

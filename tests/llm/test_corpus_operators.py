@@ -126,21 +126,36 @@ def plain_line_dedup(texts, similarity=0.8):
         again, merged = parse(sorted(set(templates), key=digest))
         for words in lines:
             groups[key, again[merged[templates[of[words]]]]] += where[words]
+    short = collections.defaultdict(list)
+    for i, text in texts.items():
+        for k, line in enumerate((text or "").split("\n")):
+            words = line_templates.tokens(line)
+            if len([w for w in words if w != "<*>"]) < 5 and any(c.isalpha() for c in "".join(words)):
+                short[tuple(words)].append((i, k))
     drop = collections.defaultdict(set)
-    for places in groups.values():
+    for least, places in [*((2, p) for p in groups.values()), *((10, p) for p in short.values())]:
         ids = {i for i, _ in places}
         for i, k in places:
-            if len(ids) > 1 and i != min(ids):
+            if len(ids) >= least and i != min(ids):
                 drop[i].add(k)
     return {i: None if t is None else "\n".join(line for k, line in enumerate(t.split("\n")) if k not in drop[i]) for i, t in texts.items()}
 
 
-def test_line_templates_equal_the_plain_rule(spark, sf):
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_line_templates_equal_the_plain_rule(spark, size):
+    sf = f"/root/testdata/{size}"
     texts = dict(duckdb.execute(f"SELECT doc_id, text FROM '{sf}/documents.parquet'").fetchall())
     got = {r["doc_id"]: r["text"] for r in QUERIES["op5_line_templates"](spark, sf).collect()}
     assert got == plain_line_dedup(texts) and got != texts
 
 
+def test_line_templates_of_a_document_with_many_lines(spark):
+    lines = [f"every line of this document says the same as number {'x' * (i % 7 + 1)} of the other" for i in range(50_000)]
+    docs = spark.createDataFrame([(1, "\n".join(lines[:100])), (2, "\n".join(lines))], "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in line_templates.drop_recurring(docs, counts=True).collect()}
+    assert got == {1: ("\n".join(lines[:100]), 100, 0), 2: ("", 50_000, 50_000)}
+
+
 def test_line_templates_generalise_fields_and_keep_the_first(spark):
     log = "session opened for user {} from host {} at {} with a long list of many words"
     texts = {1: "only here and nowhere else today\n" + log.format("ann", "h1", "10:00"), 2: log.format("bob", "h22", "11:30") + "\nshort line",
@@ -321,7 +336,6 @@ def test_packing_edge_cases(spark, docs, no_docs, monkeypatch):
     got = bin_slack.pack_documents(docs, GPT, public_tokenizers.PATTERN, token_ids=True).collect()
     check_places(got)
     tok = Tokenizer.from_file(GPT)
-    tok.encode_special_tokens = True
     by = collections.defaultdict(list)
     for r in got:
         by[r["doc_id"], r["length"] if r["doc_id"] in (5, None) else None].append(r)
