@@ -275,3 +275,19 @@ def test_licence_whole_texts_are_known_with_their_titles(spark):
     docs = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(rows)], "doc_id long, text string")
     got = {r["doc_id"]: r["text_license"] for r in license_digest.scan(docs, license_digest.known_licences(spark)).collect()}
     assert got == {i: name for i, (name, _) in enumerate(rows)}
+
+
+def test_repeated_windows_equal_plain_counting(monkeypatch):
+    rng = np.random.default_rng(12)
+
+    def plain(words, window=8):
+        count = Counter(tuple(words[i:i + window]) for i in range(len(words) - window + 1))
+        return len({k for i in range(len(words) - window + 1) if count[tuple(words[i:i + window])] > 1 for k in range(i, i + window)})
+
+    for piece in (1, 7, 1 << 20):
+        monkeypatch.setattr(quality_forest, "PIECE", piece)
+        for _ in range(60):
+            words = [f"é{i}" for i in rng.integers(0, rng.integers(1, 40), rng.integers(0, 90))]
+            words += words[5:25] if rng.random() < 0.5 else []
+            numbers = quality_forest.word_numbers(" \n".join(words) + "\t" * int(rng.integers(0, 2)))
+            assert len(numbers) == len(words) and quality_forest.repeated_words(numbers) == plain(words)
