@@ -246,7 +246,8 @@ def recurring_lines(docs: DataFrame, similarity: float = 0.8, min_docs: int = 2,
     not depend on the number of lines.
     """
     every = written(scan(docs))
-    busy = every.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1").select("leaf")
+    # a table of its own, so that the join below can split a leaf that many lines have
+    busy = written(every.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1").select("leaf"))
     lines = written(every.join(busy, "leaf", "left_semi"))
     at = F.struct(F.col("id").isNull().alias("no_id"), "id", "tk", "pos")
     distinct = lines.where("NOT short").groupBy("leaf", "line").agg(F.min(at).alias("at"))
