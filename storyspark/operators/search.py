@@ -303,7 +303,9 @@ def search(assets: DataFrame, queries: DataFrame, mode: str = "auto", k: int = 1
 
 # ---- J14, J15: catalog entries -------------------------------------------------------------------------------
 
-IGNORED_WORDS = ["one", "piece", "arc", "chapter"]  # fixed values
+# fixed values
+IGNORED_WORDS = ["one", "piece", "arc", "chapter"]
+ENOUGH_POINTS = 10
 
 
 def _words(c: Column) -> Column:
@@ -311,8 +313,12 @@ def _words(c: Column) -> Column:
 
 
 def entry_scores(entries: DataFrame, queries: DataFrame, haystack: Sequence[str] = ("name", "description"), qid: str = "query_id", id: str = "id",
-                 query: str = "query", entities: str = "entities", ignored: Sequence[str] = IGNORED_WORDS, minimum: int = 10) -> DataFrame:
-    """Points of catalog entries: name key, name words, other words, entities; below the minimum dropped."""
+                 query: str = "query", entities: str = "entities", ignored: Sequence[str] = IGNORED_WORDS, minimum: int = ENOUGH_POINTS,
+                 status: str = "status") -> DataFrame:
+    """Points of catalog entries: name key, name words, other words, entities; below the minimum dropped.
+
+    An entry with the ``status`` "Unknown" loses three points if it has fewer than ENOUGH_POINTS.
+    """
     q = queries.select(qid, norm_key(F.col(query)).alias("qn"), F.array_distinct(F.filter(_words(F.col(query)), lambda x: (F.length(x) > 2) & ~x.isin(*ignored))).alias("qw"),
                        _words(F.col(query)).alias("_all"), F.transform(F.coalesce(entities, F.array().cast("array<string>")), norm_key).alias("en"))
     e = entries.select(id, norm_key(F.col("name")).alias("nk"), F.array_distinct(_words(F.col("name"))).alias("nt"),
@@ -330,7 +336,11 @@ def entry_scores(entries: DataFrame, queries: DataFrame, haystack: Sequence[str]
     all_points = by_name
     for p in (by_word, by_key, by_entity):
         all_points = all_points.unionByName(p)
-    return all_points.groupBy(qid, id).agg(F.sum("points").cast("long").alias("score")).filter(F.col("score") >= minimum)
+    total = all_points.groupBy(qid, id).agg(F.sum("points").cast("long").alias("score"))
+    if status in entries.columns:
+        unknown = entries.filter(F.col(status) == "Unknown").select(id, F.lit(True).alias("_unknown"))
+        total = total.join(unknown, id, "left").select(qid, id, F.when(F.col("_unknown") & (F.col("score") < ENOUGH_POINTS), F.col("score") - 3).otherwise(F.col("score")).alias("score"))
+    return total.filter(F.col("score") >= minimum)
 
 
 def cascade_candidates(entries: DataFrame, queries: DataFrame, aliases: DataFrame, max_results: int = 5, used: DataFrame | None = None,

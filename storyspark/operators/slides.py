@@ -12,6 +12,7 @@ from storyspark.functions.text import clean_prompt, dedupe_words, let, norm_key,
 from storyspark.operators.graph import context_entities
 from storyspark.operators.intervals import overlapping_text
 from storyspark.operators.ordered import Blocks
+from storyspark.operators.search import rank_for_beat
 from storyspark.operators.sequence import TRANSITION_BY_BEAT, lookup
 
 K, O = "script_id", "idx"
@@ -278,15 +279,24 @@ def legacy_shape(df: DataFrame) -> DataFrame:
 
 # ---- F24 - F26, W40: queries and summaries ------------------------------------------------------------------
 
-def asset_metadata(df: DataFrame, unicode: bool = True) -> DataFrame:
-    """Struct of query, type, entities, tags, source order and confidence."""
+def asset_metadata(df: DataFrame, assets: DataFrame | None = None, key: Sequence[str] = (K, O), k: int = 3, places: Sequence[str] = rules.ARC_LOCATION_TERMS,
+                   unicode: bool = True) -> DataFrame:
+    """Struct of query, type, entities, tags, source order and confidence; with ``assets`` also their ``k`` best by the composite rank."""
     text = F.concat_ws(" ", _s("subtitle_text"), _s("summary"), _s("viewer_focus"))
     kind = rules.asset_type(_s("visual_role"), F.col("query"), text, unicode)
     tags = F.slice(F.split(dedupe_words(F.concat_ws(" ", "query", F.array_join(F.slice("entities", 1, 3), " "), kind)), " "), 1, 10)
     conf = F.coalesce(F.col("asset_confidence"), rules.asset_confidence(F.col("query"), text, F.col("entities"), unicode=unicode))
-    return df.withColumn("asset_metadata", F.struct(
-        F.col("query").alias("query"), kind.alias("asset_type"), F.slice("entities", 1, 6).alias("entities"), tags.alias("search_tags"),
-        F.array(F.lit("upload"), F.lit("vivre_card"), F.lit("manual_asset_search")).alias("source_priority"), conf.alias("confidence")))
+    fields = [F.col("query").alias("query"), kind.alias("asset_type"), F.slice("entities", 1, 6).alias("entities"), tags.alias("search_tags"),
+              F.array(F.lit("upload"), F.lit("vivre_card"), F.lit("manual_asset_search")).alias("source_priority"), conf.alias("confidence")]
+    if assets is None:
+        return df.withColumn("asset_metadata", F.struct(*fields))
+    place = F.struct(*key).alias("query_id")
+    asked = df.select(place, F.concat_ws(" ", "query", text).alias("text"), "entities", tags.alias("tags"), F.col("emotion") if "emotion" in df.columns else F.lit("").alias("emotion"))
+    ranked = rank_for_beat(assets, asked, k, places=places).join(assets.select("id", "name"), "id")
+    best = ranked.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id", "name", F.round("score", 4).alias("score")))),
+                                                      lambda r: F.struct(r["id"].alias("id"), r["name"].alias("name"), r["score"].alias("score"))).alias("_ranked"))
+    out = df.join(best.select("query_id.*", "_ranked"), list(key), "left")
+    return out.withColumn("asset_metadata", F.struct(*fields, F.col("_ranked").alias("ranked_assets"))).drop("_ranked")
 
 
 def summarize_window(text: Column, fallback: Column, hooks: Sequence[tuple[str, str]] = (), subjects: str | None = None, unicode: bool = True) -> Column:

@@ -208,40 +208,71 @@ def w32(spark, sf):
     return planners.group_short_lines(beats(spark, sf).withColumn("text", F.split("subtitle_text", " ")[0]))
 
 
-@register("w29_enrich_cues", "script_id:i idx:i start_s:d text:s expression:s")
+ENRICH_SQL = BEATS_SQL + """,
+ln AS (SELECT script_id, idx, start_s / sc AS s, end_s / sc AS e, subtitle_text || [' of the truth', ' why so', ' so sad', ' dream'][k4 + 1] AS t,
+              ['confident', 'surprised', 'worried', CASE WHEN idx < 3 THEN 'excited' ELSE 'serious' END][k4 + 1] AS lab, [6, 5, 5, 4][k4 + 1] AS words, beat_type, intensity, emotion, character
+       FROM (SELECT *, CAST(CAST(asset_id AS BIGINT) % 4 AS INTEGER) AS k4, CASE WHEN script_id % 2 = 0 THEN 25000 ELSE 2000 END AS sc FROM beats)),
+gv AS (SELECT * FROM ln WHERE beat_type = 'reveal' AND intensity > 0.3 AND (script_id % 3 > 0 OR idx % 20 = 0)),
+gh AS (SELECT script_id, count(*) AS have, max(s) AS late, arg_max(emotion, (s, idx)) AS prev FROM gv WHERE emotion <> 'neutral' GROUP BY script_id),
+pn AS (SELECT script_id, coalesce(prev, '') AS prev, CASE WHEN t < 120 THEN 5.5e0 ELSE 14.0e0 END AS gap, CASE WHEN t < 120 THEN 3 ELSE 5 END AS least_words, greatest(1, target - have) AS room
+       FROM (SELECT script_id, t, prev, coalesce(have, 0) AS have, coalesce(late, -1) AS late,
+                    CASE WHEN t < 120 THEN greatest(3, least(9, CAST(floor(t / 7) AS BIGINT) + 1)) ELSE greatest(8, least(28, CAST(floor(t / 22) AS BIGINT))) END AS target
+             FROM (SELECT script_id, arg_max(e, idx) - arg_min(s, idx) AS t FROM ln GROUP BY script_id) LEFT JOIN gh USING (script_id))
+       WHERE t > 0 AND NOT (have >= target AND (late >= t * 0.72e0 OR t >= 120))),
+lr AS (
+  SELECT script_id, CAST(-1 AS BIGINT) AS idx, CAST(NULL AS DOUBLE) AS last, prev, CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS made FROM pn
+  UNION ALL
+  SELECT script_id, idx, CASE WHEN ok THEN s ELSE last END, CASE WHEN ok THEN x ELSE prev END, n + CAST(ok AS INTEGER), CASE WHEN ok THEN x END
+  FROM (SELECT l.script_id, l.idx, l.s, r.last, r.prev, r.n,
+               l.words >= p.least_words AND r.n < p.room AND (r.last IS NULL OR l.s - r.last >= p.gap)
+                 AND NOT EXISTS (SELECT 1 FROM gv g WHERE g.script_id = l.script_id AND g.emotion <> 'neutral' AND round(g.s, 1) = round(l.s, 1)) AS ok,
+               CASE WHEN l.lab <> r.prev THEN l.lab ELSE CASE l.lab WHEN 'serious' THEN 'confident' WHEN 'confident' THEN 'serious' WHEN 'surprised' THEN 'intense' WHEN 'worried' THEN 'serious'
+                    WHEN 'excited' THEN 'confident' ELSE 'serious' END END AS x
+        FROM lr r JOIN ln l ON l.script_id = r.script_id AND l.idx = r.idx + 1 JOIN pn p ON p.script_id = l.script_id))"""
+
+
+@register("w29_enrich_cues", "script_id:i cue_no:i idx:i start_s:d text:s expression:s character:s source:s", """
+SELECT script_id, row_number() OVER (PARTITION BY script_id ORDER BY start_s, added, idx) - 1 AS cue_no, idx, start_s, text, expression, character, source
+FROM (SELECT script_id, idx, s AS start_s, t AS text, emotion AS expression, character, 'given' AS source, 0 AS added FROM gv
+      UNION ALL SELECT script_id, idx, s, t, made, 'narrator', 'heuristic_enrichment', 1 FROM lr JOIN ln USING (script_id, idx) WHERE made IS NOT NULL)""", ENRICH_SQL)
 def w29(spark, sf):
-    b = beats(spark, sf).withColumns({"text": F.concat("subtitle_text", F.lit(" of the truth")), "expression": F.col("emotion")})
-    return planners.enrich_cues(b, b.filter("beat_type = 'reveal' AND intensity > 0.3"), expression_label(F.col("text"), F.col("idx"), False))
-
-
-SOUND_EVENTS = ["crossfade", "zoom_dissolve", "whip_pan_right", "iris_wipe", "none", "fade"]
-
-
-_HAVE = sorted({*planners.GENTLE_SOUNDS, *planners.IMPACT_SOUNDS})
-_NAMES = ", ".join(f"({n + 1}, '{t}', CAST({planners.sound_candidates(t)} AS VARCHAR[]))" for n, t in enumerate(SOUND_EVENTS))
-SOUND_SQL = BEATS_SQL + f""",
-sn AS (SELECT * FROM (VALUES {_NAMES}) v(k, tr, names)),
-ev AS (SELECT script_id, idx, start_s / 3600 AS hr, tr, names, list_concat(list_slice(names, idx % greatest(1, len(names)) + 1, len(names)), list_slice(names, 1, idx % greatest(1, len(names)))) AS ring
-       FROM beats JOIN sn ON k = CAST(asset_id AS BIGINT) % {len(SOUND_EVENTS)} + 1),
+    """Half of the scripts are short, the others long."""
+    b = beats(spark, sf)
+    scale = F.when(F.col("script_id") % 2 == 0, 25000).otherwise(2000)
+    ending = F.get(F.array(*[F.lit(x) for x in (" of the truth", " why so", " so sad", " dream")]), (F.col("asset_id").cast("long") % 4).cast("int"))
+    lines = b.withColumns({"start_s": F.col("start_s") / scale, "end_s": F.col("end_s") / scale, "text": F.concat("subtitle_text", ending), "expression": F.col("emotion")})
+    given = lines.filter("beat_type = 'reveal' AND intensity > 0.3 AND (script_id % 3 > 0 OR idx % 20 = 0)")
+    return planners.enrich_cues(lines, given, expression_label(F.col("text"), F.col("idx"), False))
+
+
+SOUND_EVENTS = ["crossfade", "zoom_dissolve", "whip_pan_right", "iris_wipe", "none", "fade", "whip_pan_odd", "unheard"]
+SOUND_SQL = BEATS_SQL + """,
+hv AS (SELECT list(DISTINCT ['whoosh-wind', 'swoosh-sound-effects', 'reverse_whoosh', 'impact_hit', 'sub_boom', 'fast-whoosh', 'riser'][CAST(idx % 7 AS INTEGER) + 1]) AS have FROM beats),
+sn AS (SELECT * FROM (VALUES
+  (0, 'crossfade', ['swoosh-sound-effects', 'whoosh-wind', 'soft_whoosh', 'reverse_whoosh', 'slide']), (1, 'zoom_dissolve', ['impact_hit', 'sub_boom', 'riser', 'reverse_whoosh']),
+  (2, 'whip_pan_right', ['fast-whoosh']), (3, 'iris_wipe', ['riser']), (4, 'none', CAST([] AS VARCHAR[])),
+  (5, 'fade', ['swoosh-sound-effects', 'whoosh-wind', 'soft_whoosh', 'reverse_whoosh', 'slide']), (6, 'whip_pan_odd', ['fast-whoosh']), (7, 'unheard', ['whoosh-wind'])) v(k, tr, names)),
+ev AS (SELECT script_id, idx, start_s / 3600 AS hr, tr, names, have, list_concat(list_slice(names, idx % greatest(1, len(names)) + 1, len(names)), list_slice(names, 1, idx % greatest(1, len(names)))) AS ring
+       FROM beats JOIN sn ON k = CAST(asset_id AS BIGINT) % 8, hv),
 cue AS (
   SELECT DISTINCT script_id, CAST(-1 AS BIGINT) AS idx, CAST(NULL AS DOUBLE) AS hr, '' AS tr, CAST(NULL AS VARCHAR) AS stem, '' AS before, CAST(NULL AS DOUBLE) AS cue_at, CAST(NULL AS DOUBLE) AS hit_at FROM beats
   UNION ALL
   SELECT script_id, idx, hr, tr, stem, coalesce(stem, before), CASE WHEN stem IS NULL THEN cue_at ELSE hr END, CASE WHEN stem = 'impact_hit' THEN hr ELSE hit_at END
   FROM (SELECT e.script_id, e.idx, e.hr, e.tr, c.before, c.cue_at, c.hit_at,
           CASE WHEN c.cue_at IS NOT NULL AND e.hr - c.cue_at < 4.75e0 THEN NULL
-               WHEN list_contains(e.names, 'impact_hit') AND (c.hit_at IS NULL OR e.hr - c.hit_at >= 14.0e0) AND c.before <> 'impact_hit' THEN 'impact_hit'
-               ELSE coalesce(list_filter(e.ring, lambda x: list_contains({_HAVE}, x) AND NOT (x = c.before AND len(e.names) > 1)
+               WHEN list_contains(e.names, 'impact_hit') AND list_contains(e.have, 'impact_hit') AND (c.hit_at IS NULL OR e.hr - c.hit_at >= 14.0e0) AND c.before <> 'impact_hit' THEN 'impact_hit'
+               ELSE coalesce(list_filter(e.ring, lambda x: list_contains(e.have, x) AND NOT (x = c.before AND len(e.names) > 1)
                                                    AND (x <> 'impact_hit' OR c.hit_at IS NULL OR e.hr - c.hit_at >= 14.0e0))[1],
-                             list_filter(e.names, lambda x: list_contains({_HAVE}, x))[1]) END AS stem
+                             list_filter(e.names, lambda x: list_contains(e.have, x))[1]) END AS stem
         FROM cue c JOIN ev e ON e.script_id = c.script_id AND e.idx = c.idx + 1))"""
 
 
 @register("w30_plan_sounds", "script_id:i idx:i time_s:d transition:s stem:s", "SELECT script_id, idx, hr AS time_s, tr AS transition, stem FROM cue WHERE stem IS NOT NULL", SOUND_SQL)
 def w30(spark, sf):
     b = beats(spark, sf)
-    pick = F.get(F.array(*[F.lit(x) for x in SOUND_EVENTS]), (F.col("asset_id").cast("long") % len(SOUND_EVENTS)).cast("int"))
-    stems = b.select(F.explode(F.array(*[F.lit(x) for x in planners.GENTLE_SOUNDS + planners.IMPACT_SOUNDS])).alias("stem"))
-    return planners.plan_sounds(b.withColumns({"time_s": F.col("start_s") / 3600, "transition": pick}), stems)
+    pick = lambda names, c: F.get(F.array(*[F.lit(x) for x in names]), (c % len(names)).cast("int"))
+    stems = b.select(pick(["whoosh-wind", "swoosh-sound-effects", "reverse_whoosh", "impact_hit", "sub_boom", "fast-whoosh", "riser"], F.col("idx")).alias("stem"))
+    return planners.plan_sounds(b.withColumns({"time_s": F.col("start_s") / 3600, "transition": pick(SOUND_EVENTS, F.col("asset_id").cast("long"))}), stems)
 
 
 CHUNK_CTES = BEATS_SQL + """,
@@ -307,19 +338,73 @@ def w41_styles(spark, sf):
     return planners.plan_motion(beats(spark, sf))
 
 
-@register("w41_motion_details", "script_id:i idx:i style:s motion_intensity:d camera_goal:s transition:s easing:s duration_modifier:d reasoning:s")
+@register("w41_motion_details", "script_id:i idx:i style:s motion_intensity:d camera_goal:s transition:s easing:s duration_modifier:d reasoning:s", """
+SELECT script_id, idx, style, round(greatest(0.0, least(1.0, intensity * 0.6e0 + v.base * 0.4e0)), 4) AS motion_intensity,
+       CASE WHEN style IN ('dramatic_push', 'reveal_zoom', 'climax_zoom', 'impact_shake') THEN v.goal ELSE CASE visual_role WHEN 'character' THEN 'face_lock_push' WHEN 'evidence' THEN 'inspect_detail'
+            WHEN 'location' THEN 'wide_context_pan' WHEN 'symbol' THEN 'centered_icon_hold' ELSE v.goal END END AS camera_goal, v.transition, v.easing, v.length AS duration_modifier,
+       CASE WHEN chosen = over_ THEN 'beat override' WHEN chosen = prim THEN 'emotion' WHEN chosen = fall THEN 'emotion fallback'
+            WHEN chosen IN ('subject_push', 'slow_pan', 'stable_pan', 'hold_still') THEN 'default' ELSE 'exhausted' END AS reasoning
+FROM ms JOIN mc USING (script_id, idx) JOIN mo USING (script_id, idx) JOIN (VALUES
+  ('dramatic_push', 'urgent_face_lock', 0.85e0, 'ease_out_expo', 0.8e0, 'zoom_dissolve'), ('reveal_zoom', 'slow_reveal_to_subject', 0.88e0, 'ease_in_out_cubic', 1.1e0, 'zoom_dissolve'),
+  ('slow_pan', 'inspect_evidence', 0.45e0, 'ease_in_out_quad', 1.3e0, 'crossfade'), ('subject_push', 'face_lock_push', 0.65e0, 'ease_out_quad', 1.0e0, 'crossfade'),
+  ('tension_drift', 'uneasy_slow_drift', 0.70e0, 'ease_in_sine', 1.2e0, 'crossfade'), ('impact_shake', 'impact_reaction', 0.92e0, 'ease_out_bounce', 0.6e0, 'hard_cut'),
+  ('grief_hold', 'still_contemplation', 0.35e0, 'ease_in_out_quad', 1.5e0, 'fade_eased'), ('evidence_hold', 'inspect_detail', 0.40e0, 'ease_in_out_quad', 1.2e0, 'crossfade'))
+  v(name, goal, base, easing, length, transition) ON v.name = ms.style""", MOTION_CTES)
 def w41(spark, sf):
     return planners.plan_motion(beats(spark, sf))
 
 
-@register("w42_plan_transitions", "script_id:i idx:i transition_type:s duration:d intensity:d")
+DRAW = "CAST(('0x' || substr(sha1(script_id || ':' || idx || ':{}'), 1, 8)) AS BIGINT) / 4294967296.0e0"
+TRANSITION_SQL = BEATS_SQL + f""",
+sm AS (SELECT * FROM (VALUES
+  ('reveal', 0, 'zoom_dissolve', 50), ('reveal', 1, 'iris_wipe', 50), ('reveal', 2, 'radial_wipe', 40),
+  ('twist', 0, 'glitch_cut', 60), ('twist', 1, 'zoom_dissolve', 40), ('twist', 2, 'whip_pan_right', 30),
+  ('escalation', 0, 'whip_pan_left', 50), ('escalation', 1, 'whip_pan_right', 50), ('escalation', 2, 'motion_slide_left', 40), ('escalation', 3, 'motion_slide_right', 40), ('escalation', 4, 'cube_rotation', 30),
+  ('other', 0, 'crossfade', 40), ('other', 1, 'fade_eased', 40), ('other', 2, 'motion_slide_right', 20)) v(g, place, name, points)),
+bn AS (SELECT * FROM (VALUES (10, 'fade_eased', 20), (11, 'crossfade', 20), (12, 'zoom_dissolve', 20), (13, 'motion_slide_left', 10), (14, 'motion_slide_right', 10)) v(place, name, points)),
+cd AS (SELECT g, list({{'name': name, 'v': v, 'p': p}} ORDER BY p) AS c FROM (
+         SELECT g, name, sum(points) AS v, min(place) AS p FROM (SELECT * FROM sm UNION ALL SELECT g, place, name, points FROM bn, (SELECT DISTINCT g FROM sm)) GROUP BY g, name) GROUP BY g),
+ev AS (SELECT script_id, idx, intensity, beat_type, emotion, c, {DRAW.format('0')} AS draw FROM beats JOIN cd ON g = CASE WHEN beat_type = 'reveal' THEN 'reveal' WHEN emotion = 'fear' THEN 'twist'
+         WHEN beat_type = 'escalation' OR emotion = 'rage' THEN 'escalation' ELSE 'other' END),
+tr AS (
+  SELECT DISTINCT script_id, CAST(-1 AS BIGINT) AS idx, '' AS name, '' AS prev, CAST([] AS VARCHAR[]) AS hist FROM beats
+  UNION ALL
+  SELECT script_id, idx, near[1 + least(len(near) - 1, CAST(floor(draw * len(near)) AS BIGINT))].n, name, list_append(hist, near[1 + least(len(near) - 1, CAST(floor(draw * len(near)) AS BIGINT))].n)
+  FROM (SELECT *, list_filter(r, lambda x: x.s <= r[1].s + 15) AS near
+        FROM (SELECT e.script_id, e.idx, e.draw, t.name, t.hist,
+                     list_sort(list_transform(list_filter(e.c, lambda x: NOT (x.name = t.name AND x.name = t.prev)), lambda x:
+                       {{'s': -(x.v + greatest(0, 30 - least(5 * len(list_filter(t.hist, lambda h: h = x.name)), 20) - CASE WHEN x.name = t.name THEN 15 ELSE 0 END)), 'p': x.p, 'n': x.name}})) AS r
+              FROM tr t JOIN ev e ON e.script_id = t.script_id AND e.idx = t.idx + 1)))"""
+
+
+@register("w42_plan_transitions", "script_id:i idx:i transition_type:s duration:d intensity:d reason:s", """
+SELECT script_id, idx, name AS transition_type, 'Semantic match for ' || upper(beat_type) || '/' || emotion || '/standard under clean_pro style' AS reason, round(least(2.0, greatest(0.2, (1.0e0 - intensity * 100 / 200.0e0) * 1.2e0)), 2) AS duration,
+       round(least(1.0, greatest(0.1, (0.5e0 + intensity * 100 / 200.0e0) * 0.7e0)), 2) AS intensity FROM tr JOIN ev USING (script_id, idx)""", TRANSITION_SQL)
 def w42(spark, sf):
     return planners.plan_transitions(beats(spark, sf).withColumn("emotion_score", F.col("intensity") * 100))
 
 
-@register("w43_choose_cuts_and_moves", "script_id:i idx:i transition_type:s motion:s")
+CHOICE_SQL = BEATS_SQL + f""",
+mv AS (SELECT script_id, idx, end_s / 20000 - start_s / 20000 AS d, {DRAW.format('0cut')} AS dc, {DRAW.format('0move')} AS dm,
+         CASE WHEN end_s / 20000 - start_s / 20000 < 1.4 THEN [{{'n': 'static_hold', 'w': 0.55e0}}, {{'n': 'hold_still', 'w': 0.25e0}}, {{'n': 'slow_push', 'w': 0.20e0}}]
+              WHEN beat_type IN ('hook', 'reveal') THEN [{{'n': 'impact_zoom', 'w': 0.28e0}}, {{'n': 'slow_push', 'w': 0.24e0}}, {{'n': 'static_hold', 'w': 0.18e0}}, {{'n': 'diagonal_pan', 'w': 0.16e0}}, {{'n': 'pull_out', 'w': 0.14e0}}]
+              ELSE [{{'n': 'slow_push', 'w': 0.26e0}}, {{'n': 'static_hold', 'w': 0.22e0}}, {{'n': 'stable_pan', 'w': 0.18e0}}, {{'n': 'diagonal_pan', 'w': 0.14e0}}, {{'n': 'hold_still', 'w': 0.12e0}}, {{'n': 'pull_out', 'w': 0.08e0}}] END AS moves
+       FROM beats),
+ct AS (SELECT *, CASE WHEN d < 2 THEN [{{'n': 'fade_eased', 'w': 0.38e0}}, {{'n': 'crossfade', 'w': 0.32e0}}, {{'n': 'fade', 'w': 0.18e0}}, {{'n': 'iris_wipe', 'w': 0.12e0}}]
+              WHEN d < 4 THEN [{{'n': 'crossfade', 'w': 0.34e0}}, {{'n': 'fade_eased', 'w': 0.28e0}}, {{'n': 'zoom_dissolve', 'w': 0.18e0}}, {{'n': 'iris_wipe', 'w': 0.12e0}}, {{'n': 'radial_wipe', 'w': 0.08e0}}]
+              ELSE [{{'n': 'crossfade', 'w': 0.30e0}}, {{'n': 'fade_eased', 'w': 0.24e0}}, {{'n': 'zoom_dissolve', 'w': 0.20e0}}, {{'n': 'iris_wipe', 'w': 0.14e0}}, {{'n': 'radial_wipe', 'w': 0.12e0}}] END AS cuts FROM mv),
+ch AS (
+  SELECT DISTINCT script_id, CAST(-1 AS BIGINT) AS idx, '' AS cut, '' AS move FROM beats
+  UNION ALL
+  SELECT script_id, idx, coalesce(list_filter(oc, lambda x, i: list_sum(list_transform(oc[1:i], lambda y: y.w)) >= dc * list_sum(list_transform(oc, lambda y: y.w)))[1], oc[len(oc)]).n,
+         coalesce(list_filter(om, lambda x, i: list_sum(list_transform(om[1:i], lambda y: y.w)) >= dm * list_sum(list_transform(om, lambda y: y.w)))[1], om[len(om)]).n
+  FROM (SELECT c.script_id, c.idx, c.dc, c.dm, list_filter(c.cuts, lambda x: x.n <> h.cut) AS oc, list_filter(c.moves, lambda x: x.n <> h.move) AS om
+        FROM ch h JOIN ct c ON c.script_id = h.script_id AND c.idx = h.idx + 1))"""
+
+
+@register("w43_choose_cuts_and_moves", "script_id:i idx:i transition_type:s motion:s", "SELECT script_id, idx, cut AS transition_type, move AS motion FROM ch WHERE idx >= 0", CHOICE_SQL)
 def w43(spark, sf):
-    return planners.choose_cuts_and_moves(beats(spark, sf))
+    return planners.choose_cuts_and_moves(beats(spark, sf).withColumns({"start_s": F.col("start_s") / 20000, "end_s": F.col("end_s") / 20000}))
 
 
 # ---- allocation and sampling -----------------------------------------------------------------------------

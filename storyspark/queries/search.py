@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from storyspark.functions import rules, text
-from storyspark.operators import graph, planners, search, vector
+from storyspark.operators import graph, planners, search, slides, vector
 from storyspark.operators.sequence import lookup
 from storyspark.plans.views import BEATS_SQL, CATALOG_SQL, beats, catalog, table
 from storyspark.queries.registry import register
@@ -419,29 +419,105 @@ def j14(spark, sf):
     return search.entry_scores(a, q, ("name", "arc"))
 
 
+@register("j14_unknown_entries", "query_id:s id:i score:i", """
+SELECT query_id, id, score FROM (SELECT query_id, id, CASE WHEN id % 3 = 0 AND score < 10 THEN score - 3 ELSE score END AS score FROM es0) WHERE score >= 1""",
+          ENTRY_SQL + ",\nes0 AS (SELECT query_id, id, sum(p) AS score FROM pts GROUP BY ALL)")
+def j14_unknown(spark, sf):
+    """Entries of unknown status that score little lose three points more."""
+    a, q = _entries(spark, sf)
+    return search.entry_scores(a.withColumn("status", F.when(F.col("id") % 3 == 0, "Unknown").otherwise("Alive")), q, ("name", "arc"), minimum=1)
+
+
 @register("t1_top_k_entries", "query_id:s id:i score:i rank:i", "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM es QUALIFY rank <= 5", ENTRY_SQL)
 def t1(spark, sf):
     a, q = _entries(spark, sf)
     return search.top_k(search.entry_scores(a, q, ("name", "arc")), 5, [F.desc("score"), F.col("id")])
 
 
-@register("j15_cascading_candidates", "query_id:s id:i kind:s tier:i score:i rank:i")
+CASCADE_SQL = ENTRY_SQL.replace("name || ' ' || arc", "name") + f""",
+en AS (SELECT id, name, ['island', 'character', 'devil_fruit'][CAST(id % 3 AS INTEGER) + 1] AS kind, 'http://img/' || name || '?v=' || (id % 2) AS url, {NORM.format('name')} AS nk FROM catalog),
+bl AS (SELECT query_id, ents, lower(query || ' ' || array_to_string(ents, ' ')) AS blob FROM qq),
+po AS (SELECT query_id, id, sum(p) AS score FROM pts GROUP BY ALL),
+aa AS (SELECT DISTINCT lower(string_split(name, ' ')[1]) AS phrase, {NORM.format('name')} AS nk FROM catalog WHERE id % 30 = 0),
+by_kind AS (SELECT query_id, id, kind, row_number() OVER (PARTITION BY query_id, kind ORDER BY score DESC, id) AS pos FROM po JOIN en USING (id) WHERE score >= 10),
+tiers AS (
+  SELECT DISTINCT query_id, id, 1 AS tier, -length(phrase) AS pos, 30 AS bonus FROM (SELECT DISTINCT query_id, unnest(regexp_extract_all(blob, '[A-Za-z0-9_''.-]+')) AS phrase FROM bl) JOIN aa USING (phrase) JOIN en USING (nk) WHERE kind = 'island'
+  UNION ALL SELECT query_id, id, 3, i * 2 + CAST(kind = 'island' AS INTEGER), 20 FROM (SELECT query_id, unnest([0, 1]) AS i, unnest(ents) AS e FROM bl) JOIN en ON nk = {NORM.format('e')} WHERE kind IN ('island', 'character')
+  UNION ALL SELECT query_id, id, 4, pos, 0 FROM by_kind WHERE kind = 'island' AND pos <= 2
+  UNION ALL SELECT query_id, id, 5, pos, 0 FROM by_kind WHERE kind = 'character' AND pos <= 5
+  UNION ALL SELECT query_id, id, 6, pos, 0 FROM by_kind JOIN bl USING (query_id) WHERE kind = 'devil_fruit' AND pos <= 5 AND contains(blob, 'brand#1')),
+once AS (SELECT t.*, kind, name FROM tiers t JOIN en USING (id) QUALIFY row_number() OVER (PARTITION BY query_id, url ORDER BY tier, pos, id) = 1),
+cn AS (SELECT query_id, count(*) FILTER (tier <= 3) AS c3, count(*) FILTER (tier <= 4) AS c4 FROM once GROUP BY query_id)"""
+
+
+@register("j15_cascading_candidates", "query_id:s id:i kind:s tier:i score:i rank:i", """
+SELECT query_id, id, kind, tier, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CASE WHEN kind = 'character' THEN 0 ELSE 1 END, name, id) AS rank
+FROM (SELECT o.*, coalesce(po.score, 0) + bonus AS score FROM once o JOIN cn USING (query_id) LEFT JOIN po USING (query_id, id)
+      WHERE tier <= 3 OR tier = 6 OR tier = 4 AND c3 < 5 OR tier = 5 AND CASE WHEN c3 < 5 THEN c4 ELSE c3 END < 5)
+QUALIFY rank <= 5""", CASCADE_SQL)
 def j15(spark, sf):
+    """Aliases are the first words of some entries' names."""
     a, q = _entries(spark, sf)
     kind = F.when(F.col("id") % 3 == 0, "island").when(F.col("id") % 3 == 1, "character").otherwise("devil_fruit")
     e = a.select("id", "name", kind.alias("kind"), F.concat(F.lit("http://img/"), "name", F.lit("?v="), F.col("id") % 2).alias("url"))
-    aliases = table(spark, sf, "region").select(F.lower(F.concat(F.lit("blue"), F.lit(""))).alias("phrase"), F.lit("blue bolt").alias("target"), F.lit("island").alias("kind")).distinct()
+    aliases = a.filter("id % 30 = 0").select(F.get(F.split("name", " "), 0).alias("phrase"), F.col("name").alias("target"), F.lit("island").alias("kind")).distinct()
     return search.cascade_candidates(e, q, aliases, fruit_terms=("brand#1",))
 
 
-@register("j16_file_suggestions", "query_id:s path:s asset_kind:s score:i rank:i")
-def j16(spark, sf):
+FILE_SQL = ENTRY_SQL + f""",
+fl AS (SELECT id, ['symbol', 'location', 'character'][CAST(id % 3 AS INTEGER) + 1] AS kind, id % 5 = 0 AS young, {NORM.format('name')} AS nk,
+              {NORM.format('name')} || CASE WHEN id % 5 = 0 THEN 'young' ELSE '' END || {NORM.format('name')} AS hay FROM catalog),
+al AS (SELECT DISTINCT {NORM.format('character')} AS needle FROM catalog),
+asked AS (SELECT query_id, needle FROM qq JOIN al ON needle <> '' AND contains({NORM.format('query')}, needle)),
+nd AS (SELECT query_id, kind, needle, max(p) AS p FROM (
+    SELECT query_id, 'location' AS kind, needle, 24 AS p FROM asked UNION ALL SELECT query_id, 'symbol', needle, 22 FROM asked
+    UNION ALL SELECT query_id, 'location', substr(needle, 1, 5), 14 FROM asked UNION ALL SELECT query_id, 'symbol', substr(needle, 1, 6), 14 FROM asked
+    UNION ALL SELECT query_id, k, {NORM.format('t')}, CASE k WHEN 'symbol' THEN 12 ELSE 16 END
+    FROM (SELECT query_id, unnest(string_split(replace(lower(query), ',', ' '), ' ')) AS t FROM qq), (SELECT unnest(['symbol', 'location', 'character']) AS k) WHERE length({NORM.format('t')}) >= 4)
+  GROUP BY ALL),
+sc AS (SELECT query_id, f.kind || '/' || f.id || '.png' AS path, f.kind AS asset_kind,
+              max(CASE WHEN f.kind = 'character' AND f.nk = needle THEN 24 ELSE p END) - CASE WHEN f.kind = 'character' AND f.young THEN 6 ELSE 0 END AS score
+       FROM nd JOIN fl f ON f.kind = nd.kind AND contains(hay, needle) GROUP BY query_id, f.id, f.kind, f.young)"""
+
+
+def _picture_scores(spark, sf):
     a, q = _entries(spark, sf)
     kind = F.when(F.col("id") % 3 == 0, "symbol").when(F.col("id") % 3 == 1, "location").otherwise("character")
     files = a.select(F.concat_ws("/", kind, F.concat(F.col("id").cast("string"), F.lit(".png"))).alias("path"), kind.alias("asset_kind"), F.col("name").alias("primary_name"),
                      F.when(F.col("id") % 5 == 0, "young").otherwise("").alias("variant_hint"), F.col("name").alias("stem"))
     aliases = a.groupBy("character").agg(F.count(F.lit(1)).alias("n")).select(F.col("character").alias("alias"), F.explode(F.array(F.lit("symbol"), F.lit("location"))).alias("asset_kind"))
-    return search.suggest_files(search.file_scores(files, q, aliases))
+    return search.file_scores(files, q, aliases), q
+
+
+@register("j16_file_suggestions", "query_id:s path:s asset_kind:s score:i rank:i", """
+SELECT query_id, path, asset_kind, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS rank FROM sc WHERE score >= 8 QUALIFY rank <= 5""", FILE_SQL)
+def j16(spark, sf):
+    return search.suggest_files(_picture_scores(spark, sf)[0])
+
+
+@register("j16_best_file", "query_id:s path:s score:i", """
+SELECT query_id, path, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS n
+  FROM sc WHERE score >= 10 AND asset_kind = CASE WHEN contains(query_id, '1') THEN 'character' ELSE 'location' END) WHERE n = 1""", FILE_SQL)
+def j16_best(spark, sf):
+    scores, q = _picture_scores(spark, sf)
+    kinds = q.select("query_id", F.when(F.col("query_id").contains("1"), "character").otherwise("location").alias("asset_kind"))
+    return search.best_file(scores, kinds)
+
+
+@register("f24_asset_metadata", "query_id:s tags:s rank:i id:i score:d", """
+SELECT rk.query_id, rank, rk.id, round(rk.score, 4) AS score,
+       CASE WHEN contains(' ' || name || ' ', ' ' || character || ' ') THEN name || ' character' ELSE name || ' ' || character || ' character' END AS tags
+FROM rk JOIN heads USING (query_id)""", _rank_sql("0.20e0", "0.20e0", "0.15e0", "0.10e0", 3).replace(
+    "heads AS (SELECT category", "heads0 AS (SELECT category", 1).replace(",\nqe AS", ",\nheads AS (SELECT * REPLACE (list_distinct(string_split(name, ' ') || [character, 'character']) AS tags) FROM heads0),\nqe AS", 1))
+def f24(spark, sf):
+    """Metadata of a slide per category, with its three best assets."""
+    a = catalog(spark, sf)
+    shown = heads(a).select("query_id", F.lit(0).alias("idx"), F.col("name").alias("query"), F.lit("").alias("subtitle_text"), F.lit("").alias("summary"), F.lit("").alias("viewer_focus"),
+                            F.lit("character").alias("visual_role"), F.array("character").alias("entities"), "emotion", F.lit(0.5).alias("asset_confidence"))
+    out = slides.asset_metadata(shown, a, key=("query_id", "idx"), places=BEAT_WORDS, unicode=False)
+    m = F.col("asset_metadata")
+    return out.select("query_id", F.array_join(m["search_tags"], " ").alias("tags"), F.posexplode(m["ranked_assets"]).alias("n", "r")).select(
+        "query_id", "tags", (F.col("n") + 1).alias("rank"), "r.id", "r.score")
 
 
 @register("j17_fill_missing", "script_id:i idx:i image_path:s resolved:b unresolved:b", """

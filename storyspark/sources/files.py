@@ -33,9 +33,12 @@ def find_asset(catalog: DataFrame, id: str) -> DataFrame:
 
 # ---- S2: subtitle corpus ---------------------------------------------------------------------------
 
-def load_subtitle_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """One row per subtitle line of a folder of nested JSON files; unreadable files are skipped."""
-    rows = spark.read.schema(CORPUS_FILE_SCHEMA).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+def load_subtitle_corpus(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """One row per subtitle line of a folder of nested JSON files; unreadable files are skipped.
+
+    A file is one record, or one a line without ``multi_line``: such files are split between tasks, and only unreadable lines are skipped.
+    """
+    rows = spark.read.schema(CORPUS_FILE_SCHEMA).option("multiLine", multi_line).option("mode", "PERMISSIVE").json(path)
     good = rows.filter(F.col("_corrupt_record").isNull() & F.col("subtitles").isNotNull())
     return good.select(F.col("episode_info.episode_number").alias("episode_number"), F.col("episode_info.title").alias("title"), "file_name",
                        F.posexplode("subtitles").alias("line_no", "s")).select("episode_number", "title", "file_name", "line_no", "s.timestamp", "s.text")

@@ -201,7 +201,9 @@ def test_enrich_cues_loop(spark):
         last, before = start, label
         if 2 + len(want) >= target:
             break
-    assert table(planners.enrich_cues(lines, cues, F.col("kind")), "idx", "expression") == want
+    made = planners.enrich_cues(lines, cues, F.col("kind"))
+    assert table(made.filter("source = 'heuristic_enrichment' AND character = 'narrator'"), "idx", "expression") == want
+    assert made.count() == len(want) + cues.count() and [r.start_s for r in made.orderBy("cue_no").collect()] == sorted(r.start_s for r in made.collect())
 
 
 def test_choices_never_repeat(spark):
@@ -221,3 +223,13 @@ def test_rounds_do_not_grow_with_blocks(spark, blocks):
     lines = words.withColumnRenamed("word", "text")
     got = {r.idx: r.line_count for r in planners.group_short_lines(lines, block_rows=8).collect()}
     assert got == {i: min(3, blocks * 8 - i) for i in range(0, blocks * 8, 3)} and folds._ROUNDS[-1] == 0
+
+
+@pytest.mark.parametrize("blocks", [5, 10, 20])
+def test_use_counts_do_not_make_rounds(spark, blocks):
+    """Transitions that come up a few times in a long script: counts differ from block to block until they saturate."""
+    rows = [("k", i, "reveal" if i % 37 == 5 else "twist" if i % 53 == 9 else "warning", "neutral", 50.0) for i in range(blocks * 64)]
+    beats_ = spark.createDataFrame(rows, "script_id string, idx long, beat_type string, emotion string, emotion_score double")
+    plain = {r.idx: r.transition_type for r in planners.plan_transitions(beats_, block_rows=10**6).collect()}
+    assert {r.idx: r.transition_type for r in planners.plan_transitions(beats_, block_rows=64).collect()} == plain
+    assert folds._ROUNDS[-1] <= 4
