@@ -152,8 +152,8 @@ SELECT id, CASE id % 3 WHEN 0 THEN 'Chapter ' || id || ' ' || name || ' ' || cat
 def s9(spark, sf):
     """The section of a chapter by its heading, by a mention, and the whole text without either."""
     n = F.col("id").cast("string")
-    heads = F.concat(F.lit("intro\nChapter 90"), n, F.lit("\nnot this\nChapter "), n, F.lit("\n"), "name", F.lit("\n\n  "), "category", F.lit("\nChapter 80"), n, F.lit("\nnor this\nLeave a reply"))
-    body = F.when(F.col("id") % 3 == 0, F.regexp_replace(heads, r"Chapter 90\d+", "Chapter 999999")).when(
+    heads = F.concat(F.lit("intro\nChapter 999999\nnot this\nChapter "), n, F.lit("\n"), "name", F.lit("\n\n  "), "category", F.lit("\nChapter 8000\nnor this\nLeave a reply"))
+    body = F.when(F.col("id") % 3 == 0, heads).when(
         F.col("id") % 3 == 1, F.concat(F.lit("a chapter "), n, F.lit(" in passing\n"), "name")).otherwise(F.concat(F.lit("no heading\n"), "name"))
     return catalog(spark, sf).select("id", web.chapter_section(body, F.col("id"), None).alias("section"))
 

@@ -168,18 +168,19 @@ def _slides_in(json: Column) -> Column:
     listed = keep(F.from_json(F.when(F.startswith(F.trim(json), F.lit("[")), json), f"array<{SLIDE_STRUCT}>"))
     lone = F.when(F.startswith(F.trim(json), F.lit("{")) & ok(single), F.array(single)).otherwise(none)
     inner = [keep(F.when(F.startswith(F.trim(json), F.lit("{")), wrapped[k])) for k in ("slides", "segments", "items", "data")]
-    out = listed
-    for more in [lone, *inner]:
-        out = F.when(F.size(out) > 0, out).otherwise(more)
-    return out
+    return _first_filled(listed, lone, *inner)
+
+
+def _first_filled(*lists: Column) -> Column:
+    """The first list with an item, else the last one; each is spelled once, so that it is parsed once."""
+    return F.coalesce(F.get(F.filter(F.array(*lists), lambda x: F.size(x) > 0), 0), lists[-1])
 
 
 def parse_slide_replies(replies: DataFrame, key: str = "script_id", text: str = "reply") -> tuple[DataFrame, DataFrame]:
     """(slides, rejects).  Code fences are removed; text around the outer brackets is tried without it."""
     body = F.trim(F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), r"^```(json)?", ""), r"```$", ""))
     bracket = F.nullif(F.regexp_extract(body, r"(?s)(\[.*\])", 1), F.lit(""))
-    tries = [_slides_in(body), _slides_in(F.coalesce(bracket, F.lit("")))]
-    parsed = replies.withColumn("_s", F.when(F.size(tries[0]) > 0, tries[0]).otherwise(tries[1]))
+    parsed = replies.withColumn("_s", _first_filled(_slides_in(body), _slides_in(F.coalesce(bracket, F.lit("")))))
     slides = parsed.select(key, F.posexplode("_s").alias("idx", "s")).select(key, F.col("idx").cast("long").alias("idx"), "s.*")
     return slides, parsed.filter(F.size("_s") == 0).drop("_s")
 
