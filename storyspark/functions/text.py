@@ -423,19 +423,36 @@ def _cut(parts: Column, ends: Column, sep: str = " ") -> Column:
 
 def chunk_sentences(c: Column, chunk_size: int = 500, overlap_sentences: int = 50) -> Column:
     """Sentence chunks of about ``chunk_size`` characters; each starts with the last
-    ``overlap_sentences`` pieces of the one before (the repeated text counts as one piece)."""
-    parts = F.split(_s(c), SENTENCE_END)
-    start = F.struct(F.array().cast(EMPTY).alias("done"), F.array().cast(EMPTY).alias("cur"), F.lit(0).alias("n"))
-
-    def step(acc, s):
-        flush = (acc["n"] + F.length(s) > chunk_size) & (F.size(acc["cur"]) > 0)
-        held = F.array_join(F.slice(acc["cur"], F.greatest(F.lit(1), F.size(acc["cur"]) - overlap_sentences + 1), F.lit(max(1, overlap_sentences))), " ")
-        return F.when(flush, let(held, lambda h: F.struct(
-            F.array_append(acc["done"], F.array_join(acc["cur"], " ")).alias("done"), F.array(h, s).alias("cur"),
-            (F.length(h) + F.length(s)).alias("n")))).otherwise(F.struct(
-                acc["done"].alias("done"), F.array_append(acc["cur"], s).alias("cur"), (acc["n"] + F.length(s)).alias("n")))
-
-    return F.aggregate(parts, start, step, lambda a: F.when(F.size(a["cur"]) > 0, F.array_append(a["done"], F.array_join(a["cur"], " "))).otherwise(a["done"]))
+    ``overlap_sentences`` pieces of the one before (the repeated text counts as one piece).
+
+    A chunk is a run of sentences, so the fold carries where it starts, its pieces and lengths, and
+    the texts are joined once at the end.
+    """
+    zero = F.lit(0)
+    start = F.struct(F.array().cast("array<struct<a:int,b:int>>").alias("done"), zero.alias("a"), zero.alias("m"), zero.alias("n"), zero.alias("chars"), zero.alias("i"))
+
+    def state(done, a, m, n, chars, i):
+        return F.struct(done.alias("done"), a.alias("a"), m.alias("m"), n.alias("n"), chars.alias("chars"), (i + 1).alias("i"))
+
+    def held(acc, parts):
+        """First sentence that is repeated, and the characters from there on."""
+        last = F.slice(parts, acc["i"] - overlap_sentences + 1, F.lit(overlap_sentences)) if overlap_sentences else F.array().cast(EMPTY)
+        some = F.struct((acc["i"] - overlap_sentences).alias("a"), F.aggregate(last, F.lit(0), lambda t, s: t + F.length(s)).alias("chars"))
+        return F.when(acc["m"] <= overlap_sentences, F.struct(acc["a"].alias("a"), acc["chars"].alias("chars"))).otherwise(some)
+
+    def step(acc, s, parts):
+        size, run = F.length(s), F.struct(acc["a"].alias("a"), acc["i"].alias("b"))
+        flush = (acc["n"] + size > chunk_size) & (acc["m"] > 0)
+        again = lambda h: state(F.array_append(acc["done"], run), h["a"], F.lit(2), h["chars"] + F.greatest(acc["i"] - h["a"] - 1, F.lit(0)) + size,
+                                h["chars"] + size, acc["i"])
+        return F.when(flush, let(held(acc, parts), again)).otherwise(state(acc["done"], acc["a"], acc["m"] + 1, acc["n"] + size, acc["chars"] + size, acc["i"]))
+
+    def runs(parts):
+        whole = lambda acc: F.when(acc["m"] > 0, F.array_append(acc["done"], F.struct(acc["a"].alias("a"), acc["i"].alias("b")))).otherwise(acc["done"])
+        return F.aggregate(parts, start, lambda acc, s: step(acc, s, parts), whole)
+
+    return let(F.split(_s(c), SENTENCE_END), lambda parts: let(runs(parts), lambda found: F.transform(
+        found, lambda r: F.array_join(F.slice(parts, r["a"] + 1, r["b"] - r["a"]), " "))))
 
 
 def _pack(parts: Column, limit: int, sep: int = 1) -> Column:

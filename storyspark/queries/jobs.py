@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from storyspark.operators import composition
 from storyspark.plans import jobs
 from storyspark.plans.views import BEATS_SQL, beats, catalog, table
-from storyspark.queries.beats import DAY
-from storyspark.queries.registry import register
+from storyspark.queries import intervals  # noqa: F401  (its SQL is a part of the jobs')
+from storyspark.queries.beats import DAY, RHYTHM_CTES
+from storyspark.queries.registry import SQL, register
 from storyspark.queries.search import CENTROIDS, EDGES_SQL, centroids, heads
 from storyspark.queries.text import CHUNK_SQL, CREDITS, DOC_BEAT_RULES, DOC_EMOTIONS, DOC_ESCALATION, QUALITY_CTES, ROLLUP_SQL, docs
 from storyspark.streaming import jobs as streaming
@@ -23,11 +24,45 @@ def e1(spark, sf):
     return jobs.script_to_curve(d, beat_rules=DOC_BEAT_RULES, escalation=DOC_ESCALATION, emotion_rules=DOC_EMOTIONS, unicode=False)["summary"]
 
 
-@register("e2_storyboard_audit", "script_id:i beat_count:i retention_score:d retention_grade:s mean_repetition:d diversity_grade:s unique_assets:i memory_issues:i avg_energy:d rhythm_issues:i passed:b")
+# energy streaks at the job's limits: over 0.75 more than three times, under 0.35 more than four times
+STREAKS_SQL = RHYTHM_CTES.split("isl AS (")[0] + """
+isl AS (SELECT *, sum(CAST(NOT energy > 0.75 AS INTEGER)) OVER w AS hg, sum(CAST(NOT energy < 0.35 AS INTEGER)) OVER w AS lg FROM rh WINDOW w AS (PARTITION BY script_id ORDER BY idx)),
+strk AS (SELECT script_id FROM (SELECT *, row_number() OVER (PARTITION BY script_id, hg ORDER BY idx) AS n FROM isl WHERE energy > 0.75) WHERE n % 4 = 0
+         UNION ALL SELECT script_id FROM (SELECT *, row_number() OVER (PARTITION BY script_id, lg ORDER BY idx) AS n FROM isl WHERE energy < 0.35) WHERE n % 5 = 0)"""
+
+
+@register("e2_storyboard_audit", "script_id:i beat_count:i retention_score:d retention_grade:s mean_repetition:d diversity_grade:s unique_assets:i memory_issues:i avg_energy:d rhythm_issues:i passed:b", f"""
+SELECT r.script_id, r.beat_count, r.score AS retention_score, r.grade AS retention_grade, d.mean_repetition, d.diversity_grade, m.unique_assets, m.issue_count AS memory_issues,
+       y.avg_energy, coalesce(s.n, 0) AS rhythm_issues, true AS passed
+FROM ({SQL['a5_retention_report']}) r JOIN ({SQL['a4_diversity_summary']}) d USING (script_id) JOIN ({SQL['a6_reuse_summary']}) m USING (script_id)
+JOIN (SELECT script_id, avg(energy) AS avg_energy FROM rh GROUP BY script_id) y USING (script_id) LEFT JOIN (SELECT script_id, count(*) AS n FROM strk GROUP BY script_id) s USING (script_id)""", STREAKS_SQL)
 def e2(spark, sf):
     return jobs.storyboard_audit(beats(spark, sf), reveal_gap_limit=DAY)["report"]
 
 
+def _digest_sql(stage: str, name: str, check: str) -> str:
+    return f"SELECT '{stage}' AS stage, script_id, count(*) AS rows, round({check}, 2) AS total FROM ({SQL[name]}) GROUP BY script_id"
+
+
+@register("e2_all_results", "stage:s script_id:i rows:i total:d", " UNION ALL ".join([
+    _digest_sql("acts", "w16_narrative_arc", "count(*) FILTER (arc_significance = 'high')"), _digest_sql("violations", "a5b_retention_violations", "sum(first_idx)"),
+    _digest_sql("rhythm", "w13_visual_rhythm", "sum(energy)"), _digest_sql("memory", "w12_reuse_tracking", "count(*) FILTER (spoiled_reveal) + count(*) FILTER (premature_reuse)"),
+    _digest_sql("diversity", "w7_lookback_repetition", "sum(repetition_score)"), _digest_sql("motion", "w41_motion_details", "sum(motion_intensity)"),
+    _digest_sql("transitions", "w42_plan_transitions", "sum(duration)"),
+    *(f"SELECT '{stage}', script_id, count(*), 0 FROM beats GROUP BY script_id" for stage in ("assets", "composition", "output"))]), BEATS_SQL)
+def e2_all(spark, sf):
+    """Every result of the job, as rows and a total per script."""
+    out = jobs.storyboard_audit(beats(spark, sf), reveal_gap_limit=DAY)
+    totals = {"acts": F.count_if(F.col("arc_significance") == "high"), "violations": F.sum("first_idx"), "rhythm": F.sum("energy"), "diversity": F.sum("repetition_score"),
+              "memory": F.count_if("spoiled_reveal") + F.count_if("premature_reuse"), "motion": F.sum("motion_intensity"), "transitions": F.sum("duration")}
+    rows = None
+    for stage, df in out.items():
+        if stage != "report":
+            one = df.groupBy("script_id").agg(F.count(F.lit(1)).alias("rows"), F.round(totals.get(stage, F.lit(0)).cast("double"), 2).alias("total")).withColumn("stage", F.lit(stage))
+            rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
 @register("e3_staged_storyboard", "script_id:i beat_count:i issue_count:i failing_count:i passed:b")
 def e3(spark, sf):
     # one event hour counts as one second, so that some scripts pass the eight-second reveal rule

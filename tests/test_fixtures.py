@@ -196,6 +196,29 @@ def test_picture_index(spark, tmp_path):
     assert files.expired_files(listed, 1).count() == 0
 
 
+def test_sentence_chunks_by_position(spark):
+    import random
+    import re
+
+    def plain(t, size, overlap):
+        done, cur, n = [], [], 0
+        for s in re.split(r"(?<=[.!?])\s+", t):
+            if n + len(s) > size and cur:
+                done.append(" ".join(cur))
+                cur = [" ".join(cur[-overlap:]), s]
+                n = len(cur[0]) + len(s)
+            else:
+                cur.append(s)
+                n += len(s)
+        return done + [" ".join(cur)]
+
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choice("abc") for _ in range(rng.randint(1, 30))) + rng.choice(".!?") for _ in range(rng.randint(1, 40))) for _ in range(40)] + [""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for size, overlap in ((50, 1), (50, 2), (100, 50), (20, 3)):
+        assert [r[0] for r in df.select(text.chunk_sentences(F.col("t"), size, overlap)).collect()] == [plain(t, size, overlap) for t in texts]
+
+
 def test_contained_pairs_is_exact(spark):
     a = ["ab", "b", "xyz", "abc", ""]
     b = ["abc", "cab", "zzz", "b"]
