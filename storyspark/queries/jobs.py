@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from storyspark.operators import composition
+from storyspark.operators import composition, slides
 from storyspark.plans import jobs
 from storyspark.plans.views import BEATS_SQL, beats, catalog, table
 from storyspark.queries import intervals  # noqa: F401  (its SQL is a part of the jobs')
@@ -41,7 +41,8 @@ def e2(spark, sf):
 
 
 def _digest_sql(stage: str, name: str, check: str) -> str:
-    return f"SELECT '{stage}' AS stage, script_id, count(*) AS rows, round({check}, 2) AS total FROM ({SQL[name]}) GROUP BY script_id"
+    # energies are not rounded themselves, and the twin has six places of them
+    return f"SELECT '{stage}' AS stage, script_id, count(*) AS rows, round({check}, {2 if stage == 'rhythm' else 4}) AS total FROM ({SQL[name]}) GROUP BY script_id"
 
 
 @register("e2_all_results", "stage:s script_id:i rows:i total:d", " UNION ALL ".join([
@@ -58,7 +59,7 @@ def e2_all(spark, sf):
     rows = None
     for stage, df in out.items():
         if stage != "report":
-            one = df.groupBy("script_id").agg(F.count(F.lit(1)).alias("rows"), F.round(totals.get(stage, F.lit(0)).cast("double"), 2).alias("total")).withColumn("stage", F.lit(stage))
+            one = df.groupBy("script_id").agg(F.count(F.lit(1)).alias("rows"), F.round(totals.get(stage, F.lit(0)).cast("double"), 2 if stage == "rhythm" else 4).alias("total")).withColumn("stage", F.lit(stage))
             rows = one if rows is None else rows.unionByName(one)
     return rows
 
@@ -179,3 +180,20 @@ def r3(spark, sf):
     s = event_stream(spark, sf).select(F.col("script_id").alias("session_id"), F.col("event_type").alias("stage"), "ts", F.col("event_id").alias("seq"),
                                        F.when(F.col("value") > 60, "failed").otherwise("done").alias("status"))
     return streaming.session_status(s, streaming.job_folder(spark, "sessions"))
+
+
+# ---- W40: refined slides ---------------------------------------------------------------------------
+
+@register("w40_refine_slides", "script_id:i idx:i query:s subtitle_text:s beat_type:s end_s:d", """
+SELECT s.script_id, s.idx, any_value(s.said) AS query, coalesce(string_agg(l.subtitle_text || '.', ' ' ORDER BY l.start_s, l.idx), '') AS subtitle_text, any_value(s.beat_type) AS beat_type,
+       any_value(s.end_s / 20000) AS end_s
+FROM (SELECT *, CASE WHEN idx > min(idx) OVER (PARTITION BY script_id, query) THEN query || ' alternate scene' ELSE query END AS said
+      FROM (SELECT * REPLACE (CASE beat_type WHEN 'warning' THEN 'payoff' ELSE beat_type END AS beat_type) FROM beats)) s
+LEFT JOIN beats l ON l.script_id = s.script_id AND l.end_s > s.start_s AND l.start_s < s.end_s GROUP BY s.script_id, s.idx""", BEATS_SQL)
+def w40(spark, sf):
+    """Slides with the text of their lines; a query that an earlier slide has asks for another scene."""
+    b = beats(spark, sf).withColumns({"start_s": F.col("start_s") / 20000, "end_s": F.col("end_s") / 20000})
+    lines = b.select("script_id", "idx", "start_s", "end_s", F.concat("subtitle_text", F.lit(".")).alias("text"))
+    shown = b.select("script_id", "idx", "start_s", "end_s", F.when(F.col("beat_type") == "warning", "payoff").otherwise(F.col("beat_type")).alias("beat_type"), "query",
+                     F.lit("A summary that is long enough").alias("summary"), F.array().cast("array<string>").alias("entities"), F.lit(0.5).alias("asset_confidence"))
+    return slides.refine_slides(shown, lines, unicode=False)

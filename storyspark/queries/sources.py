@@ -248,3 +248,27 @@ def w9(spark, sf):
     b = b.withColumns({"entities": F.when(i % 3 == 0, F.array("who")), "asset_entities": F.when(i % 3 == 1, F.array("visual_role")), "emotion": F.initcap("emotion"),
                        "search_tags": F.when(i % 2 == 0, F.array(F.lit("x"), F.concat(F.lit("Island of "), (i % 7).cast("string"))))})
     return slides.audit_features(b, ["scene 3", "click"])
+
+
+@register("p4_production_defaults", "script_id:i idx:i beat_type:s visual_role:s layout_mode:s motion_preset:s transition_in:s sfx_cue:s pacing_intent:s end_s:d cues:s asset_confidence:d target_word:s", """
+SELECT script_id, idx, beat_type, visual_role, layout_mode,
+       CASE WHEN motion_preset IN ('static_hold', 'subject_push') THEN motion_preset WHEN layout_mode = 'title_card' THEN 'title_card_hold' WHEN beat_type = 'reveal' THEN 'reveal_zoom'
+            WHEN beat_type = 'evidence' THEN 'evidence_hold' ELSE 'subject_push' END AS motion_preset,
+       cut AS transition_in, CASE WHEN beat_type = 'hook' THEN 'pop' WHEN idx % 5 = 2 AND idx % 7 > 1 THEN 'boom' ELSE cut END AS sfx_cue,
+       CASE WHEN idx % 6 = 0 THEN 'rapid_montage' ELSE 'standard' END AS pacing_intent, CASE WHEN idx % 6 = 0 AND e - s > 2 THEN s + 2 ELSE e END AS end_s,
+       CASE WHEN e - s < 0.5 THEN 'flash_frame' ELSE 'glitch,flash_frame' END AS cues, CASE WHEN suffix(query, ' 7') THEN 0.9e0 ELSE 0.55e0 END AS asset_confidence,
+       CASE WHEN idx % 7 = 1 THEN 'sword' ELSE '' END AS target_word
+FROM (SELECT * REPLACE (CASE beat_type WHEN 'warning' THEN 'payoff' ELSE beat_type END AS beat_type,
+                        CASE WHEN idx % 4 > 0 THEN layout_mode WHEN visual_role IN ('evidence', 'symbol') THEN 'evidence_card' ELSE 'safe_subject' END AS layout_mode),
+             start_s / 36000 AS s, end_s / 36000 AS e,
+             CASE WHEN idx % 3 = 2 THEN 'iris_wipe' WHEN beat_type = 'reveal' THEN 'zoom_dissolve' WHEN beat_type = 'escalation' THEN 'whip_pan_right' WHEN beat_type = 'warning' THEN 'fade_eased' ELSE 'crossfade' END AS cut FROM beats)""", BEATS_SQL)
+def p4(spark, sf):
+    """Values that are valid, invalid, missing or in conflict, in turn."""
+    i = F.col("idx")
+    b = beats(spark, sf).withColumns({
+        "beat_type": F.when(F.col("beat_type") == "warning", "PAYOFF ").otherwise(F.col("beat_type")), "layout_mode": F.when(i % 4 > 0, F.col("layout_mode")),
+        "transition_in": F.when(i % 3 == 0, "").when(i % 3 == 1, "Glitch").otherwise(" Iris_Wipe"), "sfx_cue": F.when(i % 5 == 2, "Boom").when(i % 5 == 0, "none"),
+        "target_word": F.when(i % 7 == 0, "The").when(i % 7 == 1, "Sword").otherwise(""), "pacing_intent": F.when(i % 6 == 0, " Rapid_Montage").when(i % 6 == 1, "odd"),
+        "start_s": F.col("start_s") / 36000, "end_s": F.col("end_s") / 36000, "effect_cues": F.array(F.lit("Slow_Push"), F.lit("glitch"), F.lit("flash_frame")),
+        "asset_confidence": F.lit(0.9), "summary": F.col("subtitle_text"), "entities": F.array("character")})
+    return slides.production_defaults(b, canonical=["7"], unicode=False).withColumn("cues", F.array_join("effect_cues", ","))
