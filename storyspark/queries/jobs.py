@@ -64,11 +64,28 @@ def e2_all(spark, sf):
     return rows
 
 
-@register("e3_staged_storyboard", "script_id:i beat_count:i issue_count:i failing_count:i passed:b")
+STAGED_SQL = BEATS_SQL + f""",
+tt AS (SELECT b.script_id, b.idx, b.beat_type, b.asset_id, b.start_s / 36000 AS start_s, b.end_s / 36000 AS end_s, c.score * 100 AS s, t.transition_type, m.style AS motion_preset
+       FROM beats b JOIN ({SQL['w19_smoothed_curve']}) c USING (script_id, idx) JOIN ({SQL['w42_plan_transitions']}) t USING (script_id, idx) JOIN ({SQL['w41_plan_motion']}) m USING (script_id, idx)),
+gl AS (SELECT *, lag(asset_id) OVER w AS pa, lag(transition_type) OVER w AS pt, lag(motion_preset) OVER w AS pm, sum(CAST(s >= 30 AS INTEGER)) OVER w AS grp
+       FROM tt WINDOW w AS (PARTITION BY script_id ORDER BY idx)),
+gs AS (SELECT *, CASE WHEN s < 30 THEN sum(CAST(s < 30 AS INTEGER)) OVER (PARTITION BY script_id, grp ORDER BY idx) ELSE 0 END AS streak FROM gl),
+gn AS (SELECT script_id, CAST(beat_type = 'reveal' AND end_s - start_s > 8 AS INTEGER) AS failing,
+              CAST(beat_type = 'hook' AND s < 70 AS INTEGER) + CAST(streak > 2 AS INTEGER) + CAST(coalesce(asset_id = pa, false) AS INTEGER)
+              + CAST(coalesce(transition_type = pt, false) AS INTEGER) + CAST(coalesce(motion_preset = pm, false) AS INTEGER) AS others FROM gs)"""
+
+
+@register("e3_staged_storyboard", "script_id:i beat_count:i issue_count:i failing_count:i passed:b shown:i memory_rows:i", """
+SELECT script_id, count(*) AS beat_count, sum(failing + others) AS issue_count, sum(failing) AS failing_count, sum(failing) = 0 AS passed, CASE WHEN sum(failing) = 0 THEN count(*) ELSE 0 END AS shown,
+       count(*) AS memory_rows FROM gn GROUP BY script_id""", STAGED_SQL)
 def e3(spark, sf):
+    """The verdict, with the rows of the output (of scripts that pass) and of the memory."""
     # one event hour counts as one second, so that some scripts pass the eight-second reveal rule
     b = beats(spark, sf).withColumns({"start_s": F.col("start_s") / 36000, "end_s": F.col("end_s") / 36000})
-    return jobs.staged_storyboard(b)["verdict"]
+    out = jobs.staged_storyboard(b)
+    rows = lambda stage, name: out[stage].groupBy("script_id").agg(F.count(F.lit(1)).alias(name))
+    both = out["verdict"].join(rows("output", "shown"), "script_id", "left").join(rows("memory", "memory_rows"), "script_id", "left")
+    return both.withColumn("shown", F.coalesce("shown", F.lit(0)))
 
 
 @register("e4_subtitles_to_slides", "script_id:i idx:i half:i start_s:d end_s:d query:s beat_type:s visual_role:s layout_mode:s motion_preset:s sfx_cue:s asset_confidence:d")
