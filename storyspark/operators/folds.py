@@ -117,7 +117,7 @@ _ROUNDS: deque = deque(maxlen=16)
 def _chain(key: list[str], fold: Fold):
     """Entry of every block along the chain of exits, and whether a trace has it.
 
-    After a block without one, the first trace stands in, so that the rest of the chain is still looked at.
+    After a block without one, the nearest trace stands in, so that the rest of the chain is still looked at.
     """
     names = [*key, "_blk", "_entry", "_count", "_met"]
 
@@ -133,7 +133,9 @@ def _chain(key: list[str], fold: Fold):
                 met, trace = True, traces[0]
             else:
                 fit = [t for t in traces if t[0] == want and t[1] == total]
-                met, trace = bool(fit), (fit or traces)[0]
+                # the trace of the same state, or the latest one, comes nearest to what the block will do
+                near = [t for t in traces if t[0] == want] or traces
+                met, trace = bool(fit), fit[0] if fit else near[-1]
             entry, count = (trace[0], trace[1]) if want is None else (want, total)
             done.append((*now, block, entry, count, met))
             want, total = trace[2], _sum(fold, count, trace[3])

@@ -226,10 +226,10 @@ def test_rounds_do_not_grow_with_blocks(spark, blocks):
 
 
 @pytest.mark.parametrize("blocks", [5, 10, 20])
-def test_use_counts_do_not_make_rounds(spark, blocks):
+def test_use_counts_make_few_rounds(spark, blocks):
     """Transitions that come up a few times in a long script: counts differ from block to block until they saturate."""
     rows = [("k", i, "reveal" if i % 37 == 5 else "twist" if i % 53 == 9 else "warning", "neutral", 50.0) for i in range(blocks * 64)]
     beats_ = spark.createDataFrame(rows, "script_id string, idx long, beat_type string, emotion string, emotion_score double")
     plain = {r.idx: r.transition_type for r in planners.plan_transitions(beats_, block_rows=10**6).collect()}
     assert {r.idx: r.transition_type for r in planners.plan_transitions(beats_, block_rows=64).collect()} == plain
-    assert folds._ROUNDS[-1] <= 4
+    assert folds._ROUNDS[-1] <= 6  # not one a block

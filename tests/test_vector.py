@@ -33,7 +33,7 @@ def test_products_stay_within_the_tile(monkeypatch):
     plain = vector._Best._tile
     monkeypatch.setattr(vector._Best, "_tile", lambda self, a, b, ids, *rest: (sizes.append((b - a) * len(ids)), plain(self, a, b, ids, *rest))[1])
     rng = np.random.default_rng(1)
-    best = vector._Best(list(range(500)), vector.unit(rng.normal(size=(500, 8))), None, 3, 1.0, False, False)
+    best = vector._Best(list(range(500)), vector.unit(rng.normal(size=(500, 8))), None, 3, 1.0, 1.0, False, False)
     best.add(np.arange(3000), vector.unit(rng.normal(size=(3000, 8))), None, None)
     assert max(sizes) <= 4096 and sum(sizes) == 500 * 3000 and len(best.frame("q", "v")) == 1500
 
