@@ -69,7 +69,8 @@ class _Best:
 
     def frame(self, qid: str, id: str) -> pd.DataFrame:
         query, ids, sims, scores = self.held if self.held is not None else [np.zeros(0, int)] * 4
-        return pd.DataFrame({qid: [self.names[q] for q in query], id: ids, "similarity": sims, "score": scores})
+        # names stay objects: one of them may be null
+        return pd.DataFrame({qid: pd.Series([self.names[q] for q in query], dtype=object), id: ids, "similarity": sims, "score": scores})
 
 
 def top_k_vectors(vectors: DataFrame, queries: DataFrame, k: int, id: str = "vec_id", vector: str = "embedding",
@@ -79,7 +80,8 @@ def top_k_vectors(vectors: DataFrame, queries: DataFrame, k: int, id: str = "vec
 
     ``same`` names a column that must be equal on both sides (a metadata filter).  The ranking
     score is ``weight * cosine + bonus_weight * bonus`` (cosine clipped to [0, 1] with ``clip``); each
-    weight is a number, or names a column of the queries.
+    weight is a number, or names a column of the queries.  A row or query without a vector, or with a null or
+    non-finite component, has no similarity and no hits; nor has a null ``same``.  A null query id is an id like others.
 
     One job measures the query set.  If its matrix fits MAX_QUERY_BYTES, it goes to every task and
     the vectors stream past it without a shuffle.  A larger set stays distributed: queries are dealt
@@ -89,12 +91,17 @@ def top_k_vectors(vectors: DataFrame, queries: DataFrame, k: int, id: str = "vec
     """
     picks = [qid, qvector] + ([same] if same else []) + [w for w in (weight, bonus_weight) if isinstance(w, str)]
     cols = [id, vector] + ([same] if same else []) + ([bonus] if bonus else [])
-    chosen, rows = queries.select(*picks), vectors.select(*cols)
-    total, dim = chosen.agg(F.count(F.lit(1)), F.max(F.size(qvector))).first()
-    if not total:
+    chosen, rows = queries.select(*picks).withColumn("_asks", _complete(qvector)), vectors.select(*cols).filter(F.col(vector).isNotNull())
+    if same:
+        chosen, rows = chosen.withColumn("_asks", F.col("_asks") & F.col(same).isNotNull()), rows.filter(F.col(same).isNotNull())
+    given, total, dim = chosen.agg(F.count(F.lit(1)), F.count_if("_asks"), F.max(F.size(qvector))).first()
+    if not given:
         raise ValueError("no query vectors")
+    chosen = chosen.filter("_asks").drop("_asks")
     schema = T.StructType([T.StructField(qid, queries.schema[qid].dataType), T.StructField(id, vectors.schema[id].dataType),
                            T.StructField("similarity", T.DoubleType()), T.StructField("score", T.DoubleType())])
+    if not total:
+        return vectors.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(0))
     tiles = -(-total * 8 * max(1, dim) // MAX_QUERY_BYTES)
 
     def best_of(columns: list[list]) -> _Best:
@@ -104,13 +111,17 @@ def top_k_vectors(vectors: DataFrame, queries: DataFrame, k: int, id: str = "vec
                      own.get(weight, weight), own.get(bonus_weight, bonus_weight), clip, positive)
 
     def add(best: _Best, pdf: pd.DataFrame) -> None:
-        if not pdf.empty:
-            best.add(pdf[id].to_numpy(), unit(np.array(pdf[vector].tolist(), dtype=np.float64)), pdf[same].to_numpy() if same else None,
-                     pdf[bonus].to_numpy(dtype=np.float64) if bonus else None)
+        if pdf.empty:
+            return
+        matrix = np.array(pdf[vector].tolist(), dtype=np.float64)
+        whole = np.isfinite(matrix).all(1)  # a null component is read as NaN
+        if not whole.all():
+            pdf, matrix = pdf[whole], matrix[whole]
+        if len(pdf):
+            best.add(pdf[id].to_numpy(), unit(matrix), pdf[same].to_numpy() if same else None, pdf[bonus].to_numpy(dtype=np.float64) if bonus else None)
 
     if tiles == 1:
-        given = sorted(chosen.collect())
-        columns = [[r[i] for r in given] for i in range(len(picks))]
+        columns = [list(c) for c in zip(*chosen.collect())]
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             best = best_of(columns)
@@ -125,6 +136,12 @@ def top_k_vectors(vectors: DataFrame, queries: DataFrame, k: int, id: str = "vec
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _complete(vector: str):
+    """Whether an array is there and all its components are finite."""
+    x = F.col(vector)
+    return x.isNotNull() & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+
+
 def _cells(rows, chosen, picks, cols, tiles, best_of, add, schema) -> DataFrame:
     """Partial lists of all (vector block, query tile) cells; in each the queries arrive first."""
     blocks = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // tiles)
