@@ -110,7 +110,7 @@ def retrieval(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int =
     best = hits.join(stored.select("id", "text", *(["character"] if "character" in stored.columns else [])), "id")
     if "character" not in best.columns:
         best = best.withColumn("character", F.lit(""))
-    return {"rows": rows, "hits": hits, "context": vector.context_text(best)}
+    return {"rows": rows, "hits": hits, "best": best, "context": vector.context_text(best)}
 
 
 def page_context(candidates: DataFrame, doc: str = "doc_id", page: str = "page", confidence: str | None = None, **kw) -> dict[str, DataFrame]:

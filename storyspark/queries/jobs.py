@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from storyspark.operators import composition, slides
+from storyspark.operators import composition, slides, vector
 from storyspark.plans import jobs
 from storyspark.plans.views import BEATS_SQL, beats, catalog, table
 from storyspark.queries import intervals  # noqa: F401  (its SQL is a part of the jobs')
@@ -109,7 +109,9 @@ FROM (SELECT s.query_id, s.label, r.chunk, row_number() OVER (PARTITION BY s.que
 GROUP BY query_id""", CHUNK_SQL + "," + CENTROIDS)
 def e5(spark, sf):
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", F.concat(F.lit("label"), "label").alias("character"))
-    return jobs.retrieval(docs(spark, sf), e, centroids(spark, sf), qvector="q")["context"]
+    best = jobs.retrieval(docs(spark, sf), e, centroids(spark, sf), qvector="q")["best"]
+    # a chunk of a document without a label keeps its rank, but has no line
+    return vector.context_text(best.withColumn("text", F.when(F.col("character").isNotNull(), F.col("text")))).withColumn("context", F.nullif("context", F.lit("")))
 
 
 @register("e6_page_context", "source:s total_pages:i usable_pages:i score:d context_chars:i level:s usable:b", ROLLUP_SQL, QUALITY_CTES)
