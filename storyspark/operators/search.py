@@ -242,8 +242,11 @@ def rank_for_beat(assets: DataFrame, beats: DataFrame, k: int = 5, weights: dict
         "_pull": F.col("_w_semantic") / scale, "_push": F.when(F.col("_w_importance") > 0, 1.0).otherwise(0.0)}),
         k, id, vector, qid, "_qv", weight="_pull", bonus="_base", bonus_weight="_push", clip=True)
     seeds = seeds.join(heavy, qid).withColumn("_sure", F.col("score") * scale).select(qid, id, "_sure")
+    # least() and greatest() skip nulls, in Spark and in SQL: an asset without a vector counts as fully similar, and the k most important of them are seeds as well
+    bare = assets.filter(F.col(vector).isNull()).select(id, (F.coalesce("importance", F.lit(3)) / 5.0).alias("_base")).orderBy(F.desc("_base"), id).limit(k)
+    seeds = seeds.unionByName(bare.crossJoin(F.broadcast(heavy)).select(qid, id, (F.col("_w_semantic") + F.col("_w_importance") * F.col("_base")).alias("_sure")))
     # a query with k seeds has k assets of at least the least of their scores
-    reached = seeds.groupBy(qid).agg(F.when(F.count(F.lit(1)) >= k, F.min("_sure")).otherwise(0.0).alias("_least"))
+    reached = top_k(seeds, k, [F.desc("_sure"), F.col(id)], qid, "_n").groupBy(qid).agg(F.when(F.count(F.lit(1)) >= k, F.min("_sure")).otherwise(0.0).alias("_least"))
     able = full.join(reached, qid, "left").filter(gain + F.col("_w_semantic") + 1e-9 >= F.coalesce("_least", F.lit(0.0)))
     group = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) if c != "_tags" else F.array_join(c, "\1") for c in attrs]
     key = F.xxhash64(*group)

@@ -48,7 +48,7 @@ def test_no_queries(spark):
 
 
 NULL_ROWS = [
-    "j20_vector_top_k", "j20_vector_top_k_filtered", "j21_retrieval_context", "e5_retrieval_context",
+    "j20_vector_top_k", "j20_vector_top_k_filtered", "j21_retrieval_context", "e5_retrieval_context", "j5_semantic_rank",
 ]
 
 
