@@ -136,3 +136,27 @@ def test_a_load_that_is_run_again_adds_nothing(spark, tmp_path):
     assert got.groupBy("collection").count().collect() and {r.collection: r["count"] for r in got.groupBy("collection").count().collect()} == {"one": 30, "two": 5}
     assert sorted(r.text for r in got.filter("collection = 'one'").collect()) == sorted({f"t{i}" for i in range(30)})
     assert math.isclose(got.select("id").distinct().count(), 35)
+
+
+def test_exact_degrees_are_those_of_mined_edges(spark):
+    rng = random.Random(2)
+    words = ["red", "blue", "gear", "ring", "hot"]
+    rows = []
+    for i in range(150):
+        name = f"{rng.choice(words)} {rng.choice(words)}"
+        rows.append((i, name, rng.choice([name.split()[1], None]), f"crew{rng.choice([0, 0, 0, 1, 2, i])}", rng.choice(["Alpha / north", "Beta", "north", None]),
+                     rng.choice(["sad, grim, calm", "joy, sad", "grim", "", None]), rng.choice(["character", "arc_card", "weapon", None]), 3, rng.sample(words, 2) + [f"own{i}"]))
+    rows += [rows[3], rows[40]]  # rows that come twice
+    nodes = spark.createDataFrame(rows, "id long, name string, character string, category string, arc string, emotion string, visual_type string, importance int, tags array<string>")
+    pairs = {(r.src, r.dst) for r in graph.mine_edges(nodes, nodes.select("id")).select("src", "dst").collect()}
+    want = {i: sum(src == i for src, _ in pairs) for i in range(150)}
+    assert {r.id: r.relationship_count for r in graph.exact_degrees(nodes).collect()} == want
+    assert len(set(want.values())) > 10
+
+
+def test_exact_degrees_mine_classes_not_pairs(spark, monkeypatch):
+    rows = [(i, f"name{i % 4} last", "last", "crew", "Alpha", "sad, grim", "character", 3, [f"name{i % 4}", f"own{i}"]) for i in range(400)]
+    nodes = spark.createDataFrame(rows, "id long, name string, character string, category string, arc string, emotion string, visual_type string, importance int, tags array<string>")
+    mined, plain = [], graph.mine_edges
+    monkeypatch.setattr(graph, "mine_edges", lambda nodes, *a: (mined.append(nodes.count()), plain(nodes, *a))[1])
+    assert {r.relationship_count for r in graph.exact_degrees(nodes).collect()} == {399} and mined == [4]
