@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from storyspark.functions.rules import ARC_LOCATION_TERMS
 from storyspark.functions.text import norm_key, split_csv
 from storyspark.operators.vector import cosine, top_k_vectors
+from storyspark.session import cut_lineage
 
 
 def top_k(df: DataFrame, k: int, by: Sequence[Column], part: str | Sequence[str] = "query_id", out: str = "rank") -> DataFrame:
@@ -309,6 +310,8 @@ def search(assets: DataFrame, queries: DataFrame, mode: str = "auto", k: int = 1
 # fixed values
 IGNORED_WORDS = ["one", "piece", "arc", "chapter"]
 ENOUGH_POINTS = 10
+#: Entries of a task, and asked words and keys that go to every task; a larger batch is joined by a shuffle.
+ENTRY_ROWS, ASKED_ROWS = 100_000, 200_000
 
 
 def _words(c: Column) -> Column:
@@ -327,19 +330,23 @@ def entry_scores(entries: DataFrame, queries: DataFrame, haystack: Sequence[str]
     e = entries.select(id, norm_key(F.col("name")).alias("nk"), F.array_distinct(_words(F.col("name"))).alias("nt"),
                        F.array_distinct(F.concat(_words(F.concat_ws(" ", *haystack)), F.regexp_extract_all(F.lower(F.concat_ws(" ", *haystack)), F.lit(r"(?U)(\w+)"), 1))).alias("ht"))
     # a word asked twice counts twice
-    asked = q.select(qid, F.explode("qw").alias("word"), "_all").select(qid, "word", F.size(F.filter("_all", lambda x: x == F.col("word"))).alias("times"))
-    by_name = asked.join(e.select(id, F.explode("nt").alias("word")), "word").groupBy(qid, id).agg((F.sum("times") * 12).alias("points"))
-    by_word = asked.join(e.select(id, F.explode("ht").alias("word")), "word").groupBy(qid, id).agg((F.sum("times") * 2).alias("points"))
-    keyed = e.select(id, "nk").filter("nk <> ''")
-    name_in = contained_pairs(q, keyed, "qn", "nk").withColumn("points", F.when(F.col("qn") == F.col("nk"), 80).when(F.length("qn") >= 5, 40).otherwise(0))
-    by_key = q.select(qid, "qn").join(name_in, "qn").join(keyed, "nk").select(qid, id, "points")
-    ent = q.select(qid, F.explode("en").alias("ek")).filter("ek <> ''")
-    ent_in = contained_pairs(ent, keyed, "ek", "nk").withColumn("points", F.when(F.col("ek") == F.col("nk"), 50).when(F.length("ek") >= 5, 25).otherwise(0))
-    by_entity = ent.join(ent_in, "ek").join(keyed, "nk").groupBy(qid, id).agg(F.sum("points").alias("points"))
-    all_points = by_name
-    for p in (by_word, by_key, by_entity):
-        all_points = all_points.unionByName(p)
-    total = all_points.groupBy(qid, id).agg(F.sum("points").cast("long").alias("score"))
+    words = q.select(qid, F.explode("qw").alias("_w"), "_all").select(qid, F.concat(F.lit("w"), "_w").alias("_token"), F.size(F.filter("_all", lambda x: x == F.col("_w"))).alias("_times")).select(
+        qid, "_token", (F.col("_times") * 12).alias("_named"), (F.col("_times") * 2).alias("_told"))
+    # the query and its entities: keys that may be inside those of entries
+    needles = q.select(qid, F.explode(F.concat(F.array(F.struct(F.col("qn").alias("key"), F.lit(80).alias("same"), F.lit(40).alias("part"))), F.transform(
+        "en", lambda k: F.struct(k.alias("key"), F.lit(50).alias("same"), F.lit(25).alias("part"))))).alias("n")).select(qid, "n.*").filter("key <> ''")
+    inside = contained_pairs(needles, e.select("nk").filter("nk <> ''"), "key", "nk")
+    keys = needles.join(inside, "key").select(qid, F.concat(F.lit("k"), "nk").alias("_token"), F.when(F.col("key") == F.col("nk"), F.col("same")).when(
+        F.length("key") >= 5, F.col("part")).otherwise(0).alias("_named"), F.lit(0).alias("_told"))
+    asked = cut_lineage(words.unionByName(keys).groupBy(qid, "_token").agg(F.sum("_named").alias("_named"), F.sum("_told").alias("_told")))
+    # an entry meets the queries by its words and its key at once; all its points arise where it lies
+    held = F.transform(F.array_union("nt", "ht"), lambda w: F.struct(F.concat(F.lit("w"), w).alias("t"), F.array_contains("nt", w).alias("n"), F.array_contains("ht", w).alias("h")))
+    key = F.array(F.struct(F.concat(F.lit("k"), F.coalesce("nk", F.lit(""))).alias("t"), F.lit(True).alias("n"), F.lit(False).alias("h")))
+    parts = max(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-entries.count() // ENTRY_ROWS))
+    owned = e.repartition(parts, id).select(id, F.explode(F.concat(held, key)).alias("_o")).select(id, F.col("_o.t").alias("_token"), "_o.n", "_o.h")
+    met = owned.join(F.broadcast(asked) if asked.count() <= ASKED_ROWS else asked, "_token")
+    gained = F.when(F.col("n"), F.col("_named")).otherwise(0) + F.when(F.col("h"), F.col("_told")).otherwise(0)
+    total = met.groupBy(qid, id).agg(F.sum(gained).cast("long").alias("score"))
     if status in entries.columns:
         unknown = entries.filter(F.col(status) == "Unknown").select(id, F.lit(True).alias("_unknown"))
         total = total.join(unknown, id, "left").select(qid, id, F.when(F.col("_unknown") & (F.col("score") < ENOUGH_POINTS), F.col("score") - 3).otherwise(F.col("score")).alias("score"))

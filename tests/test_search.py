@@ -116,3 +116,28 @@ def test_similarity_and_matches_are_weighed_together(spark):
     for q, _, _, tags, _, vec, ws in asked:
         want = sorted((-round(ws * cos(r[5], vec) + 0.2 * sum(t in r[1] for t in tags) / 2 + 0.2 * (r[2] == "joy") + 0.1 * r[4] / 5, 9), r[0]) for r in rows)[:6]
         assert [(i, pytest.approx(-s, abs=1e-8)) for s, i in want] == got[q]
+
+
+def test_entry_points_arise_where_the_entries_lie(spark, monkeypatch):
+    rows = [(i, f"Red Gear {i % 3}" if i % 2 else f"blue ring{i}", "north red gear") for i in range(60)] + [(1, "Red Gear 1", "north red gear")]
+    entries = spark.createDataFrame(rows, "id long, name string, arc string").coalesce(1)
+    asked = [("a", "the red gear", ["Red Gear 1", "ring"]), ("b", "red red ring4", None), (None, "blue", ["blue"])]
+    queries = spark.createDataFrame(asked, "query_id string, query string, entities array<string>").coalesce(1)
+    norm = lambda t: "".join(ch for ch in t.lower() if ch.isalnum())
+    want = {}
+    for q, text, ents in asked:
+        words = [w for w in text.lower().split() if len(w) > 2]
+        for i, name, arc in rows:
+            got = [p for w in words for p, own in ((12, name), (2, f"{name} {arc}")) if w in own.lower().split()]
+            key = norm(name)
+            for n, same, part in [(norm(text), 80, 40)] + [(norm(e), 50, 25) for e in ents or []]:
+                if n in key:
+                    got.append(same if n == key else part if len(n) >= 5 else 0)
+            if got:
+                want[q, i] = want.get((q, i), 0) + sum(got)
+    for limit in (200_000, 1):
+        monkeypatch.setattr(search, "ASKED_ROWS", limit)
+        monkeypatch.setattr(search, "ENTRY_ROWS", 10)
+        out = search.entry_scores(entries, queries, ("name", "arc"), minimum=0)
+        assert out.rdd.getNumPartitions() >= (7 if limit > 1 else 1)
+        assert {(r.query_id, r.id): r.score for r in out.collect()} == want
