@@ -160,3 +160,12 @@ def test_exact_degrees_mine_classes_not_pairs(spark, monkeypatch):
     mined, plain = [], graph.mine_edges
     monkeypatch.setattr(graph, "mine_edges", lambda nodes, *a: (mined.append(nodes.count()), plain(nodes, *a))[1])
     assert {r.relationship_count for r in graph.exact_degrees(nodes).collect()} == {399} and mined == [4]
+
+
+def test_mined_pairs_are_dealt_by_their_far_end(spark, monkeypatch):
+    monkeypatch.setattr(graph, "NODE_ROWS", 10, raising=False)
+    rows = [(i, f"name{i % 4} last", "last", "crew", "Alpha", "sad, grim", "character", 3, [f"name{i % 4}", f"own{i}"]) for i in range(90)]
+    nodes = spark.createDataFrame(rows, "id long, name string, character string, category string, arc string, emotion string, visual_type string, importance int, tags array<string>").coalesce(1)
+    edges = graph.combine_edges(graph.mine_edges(nodes, nodes.filter("id < 2").select("id")))
+    sizes = [n for n in edges.rdd.glom().map(len).collect() if n]
+    assert sum(sizes) == 2 * 89 and len(sizes) > 4 and max(sizes) < 60  # more tasks than spark.sql.shuffle.partitions
