@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyspark.functions.text import parse_time, squeeze, tokens
+from storyspark.functions.text import let, parse_time, squeeze, tokens
 from storyspark.operators.ordered import number_rows
 
 ASSET_SCHEMA = ("id string, name string, category string, character string, arc string, emotion string, visual_type string, "
@@ -165,22 +165,24 @@ def _slides_in(json: Column) -> Column:
     ok = lambda s: s["start_time"].isNotNull() & s["end_time"].isNotNull() & s["summary"].isNotNull()
     none = F.array().cast(f"array<{SLIDE_STRUCT}>")
     keep = lambda a: F.filter(F.coalesce(a, none), ok)
-    listed = keep(F.from_json(F.when(F.startswith(F.trim(json), F.lit("[")), json), f"array<{SLIDE_STRUCT}>"))
-    lone = F.when(F.startswith(F.trim(json), F.lit("{")) & ok(single), F.array(single)).otherwise(none)
-    inner = [keep(F.when(F.startswith(F.trim(json), F.lit("{")), wrapped[k])) for k in ("slides", "segments", "items", "data")]
-    return _first_filled(listed, lone, *inner)
+    # a parse is bound to a variable: its fields would otherwise be as many parses
+    listed = keep(F.from_json(json, f"array<{SLIDE_STRUCT}>"))
+    inner = let(wrapped, lambda w: _first_filled(*[keep(w[k]) for k in ("slides", "segments", "items", "data")]))
+    object_ = let(single, lambda s: F.when(ok(s), F.array(s)).otherwise(inner))
+    return F.when(F.startswith(F.trim(json), F.lit("[")), listed).when(F.startswith(F.trim(json), F.lit("{")), object_).otherwise(none)
 
 
 def _first_filled(*lists: Column) -> Column:
-    """The first list with an item, else the last one; each is spelled once, so that it is parsed once."""
-    return F.coalesce(F.get(F.filter(F.array(*lists), lambda x: F.size(x) > 0), 0), lists[-1])
+    """The first list with an item, else the last one; a list is evaluated once, and only where those before it are empty."""
+    first, *rest = lists
+    return let(first, lambda x: F.when(F.size(x) > 0, x).otherwise(_first_filled(*rest))) if rest else first
 
 
 def parse_slide_replies(replies: DataFrame, key: str = "script_id", text: str = "reply") -> tuple[DataFrame, DataFrame]:
     """(slides, rejects).  Code fences are removed; text around the outer brackets is tried without it."""
     body = F.trim(F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), r"^```(json)?", ""), r"```$", ""))
-    bracket = F.nullif(F.regexp_extract(body, r"(?s)(\[.*\])", 1), F.lit(""))
-    parsed = replies.withColumn("_s", _first_filled(_slides_in(body), _slides_in(F.coalesce(bracket, F.lit("")))))
+    bracket = lambda b: F.regexp_extract(b, r"(?s)(\[.*\])", 1)
+    parsed = replies.withColumn("_s", let(body, lambda b: _first_filled(_slides_in(b), _slides_in(bracket(b)))))
     slides = parsed.select(key, F.posexplode("_s").alias("idx", "s")).select(key, F.col("idx").cast("long").alias("idx"), "s.*")
     return slides, parsed.filter(F.size("_s") == 0).drop("_s")
 
@@ -203,6 +205,9 @@ def split_sections(c: Column) -> dict[str, Column]:
 
 def save_rows(df: DataFrame, path: str, fmt: str = "json", by: str | None = "script_id", mode: str = "overwrite") -> None:
     """Slides, cues, manifests or events, one folder per script."""
+    if by:  # files of a folder are small and many: a number of tasks that is not cut to their bytes shares them
+        # (by a hash of the column: a shuffle by the column itself, which may be there already, would be taken instead)
+        df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(by))
     writer = df.write.mode(mode).format(fmt)
     (writer.partitionBy(by) if by else writer).save(path)
 
