@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyspark.operators.ordered import Blocks, number_rows
+from storyspark.session import cut_lineage
 
 K, O = "script_id", "idx"
 
@@ -60,7 +61,8 @@ def overlap_pairs(lines: DataFrame, slides: DataFrame, key: str = K) -> DataFram
         first = _cell(F.col(f"_{p}0"), F.col("_at"))
         return df.withColumn(f"_{p}c", first).withColumn("_cell", F.explode(F.sequence(first, _cell(F.col(f"_{p}1"), F.col("_at")))))
 
-    left, right = side(lines, "l"), side(slides, "s")
+    # each side is read three times: once for its levels, and in both directions
+    left, right = cut_lineage(side(lines, "l")), cut_lineage(side(slides, "s"))
     levels = {"l": present(left, "l"), "s": present(right, "s")}
 
     def meet(small: DataFrame, sp: str, large: DataFrame, lp: str, same: bool) -> DataFrame:

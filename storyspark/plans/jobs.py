@@ -59,11 +59,14 @@ def storyboard_audit(beats: DataFrame, reveal_gap_limit: float = 30.0, style: st
 def staged_storyboard(beats: DataFrame, score_scale: float = 100.0, style: str = "clean_pro", seed: int = 0, key: str = K) -> dict[str, DataFrame]:
     """E3: emotion, layers, motion, transitions, memory, gate, output.  Scripts with an ERROR stop: they leave the output."""
     points = curve.smooth_curve(curve.emotion_points(beats, "subtitle_text", "intensity"))
+    # three planners read the scored beats, and four results the planned ones
     scored = beats.join(points.select(key, O, F.col("score").alias("_score")), [key, O]).withColumn("emotion_score", F.col("_score") * score_scale).drop("_score")
+    scored = cut_lineage(scored)
     moves = planners.plan_transitions(scored, style, seed=seed)
     motion = planners.plan_motion(scored)
     full = scored.drop("motion_preset").join(moves.select(key, O, "transition_type"), [key, O]).join(
         motion.select(key, O, F.col("style").alias("motion_preset")), [key, O])
+    full = cut_lineage(full)
     issues = audit.gate_issues(full, score_scale=score_scale)
     verdict = audit.gate_verdict(full, issues)
     passed = verdict.filter("passed").select(key)
@@ -77,7 +80,7 @@ def subtitles_to_slides(lines: DataFrame, candidates: DataFrame, total_s: DataFr
 
     ``total_s``: key and total_s, the length of each script.
     """
-    clean = intervals.trim_overlaps(lines)
+    clean, candidates = cut_lineage(intervals.trim_overlaps(lines)), cut_lineage(candidates)
     long = (F.col("end_s") - F.col("start_s")) > planners.SLIDE_MAX_S
     pairs = intervals.overlap_pairs(clean.filter("text <> ''").select(key, O, "start_s", "end_s", "text"),
                                     candidates.filter(long).select(key, O, "start_s", "end_s"), key)
@@ -93,7 +96,7 @@ def subtitles_to_slides(lines: DataFrame, candidates: DataFrame, total_s: DataFr
         "_part": F.coalesce("chunk", F.lit(0))}).drop("_s", "_e", "_sum", "chunk")
     # everything after this point reads the split slides several times
     split = cut_lineage(number_rows(split.withColumnRenamed(O, "_slide"), key, ["start_s", "_part"], out=O).drop("_slide", "_part"))
-    refined = slides.refine_slides(split, clean, aliases, entities, hooks, profile=profile, unicode=unicode)
+    refined = cut_lineage(slides.refine_slides(split, clean, aliases, entities, hooks, profile=profile, unicode=unicode))
     snapped = intervals.snap_to_nearest(refined, clean).join(total_s, key)
     cut = intervals.repair_cuts(snapped).withColumns({"start_s": F.col("new_start"), "end_s": F.col("new_end")}).drop("new_start", "new_end", "snapped", "total_s")
     final = sequence.expand_parallel(cut.withColumn("transition_type", F.col("transition_in")))
