@@ -122,6 +122,7 @@ def top_k_vectors(vectors: DataFrame, queries: DataFrame, k: int, id: str = "vec
 
     if tiles == 1:
         columns = [list(c) for c in zip(*chosen.collect())]
+        columns[1] = np.array(columns[1], dtype=np.float64)  # as numbers, a quarter of what lists of them take in every worker
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             best = best_of(columns)
@@ -177,6 +178,7 @@ def _cells(rows, chosen, picks, cols, tiles, best_of, add, schema) -> DataFrame:
 MAX_LISTS = 4096             # so that centroids can go to every task
 SAMPLE_BYTES = 64 << 20      # vectors that the driver fits the centroids on
 LIST_ROWS, LIST_QUERIES = 16_384, 4096  # rows and queries of a cell
+PROBE_CELLS = 1 << 20        # similarities of queries or rows to centroids that a task holds at once
 
 
 def fit_centroids(sample: np.ndarray, lists: int, rounds: int = 10, seed: int = 3) -> np.ndarray:
@@ -196,10 +198,11 @@ def fit_centroids(sample: np.ndarray, lists: int, rounds: int = 10, seed: int =
 
 def _nearest_list(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     own, near = np.empty(len(x), np.int64), np.empty(len(x))
-    for a in range(0, len(x), 4096):
-        sims = x[a:a + 4096] @ centres.T
-        own[a:a + 4096] = sims.argmax(1)
-        near[a:a + 4096] = sims.max(1)
+    step = max(1, PROBE_CELLS // len(centres))
+    for a in range(0, len(x), step):
+        sims = x[a:a + step] @ centres.T
+        own[a:a + step] = sims.argmax(1)
+        near[a:a + step] = sims.max(1)
     return own, near
 
 
@@ -248,13 +251,15 @@ def search_lists(index: VectorLists, queries: DataFrame, k: int, probes: int, qi
     spark, id, vector = queries.sparkSession, index.id, index.vector
     probes = min(probes, len(index.centroids))
     shared = spark.sparkContext.broadcast(index.centroids)
+    step = max(1, PROBE_CELLS // len(index.centroids))
     slim = queries.select(qid, F.col(qvector).alias("_qv")).filter("_qv IS NOT NULL")
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if len(pdf):
-                sims = unit(np.array(pdf["_qv"].tolist(), dtype=np.float64)) @ shared.value.T
-                yield pdf.assign(list=list(np.argsort(-sims, axis=1, kind="stable")[:, :probes]))
+            for a in range(0, len(pdf), step):  # a batch of queries against all lists would not be bounded
+                part = pdf.iloc[a:a + step]
+                sims = unit(np.array(part["_qv"].tolist(), dtype=np.float64)) @ shared.value.T
+                yield part.assign(list=list(np.argsort(-sims, axis=1, kind="stable")[:, :probes]))
 
     lists = T.StructType([*slim.schema.fields, T.StructField("list", T.ArrayType(T.LongType()))])
     asked = slim.mapInPandas(probe, lists).withColumn("list", F.explode("list"))
