@@ -18,7 +18,8 @@ K, O = "script_id", "idx"
 def script_beats(scripts: DataFrame, key: str = K, body: str = "text", beat_rules=rules.BEAT_RULES, escalation=rules.ESCALATION_WORDS, unicode: bool = True) -> DataFrame:
     """Segments of each script with beat type and confidence."""
     s = scripts.select(key, text.segment_script(F.col(body)).alias("_s"))
-    s = from_one_row(s.select(key, F.size("_s").alias("total"), F.posexplode("_s").alias(O, "text")), O)
+    # an inner explode would get a filter inferred that cuts the text again
+    s = from_one_row(s.select(key, F.size("_s").alias("total"), F.posexplode_outer("_s").alias(O, "text")).filter(F.col(O).isNotNull()), O)
     return s.withColumns(rules.beat_columns(F.col("text"), F.col(O), F.col("total"), beat_rules, escalation, unicode))
 
 

@@ -31,7 +31,8 @@ def talk(spark, sf):
 def segments(spark, sf):
     """Sentences of each document with their place and number."""
     s = docs(spark, sf).select("doc_id", text.sentences(F.col("text")).alias("s"))
-    return s.select("doc_id", F.size("s").alias("total"), F.posexplode("s").alias("idx", "text"))
+    # an inner explode would get a filter inferred that splits again
+    return s.select("doc_id", F.size("s").alias("total"), F.posexplode_outer("s").alias("idx", "text")).filter("idx IS NOT NULL")
 
 
 SEGMENTS_SQL = DOCS_SQL + f""",

@@ -183,7 +183,8 @@ def parse_slide_replies(replies: DataFrame, key: str = "script_id", text: str =
     body = F.trim(F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), r"^```(json)?", ""), r"```$", ""))
     bracket = lambda b: F.regexp_extract(b, r"(?s)(\[.*\])", 1)
     parsed = replies.withColumn("_s", let(body, lambda b: _first_filled(_slides_in(b), _slides_in(bracket(b)))))
-    slides = parsed.select(key, F.posexplode("_s").alias("idx", "s")).select(key, F.col("idx").cast("long").alias("idx"), "s.*")
+    # an inner explode would get a filter inferred that parses again
+    slides = parsed.select(key, F.posexplode_outer("_s").alias("idx", "s")).filter("idx IS NOT NULL").select(key, F.col("idx").cast("long").alias("idx"), "s.*")
     return slides, parsed.filter(F.size("_s") == 0).drop("_s")
 
 
