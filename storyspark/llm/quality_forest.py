@@ -25,7 +25,6 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 #: Bytes of a text that are split into words at a time, at least.
 PIECE = 1 << 20
-_DROP_SPACES = str.maketrans("", "", SPACES)
 _SPACE = re.compile(rb"[ \t\n\x0b\x0c\r]")
 _WORD = re.compile(rf"[^{SPACES}]")
 
@@ -39,7 +38,7 @@ def rule_statistics(text: str) -> tuple[int, int, int, int, int]:
         if _WORD.search(line):
             dup += line in seen
             seen.add(line)
-    return len(words), len(text.translate(_DROP_SPACES)), sum(map(text.count, SYMBOLS)), dup, repeated_words(words)
+    return len(words), len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), dup, repeated_words(words)
 
 
 def word_numbers(text: str) -> np.ndarray:
@@ -197,16 +196,16 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return _with_statistics(docs, id_col, text_col, None)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", trees: int = 128, sample: int = 256, clean_loss: float = 0.002) -> Forest:
-    """``calibrated`` over all labelled rows that pass the base rules.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str | None = "text", trees: int = 128, sample: int = 256, clean_loss: float = 0.002) -> Forest:
+    """``calibrated`` over all labelled rows that pass the base rules; without a ``text_col``, ``docs`` are rows of ``statistics``.
 
     The box, the counts and the threshold come from every such row, in Spark.  As the method has it, each tree grows
     on ``sample`` rows labelled 1; the driver holds those of all trees, drawn by hash from all, and nothing else.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(class_labels(labels, "quality"), "doc_id")
-    stats = _with_statistics(rows, "doc_id", "text", None, keep=["label"])
-    # five numbers a row: read for the box, the trees and the scores
-    stats = written(stats.where(~base_failed(F.col("n_words"), F.col("n_repeat_words"))))
+    rows = docs.select(F.col(id_col).alias("doc_id"), *(STATS if text_col is None else [F.col(text_col).alias("text")]))
+    stats = (rows if text_col is None else statistics(rows)).where(~base_failed(F.col("n_words"), F.col("n_repeat_words")))
+    # five numbers a row: they, not the texts, travel to the labels, and are read for the box, the trees and the scores
+    stats = written(stats.join(class_labels(labels, "quality"), "doc_id"))
     points = _with_features(stats)
     names = [f"f{i}" for i in range(len(STATS))]
     box = points.agg(F.count_if(F.col("label") == 1).alias("clean"), F.count_if(F.col("label") == 0).alias("junk"),
@@ -238,8 +237,8 @@ def _with_features(stats: DataFrame, forest: Forest | None = None) -> DataFrame:
     return stats.mapInArrow(run, "label int, " + ", ".join(f"{n} double" for n in names) + ", score double")
 
 
-def judge(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Statistics of each row with ``base_failed``, ``anomaly`` (path score) and ``kept``.
+def judge(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str | None = "text", keep: list[str] | None = None) -> DataFrame:
+    """Statistics of each row with ``base_failed``, ``anomaly`` (path score) and ``kept``; without a ``text_col``, ``docs`` hold them already.
 
     Every row of ``docs`` gives one row, with the columns of ``keep`` as they are.  A null text has
     no words and so fails the base rules, as does an empty one; repeated rows are judged alike.
@@ -248,12 +247,18 @@ def judge(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str
 
 
 def _with_statistics(docs, id_col, text_col, forest, keep=()):
+    # the text travels first under a name of its own, so that it may also be among the kept columns
+    read = STATS if text_col is None else [F.col(text_col).alias("__text")]
+    width = len(read)
     names = [id_col, *[c for c in keep if c != id_col], *STATS] + (["base_failed", "anomaly", "kept"] if forest else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            stats = np.array([rule_statistics(t.as_py() or "") for t in batch.column(0)], np.int64).reshape(-1, len(STATS))
-            columns = [*batch.columns[1:], *[pa.array(c) for c in stats.T]]
+            if text_col is None:
+                stats = np.column_stack([c.to_numpy() for c in batch.columns[:width]])
+            else:
+                stats = np.array([rule_statistics(t.as_py() or "") for t in batch.column(0)], np.int64).reshape(-1, len(STATS))
+            columns = [*batch.columns[width:], *[pa.array(c) for c in stats.T]]
             if forest:
                 failed = base_failed(stats[:, 0], stats[:, 4])
                 score = forest.value.score(features(stats))
@@ -262,8 +267,7 @@ def _with_statistics(docs, id_col, text_col, forest, keep=()):
 
     carried = [id_col, *[c for c in keep if c != id_col]]
     kinds = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried), *(f"{c} long" for c in STATS)])
-    # the text travels first under a name of its own, so that it may also be among the kept columns
-    return docs.select(F.col(text_col).alias("__text"), *carried).mapInArrow(
+    return docs.select(*read, *carried).mapInArrow(
         run, kinds + (", base_failed boolean, anomaly double, kept boolean" if forest else ""))
 
 

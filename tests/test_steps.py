@@ -65,3 +65,21 @@ def test_threshold_comes_from_all_labelled_rows(spark):
     lowest = max(score[i] for i, _ in clean)
     above = [score[i] for i, _ in junk if score[i] > lowest]
     assert forest.threshold == ((lowest + min(above)) / 2 if above else float("inf"))
+
+
+def test_texts_do_not_travel_to_their_labels(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 5))
+    rows = [(i, " ".join(word() for _ in range(40 + i))) for i in range(24)] + [(i, "\n".join(["## " + word()] * 2 + [word() * 9 for _ in range(40)])) for i in range(100, 106)]
+    docs = spark.createDataFrame([*rows, rows[3], (None, rows[4][1]), (5, None)], "doc_id long, text string")
+    labels = docs.where("doc_id IS NOT NULL AND doc_id % 4 < 3").select("doc_id", (F.col("doc_id") < 100).cast("int").alias("quality"))
+    plans, write = [], quality_forest.written
+    monkeypatch.setattr(quality_forest, "written", lambda df: plans.append(plan(df)) or write(df))
+    forest = quality_forest.fit(docs, labels)
+    steps = plans[0]  # from the last step down to the scans
+    assert 0 <= steps.index("Join") < steps.index("MapInArrow")
+    stats = quality_forest.statistics(docs)
+    again = quality_forest.fit(stats, labels, text_col=None)
+    assert again.threshold == forest.threshold < float("inf")
+    judged = lambda df: sorted(map(str, df.collect()))
+    assert judged(quality_forest.judge(stats, again, text_col=None)) == judged(quality_forest.judge(docs, forest))
