@@ -68,7 +68,8 @@ class _Best:
         return [c[keep] for c in flat]
 
     def frame(self, qid: str, id: str) -> pd.DataFrame:
-        query, ids, sims, scores = self.held if self.held is not None else [np.zeros(0, int)] * 4
+        # without rows the type of the ids is not known: an empty column of objects becomes any type
+        query, ids, sims, scores = self.held if self.held is not None else [np.zeros(0, int), np.zeros(0, object), np.zeros(0), np.zeros(0)]
         # names stay objects: one of them may be null
         return pd.DataFrame({qid: pd.Series([self.names[q] for q in query], dtype=object), id: ids, "similarity": sims, "score": scores})
 

@@ -80,3 +80,15 @@ def test_incomplete_vectors_have_no_hits(spark, monkeypatch, limit):
     assert found() == near | {("z", 1): 1, ("z", 2): 5, ("z", 3): 6, (None, 1): 6, (None, 2): 5, (None, 3): 1}
     assert found(same="kind") == {(f"q{i}", 1): 1 for i in range(20)} | {(None, 1): 6}
     assert vector.top_k_vectors(vectors, queries.filter("query_id = 'x'"), 5, qvector="q").collect() == []
+
+
+@pytest.mark.parametrize("limit", [64 << 20, 100])
+def test_parts_without_vectors_and_ids_of_any_type(spark, monkeypatch, limit):
+    monkeypatch.setattr(vector, "MAX_QUERY_BYTES", limit)
+    asked = spark.createDataFrame([(f"q{i}", [1.0, 0.0]) for i in range(20)], "query_id string, q array<double>")
+    for kind in ("string", "long"):
+        vectors = spark.range(3).repartition(6).selectExpr(f"cast(id AS {kind}) AS vec_id", "array(1D, cast(id AS double)) AS embedding")  # some parts are empty
+        found = vector.top_k_vectors(vectors, asked, 2, qvector="q").collect()
+        assert {(r["rank"], str(r.vec_id)) for r in found} == {(1, "0"), (2, "1")} and len(found) == 40
+        none = vector.top_k_vectors(vectors.selectExpr("vec_id", "array(double('NaN')) AS embedding"), asked.selectExpr("query_id", "array(1D) AS q"), 2, qvector="q")
+        assert none.collect() == []
