@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyspark.operators.ordered import Blocks, number_rows
-from storyspark.session import cut_lineage
+from storyspark.session import packed
 
 K, O = "script_id", "idx"
 
@@ -59,10 +59,11 @@ def overlap_pairs(lines: DataFrame, slides: DataFrame, key: str = K) -> DataFram
     def touched(df: DataFrame, p: str) -> DataFrame:
         """One row for each cell at ``_at``; ``_{p}c`` is the first of them."""
         first = _cell(F.col(f"_{p}0"), F.col("_at"))
-        return df.withColumn(f"_{p}c", first).withColumn("_cell", F.explode(F.sequence(first, _cell(F.col(f"_{p}1"), F.col("_at")))))
+        spread = df.withColumn(f"_{p}c", first).withColumn("_cell", F.explode(F.sequence(first, _cell(F.col(f"_{p}1"), F.col("_at")))))
+        return spread.drop(f"_{p}0", f"_{p}1", f"_{p}n")  # only what the pair needs goes to its cells
 
     # each side is read three times: once for its levels, and in both directions
-    left, right = cut_lineage(side(lines, "l")), cut_lineage(side(slides, "s"))
+    left, right = packed(side(lines, "l")), packed(side(slides, "s"))
     levels = {"l": present(left, "l"), "s": present(right, "s")}
 
     def meet(small: DataFrame, sp: str, large: DataFrame, lp: str, same: bool) -> DataFrame:
@@ -72,7 +73,7 @@ def overlap_pairs(lines: DataFrame, slides: DataFrame, key: str = K) -> DataFram
         staying = touched(large.withColumn("_at", F.col(f"_{lp}n")), lp)
         return searching.join(staying, [key, "_at", "_cell"])
 
-    helpers = ["_at", "_cell", *(f"_{p}{x}" for p in "ls" for x in "01nc")]
+    helpers = ["_at", "_cell", "_lc", "_sc"]
     joined = meet(left, "l", right, "s", True).unionByName(meet(right, "s", left, "l", False))
     return joined.filter((F.col("l_end_s") > F.col("s_start_s")) & (F.col("l_start_s") < F.col("s_end_s"))
                          & (F.col("_cell") == F.greatest("_lc", "_sc"))).drop(*helpers)
@@ -92,7 +93,7 @@ def overlapping_lines(lines: DataFrame, slides: DataFrame, key: str = K, order:
 def overlapping_text(lines: DataFrame, slides: DataFrame, key: str = K, order: str = O) -> DataFrame:
     """Slide with the text of its lines in time order; slides without lines keep an empty text."""
     said = lines.withColumn("text", F.trim(F.coalesce("text", F.lit("")))).filter("text <> ''")
-    pairs = overlap_pairs(said, slides.select(key, order, "start_s", "end_s"), key)
+    pairs = overlap_pairs(said.select(key, order, "start_s", "end_s", "text"), slides.select(key, order, "start_s", "end_s"), key)
     text = pairs.groupBy(key, F.col(f"s_{order}").alias(order)).agg(
         joined_text(F.struct("l_start_s", f"l_{order}"), F.col("l_text")).alias("_text"), F.count(F.lit(1)).alias("_n"))
     return slides.join(text, [key, order], "left").withColumns({

@@ -14,7 +14,7 @@ from storyspark.operators.intervals import overlapping_text
 from storyspark.operators.ordered import Blocks
 from storyspark.operators.search import rank_for_beat
 from storyspark.operators.sequence import TRANSITION_BY_BEAT, lookup
-from storyspark.session import cut_lineage
+from storyspark.session import packed
 
 K, O = "script_id", "idx"
 
@@ -366,7 +366,7 @@ def refine_slides(slides: DataFrame, lines: DataFrame, aliases: Sequence[tuple[s
     s = s.withColumn("_q", sanitize_query(F.when(F.col("_q") != "", F.col("_q")).otherwise(fallback), F.col("_both"),
                                           F.when(F.size(mine) > 0, mine).otherwise(F.col("_given")), fallback=fallback))
     # queries are first counted, then joined with their counts, and their keys measured
-    s = cut_lineage(s.withColumn("_base", F.lower("_q")))
+    s = packed(s.withColumn("_base", F.lower("_q")))
     firsts = s.groupBy(key, "_base").agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_uses"))
     s = s.join(firsts, [key, "_base"])
     hint = rules.first_match(F.col("_both"), hints, "", unicode) if hints else F.lit("")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from storyspark.functions import rules, text
 from storyspark.operators import audit, composition, curve, graph, intervals, planners, sequence, slides, vector
 from storyspark.operators.ordered import from_one_row, number_rows
-from storyspark.session import cut_lineage
+from storyspark.session import cut_lineage, packed
 
 K, O = "script_id", "idx"
 
@@ -75,33 +75,56 @@ def staged_storyboard(beats: DataFrame, score_scale: float = 100.0, style: str =
             "output": slides.legacy_shape(composition.plan_composition(full).join(passed, key, "left_semi"))}
 
 
+def auditable(df: DataFrame, key: str = K) -> DataFrame:
+    """Slides with the columns that the audit reads; what a slide lacks is null, its asset is its query."""
+    kinds = {"emotion": "string", "intensity": "double", "asset_id": "string", "subtitle_text": "string", "summary": "string", "query": "string", "entities": "array<string>"}
+    out = df.withColumns({c: F.lit(None).cast(t) for c, t in kinds.items() if c not in df.columns})
+    own = [c for c in ("character", "arc") if c in df.columns]
+    found = slides.audit_features(out.drop(*own)).drop("emotion_key").withColumn(
+        "asset_id", F.coalesce(F.nullif("asset_id", F.lit("")), F.nullif("query", F.lit("")), F.concat(F.lit("unknown_"), F.col(O).cast("string"))))
+    return found if not own else found.drop(*own).join(df.select(key, O, *own), [key, O])
+
+
 def subtitles_to_slides(lines: DataFrame, candidates: DataFrame, total_s: DataFrame, aliases: Sequence[tuple[str, str]] = (), entities: Sequence[str] = (),
-                        hooks: Sequence[tuple[str, str]] = (), profile: str = "short_vertical", key: str = K, unicode: bool = True) -> dict[str, DataFrame]:
+                        hooks: Sequence[tuple[str, str]] = (), profile: str = "short_vertical", key: str = K, unicode: bool = True, style: str = "clean_pro",
+                        seed: int = 0) -> dict[str, DataFrame]:
     """E4: subtitle lines and candidate slides to split, refined, repaired, audited and expanded slides.
 
-    ``total_s``: key and total_s, the length of each script.
+    ``total_s``: key and total_s, the length of each script.  A part of a split slide takes the entities and the query of its own text, if that has any.
+    Every result of the audit (E2) comes along as ``audit_`` and its name; the slides that are expanded carry its motion and its transition.
     """
-    clean, candidates = cut_lineage(intervals.trim_overlaps(lines)), cut_lineage(candidates)
+    clean, candidates = packed(intervals.trim_overlaps(lines)), packed(candidates)
     long = (F.col("end_s") - F.col("start_s")) > planners.SLIDE_MAX_S
     pairs = intervals.overlap_pairs(clean.filter("text <> ''").select(key, O, "start_s", "end_s", "text"),
                                     candidates.filter(long).select(key, O, "start_s", "end_s"), key)
     inner = pairs.select(key, F.col("s_idx").alias("slide"), F.col("l_start_s").alias("start_s"), F.col("l_end_s").alias("end_s"), F.col("l_text").alias("text"),
                          F.col(f"l_{O}").alias("_l"))
-    inner = number_rows(inner, [key, "slide"], ["start_s", "_l"], out=O)
+    inner = number_rows(packed(inner), [key, "slide"], ["start_s", "_l"], out=O)
     chunks = planners.chunk_lines(inner, key=[key, "slide"])
     many = chunks.groupBy(key, "slide").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     parts = chunks.join(many.drop("_n"), [key, "slide"]).select(key, F.col("slide").alias(O), F.col("chunk"), F.col("start_s").alias("_s"), F.col("end_s").alias("_e"),
-                                                                slides.summarize_window(F.col("text"), F.lit(""), unicode=unicode).alias("_sum"))
+                                                                F.col("text").alias("_text"), slides.summarize_window(F.col("text"), F.lit(""), unicode=unicode).alias("_sum"))
     split = candidates.join(parts, [key, O], "left").withColumns({
         "start_s": F.coalesce("_s", "start_s"), "end_s": F.coalesce("_e", "end_s"), "summary": F.coalesce(F.nullif(F.col("_sum"), F.lit("")), F.col("summary")),
         "_part": F.coalesce("chunk", F.lit(0))}).drop("_s", "_e", "_sum", "chunk")
+    empty = F.array().cast("array<string>")
+    given = F.coalesce("entities", empty) if "entities" in candidates.columns else empty
+    split = split.withColumn("_own", graph.context_entities(F.concat_ws(" ", "_text", "summary"), aliases, entities, 3))
+    split = split.withColumn("entities", F.when(F.col("_text").isNotNull() & (F.size("_own") > 0), F.col("_own")).otherwise(given))
+    split = split.withColumn("query", F.coalesce(slides.infer_query(F.col("_text"), hooks, graph.context_entities(F.col("_text"), aliases, entities, 3), F.col("entities"),
+                                                                    unicode=unicode), F.col("query"))).drop("_own", "_text")
     # everything after this point reads the split slides several times
-    split = cut_lineage(number_rows(split.withColumnRenamed(O, "_slide"), key, ["start_s", "_part"], out=O).drop("_slide", "_part"))
-    refined = cut_lineage(slides.refine_slides(split, clean, aliases, entities, hooks, profile=profile, unicode=unicode))
-    snapped = intervals.snap_to_nearest(refined, clean).join(total_s, key)
-    cut = intervals.repair_cuts(snapped).withColumns({"start_s": F.col("new_start"), "end_s": F.col("new_end")}).drop("new_start", "new_end", "snapped", "total_s")
-    final = sequence.expand_parallel(cut.withColumn("transition_type", F.col("transition_in")))
-    return {"lines": clean, "refined": refined, "slides": cut, "expanded": final}
+    split = packed(number_rows(packed(split.withColumnRenamed(O, "_slide")), key, ["start_s", "_part"], out=O).drop("_slide", "_part"))
+    refined = packed(slides.refine_slides(split, clean, aliases, entities, hooks, profile=profile, unicode=unicode))
+    # only times go through the repair; the slides meet them once
+    times = intervals.repair_cuts(intervals.snap_to_nearest(refined.select(key, O, "start_s"), clean).join(total_s, key))
+    cut = refined.join(times.select(key, O, "new_start", "new_end"), [key, O]).withColumns({"start_s": F.col("new_start"), "end_s": F.col("new_end")})
+    cut = packed(cut.drop("new_start", "new_end"))  # all stages of the audit read it
+    audited = storyboard_audit(auditable(cut, key), style=style, seed=seed, key=key)
+    planned = audited["transitions"].select(key, O, "transition_type", F.col("duration").alias("transition_duration")).join(
+        audited["motion"].select(key, O, F.struct("style", "motion_intensity", "camera_goal", "easing").alias("motion")), [key, O])
+    shown = slides.legacy_shape(audited["output"].join(planned, [key, O])).withColumn("transition_in", F.col("transition_type"))
+    return {"lines": clean, "refined": refined, "slides": cut, **{f"audit_{name}": df for name, df in audited.items()}, "expanded": sequence.expand_parallel(shown)}
 
 
 def retrieval(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 5, chunk_size: int = 500, overlap_sentences: int = 1, collection: str = "docs",

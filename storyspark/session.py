@@ -6,9 +6,11 @@ import functools
 import os
 import pathlib
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def build_session(app: str = "storyspark", master: str | None = None, **conf) -> SparkSession:
@@ -58,6 +60,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: a fraction of a checkpoint, whose rows are not packed; its place in partitions is not kept.
+
+    What Parquet cannot hold (columns without a type, intervals, names that differ in case only) becomes a checkpoint.
+    """
+    def holds(kind: T.DataType) -> bool:
+        if isinstance(kind, T.StructType):
+            return len({f.name.lower() for f in kind}) == len(kind) and all(holds(f.dataType) for f in kind)
+        if isinstance(kind, T.MapType):
+            return holds(kind.keyType) and holds(kind.valueType)
+        return holds(kind.elementType) if isinstance(kind, T.ArrayType) else not isinstance(kind, (T.NullType, T.CalendarIntervalType, T.VariantType))
+
+    if not df.columns or not holds(df.schema):
+        return cut_lineage(df)
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/packed-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder that the driver and all executors see: ``spark.checkpoint.dir``, or a temporary one on a local master."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

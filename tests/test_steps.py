@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from storyspark.functions import rules, text
 from storyspark.llm import quality_forest
-from storyspark.operators import intervals, vector
+from storyspark.operators import intervals, ordered, vector
+from storyspark.plans import jobs
+from storyspark.session import packed
 from storyspark.sources import files
 
 
@@ -83,3 +85,30 @@ def test_texts_do_not_travel_to_their_labels(spark, monkeypatch):
     assert again.threshold == forest.threshold < float("inf")
     judged = lambda df: sorted(map(str, df.collect()))
     assert judged(quality_forest.judge(stats, again, text_col=None)) == judged(quality_forest.judge(docs, forest))
+
+
+def test_slides_are_audited_before_they_are_expanded(spark):
+    said = ["click one.", "nothing here.", "signup two.", "purchase three.", "the end."]
+    lines = spark.createDataFrame([("a", i, 4.0 * i, 4.0 * i + 4, t) for i, t in enumerate(said)], "script_id string, idx long, start_s double, end_s double, text string")
+    slides = [("a", 0, 0.0, 12.0, "old query", "all of it", ["cast"], "parallel_cut"), ("a", 1, 12.0, 16.0, "next query", "short", ["cast"], "standard")]
+    slides = spark.createDataFrame(slides, "script_id string, idx long, start_s double, end_s double, query string, summary string, entities array<string>, pacing_intent string")
+    total = spark.createDataFrame([("a", 20.0)], "script_id string, total_s double")
+    out = jobs.subtitles_to_slides(lines, slides, total, entities=["click", "purchase", "signup"], unicode=False)
+    cut = sorted(out["slides"].collect(), key=lambda r: r.idx)
+    assert len(cut) > 2 and cut[0].entities == ["click"]  # the parts of the long slide have their own entities
+    report = out["audit_report"].collect()
+    assert [(r.beat_count, r.passed) for r in report] == [(len(cut), True)] and report[0].retention_score < 1
+    assert {f"audit_{n}" for n in ("acts", "violations", "rhythm", "assets", "memory", "diversity", "composition", "motion", "transitions", "issues", "output")} <= set(out)
+    moves = {r.idx: r.transition_type for r in out["audit_transitions"].collect()}
+    styles = {r.idx: r.style for r in out["audit_motion"].collect()}
+    shown = out["expanded"].collect()
+    assert {r.idx for r in shown} == set(moves) == {r.idx for r in cut} and any(r.half == 1 for r in shown)
+    assert all(r.transition_in == moves[r.idx] and r.motion.style == styles[r.idx] for r in shown)
+
+
+def test_packed_tables_keep_rows_and_marks(spark):
+    rows = ordered.number_rows(spark.createDataFrame([("a", 2.0), ("a", None), (None, 1.0)], "script_id string, ts double"))
+    again = packed(rows)
+    assert again.schema["idx"].metadata == rows.schema["idx"].metadata != {}
+    assert sorted(map(str, again.collect())) == sorted(map(str, rows.collect()))
+    assert packed(spark.range(2).withColumn("none", F.lit(None))).count() == 2  # no Parquet type
