@@ -467,3 +467,16 @@ def test_pipeline_on_awkward_rows(spark, docs, no_docs, sf):
             out = stage(spark, rows, sf)
             assert name == "packing" or out.columns == rows.columns
             out.count()
+
+
+def test_few_vectors_meet_by_chance(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(1200, 64))
+    x[1:40] = x[0] + rng.normal(size=(39, 64)) * 0.05  # a group of near copies
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    links, met = cap_filters._links, []
+    monkeypatch.setattr(cap_filters, "_links", lambda cells, *rest: met.append(cells.count()) or links(cells, *rest))
+    got = cap_filters.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
+    assert sum(r["n_links"] for r in got.collect()) == 40 * 39
+    assert met[0] < 2 * 1200  # with 16,384 directions at every size, some thirty rows a vector
+    assert [cap_filters.words_for(n) for n in (0, 16, 17, 5000, 10**9)] == [128, 128, 256, 4096, cap_filters.MAX_WORDS]
