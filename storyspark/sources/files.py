@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from storyspark.functions.text import let, parse_time, squeeze, tokens
 from storyspark.operators.ordered import number_rows
+from storyspark.session import packed
 
 ASSET_SCHEMA = ("id string, name string, category string, character string, arc string, emotion string, visual_type string, "
                 "importance int, tags array<string>")
@@ -52,16 +53,32 @@ def unreadable_corpus_files(spark: SparkSession, path: str) -> DataFrame:
 
 # ---- S3: subtitle events ---------------------------------------------------------------------------------
 
-def read_event_lines(spark: SparkSession, path: str) -> DataFrame:
+#: Between the subtitle files of a bundle.
+BUNDLE_MARK = "\x1e\x1d\x1e"
+
+
+def read_event_lines(spark: SparkSession, path: str, bundled: bool = False) -> DataFrame:
     """Lines of subtitle files with file path and position in the file.
 
     Spark splits text files, so the position of a line is its place in the whole file, taken
-    file by file in one multi-line read; a subtitle file is small.
+    file by file in one multi-line read; a subtitle file is small.  Hundreds of thousands of them
+    come ``bundled``: a text file then holds many, each with its name in a line before it and
+    BUNDLE_MARK after it.
     """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    if bundled:
+        files = spark.read.text(path, lineSep=BUNDLE_MARK)
+        name = F.substring_index("value", "\n", 1)
+        files = files.select(name.alias("file"), F.expr("substring(value, length(substring_index(value, '\n', 1)) + 2)").alias("value"))
+    else:
+        files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     return files.select("file", F.posexplode(F.split("value", "\r\n|\n|\r")).alias("line_no", "value"))
 
 
+def write_event_bundles(files: DataFrame, path: str) -> None:
+    """Subtitle files (``file``: a name without line breaks, ``value``: the whole text) as a few text files."""
+    files.select(F.concat("file", F.lit("\n"), "value").alias("value")).write.option("lineSep", BUNDLE_MARK).text(path)
+
+
 def subtitle_text(c: Column) -> Column:
     """Override tags and backslash commands removed."""
     out = F.regexp_replace(c, r"\{.*?\}", "")
@@ -90,6 +107,7 @@ def parse_events(lines: DataFrame, need_section: bool = True, file: str = "file"
                     subtitle_text(F.trim(F.get("_p", 9))).alias("text"))
     if need_section:
         rows = rows.filter("text <> ''")
+    rows = packed(rows)  # read for the stories, the longest file and the result
     has_story = rows.groupBy(file).agg(F.max(F.col("story").cast("int")).alias("_any"))
     rows = rows.join(has_story, file).filter((F.col("_any") == 0) | F.col("story")).drop("_any", "story")
     rows = rows.withColumns({"start_s": parse_time(F.col("start")), "end_s": parse_time(F.col("end")), "word_count": F.size(tokens(F.col("text")))})

@@ -3,8 +3,10 @@
 import json
 import time
 
+import duckdb
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from storyspark.functions import rules, text
 from storyspark.operators import audit, composition, curve, intervals, planners, search, sequence, slides, vector
 from storyspark.operators.ordered import number_rows
@@ -224,3 +226,32 @@ def test_contained_pairs_is_exact(spark):
     b = ["abc", "cab", "zzz", "b"]
     da, db = spark.createDataFrame([(x,) for x in a], "needle string"), spark.createDataFrame([(x,) for x in b], "hay string")
     assert {tuple(r) for r in search.contained_pairs(da, db).collect()} == {(x, y) for x in a for y in b if x and x in y}
+
+
+def test_many_subtitle_files_lie_in_few(spark, tmp_path):
+    one = "[Events]\nDialogue: 0,0:00:01.00,0:00:02.00,Main,,0,0,0,,first, second\r\nDialogue: 0,0:00:03.00,0:00:04.00,Main,,0,0,0,,third\n"
+    two = one.replace("Main", "storyboard").replace("Dialogue", "Comment")
+    for name, body in (("a", one), ("b", two + one)):
+        (tmp_path / "apart" / name).mkdir(parents=True)
+        (tmp_path / "apart" / name / "subtitles.ass").write_bytes(body.encode())
+    files.write_event_bundles(spark.createDataFrame([("x/a", one), ("x/b", two + one), ("x/c", "")], "file string, value string").coalesce(1), f"{tmp_path}/bundles")
+    assert len(list((tmp_path / "bundles").glob("part-*"))) == 1
+    rows = lambda df, at: sorted((r.file.split("/")[at], r.idx, r.line_no, r.start_s, r.text) for r in df.collect())
+    bundled = rows(files.parse_events(files.read_event_lines(spark, f"{tmp_path}/bundles", bundled=True)), -1)
+    assert bundled == rows(files.parse_events(files.read_event_lines(spark, f"{tmp_path}/apart/*")), -2)
+    assert [r[4] for r in bundled] == ["first, second", "third"] * 2 and [r[1] for r in bundled] == [0, 1, 0, 1]
+    assert files.read_event_lines(spark, f"{tmp_path}/bundles", bundled=True).filter("file = 'x/c'").count() == 1
+
+
+def test_subtitle_query_writes_few_files(spark, tmp_path, monkeypatch):
+    from storyspark.queries import sources
+
+    source = "SELECT * FROM '/root/testdata/sf0.001/events.parquet'"
+    con = duckdb.connect()
+    con.execute(f"COPY ({source}) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW events AS {source}")
+    monkeypatch.setattr(sources, "folder", lambda spark, name: f"{tmp_path}/{name}")
+    got = entry.queries()["s3_subtitle_events"](spark, str(tmp_path)).collect()
+    want = con.execute(entry.oracle_sql()["s3_subtitle_events"]).fetchall()
+    assert sorted(map(tuple, got)) == sorted(want) and len({r[0] for r in want}) > 4
+    assert len(list((tmp_path / "events").rglob("part-*"))) <= 4
